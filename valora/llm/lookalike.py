@@ -1,23 +1,29 @@
 """Texts that look the same but differ in their characters (problem 1).
 
-Method: look-alike letters, full-width forms, spaces and invisible marks are mapped in SQL; the
-mapped values are grouped under the accent- and case-sensitive Unicode collation; each class gets
-one canonical member, which is joined back.
-
-A class is keyed by two 64-bit hashes of the collation key (Spark's hash functions follow the
-collation of their input), so grouping and joining never move a text through a shuffle.
-
-Defined results: a null text has a null canonical form and no class; a text that is blank after
-mapping is its own canonical form and joins no class; repeated rows share a class; an empty table
-gives an empty table; further columns pass through, and the columns added here carry the prefix
-given by `prefix`, so that a clash raises no ambiguity.
+Method: look-alike letters, full-width forms, spaces and invisible marks are mapped in SQL; mapped
+values are grouped under the accent- and case-sensitive Unicode collation; each class gets one
+canonical member (the smallest mapped text by code point), which is joined back.
+
+Grouping under a collation compares and shuffles whole texts, so it is kept to the texts that need
+it: a coarse hash, equal for all texts that the collation could hold equal (base letters only,
+everything else outside ASCII dropped), splits the rows into buckets first, and only buckets with
+at least two different mapped forms are grouped under the collation. All others are a class of
+their own by plain equality.
+
+Defined results: a null text has a null canonical form; a text that is blank after mapping is its
+own canonical form and pairs with nothing; repeated rows share a class; an empty table gives an
+empty table; further columns pass through, and added columns carry the prefix `look_`.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valora.runtime import keep, small_side
+
 # Letters of other scripts whose shape is that of a Latin letter.
 CYRILLIC = "АВЕЗКМНОРСТУХЅІЈаеорсухѕіјԁԛԝһ"
 CYRILLIC_AS = "ABE3KMHOPCTYXSIJaeopcyxsijdqwh"
@@ -52,76 +58,80 @@ def mapped(text: Column) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-def class_keys(text: Column, prefix: str = "look_") -> list[Column]:
-    """The two halves of a class key: hashes of the collation key of the mapped text."""
-    c = F.collate(mapped(text), "UNICODE")
-    return [F.xxhash64(F.lit(1), c).alias(f"{prefix}hi"), F.xxhash64(c).alias(f"{prefix}lo")]
+def _base_letters() -> tuple[str, str]:
+    """Precomposed Latin letters and their base letters, by Unicode's own decompositions."""
+    src, dst = [], []
+    for c in range(0xC0, 0x2C00):
+        d = unicodedata.normalize("NFD", chr(c))
+        if len(d) > 1 and d[0].isascii():
+            src.append(chr(c))
+            dst.append(d[0])
+    return "".join(src), "".join(dst)
 
 
-def keyed(df: DataFrame, text_col: str, prefix: str = "look_") -> DataFrame:
-    """df with the class key of text_col; null where the text is null or blank after mapping."""
-    shown = F.length(F.col(f"{prefix}m")) > 0
-    c = F.collate(F.col(f"{prefix}m"), "UNICODE")
+def keyed(df: DataFrame, text_col: str) -> DataFrame:
+    """df with look_m (mapped text), look_b (bucket) and look_h (hash of look_m), null if blank."""
+    shown = F.length("look_m") > 0
+    base = F.regexp_replace(F.translate(F.col("look_m"), *_base_letters()), r"[^\x09-\x0D\x20-\x7E]", "")
     return (
-        df.withColumn(f"{prefix}m", mapped(F.col(text_col)))
-        .withColumn(f"{prefix}hi", F.when(shown, F.xxhash64(F.lit(1), c)))
-        .withColumn(f"{prefix}lo", F.when(shown, F.xxhash64(c)))
+        df.withColumn("look_m", mapped(F.col(text_col)))
+        .withColumn("look_b", F.when(shown, F.xxhash64(base)))
+        .withColumn("look_h", F.when(shown, F.xxhash64("look_m")))
     )
 
 
-def canonical_members(keyed_df: DataFrame, prefix: str = "look_", by: list[str] | None = None) -> DataFrame:
-    """One row per class: the smallest mapped text by code point, and the class's size."""
-    return (
-        keyed_df.where(F.col(f"{prefix}hi").isNotNull())
-        .groupBy(*(by or []), f"{prefix}hi", f"{prefix}lo")
-        .agg(F.min(f"{prefix}m").alias(f"{prefix}text"), F.count(F.lit(1)).alias(f"{prefix}rows"))
-    )
+def canonical_members(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, look_b, look_h, look_text) of every mapped form that is in a bucket with another form.
 
+    rows: kept rows of keyed(). look_text is the canonical member of the form's class.
+    """
+    key = [*by, "look_b"]
+    mixed = rows.where("look_b IS NOT NULL").groupBy(*key).agg(F.min("look_h").alias("h0"), F.max("look_h").alias("h1"))
+    mixed = mixed.where("h0 <> h1").select(*key)
+    forms = rows.join(mixed, key, "left_semi").groupBy(*key, "look_h").agg(F.min("look_m").alias("look_m"))
+    canon = forms.groupBy(*(F.col(x).alias(f"c_{x}") for x in by), F.collate("look_m", "UNICODE").alias("look_c")).agg(
+        F.min("look_m").alias("look_text")
+    )
+    same = F.collate("look_m", "UNICODE") == F.col("look_c")
+    for x in by:
+        same &= F.col(x) == F.col(f"c_{x}")
+    return forms.join(canon, same).select(*key, "look_h", F.col("look_text").cast("string").alias("look_text"))
 
-def canonicalize(df: DataFrame, text_col: str, prefix: str = "look_") -> DataFrame:
-    """Every row of df with the canonical form of its text in `{prefix}text`.
 
-    Adds `{prefix}hi`, `{prefix}lo` (class key, null for null and blank texts) and `{prefix}text`.
-    A class's form is its smallest mapped member, so equal-looking texts come out equal. Classes of
-    one row keep their own mapped text without a join: only classes of several rows are joined.
-    """
-    k = keyed(df, text_col, prefix)
-    several = canonical_members(k, prefix).where(F.col(f"{prefix}rows") > 1).drop(f"{prefix}rows")
+def canonicalize(df: DataFrame, text_col: str) -> DataFrame:
+    """Every row of df with the canonical form of its text in `look_text`."""
+    rows = keep(keyed(df, text_col), "p1-rows")
+    members = keep(canonical_members(rows, []), "p1-members")
     return (
-        k.join(several, [f"{prefix}hi", f"{prefix}lo"], "left")
-        .withColumn(f"{prefix}text", F.coalesce(F.col(f"{prefix}text"), F.col(f"{prefix}m")))
-        .drop(f"{prefix}m")
-        .select(*df.columns, f"{prefix}hi", f"{prefix}lo", f"{prefix}text")
+        rows.join(small_side(members), ["look_b", "look_h"], "left")
+        .withColumn("look_text", F.coalesce("look_text", "look_m"))
+        .select(*df.columns, "look_text")
     )
 
 
 def classes(df: DataFrame, id_col: str, text_col: str, field_name: str) -> DataFrame:
-    """(field_name, id, look_hi, look_lo, form): a row per text, form the hash of the text as stored."""
-    return (
-        keyed(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("look_t")), "look_t")
-        .where(F.col("look_hi").isNotNull())
-        .select(F.lit(field_name).alias("field_name"), "id", "look_hi", "look_lo", F.xxhash64("look_t").alias("form"))
-    )
+    """Rows of keyed() for differing_pairs(); form is the hash of the text as stored."""
+    t = df.select(F.lit(field_name).alias("field_name"), F.col(id_col).alias("id"), F.col(text_col).alias("look_t"))
+    return keyed(t, "look_t").where("look_b IS NOT NULL").withColumn("form", F.xxhash64("look_t")).drop("look_t")
 
 
 def differing_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (field_name, id_a, id_b) of one class whose stored texts differ.
 
-    rows as given by classes(). Each class with at least two forms gets its smallest id as
-    canonical member, which is joined back; classes of one form never reach the pair join.
+    rows: kept rows of classes(). A form joins its class through the canonical member; classes with
+    one stored form are dropped before the pairs are made, so no group of exact copies is expanded.
     """
-    key = ["field_name", "look_hi", "look_lo"]
-    mixed = (
-        rows.groupBy(*key)
-        .agg(F.min("id").alias("canonical"), F.min("form").alias("f0"), F.max("form").alias("f1"))
-        .where("f0 <> f1")
-        .drop("f0", "f1")
-    )
-    member = rows.join(mixed, key).select("field_name", "canonical", "id", "form")
-    a = member.select("field_name", "canonical", F.col("id").alias("id_a"), F.col("form").alias("form_a"))
-    b = member.select("field_name", "canonical", F.col("id").alias("id_b"), F.col("form").alias("form_b"))
-    return (
-        a.join(b, ["field_name", "canonical"])
-        .where("id_a < id_b AND form_a <> form_b")
-        .select("field_name", "id_a", "id_b")
+    by = ["field_name"]
+    members = keep(canonical_members(rows, by), "p1-members")
+    named = members.select(*by, "look_b", "look_h", F.xxhash64("look_text").alias("canonical"))
+    row = (
+        rows.select("field_name", "id", "look_b", "look_h", "form")
+        .join(small_side(named, members.count()), [*by, "look_b", "look_h"], "left")
+        .select("field_name", "id", "look_b", F.coalesce("canonical", "look_h").alias("look_h"), "form")
     )
+    key = [*by, "look_b", "look_h"]
+    mixed = row.groupBy(*key).agg(F.min("form").alias("f0"), F.max("form").alias("f1")).where("f0 <> f1").select(*key)
+    member = keep(row.join(mixed, key), "p1-pairs")
+    a = member.select(*key, F.col("id").alias("id_a"), F.col("form").alias("form_a"))
+    b = member.select(*key, F.col("id").alias("id_b"), F.col("form").alias("form_b"))
+    return a.join(b, key).where("id_a < id_b AND form_a <> form_b").select("field_name", "id_a", "id_b")
