@@ -58,7 +58,7 @@ def mapped(text: Column) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-def _base_letters() -> tuple[str, str]:
+def base_letters() -> tuple[str, str]:
     """Precomposed Latin letters and their base letters, by Unicode's own decompositions."""
     src, dst = [], []
     for c in range(0xC0, 0x2C00):
@@ -72,7 +72,7 @@ def _base_letters() -> tuple[str, str]:
 def keyed(df: DataFrame, text_col: str) -> DataFrame:
     """df with look_m (mapped text), look_b (bucket) and look_h (hash of look_m), null if blank."""
     shown = F.length("look_m") > 0
-    base = F.regexp_replace(F.translate(F.col("look_m"), *_base_letters()), r"[^\x09-\x0D\x20-\x7E]", "")
+    base = F.regexp_replace(F.translate(F.col("look_m"), *base_letters()), r"[^\x09-\x0D\x20-\x7E]", "")
     return (
         df.withColumn("look_m", mapped(F.col(text_col)))
         .withColumn("look_b", F.when(shown, F.xxhash64(base)))

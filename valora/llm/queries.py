@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import lookalike
+from valora.llm import lookalike, splits
 from valora.runtime import keep
 from valora.sources.tables import table
 
@@ -29,6 +29,17 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.linked_spellings(table(spark, d, "export_rows"), "row_id")
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every export row with its group and its split, 80/10/10 by rows."""
+    cols = ["row_id", "question_score", *splits.KEYS]
+    out = splits.assign_splits(table(spark, d, "export_rows").select(*cols), "row_id", "question_score")
+    return out.select("row_id", "document_id", "question_score", F.hex("group_id").alias("group_id"), "split")
+
+
 def _mapped_sql(col: str) -> str:
     src, dst = lookalike._tables()
     quoted = dst.replace("'", "''")
@@ -49,7 +60,7 @@ FROM k a JOIN k b ON a.field_name = b.field_name AND a.m = b.m AND a.id < b.id A
 WHERE a.m <> ''"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits}
 
 
 def sql() -> dict[str, str]:
