@@ -1,0 +1,35 @@
+"""Queries of the core operators and the same in DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from valora.operators import nested
+from valora.sources.tables import table
+
+
+def _p4_nodes(spark: SparkSession, d: str, with_json: bool) -> DataFrame:
+    return nested.nested_nodes(table(spark, d, "evaluation_records"), "record_id", "raw_json", "evaluation_records", "record", with_json).unionByName(
+        nested.nested_nodes(table(spark, d, "export_rows"), "row_id", "chunk_results", "export_rows", "chunks", with_json)
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4_nodes(spark, d, False).select("source_table", "record_id", "node_kind", "section_pos", "dimension_pos", "question_pos", "chunk_pos")
+
+
+def p4_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of questions with its links."""
+    return nested.flat_tables(_p4_nodes(spark, d, True))["questions"]
+
+
+def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of chunks with its links."""
+    return nested.flat_tables(_p4_nodes(spark, d, True))["chunks"]
+
+
+QUERIES = {"p4_found": p4_found, "p4_questions": p4_questions, "p4_chunks": p4_chunks}
+
+
+def sql() -> dict[str, str]:
+    return {}
