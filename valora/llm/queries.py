@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import lookalike, splits
+from valora.llm import lookalike, shared_spans, splits
 from valora.runtime import keep
 from valora.sources.tables import table
 
@@ -40,6 +40,21 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "document_id", "question_score", F.hex("group_id").alias("group_id"), "split")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    out = shared_spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
+    return out.select(F.col("doc").alias("doc_id"), F.col("span_start").cast("long").alias("span_start"), F.col("span_len").cast("long").alias("span_len"))
+
+
+def p9_share(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document is shared elsewhere."""
+    return shared_spans.shared_share(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+def p9_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the sentences that an earlier document's span covers."""
+    return shared_spans.without_repeats(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "kept_text")
+
+
 def _mapped_sql(col: str) -> str:
     src, dst = lookalike._tables()
     quoted = dst.replace("'", "''")
@@ -60,7 +75,7 @@ FROM k a JOIN k b ON a.field_name = b.field_name AND a.m = b.m AND a.id < b.id A
 WHERE a.m <> ''"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
