@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import lookalike, shared_spans, splits
+from valora.llm import leaks, lookalike, shared_spans, splits
 from valora.runtime import keep
 from valora.sources.tables import table
 
@@ -40,6 +40,19 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "document_id", "question_score", F.hex("group_id").alias("group_id"), "split")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where(f"longest_run >= {leaks.RUN}").select(F.col("doc").alias("doc_id"), "item_id")
+
+
+def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Exact and edited copies: an exact run of 12 words, or an alignment of half the item's words."""
+    return _leaks(spark, d).where(f"longest_run >= {leaks.RUN} OR share >= 0.5").withColumnRenamed("doc", "doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     out = shared_spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
     return out.select(F.col("doc").alias("doc_id"), F.col("span_start").cast("long").alias("span_start"), F.col("span_len").cast("long").alias("span_len"))
@@ -75,7 +88,7 @@ FROM k a JOIN k b ON a.field_name = b.field_name AND a.m = b.m AND a.id < b.id A
 WHERE a.m <> ''"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
