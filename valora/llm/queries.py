@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import leaks, lookalike, shared_spans, splits
+from valora.llm import leaks, lookalike, packing, shared_spans, splits
 from valora.runtime import keep
 from valora.sources.tables import table
 
@@ -40,6 +40,12 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "document_id", "question_score", F.hex("group_id").alias("group_id"), "split")
 
 
+def p7_containers(spark: SparkSession, d: str, tokenizer: str = packing.TOKENIZER) -> DataFrame:
+    """Every document text, or range of its tokens, with its container of 2,048 tokens."""
+    counts = packing.token_counts(table(spark, d, "documents"), "doc_id", "text", tokenizer)
+    return packing.pack(counts).withColumnRenamed("doc", "doc_id")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
@@ -88,7 +94,7 @@ FROM k a JOIN k b ON a.field_name = b.field_name AND a.m = b.m AND a.id < b.id A
 WHERE a.m <> ''"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p7_containers": p7_containers, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
