@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import leaks, lookalike, packing, shared_spans, splits
+from valora.llm import leaks, lookalike, packing, pieces, shared_spans, splits
 from valora.runtime import keep
 from valora.sources.tables import table
 
@@ -40,6 +40,18 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "document_id", "question_score", F.hex("group_id").alias("group_id"), "split")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    long = table(spark, d, "chunk_contexts").select("context_id", "chunk_text").where(f"length(chunk_text) > {pieces.LIMIT}")
+    forced = F.exists("pieces", lambda p: p["forced"])
+    return pieces.with_pieces(long, "chunk_text").select("context_id", F.when(forced, "forced").otherwise("natural").alias("cut_kind"))
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk_text in pieces of at most 1,500 characters, with its metadata up to date."""
+    cols = ["context_id", "document_id", "chunk_text", "chunk_metadata"]
+    return pieces.split_texts(table(spark, d, "chunk_contexts").select(*cols), "chunk_text", "chunk_metadata")
+
+
 def p7_containers(spark: SparkSession, d: str, tokenizer: str = packing.TOKENIZER) -> DataFrame:
     """Every document text, or range of its tokens, with its container of 2,048 tokens."""
     counts = packing.token_counts(table(spark, d, "documents"), "doc_id", "text", tokenizer)
@@ -74,6 +86,10 @@ def p9_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.without_repeats(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "kept_text")
 
 
+#: White space as the operator knows it, as a class of the SQL engine's expressions.
+_GAPS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def _mapped_sql(col: str) -> str:
     src, dst = lookalike._tables()
     quoted = dst.replace("'", "''")
@@ -94,8 +110,14 @@ FROM k a JOIN k b ON a.field_name = b.field_name AND a.m = b.m AND a.id < b.id A
 WHERE a.m <> ''"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p7_containers": p7_containers, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
-    return {"p1_found": _p1_found_sql()}
+    return {
+        "p1_found": _p1_found_sql(),
+        "p6_found": f"""
+SELECT context_id, CASE WHEN list_max(list_transform(regexp_split_to_array(chunk_text, '{_GAPS}'), lambda x: length(x))) > 1500
+  THEN 'forced' ELSE 'natural' END AS cut_kind
+FROM chunk_contexts WHERE length(chunk_text) > 1500""",
+    }
