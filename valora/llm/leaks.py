@@ -4,16 +4,17 @@ Method: rare n-gram seeds join training passages to test items, Smith-Waterman a
 what they join.
 
 1. The items' words become numbers; every n-gram of an item is a candidate seed. One pass over the
-   whole corpus counts in how many documents each occurs (partial sums per batch).
+   whole corpus keeps, of each document, the candidate seeds it has; from that table it is counted
+   in how many documents each occurs.
 2. Of each stretch of `run` words of an item, the n-gram that the fewest documents have becomes a
    seed. Any document with `run` consecutive words of an item so holds one of its seeds.
-3. A second pass finds seeds in every document and aligns the stretch around them with the item,
-   locally, word by word. Copies that were edited or paraphrased in part keep a high score; the
-   longest exact run is counted in the same alignment table.
+3. The documents that hold a seed, by the same table, are read again, and the stretch around the
+   seeds is aligned with the item, locally, word by word. Copies that were edited or paraphrased in
+   part keep a high score; the longest exact run is counted in the same alignment table.
 
 The items are the query set: they are broadcast in blocks of bounded size (ITEM_BLOCK_WORDS words),
-each set against all documents, so no side grows with the corpus and nothing is shuffled but
-per-seed counts.
+each set against all documents, so what is broadcast doesn't grow with the corpus, and no text is
+shuffled but those of documents with a seed, where their ids are too many to broadcast.
 
 Defined results: null and empty texts leak nothing; items of fewer words than a seed are matched by
 their whole text; an item that occurs several times in a document gives one row, its best
@@ -28,6 +29,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from valora.runtime import keep, small_side
+
 #: Words of a seed, and of the exact run that counts as a leak.
 SEED = 6
 RUN = 12
@@ -44,17 +48,23 @@ ITEM_BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -2, -1
 
 _WORD = re.compile(r"[^\W_]+")
-_MARKS = {c: None for c in range(0x300, 0x370)}
+_MARKS = re.compile("[\u0300-\u036f]+")
+_RARE = re.compile("[^\0-\u036f\u2010-\u2027\u20ac]")
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of letters or digits, without case, accents and marks."""
+def folded(text: str) -> str:
+    """The text in lower case without combining marks."""
     t = text.lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFD", t).translate(_MARKS)
-        if any(unicodedata.combining(c) for c in set(t)):
+        t = _MARKS.sub("", unicodedata.normalize("NFD", t))
+        if _RARE.search(t):  # scripts with marks of their own
             t = "".join(c for c in t if not unicodedata.combining(c))
-    return _WORD.findall(t)
+    return t
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters or digits, without case, accents and marks."""
+    return _WORD.findall(folded(text))
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -105,8 +115,13 @@ class Items:
         self.seed_keys = np.sort(np.fromiter(self.seeds, np.uint64, len(self.seeds)))
 
     def number(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The word numbers of all texts end to end, one 0 after each, and where each text begins."""
+        words = [words_of(t) for t in texts]
+        start = np.cumsum([0, *(len(w) + 1 for w in words)])
+        return self.number([x for w in words for x in (*w, "")]), start
 
 
 def _member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -230,22 +245,28 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id
     for block in _blocks(items, item_id, item_text, seed, run):
         held = spark.sparkContext.broadcast(cloudpickle.dumps(block))
 
-        def count(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def note(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             it = pickle.loads(held.value)
-            total = np.zeros(len(it.grams), np.int64)
             for pdf in batches:
-                for t in pdf["text"]:
-                    _, val = _hits(it.number(words_of(t)), it, it.grams)
-                    if len(val):
-                        total[np.searchsorted(it.grams, np.unique(val))] += 1
-            some = np.flatnonzero(total)
-            yield pd.DataFrame({"gram": it.grams[some].view(np.int64), "n": total[some]})
+                codes, start = it.numbered(pdf["text"].tolist())
+                pos, val = _hits(codes, it, it.grams)
+                if len(pos):
+                    has = pd.DataFrame({"doc": pdf["doc"].to_numpy()[np.searchsorted(start, pos, "right") - 1], "gram": val.view(np.int64)}).drop_duplicates()
+                    yield has.groupby("doc")["gram"].agg(list).reset_index(name="grams")
 
+        noted = keep(src.mapInPandas(note, "doc long, grams array<long>"), "p8-noted")
         # at most one row per n-gram of the block comes to the driver
-        counted = src.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        counted = noted.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()
         block.choose({r["gram"]: r["n"] for r in counted})
         ready = spark.sparkContext.broadcast(cloudpickle.dumps(block))
 
+        def seeded(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
+            keys = pickle.loads(ready.value).seed_keys
+            for pdf in batches:
+                flat = np.concatenate([*pdf["grams"], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
+                row = np.repeat(np.arange(len(pdf)), pdf["grams"].str.len())
+                yield pdf[["doc"]].iloc[np.unique(row[_member(flat, keys)])]
+
         def find(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
             it = pickle.loads(ready.value)
             for pdf in batches:
@@ -253,6 +274,7 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc", "item_id", "score", "share", "matched_words", "longest_run", "from_word", "to_word"])
 
-        part = src.mapInPandas(find, LEAK_SCHEMA)
+        holders = keep(noted.mapInPandas(seeded, "doc long").distinct(), "p8-seeded")
+        part = src.join(small_side(holders), "doc", "left_semi").mapInPandas(find, LEAK_SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], LEAK_SCHEMA)
