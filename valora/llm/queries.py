@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import leaks, lookalike, packing, pieces, shared_spans, splits
+from valora.llm import answers, leaks, lookalike, packing, pieces, shared_spans, splits
 from valora.runtime import keep
 from valora.sources.tables import table
 
@@ -40,6 +40,11 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "document_id", "question_score", F.hex("group_id").alias("group_id"), "split")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "ai_responses").select("response_id", "question_text", "justification")
+    return answers.with_defects(pairs, "question_text", "justification").select("response_id", F.explode("defects").alias("defect"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     long = table(spark, d, "chunk_contexts").select("context_id", "chunk_text").where(f"length(chunk_text) > {pieces.LIMIT}")
     forced = F.exists("pieces", lambda p: p["forced"])
@@ -110,7 +115,7 @@ FROM k a JOIN k b ON a.field_name = b.field_name AND a.m = b.m AND a.id < b.id A
 WHERE a.m <> ''"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
