@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import answers, leaks, lookalike, packing, pieces, shared_spans, splits
+from valora.llm import answers, leaks, lookalike, packing, pieces, scans, shared_spans, splits
 from valora.runtime import keep
 from valora.sources.tables import table
 
@@ -40,6 +40,20 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "document_id", "question_score", F.hex("group_id").alias("group_id"), "split")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    a = scans.pages_of(table(spark, d, "ocr_pages"), "ocr_pages", "ocr_page_id", "document_id", "page_index", "ocr_text")
+    return a.unionByName(scans.pages_of_list(table(spark, d, "document_summaries"), "document_summaries", "summary_id", "document_id", "pages"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Scans(_pages(spark, d)).defects()
+
+
+def p3_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Every scanned report as continuous repaired paragraphs, in reading order."""
+    return scans.Scans(_pages(spark, d)).reports()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "ai_responses").select("response_id", "question_text", "justification")
     return answers.with_defects(pairs, "question_text", "justification").select("response_id", F.explode("defects").alias("defect"))
@@ -115,7 +129,7 @@ FROM k a JOIN k b ON a.field_name = b.field_name AND a.m = b.m AND a.id < b.id A
 WHERE a.m <> ''"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
