@@ -121,7 +121,7 @@ def edge_form(c: Column) -> Column:
 
 def prompt_safe(c: Column) -> Column:
     """Non-breaking spaces and curly quotes made plain, zero-width marks dropped, stripped."""
-    return strip(F.translate(F.translate(c, " “”‘’«»", " \"\"''\"\""), ZERO_WIDTH, ""))
+    return strip(F.translate(F.translate(c, "\u00a0“”‘’«»", " \"\"''\"\""), ZERO_WIDTH, ""))
 
 
 def first_filled(*cols: Column) -> Column:

@@ -32,11 +32,11 @@ def line_offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     step = F.transform(ls, lambda x: F.length(x) + 1)
     starts = F.aggregate(step, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     rows = F.arrays_zip(starts.alias("start"), F.concat(ls, F.array(F.lit(None).cast("string"))).alias("line"))
-    return df.select(id_col, F.posexplode(rows).alias("pos", "x")).select(id_col, (F.col("pos") + 1).alias("line_no"), F.col("x")["0"].alias("start"), F.col("x")["1"].alias("line")).where("line IS NOT NULL")
+    return df.select(id_col, F.posexplode(rows).alias("pos", "x")).select(id_col, (F.col("pos") + 1).alias("line_no"), F.col("x.start").alias("start"), F.col("x.line").alias("line")).where("line IS NOT NULL")
 
 
 def heading_hits(lines: DataFrame, id_col: str, schema: dict[str, list[str]]) -> DataFrame:
-    """(id, line_no, start, section_id, rest): lines that open a section, by the schema's first match.
+    """(id, line_no, start, section_id, begin, rest): lines that open a section, by the schema's first match.
 
     The schema is small and fixed, so it becomes one expression rather than a join.
     """
@@ -49,9 +49,9 @@ def heading_hits(lines: DataFrame, id_col: str, schema: dict[str, list[str]]) ->
     return (
         lines.where(F.length("line") > 0)
         .withColumn("section_id", section)
-        .withColumn("rest", F.trim(rest, F.lit(RESIDUE)))
+        .withColumn("tail", F.ltrim(rest, F.lit(RESIDUE)))
         .where("section_id IS NOT NULL")
-        .select(id_col, "line_no", "start", "section_id", F.length("line").alias("line_length"), "rest")
+        .select(id_col, "line_no", "start", "section_id", (F.col("start") + F.length("line") - F.length("tail")).alias("begin"), F.trim("tail", F.lit(RESIDUE)).alias("rest"))
     )
 
 
@@ -73,7 +73,7 @@ def section_spans(df: DataFrame, id_col: str, text_col: str, schema: dict[str, l
     by = Window.partitionBy(id_col).orderBy("start")
     spans = heads.withColumn("next", F.lead("start").over(by))
     body = df.select(id_col, F.col(text_col).alias("_t"))
-    begin = F.col("start") + F.col("line_length") - F.length("rest")
+    begin = F.col("begin")
     found = spans.join(body, id_col).select(id_col, "section_id", T.strip(F.substring(F.col("_t"), begin + 1, F.greatest(F.coalesce("next", F.length("_t")) - begin, F.lit(0)))).alias("text"))
     spark = df.sparkSession
     every = spark.createDataFrame([(s, i) for i, s in enumerate(schema, 1)], "section_id string, ord int")
