@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from valora.runtime import spread
+
 # Member names that hold the lists of each level (names vary between exports).
 WRAPPERS = ("evaluation", "evaluacion", "evaluación")
 SECTIONS = ("sections", "secciones", "bloques")
@@ -298,7 +300,7 @@ def nested_nodes(df: DataFrame, id_col: str, json_col: str, source_table: str, t
                         }
                     )
 
-    return df.select(F.col(id_col).cast("long"), F.col(json_col)).mapInPandas(run, NODE_SCHEMA)
+    return spread(df.select(F.col(id_col).cast("long"), F.col(json_col))).mapInPandas(run, NODE_SCHEMA)
 
 
 def _number(path: str):

@@ -93,6 +93,11 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df
 
 
-def pieces(spark: SparkSession, per_core: int = 3) -> int:
-    """Partitions for evenly spread Python work."""
-    return max(1, spark.sparkContext.defaultParallelism * per_core)
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files would keep less than half of them busy, else as it is.
+
+    Only inputs of few files are moved, whose size a few scan partitions bound; large inputs have
+    more partitions than cores and are read where they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
