@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from valora.runtime import spread
+
 DEFECTS = ("empty", "copies_question", "truncated", "refusal", "other_language")
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ​-‏‪-‮⁠-⁩﻿\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
@@ -360,4 +362,4 @@ def with_defects(df: DataFrame, question_col: str, answer_col: str) -> DataFrame
     def run(q: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([defects(x, y) for x, y in zip(q, a, strict=True)], dtype=object)
 
-    return df.withColumn("defects", F.pandas_udf(run, "array<string>")(F.col(question_col), F.col(answer_col)))
+    return spread(df).withColumn("defects", F.pandas_udf(run, "array<string>")(F.col(question_col), F.col(answer_col)))

@@ -37,7 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valora.runtime import keep, small_side
+from valora.runtime import keep, small_side, spread
 
 #: Words of a seed, and of the exact run that counts as a leak.
 SEED = 6
@@ -254,7 +254,7 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id
                     has = pd.DataFrame({"doc": pdf["doc"].to_numpy()[np.searchsorted(start, pos, "right") - 1], "gram": val.view(np.int64)}).drop_duplicates()
                     yield has.groupby("doc")["gram"].agg(list).reset_index(name="grams")
 
-        noted = keep(src.mapInPandas(note, "doc long, grams array<long>"), "p8-noted")
+        noted = keep(spread(src).mapInPandas(note, "doc long, grams array<long>"), "p8-noted")
         # at most one row per n-gram of the block comes to the driver
         counted = noted.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()
         block.choose({r["gram"]: r["n"] for r in counted})

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valora.runtime import keep
+from valora.runtime import keep, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2048
@@ -65,7 +65,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOK
             yield pd.DataFrame({"doc": pdf["doc"][keep_], "tokens": np.fromiter((len(encode(t)) for t, k in zip(text, keep_, strict=True) if k), np.int64)})
 
     src = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    return src.mapInPandas(count, "doc long, tokens long").where("tokens > 0")
+    return spread(src).mapInPandas(count, "doc long, tokens long").where("tokens > 0")
 
 
 def best_fit(tokens: np.ndarray, capacity: int = CAPACITY, documents: int = MAX_DOCUMENTS, cost: float | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.02, 0.02)) -> np.ndarray:

@@ -9,7 +9,7 @@ cut forced. Then the next piece starts up to `overlap` characters before the cut
 Nothing is shuffled: a text is cut where it is read, and pieces are offsets until they are needed.
 
 Defined results: a null text has null pieces; a text within the limit is one piece as it stands;
-a blank text over the limit is one empty piece; white space between pieces belongs to neither;
+a blank text over the limit is one empty piece; white space before, between and after pieces belongs to none;
 repeated rows are cut alike; an empty table gives an empty table; further columns pass through, and
 the added column is named `pieces`. Texts are processed whole, of any length.
 """
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valora.runtime import spread
+
 LIMIT = 1500
 OVERLAP = 150
 #: Characters on either side of a boundary that are compared, and the hashed words' dimensions.
@@ -100,7 +102,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
         return [(0, 0, 0, False)]
     sim = None
     out = []
-    s, done = (0 if first < limit // 2 else first), 0  # start of the piece, and up to where text is covered
+    s, done = first, 0  # start of the piece, and up to where text is covered
     while True:
         over = max(0, done - s) if out else 0
         if last_end - s <= limit:
@@ -157,7 +159,7 @@ def with_pieces(df: DataFrame, text_col: str, limit: int = LIMIT, overlap: int =
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut(t, limit, overlap) for t in texts], dtype=object)
 
-    return df.withColumn("pieces", F.pandas_udf(run, PIECES)(F.col(text_col)))
+    return spread(df).withColumn("pieces", F.pandas_udf(run, PIECES)(F.col(text_col)))
 
 
 def _meta(meta: Column, p: Column, i: Column, count: Column) -> Column:

@@ -38,7 +38,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from valora.runtime import keep, small_side
+from valora.runtime import keep, small_side, spread
 
 EDGE = 3
 #: A candidate must be this many times as frequent as the word it replaces, and this frequent at all.
@@ -182,7 +182,7 @@ def edges(pages: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["source_table", "doc", "record_id", "page_no", "zone", "depth", "line_no", "form", "head", "num", "marked"])
             yield out.astype({"form": "Int64", "num": "Int32"})
 
-    return pages.mapInPandas(scan, EDGES)
+    return spread(pages).mapInPandas(scan, EDGES)
 
 
 def edge_kinds(edge: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from valora.runtime import keep, small_side
+from valora.runtime import keep, small_side, spread
 
 WINDOW = 300
 RUN = 150
@@ -163,7 +163,7 @@ def anchors(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, run
                 yield out[["doc", "h", "r", "a", "lo", "hi"]].astype({"a": np.int32, "lo": np.int32, "hi": np.int32})
 
     src = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(f"doc IS NOT NULL AND length(text) >= {window}")
-    return src.mapInPandas(scan, ANCHOR_SCHEMA)
+    return spread(src).mapInPandas(scan, ANCHOR_SCHEMA)
 
 
 def window_hashes(docs: DataFrame, window: int) -> DataFrame:
