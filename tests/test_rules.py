@@ -189,3 +189,28 @@ def test_plans_stay_native(spark, data):
     for name in ("rollup_documents", "prompt_quality", "doc_score_flagship", "criterion_breakdown"):
         plan = scores.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_ocr_errors_stay_with_their_page(spark):
+    from valora.sources import ocr
+
+    df = spark.createDataFrame([("d", 0, bytearray(b"ok")), ("d", 1, bytearray(b"bad")), ("d", 2, None)], "document_id string, page_index int, image binary")
+
+    def make():
+        def read(b):
+            if b == b"bad":
+                raise ValueError("ilegible")
+            return b.decode()
+
+        return read
+
+    out = {r["page_index"]: (r["ocr_text"], r["error_text"]) for r in ocr.read_pages(df, make).collect()}
+    assert out[0] == ("ok", None) and out[1] == (None, "ilegible") and out[2][0] is None and out[2][1]
+
+
+def test_stride_windows(spark):
+    rows = [("",), (None,), ("abc",), ("abcdefghij",), ("ñandú😀xyzñ",), ("a\nb\nc\nd\ne",)]
+    df = spark.createDataFrame(rows, "t string")
+    for size, overlap in ((4, 0), (4, 1), (4, 3), (100, 10)):
+        for (t,), got in zip(rows, [r[0] for r in df.coalesce(1).select(chunks.stride_windows(F.col("t"), size, overlap)).collect()], strict=True):
+            assert got == (None if t is None else [t[i : i + size] for i in range(0, len(t), size - overlap)])

@@ -18,7 +18,7 @@ WHITE = " \t\n\r\x0b\x0c"
 ZERO_WIDTH = "​‌‍⁠﻿"
 
 
-def _accent_table() -> tuple[str, str]:
+def accent_table() -> tuple[str, str]:
     """Precomposed Latin letters and their base letters, by Unicode's own decompositions."""
     src, dst = [], []
     for c in range(0xC0, 0x2C00):
@@ -36,7 +36,7 @@ def strip(c: Column) -> Column:
 
 def strip_accents(c: Column) -> Column:
     """Letters without accents: precomposed Latin letters mapped, combining marks dropped."""
-    return F.regexp_replace(F.translate(c, *_accent_table()), r"[̀-ͯ]", "")
+    return F.regexp_replace(F.translate(c, *accent_table()), r"[̀-ͯ]", "")
 
 
 def identifier(c: Column) -> Column:

@@ -17,11 +17,20 @@ def check_size(size: int, overlap: int) -> None:
 
 
 def stride_windows(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Windows of `size` characters, each starting size - overlap after the one before; none for an empty text."""
+    """Windows of `size` characters, each starting size - overlap after the one before; none for an empty text.
+
+    The text is cut once into blocks of a stride, and a window is its block and the next one's
+    start, so the work is linear in the text (substring() counts code points from the start).
+    """
     check_size(size, overlap)
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.floor((F.length(c) - 1) / step).cast("int"))
-    return F.when(F.length(c) > 0, F.transform(starts, lambda i: F.substring(c, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    if overlap > step:
+        starts = F.sequence(F.lit(0), F.floor((F.length(c) - 1) / step).cast("int"))
+        return F.when(F.length(c) > 0, F.transform(starts, lambda i: F.substring(c, i * step + 1, F.lit(size)))).when(c.isNotNull(), F.array().cast("array<string>"))
+    blocks = F.regexp_extract_all(c, F.lit("(?s).{1,%d}" % step), 0)
+    ahead = F.concat(F.slice(blocks, 2, 1 << 30), F.array(F.lit("")))
+    windows = F.zip_with(blocks, ahead, lambda b, n: F.concat(b, F.left(F.coalesce(n, F.lit("")), F.lit(overlap))))
+    return F.filter(windows, lambda w: w.isNotNull()) if overlap else blocks
 
 
 def stride_chunks(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -30,8 +30,7 @@ EDGE, CUSTOM_EDGE, MIN_REPEATS, REPEAT_SHARE, SIMILARITY, UNTAGGED_PAGE = 3, 5,
 
 def fixed_pages(c: Column, size: int) -> Column:
     """A text in pages of `size` characters; no page for an empty text."""
-    starts = F.sequence(F.lit(0), F.floor((F.length(c) - 1) / size).cast("int"))
-    return F.when(F.length(c) > 0, F.transform(starts, lambda i: F.substring(c, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(c, F.lit("(?s).{1,%d}" % size), 0)
 
 
 def split_pages(df: DataFrame, id_col: str, text_col: str, untagged: int = UNTAGGED_PAGE) -> DataFrame:

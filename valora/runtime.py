@@ -58,22 +58,28 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, executors may go."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/valora/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/valora/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._valora_path = at
     return out
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by keep() that no later result reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for t in tables:
-        at = getattr(t, "_valora_path", None)
-        if at:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(conf).delete(path, True)
+        if getattr(t, "_valora_path", None):
+            _delete(spark, t._valora_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application kept; results made from them can't be read any more."""
+    _delete(spark, f"{shared_dir(spark)}/valora/{spark.sparkContext.applicationId}")
 
 
 def row_width(df: DataFrame) -> int:
