@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WHITE = " \t\n\r\x0b\x0c"
-ZERO_WIDTH = "​‌‍⁠﻿"
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
 
 
 def accent_table() -> tuple[str, str]:
@@ -36,7 +36,7 @@ def strip(c: Column) -> Column:
 
 def strip_accents(c: Column) -> Column:
     """Letters without accents: precomposed Latin letters mapped, combining marks dropped."""
-    return F.regexp_replace(F.translate(c, *accent_table()), r"[̀-ͯ]", "")
+    return F.regexp_replace(F.translate(c, *accent_table()), r"[\u0300-\u036f]", "")
 
 
 def identifier(c: Column) -> Column:

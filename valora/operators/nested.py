@@ -42,7 +42,7 @@ KINDS = ("", "section", "dimension", "question", "chunk")
 UNDER = {1: (0,), 2: (1,), 3: (1, 2), 4: (3,)}
 
 # Marks without a look that may stand before the JSON.
-LEAD = " \t\r\n﻿​‌‍⁠­‎‏ "
+LEAD = " \t\r\n\ufeff\u200b\u200c\u200d\u2060\u00ad\u200e\u200f "
 
 NODE_SCHEMA = (
     "source_table string, record_id long, node_kind string, section_pos int, dimension_pos int, question_pos int,"
