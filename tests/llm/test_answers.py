@@ -4,7 +4,7 @@ from valora.llm import answers, queries
 
 Q = "¿El informe explica si la meta anual supera el plazo previsto?"
 CASES = [
-    (None, ["empty"]), ("", ["empty"]), (" ​﻿", ["empty"]), ("-- … _", ["empty"]), ("N/A", ["empty"]), ('{"justification": ""}', ["empty"]), ("<p></p>", ["empty"]), ("Justificación:", ["empty"]),
+    (None, ["empty"]), ("", ["empty"]), (" \u200b\ufeff", ["empty"]), ("-- … _", ["empty"]), ("N/A", ["empty"]), ('{"justification": ""}', ["empty"]), ("<p></p>", ["empty"]), ("Justificación:", ["empty"]),
     ("Cumple parcialmente", []), ("Nivel 2", []), ("La meta anual supera el plazo en la zona. Puntaje: 1,5", []), ("- Cierre del plan: sí\n- Avance: 25,5 %", []),
     ("La meta anual supera el plazo en la", ["truncated"]), ("La meta anual supera el plazo [...]", ["truncated"]), ("La meta supera el plazo (continúa", ["truncated"]), ("Como indica el texto: \"La meta anual", ["truncated"]), ("La zona avanza. El art.", ["truncated"]), ("La meta avanza... El plazo se cumple.", []),
     ("Lo siento, pero no puedo valorar la meta anual.", ["refusal"]), ("Como modelo de lenguaje, prefiero no emitir una valoración. Gracias por su comprensión.", ["refusal"]), ("No es posible verificar el avance de la meta: falta la línea de base y por eso se asigna el nivel mínimo.", []),

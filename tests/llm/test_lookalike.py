@@ -17,9 +17,9 @@ def pairs(spark, rows):
 
 def test_same_look_and_visible_changes(spark):
     rows = [
-        (1, "véase la región", ""), (2, unicodedata.normalize("NFD", "véase la región"), ""), (3, "véase la región", ""), (4, "vé​ase la regió­n", ""), (5, "ｖéase la región", ""), (6, "véаse lа región", ""),
+        (1, "véase la región", ""), (2, unicodedata.normalize("NFD", "véase la región"), ""), (3, "véase\u00a0la\u2007región", ""), (4, "vé\u200base la regió\u00adn", ""), (5, "ｖéase la región", ""), (6, "véаse lа región", ""),
         (7, "vease la región", ""), (8, "Véase la región", ""), (9, "véase la región.", ""), (10, "véase laregión", ""),
-        (11, "área m²", ""), (12, "área m2", ""), (13, "ﬁn", ""), (14, "fin", ""), (15, None, ""), (16, " ​", ""), (17, "", ""), (18, "véase la región", ""),
+        (11, "área m²", ""), (12, "área m2", ""), (13, "ﬁn", ""), (14, "fin", ""), (15, None, ""), (16, " \u200b", ""), (17, "", ""), (18, "véase la región", ""),
     ]
     same = [1, 2, 3, 4, 5, 6, 18]
     want = {(a, b) for a in same for b in same if a < b} - {(1, 18)} | {(13, 14)}
@@ -33,9 +33,9 @@ def test_random_variants_against_normalisation(spark):
     for i in range(300):
         t = " ".join(rng.choice(words) for _ in range(2))
         for _ in range(rng.randint(0, 2)):
-            t = rng.choice([lambda x: unicodedata.normalize("NFD", x), lambda x: x.replace(" ", " "), lambda x: x.replace("a", "а", 1), lambda x: x[:2] + "‍" + x[2:], lambda x: x.upper()])(t)
+            t = rng.choice([lambda x: unicodedata.normalize("NFD", x), lambda x: x.replace(" ", "\u00a0"), lambda x: x.replace("a", "а", 1), lambda x: x[:2] + "\u200d" + x[2:], lambda x: x.upper()])(t)
         rows.append((i, t, "x"))
-    table = str.maketrans({" ": " ", "а": "a", "А": "A", "‍": None})
+    table = str.maketrans({"\u00a0": " ", "а": "a", "А": "A", "\u200d": None})
     key = {i: unicodedata.normalize("NFC", t.translate(table)) for i, t, _ in rows}
     text = {i: t for i, t, _ in rows}
     want = {(a, b) for a in key for b in key if a < b and key[a] == key[b] and text[a] != text[b]}

@@ -27,9 +27,9 @@ from valora.runtime import spread
 
 DEFECTS = ("empty", "copies_question", "truncated", "refusal", "other_language")
 
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ​-‏‪-‮⁠-⁩﻿\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _WORD = re.compile(r"[^\W_]+")
-_MARKS = re.compile("[̀-ͯ]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def plain(text: str) -> str:
@@ -311,7 +311,7 @@ FUNCTION_WORDS = {
 _SETS = {k: set(v) for k, v in FUNCTION_WORDS.items()}
 _COUNT = {w: sum(w in s for s in _SETS.values()) for s in _SETS.values() for w in s}
 _HINTS = {"pt": re.compile(r"[ãõ]|ç(?:ão|ões)"), "es": re.compile(r"[ñ¿¡]|ción\b"), "fr": re.compile(r"[èêœùî]|\bl'|\bd'|\bqu'"), "it": re.compile(r"zione\b|\bdell'|\bl'")}
-_SCRIPTS = {"cyrillic": re.compile("[Ѐ-ӿ]"), "greek": re.compile("[Ͱ-Ͽ]"), "arabic": re.compile("[؀-ۿ]"), "han": re.compile("[一-鿿぀-ヿ가-힯]")}
+_SCRIPTS = {"cyrillic": re.compile("[Ѐ-ӿ]"), "greek": re.compile("[Ͱ-Ͽ]"), "arabic": re.compile("[\u0600-ۿ]"), "han": re.compile("[一-鿿぀-ヿ가-힯]")}
 
 
 def language(text: str, least: float = 2.0) -> str | None:

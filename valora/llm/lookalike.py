@@ -17,11 +17,10 @@ empty table; further columns pass through, and added columns carry the prefix `l
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valora.functions.text import accent_table
 from valora.runtime import keep, small_side
 
 # Letters of other scripts whose shape is that of a Latin letter.
@@ -30,12 +29,12 @@ CYRILLIC_AS = "ABE3KMHOPCTYXSIJaeopcyxsijdqwh"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳό"
 GREEK_AS = "ABEZHIKMNOPTYXocjó"
 # Spaces that look like a space, hyphens that look like a hyphen.
-SPACES = "               　"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HYPHENS = "‐‑"
 # Marks that show nothing.
 INVISIBLE = (
-    "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏"
-    "‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f"
+    "\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 )
 # Ligatures and their letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -58,21 +57,10 @@ def mapped(text: Column) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-def base_letters() -> tuple[str, str]:
-    """Precomposed Latin letters and their base letters, by Unicode's own decompositions."""
-    src, dst = [], []
-    for c in range(0xC0, 0x2C00):
-        d = unicodedata.normalize("NFD", chr(c))
-        if len(d) > 1 and d[0].isascii():
-            src.append(chr(c))
-            dst.append(d[0])
-    return "".join(src), "".join(dst)
-
-
 def keyed(df: DataFrame, text_col: str) -> DataFrame:
     """df with look_m (mapped text), look_b (bucket) and look_h (hash of look_m), null if blank."""
     shown = F.length("look_m") > 0
-    base = F.regexp_replace(F.translate(F.col("look_m"), *base_letters()), r"[^\x09-\x0D\x20-\x7E]", "")
+    base = F.regexp_replace(F.translate(F.col("look_m"), *accent_table()), r"[^\x09-\x0D\x20-\x7E]", "")
     return (
         df.withColumn("look_m", mapped(F.col(text_col)))
         .withColumn("look_b", F.when(shown, F.xxhash64(base)))

@@ -56,10 +56,10 @@ CONFUSIONS = [
     ("rn", "m"), ("m", "rn"), ("ri", "n"), ("n", "ri"), ("cl", "d"), ("d", "cl"), ("li", "h"), ("ii", "n"), ("ii", "u"), ("nn", "m"), ("in", "m"), ("ï", "í"),
 ]
 
-_MARKS = re.compile("[̀-ͯ]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _SYMBOL = "@|†‡\\\\´`¦"
-_HYPHENS = "-‐¬­"
-_STRIP = ".,;:()¿?¡!\"«»“”‘’'…[]{}%·•*—–-‐¬­"
+_HYPHENS = "-‐¬\u00ad"
+_STRIP = ".,;:()¿?¡!\"«»“”‘’'…[]{}%·•*—–-‐¬\u00ad"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐][^\W\d_]+)+")
 _ODD = re.compile(rf"[{_SYMBOL}]|[^\W\d_]\d|\d[^\W\d_]")

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from valora.llm.lookalike import base_letters, mapped
+from valora.functions.text import accent_table
+from valora.llm.lookalike import mapped
 from valora.runtime import forget, keep, small_side
 
 #: Columns that tie rows together, and the letter that marks their nodes.
@@ -46,7 +47,7 @@ FILLERS = (
 def link_form(value: Column) -> Column:
     """The form in which values are compared: no case, accents, outer or repeated spaces, one slash."""
     low = F.translate(F.lower(mapped(value)), "\\", "/")
-    bare = F.regexp_replace(F.translate(low, *base_letters()), r"[̀-ͯ]", "")
+    bare = F.regexp_replace(F.translate(low, *accent_table()), r"[\u0300-\u036f]", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
