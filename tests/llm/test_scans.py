@@ -35,6 +35,14 @@ def test_broadcast_and_join_agree(spark):
     assert a == b and len(a) >= 6
 
 
+def test_repair_is_the_same_broadcast_and_joined(spark):
+    pages = [(i, "d", i, "la cvaluación de los resu1tados y\nla coordinación del pre5upvesto con l3 regioncs") for i in range(3)]
+    s = scans.Scans(corpus(spark, pages))
+    a = sorted(tuple(r) for r in s.paragraphs().collect())
+    assert a == sorted(tuple(r) for r in s.paragraphs(bound=0).collect())
+    assert [r[5] for r in a if r[2] < 1000] == ["la evaluación de los resultados y la coordinación del presupuesto con 13 regiones"] * 3
+
+
 def test_paragraphs_run_over_pages(spark):
     pages = [(1, "d", 0, "Cabeza del informe\nel informe presenta la evalua-\n[1]"), (2, "d", 1, "Cabeza del informe\nción de los rcsultados.\n\nLas regiones y la\ncoordinación\n[2]"), (3, "d", 2, "Cabeza del informe\ndel presupuesto anual.\n[3]")]
     s = scans.Scans(corpus(spark, pages))

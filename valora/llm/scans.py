@@ -35,7 +35,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from valora.runtime import keep, small_side, spread
@@ -274,21 +274,24 @@ FACTS = "kind string, source_table string, doc string, record_id long, page_no i
 
 def facts(flagged: DataFrame) -> DataFrame:
     """FACTS of pages with flags. kind w: a word and its count in a batch; c: a compound and its
-    count; h: a line that ends in a broken word; p: a page's first body token and line; m: a line
-    with impossible characters."""
+    count; o: a token with impossible characters and its count; h: a line that ends in a broken word;
+    p: a page's first body token and line; m: a line with impossible characters."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in FACTS.split(", ")]
         for pdf in batches:
-            words, compounds, rows = Counter(), Counter(), []
+            words, compounds, odd, rows = Counter(), Counter(), Counter(), []
             for s, r, d, p, t, fl in zip(pdf["source_table"], pdf["record_id"], pdf["doc"], pdf["page_no"], pdf["text"], pdf["flags"], strict=True):
                 lines = _lines(t)
                 body = body_of(lines, _flags(fl))
                 skip_first = False
                 for k, i in enumerate(body):
                     line = lines[i]
-                    if _ODD.search(line) and any(odd_token(x) for x in line.split()):
-                        rows.append(("m", s, d, r, p, i + 1, None, None, None, None, None))
+                    if _ODD.search(line):
+                        bad = [x.strip(_STRIP).lower() for x in line.split() if odd_token(x)]
+                        odd.update(bad)
+                        if bad:
+                            rows.append(("m", s, d, r, p, i + 1, None, None, None, None, None))
                     frag = broken(line)
                     text = line.rstrip()[: -1 - len(frag)] if frag else line
                     first = _first_token(line) if k == 0 or skip_first else None
@@ -307,6 +310,7 @@ def facts(flagged: DataFrame) -> DataFrame:
                             skip_first = True
                             words[(frag + nxt).lower().rpartition("-")[2]] += 1
             rows += [("w", None, None, None, None, None, w, None, None, None, n) for w, n in words.items()]
+            rows += [("o", None, None, None, None, None, w, None, None, None, n) for w, n in odd.items()]
             rows += [("c", None, None, None, None, None, w, None, None, None, n) for w, n in compounds.items()]
             yield pd.DataFrame(rows, columns=cols).astype({"record_id": "Int64", "page_no": "Int32", "line_no": "Int32", "next_line": "Int32", "n": "Int64"})
 
@@ -352,8 +356,10 @@ def deletions(form: str) -> list[str]:
 
 
 def lexicon(fact: DataFrame) -> DataFrame:
-    """(word, n) over all body lines; words broken over lines count as joined."""
-    return fact.where("kind = 'w' AND word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n, odd) over all body lines; words broken over lines count as joined; odd ones have
+    characters that no word has and are never candidates."""
+    odd = F.col("kind") == "o"
+    return fact.where("kind IN ('w', 'o') AND word <> ''").groupBy("word", odd.alias("odd")).agg(F.sum("n").alias("n"))
 
 
 def corrections(lex: DataFrame, ratio: float = RATIO, least: int = LEAST, max_cost: float = MAX_COST) -> DataFrame:
@@ -364,7 +370,7 @@ def corrections(lex: DataFrame, ratio: float = RATIO, least: int = LEAST, max_co
     """
     keys = F.pandas_udf(lambda w: pd.Series([deletions(fold(x)) for x in w], dtype=object), "array<string>")
     read = lex.where(F.length("word") >= 3).withColumn("del", F.explode(keys("word")))
-    meant = read.where(f"n >= {least}").select(F.col("word").alias("fix"), F.col("n").alias("n_fix"), "del")
+    meant = read.where(f"n >= {least} AND NOT odd").select(F.col("word").alias("fix"), F.col("n").alias("n_fix"), "del")
     top = lex.agg(F.max("n")).first()[0] or 0
     pairs = (
         read.where(f"n * {ratio} <= {top}")
@@ -394,7 +400,7 @@ def broken_words(fact: DataFrame, lex: DataFrame) -> DataFrame:
     bare_next = F.regexp_extract(nxt, r"^[\p{L}]+", 0)
     tail, last = F.regexp_extract("frag", r"[^-‐]*$", 0), F.col("frag")
     h = h.withColumn("joined", F.concat(tail, bare_next)).withColumn("compound", F.concat_ws("-", last, bare_next)).withColumn("bare_next", bare_next).withColumn("tail", tail)
-    lw = lambda c, name: lex.select(F.col("word").alias(c), F.col("n").alias(name))
+    lw = lambda c, name: lex.where("NOT odd").select(F.col("word").alias(c), F.col("n").alias(name))
     comp = fact.where("kind = 'c'").groupBy(F.col("word").alias("compound")).agg(F.sum("n").alias("n_comp"))
     h = h.join(lw("joined", "n_join"), "joined", "left").join(comp, "compound", "left").join(lw("tail", "n_tail"), "tail", "left").join(lw("bare_next", "n_next"), "bare_next", "left")
     opens = comp.select(F.regexp_extract("compound", r"^(.*)-[^-]*$", 1).alias("frag"), "n_comp").groupBy("frag").agg(F.sum("n_comp").alias("n_first"))
@@ -409,28 +415,52 @@ def broken_words(fact: DataFrame, lex: DataFrame) -> DataFrame:
     return h.select("source_table", "doc", "record_id", "page_no", "line_no", "frag", "tail", "nxt", "bare_next", "next_line", "same_page", "joined", F.coalesce(alone | whole, F.lit(False)).alias("hyphenated"))
 
 
+def _tokens(text: Column) -> Column:
+    """A page's words: runs of letters, and what stands between white space without outer marks."""
+    low = F.lower(text)
+    whole = F.transform(F.split(low, r"\s+"), lambda t: F.trim(t, F.lit(_STRIP)))
+    return F.concat(F.split(low, r"[^\p{L}]+"), whole)
+
+
 def page_words(flagged: DataFrame, fixes: DataFrame) -> DataFrame:
     """(source_table, record_id, page_no, fixes): the corrections that a page's words need, joined."""
-    w = flagged.select("source_table", "record_id", "page_no", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
+    w = flagged.select("source_table", "record_id", "page_no", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("word"))
     return w.join(fixes, "word").groupBy("source_table", "record_id", "page_no").agg(F.collect_list(F.struct("word", "fix")).alias("fixes"))
 
 
-def with_fixes(flagged: DataFrame, fixes: DataFrame, bound: int = BROADCAST_WORDS):
-    """(pages, loader): pages with a column `fixes` (null where the broadcast has them), and a
-    function that gives a worker the broadcast corrections."""
-    n = fixes.count()
+def page_contexts(flagged: DataFrame, picks: DataFrame) -> DataFrame:
+    """(source_table, record_id, page_no, picks): the picks by context that a page's words need, joined."""
+    w = flagged.select("source_table", "record_id", "page_no", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("word"))
+    return w.join(picks, "word").groupBy("source_table", "record_id", "page_no").agg(F.collect_list(F.struct("prev", "word", "fix")).alias("picks"))
+
+
+def with_fixes(flagged: DataFrame, fixes: DataFrame, picks: DataFrame | None = None, bound: int = BROADCAST_WORDS):
+    """(pages, loader): pages with the columns `fixes` and `picks`, and a function that gives a worker
+    the broadcast ones.
+
+    Up to `bound` rows in all they are broadcast and the columns are null; beyond, every page gets
+    its own by joins.
+    """
+    key = ["source_table", "record_id", "page_no"]
+    n = fixes.count() + (picks.count() if picks is not None else 0)
     if n <= bound:
-        held = flagged.sparkSession.sparkContext.broadcast(cloudpickle.dumps({r["word"]: r["fix"] for r in fixes.toLocalIterator()}))
-        return flagged.withColumn("fixes", F.lit(None).cast("array<struct<word:string,fix:string>>")), lambda: pickle.loads(held.value)
-    return flagged.join(page_words(flagged, fixes), ["source_table", "record_id", "page_no"], "left"), dict
+        by_word = {r["word"]: r["fix"] for r in fixes.toLocalIterator()}
+        by_context = {(r["prev"], r["word"]): r["fix"] for r in picks.toLocalIterator()} if picks is not None else {}
+        held = flagged.sparkSession.sparkContext.broadcast(cloudpickle.dumps((by_word, by_context)))
+        none = lambda fields: F.lit(None).cast(f"array<struct<{fields}>>")
+        return flagged.withColumns({"fixes": none("word:string,fix:string"), "picks": none("prev:string,word:string,fix:string")}), lambda: pickle.loads(held.value)
+    out = flagged.join(page_words(flagged, fixes), key, "left")
+    empty = F.array().cast("array<struct<prev:string,word:string,fix:string>>")
+    out = out.join(page_contexts(flagged, picks), key, "left") if picks is not None else out.withColumn("picks", empty)
+    return out.withColumns({"fixes": F.coalesce("fixes", F.array().cast("array<struct<word:string,fix:string>>")), "picks": F.coalesce("picks", empty)}), lambda: ({}, {})
 
 
 def misread_lines(flagged: DataFrame, fixes: DataFrame, bound: int = BROADCAST_WORDS) -> DataFrame:
     """(source_table, record_id, page_no, line_no) of body lines with a whole word that has a correction."""
-    src, load = with_fixes(flagged.select("source_table", "record_id", "page_no", "text", "flags"), fixes, bound)
+    src, load = with_fixes(flagged.select("source_table", "record_id", "page_no", "text", "flags"), fixes, bound=bound)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bad = load()
+        bad, _ = load()
         for pdf in batches:
             rows = []
             for s, r, p, t, fl, fx in zip(pdf["source_table"], pdf["record_id"], pdf["page_no"], pdf["text"], pdf["flags"], pdf["fixes"], strict=True):
@@ -467,7 +497,10 @@ _SENTENCE_END = re.compile(r"[.!?:…][\"'»”)\]]*$")
 _HEADING = re.compile(r"^\s*\d+(?:\.\d+)+\s+\S")
 
 
-def repair_token(tok: str, fixes: dict[str, str], context: dict[tuple[str, str], str], prev: str, known) -> str:
+_AS_DIGITS = str.maketrans("lOI", "101")
+
+
+def repair_token(tok: str, fixes: dict[str, str], context: dict[tuple[str, str], str], prev: str) -> str:
     """A token with its misreading repaired, in the case it had."""
     core = tok.strip(_STRIP)
     if not core:
@@ -475,33 +508,14 @@ def repair_token(tok: str, fixes: dict[str, str], context: dict[tuple[str, str],
     at = tok.index(core)
     low = core.lower()
     fix = context.get((prev, low)) or fixes.get(low)
-    if fix is None and odd_token(core):
-        fix = known(core)
+    if fix is None and _NUMERIC.fullmatch(core) and odd_token(core):
+        fix = core.translate(_AS_DIGITS)
     if fix is None:
         return tok
     fix = fix.upper() if core.isupper() and len(core) > 1 else fix.capitalize() if core[:1].isupper() else fix
     return tok[:at] + fix + tok[at + len(core) :]
 
 
-class Lookup:
-    """The likeliest lexicon word of a token with impossible characters, by its folded form."""
-
-    def __init__(self, words: list[tuple[str, int]]):
-        self.by: dict[str, list[tuple[str, int]]] = {}
-        for w, n in words:
-            self.by.setdefault(fold(w), []).append((w, n))
-
-    def __call__(self, core: str) -> str | None:
-        if _NUMERIC.fullmatch(core):
-            return core.translate(str.maketrans("lOI", "101"))
-        best = None
-        for w, n in self.by.get(fold(core), ()):
-            c = (distance(core.lower(), w, 3.0), -n, w)
-            if best is None or c < best:
-                best = c
-        return best[2] if best else None
-
-
 def paragraphs_of(lines: list[str], flags: dict[int, str], joins: set[int], fix) -> list[tuple[str, bool, bool, bool]]:
     """(text, whether it goes on from the page before, to the next page, and in mid-word) of a page.
 
@@ -576,42 +590,33 @@ class Scans:
         hyph = self.breaks.where("hyphenated").select("source_table", "record_id", "page_no", "line_no", F.lit("hyphenated").alias("defect"))
         return edge.unionByName(hyph).unionByName(self.misread().withColumn("defect", F.lit("misread")))
 
-    def paragraphs(self) -> DataFrame:
+    def paragraphs(self, bound: int = BROADCAST_WORDS) -> DataFrame:
         """REPAIRED: the repaired paragraphs of every page in reading order.
 
         Running heads and page numbers are gone, broken words joined, misreadings repaired.
         opens_mid and ends_mid tell that a paragraph goes on over the page's start or end.
         """
         key = ["source_table", "record_id", "page_no"]
-        spark = self.flagged.sparkSession
         joins = self.breaks.where("hyphenated").groupBy(*key).agg(F.collect_set("line_no").alias("joins"))
         ctx = contexts(self.flagged, self.candidates)
         ranked = self.candidates.join(ctx.withColumnRenamed("n", "seen"), "fix")
         best = ranked.groupBy("prev", "word").agg(F.max_by("fix", F.struct("seen", (-F.col("cost")).alias("c"), "n_fix")).alias("fix"))
         best = keep(best.join(self.candidates.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("word"), "word", "left_semi"), "p3-context")
-        frequent = self.lex.where(f"n >= {LEAST} AND length(word) >= 3")
-        if best.count() > BROADCAST_WORDS or frequent.count() > BROADCAST_WORDS:
-            # beyond the bound only the words most often needed are picked by context or by form;
-            # all others keep their cheapest correction
-            best, frequent = best.limit(0), frequent.orderBy(F.desc("n")).limit(BROADCAST_WORDS)
-        held = spark.sparkContext.broadcast(
-            cloudpickle.dumps(({(r["prev"], r["word"]): r["fix"] for r in best.toLocalIterator()}, [(r["word"], r["n"]) for r in frequent.toLocalIterator()]))
-        )
-        src, load = with_fixes(self.flagged.select("source_table", "doc", "record_id", "page_no", "text", "flags"), self.fixes)
+        src, load = with_fixes(self.flagged.select("source_table", "doc", "record_id", "page_no", "text", "flags"), self.fixes, best, bound)
         src = src.join(small_side(keep(joins, "p3-joins")), key, "left")
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            every, (context, words) = load(), pickle.loads(held.value)
-            known = Lookup(words)
+            every, everywhere = load()
             for pdf in batches:
                 rows = []
-                for s, d, r, p, t, fl, fx, jn in zip(*(pdf[c] for c in ("source_table", "doc", "record_id", "page_no", "text", "flags", "fixes", "joins")), strict=True):
+                for s, d, r, p, t, fl, fx, pk, jn in zip(*(pdf[c] for c in ("source_table", "doc", "record_id", "page_no", "text", "flags", "fixes", "picks", "joins")), strict=True):
                     fixes = every if fx is None else {x["word"]: x["fix"] for x in fx}
+                    context = everywhere if pk is None else {(x["prev"], x["word"]): x["fix"] for x in pk}
 
-                    def fix(text: str, fixes=fixes) -> str:
+                    def fix(text: str, fixes=fixes, context=context) -> str:
                         out, prev = [], ""
                         for tok in text.split(" "):
-                            out.append(repair_token(tok, fixes, context, prev, known))
+                            out.append(repair_token(tok, fixes, context, prev))
                             prev = out[-1].strip(_STRIP).lower()
                         return " ".join(out)
 
