@@ -46,6 +46,19 @@ def test_spans_equal_brute_force(spark):
         assert run(spark, rows, w, r) == brute(rows, w)
 
 
+def test_long_texts_in_segments(spark, monkeypatch):
+    rng = random.Random(8)
+    p = "".join(rng.choice(["ab ", "cde. ", "f, ", "gh\n", "xyz"]) for _ in range(300))
+    q = "".join(rng.choice(["ab ", "cde. ", "f, ", "gh\n", "xyz"]) for _ in range(300))
+    rows = [(1, p + q, "x"), (2, q[:200] + p[100:500] + q[300:], "x"), (3, p[50:300], "x")]
+    pieces = [(x, k, o) for a, b, c in shared_spans.segments([r[1] for r in rows], 40, 130) for x, k, o in zip(a, b, c, strict=True)]
+    for k, (_, t, _) in enumerate(rows):
+        assert {t[i : i + 40] for i in range(len(t) - 39)} == {x[i : i + 40] for x, kk, _ in pieces if kk == k for i in range(len(x) - 39)}
+        assert all(t[o : o + len(x)] == x for x, kk, o in pieces if kk == k)
+    monkeypatch.setattr(shared_spans.segments, "__defaults__", (130,))
+    assert run(spark, rows, 40, 20) == brute(rows, 40)
+
+
 def test_hot_passage_in_many_records(spark):
     rng = random.Random(4)
     hot = "Una frase que muchos informes repiten sin cambio alguno en su texto. " * 6

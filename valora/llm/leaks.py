@@ -44,6 +44,8 @@ SEED = 6
 RUN = 12
 #: Words of the items that one broadcast may hold.
 ITEM_BLOCK_WORDS = 2_000_000
+#: Characters of texts that are numbered at once.
+BATCH = 4_000_000
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 2, -2, -1
 
@@ -248,11 +250,13 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id
         def note(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             it = pickle.loads(held.value)
             for pdf in batches:
-                codes, start = it.numbered(pdf["text"].tolist())
-                pos, val = _hits(codes, it, it.grams)
-                if len(pos):
-                    has = pd.DataFrame({"doc": pdf["doc"].to_numpy()[np.searchsorted(start, pos, "right") - 1], "gram": val.view(np.int64)}).drop_duplicates()
-                    yield has.groupby("doc")["gram"].agg(list).reset_index(name="grams")
+                size = pdf["text"].str.len().cumsum() // BATCH
+                for _, part in pdf.groupby(size, sort=False):
+                    codes, start = it.numbered(part["text"].tolist())
+                    pos, val = _hits(codes, it, it.grams)
+                    if len(pos):
+                        has = pd.DataFrame({"doc": part["doc"].to_numpy()[np.searchsorted(start, pos, "right") - 1], "gram": val.view(np.int64)}).drop_duplicates()
+                        yield has.groupby("doc")["gram"].agg(list).reset_index(name="grams")
 
         noted = keep(spread(src).mapInPandas(note, "doc long, grams array<long>"), "p8-noted")
         # at most one row per n-gram of the block comes to the driver

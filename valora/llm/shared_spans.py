@@ -45,7 +45,9 @@ _POS = np.uint64((1 << _POS_BITS) - 1)
 #: An odd multiplier, and its inverse modulo 2**64.
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
-#: Characters that a batch of texts may have together (positions must fit _POS_BITS).
+#: Characters that are hashed at once. Longer texts are hashed in segments that overlap by a window
+#: less one character, so that every window lies in one; a reach that a segment's end cuts is but a
+#: reach of its own.
 _BATCH = 2_000_000
 
 
@@ -142,11 +144,23 @@ def anchors_of(texts: list[str], window: int = WINDOW, run: int = RUN) -> pd.Dat
     return pd.DataFrame({"t": t, "a": a - s, "lo": lo - s, "hi": hi - s, "h": h[a].view(np.int64), "r": r.view(np.int64)})
 
 
-def _batches(pdf: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
-    size = pdf[text].str.len().to_numpy()
-    group = (np.cumsum(size) - size) // _BATCH
-    for _, part in pdf.groupby(group, sort=False):
-        yield part
+def segments(texts: list[str], window: int, most: int = _BATCH) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """The texts in groups of at most `most` characters: (pieces, text numbers, offsets)."""
+    held: tuple[list[str], list[int], list[int]] = ([], [], [])
+    size = 0
+    for k, t in enumerate(texts):
+        for o in range(0, max(1, len(t) - window + 1), most - window + 1):
+            piece = t if len(t) <= most else t[o : o + most]
+            if held[0] and size + len(piece) > most:
+                yield held
+                held, size = ([], [], []), 0
+            for x, y in zip(held, (piece, k, o), strict=True):
+                x.append(y)
+            size += len(piece)
+            if len(t) <= most:
+                break
+    if held[0]:
+        yield held
 
 
 ANCHOR_SCHEMA = "doc long, h long, r long, a int, lo int, hi int"
@@ -157,9 +171,12 @@ def anchors(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, run
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in _batches(pdf, "text"):
-                out = anchors_of(part["text"].tolist(), window, run)
-                out["doc"] = part["doc"].to_numpy()[out["t"].to_numpy()]
+            doc = pdf["doc"].to_numpy()
+            for pieces, owner, offset in segments(pdf["text"].tolist(), window):
+                out = anchors_of(pieces, window, run)
+                t = out["t"].to_numpy()
+                at = np.array(offset, np.int64)[t]
+                out = out.assign(doc=doc[np.array(owner)[t]], a=out["a"] + at, lo=out["lo"] + at, hi=out["hi"] + at)
                 yield out[["doc", "h", "r", "a", "lo", "hi"]].astype({"a": np.int32, "lo": np.int32, "hi": np.int32})
 
     src = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(f"doc IS NOT NULL AND length(text) >= {window}")
@@ -171,26 +188,19 @@ def window_hashes(docs: DataFrame, window: int) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in _batches(pdf, "text"):
-                points, start, _ = _lay(part["text"].tolist())
+            reach = [(t[x["lo"] : x["hi"] + window], x) for t, xs in zip(pdf["text"], pdf["reaches"], strict=True) for x in xs]
+            for lo in range(0, len(reach), 4000):
+                part = reach[lo : lo + 4000]
+                points, start, _ = _lay([t for t, _ in part])
                 roll = Rolling(points)
-                for s, reaches in zip(start.tolist(), part["reaches"], strict=True):
-                    for x in reaches:
-                        p = np.arange(x["lo"], x["hi"] + 1)
-                        w = roll.of(p + s, p + s + window)
-                        yield pd.DataFrame({"w": w.view(np.int64), "h": x["h"], "r": x["r"], "off": (p - x["a"]).astype(np.int32)})
-
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for x in scan(batches):
-            held.append(x)
-            if len(held) >= 500:
-                yield pd.concat(held)
-                held = []
-        if held:
-            yield pd.concat(held)
-
-    return docs.select("doc", "text", "reaches").mapInPandas(joined, "w long, h long, r long, off int")
+                n = np.array([len(t) - window + 1 for t, _ in part])
+                k = np.repeat(np.arange(len(part)), n)
+                off = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+                p = start[k] + off
+                of = lambda f: np.array([x[f] for _, x in part], np.int64)
+                yield pd.DataFrame({"w": roll.of(p, p + window).view(np.int64), "h": of("h")[k], "r": of("r")[k], "off": (off + (of("lo") - of("a"))[k]).astype(np.int32)})
+
+    return docs.select("doc", "text", "reaches").mapInPandas(scan, "w long, h long, r long, off int")
 
 
 def shared_windows(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, run: int = RUN) -> DataFrame:
