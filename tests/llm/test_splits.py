@@ -51,7 +51,8 @@ def test_spellings_fillers_and_nulls(spark):
 
 def test_shares_and_whole_groups(spark):
     rng = random.Random(9)
-    rows = [(i, f"d{int(rng.paretovariate(0.7)) % 400}", None, None, None, float(rng.randrange(5)), "") for i in range(4000)]
+    rows = [(i, f"d{int(rng.paretovariate(0.7)) % 400}", None, None, None, float(rng.randrange(5)), "") for i in range(3990)]
+    rows += [(3990 + i, None, "s/a", None, "-", None, "") for i in range(10)]  # rows without any key are groups of their own
     out = splits.assign_splits(spark.createDataFrame(rows, COLS).drop("group_id"), "row_id", "question_score")
     got = out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("question_score").alias("m")).collect()
     n = {r["split"]: r["n"] for r in got}

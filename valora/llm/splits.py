@@ -73,7 +73,7 @@ def row_edges(noded: DataFrame) -> DataFrame:
         noded.where(F.size("node_ids") > 1)
         .groupBy("node_ids")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("n", F.col("node_ids")[0].alias("a"), F.explode(F.slice("node_ids", 2, 64)).alias("b"))
+        .select("n", F.get("node_ids", F.lit(0)).alias("a"), F.explode(F.slice("node_ids", 2, 64)).alias("b"))
         .where("a <> b")
         .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "n")
     )
@@ -137,7 +137,7 @@ def grouped(df: DataFrame, id_col: str, keys: dict[str, str] | None = None) -> D
     """df with `group_id`: equal for rows that key values link, directly or through others."""
     noded = nodes(df, keys)
     _, labels = spanning_forest(row_edges(noded))
-    first = F.col("node_ids")[0]
+    first = F.get("node_ids", F.lit(0))
     alone = F.unhex(F.md5(F.concat(F.lit("row:"), F.col(id_col).cast("string"))))
     lab = small_side(labels).select(F.col("node").alias("first_node"), "root")
     return (
