@@ -92,26 +92,27 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame,
     for _ in range(max_rounds):
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
         least = keep(both.groupBy("u").agg(F.min_by("v", "w").alias("p"), F.min("w").alias("w")), "p2-least")
-        if least.isEmpty():
+        n = least.count()  # rows of every table of this round, read off the files' footers
+        if n == 0:
             break
         chosen = least.select(F.col("w.u").alias("u"), F.col("w.v").alias("v")).distinct()
         forest = chosen if forest is None else forest.unionByName(chosen)
         # two nodes that chose each other: the smaller is the root
         back = least.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         parent = keep(
-            least.join(small_side(back), "p", "left").select("u", F.when((F.col("pp") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("p")),
+            least.join(small_side(back, n), "p", "left").select("u", F.when((F.col("pp") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("p")),
             "p2-parent",
         )
         while True:  # pointer jumping: path lengths halve
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("g"))
-            nxt = keep(parent.join(small_side(up), "p").select("u", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")), "p2-jump")
+            nxt = keep(parent.join(small_side(up, n), "p").select("u", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")), "p2-jump")
             moved = not nxt.where("moved").isEmpty()
             forget(spark, parent)
             parent = nxt
             if not moved:
                 break
         step = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
-        small = small_side(step)
+        small = small_side(step, n)
         if labels is None:
             labels = step
         else:  # nodes of earlier rounds follow their root; roots without an edge stay
