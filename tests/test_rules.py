@@ -214,3 +214,25 @@ def test_stride_windows(spark):
     for size, overlap in ((4, 0), (4, 1), (4, 3), (100, 10)):
         for (t,), got in zip(rows, [r[0] for r in df.coalesce(1).select(chunks.stride_windows(F.col("t"), size, overlap)).collect()], strict=True):
             assert got == (None if t is None else [t[i : i + size] for i in range(0, len(t), size - overlap)])
+
+
+def test_registries_and_small_rules(spark, tmp_path):
+    from valora.operators import learning, lookups
+
+    scoring.register_scorer("Eco", lambda: lambda ps: ps)
+    assert scoring.scorer(" eco ")()(["a"]) == ["a"]
+    with pytest.raises(ValueError):
+        scoring.scorer("otro")
+    e = {"institucional": "i", "politica": "p", "politica_nacional": "pn"}
+    df = spark.createDataFrame([("Institucional",), ("POLITICA_NACIONAL",), ("politica x",), ("nueva política",), ("otro",), (None,)], "t string").coalesce(1)
+    assert [r[0] for r in df.select(lookups.prioritised(F.col("t"), e, "?")).collect()] == ["i", "pn", "p", "p", "?", "?"]
+    r = one(spark, a=T.filled_list(F.array(F.lit(" a "), F.lit(" "), F.lit(None))), b=T.filled_list(F.lit(None).cast("array<string>")), c=T.preview(F.lit("abcdef"), 3), d=T.preview(F.lit("abc"), 3))
+    assert tuple(r) == (["a"], [], "abc…", "abc")
+    assert export.field_dictionary(df).first()["field"] == "t"
+    rows = spark.createDataFrame([(i, "s", "c", f"texto {'bueno' if i % 2 else 'malo'} {i}", float(i % 2) * 4, 10.0, 3.0) for i in range(60)], "row_id long, seccion string, criterio string, texto string, label double, chars double, words double")
+    model, scored = learning.train(rows, alphas=(1.0,), folds=2, features=256)
+    learning.save(model, str(tmp_path / "m"))
+    a = {r["row_id"]: r["prediction"] for r in learning.predict(learning.load(str(tmp_path / "m")), rows).collect()}
+    assert all(a[r["row_id"]] == pytest.approx(r["prediction"]) for r in scored.collect())
+    assert learning.error_metrics(scored, "label", "prediction", []).first()["mae"] < 1.0
+    assert learning.correlation(scored.withColumn("k", F.lit(1.0)), "label", "k").first()["pearson"] == 0.0

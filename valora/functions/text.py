@@ -157,3 +157,13 @@ def ordered_distinct(c: Column) -> Column:
 def slug(c: Column, most: int = 31) -> Column:
     """A file or sheet name: letters, digits and underscores."""
     return F.substring(F.regexp_replace(F.regexp_replace(identifier(c), r"[^a-z0-9]+", "_"), r"^_+|_+$", ""), 1, most)
+
+
+def preview(c: Column, most: int = 300) -> Column:
+    """The first `most` characters, with an ellipsis where more follow."""
+    return F.when(F.length(c) > most, F.concat(F.rtrim(F.left(c, F.lit(most))), F.lit("…"))).otherwise(c)
+
+
+def filled_list(c: Column) -> Column:
+    """An array's stripped items without null and blank ones; an empty array for null."""
+    return F.coalesce(F.filter(F.transform(c, strip), lambda x: F.length(x) > 0), F.array().cast("array<string>"))

@@ -89,3 +89,16 @@ def payload(rows: DataFrame, doc: list[str]) -> DataFrame:
     fields = [c for c in rows.columns if c not in doc and c != "section_id"]
     sec = rows.groupBy(*doc, "section_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("questions"))
     return sec.groupBy(*doc).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("section_id", "questions"))).alias("sections"))).alias("payload"))
+
+
+def enriched(rows: DataFrame, score: str, lo: str, hi: str, default_lo: float = 0.0, default_hi: float = 20.0) -> DataFrame:
+    """rows with `raw_score` and `normalized_score`: the score, and its share of the scale (defaults where none is stated)."""
+    a, b = F.coalesce(F.col(lo), F.lit(default_lo)), F.coalesce(F.col(hi), F.lit(default_hi))
+    share = F.when(F.col(score).isNotNull() & (b > a), F.least(F.greatest((F.col(score) - a) / (b - a), F.lit(0.0)), F.lit(1.0)))
+    return rows.withColumns({"raw_score": F.col(score), "normalized_score": share})
+
+
+def field_dictionary(df: DataFrame) -> DataFrame:
+    """(position, field, type, nullable) of a table's columns."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields, 1)]
+    return df.sparkSession.createDataFrame(rows, "position int, field string, type string, nullable boolean")

@@ -74,3 +74,24 @@ def correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
     p = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     s = p.agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c"), F.stddev_pop(a).alias("x"), F.stddev_pop(b).alias("y"))
     return s.select("n", F.when((F.col("x") > 0) & (F.col("y") > 0), F.col("c") / (F.col("x") * F.col("y"))).otherwise(0.0).alias("pearson"))
+
+
+def save(model, path: str) -> None:
+    """Both parts of a trained model under a folder."""
+    pre, ridge = model
+    pre.write().overwrite().save(f"{path}/features")
+    ridge.write().overwrite().save(f"{path}/ridge")
+
+
+def load(path: str):
+    """A model that save() wrote."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.regression import LinearRegressionModel
+
+    return PipelineModel.load(f"{path}/features"), LinearRegressionModel.load(f"{path}/ridge")
+
+
+def predict(model, rows: DataFrame) -> DataFrame:
+    """(row_id, prediction) of training_rows(), kept within the scale."""
+    pre, ridge = model
+    return ridge.transform(pre.transform(rows)).select("row_id", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(4.0)).alias("prediction"))

@@ -37,3 +37,14 @@ def canonical(c: Column, aliases: dict[str, list[str]]) -> Column:
     for name, forms in aliases.items():
         out = F.when(form.isin(*forms), F.lit(name)).otherwise(out)
     return out
+
+
+def prioritised(c: Column, entries: dict[str, str], default: str | None = None) -> Column:
+    """The value of the entry that a label equals, else starts, ends or contains; longest key first."""
+    form = T.identifier(c)
+    keys = sorted(entries, key=lambda k: (-len(k), k))
+    out = F.lit(default).cast("string")
+    for test in (lambda k: F.contains(form, F.lit(k)), lambda k: form.endswith(k), lambda k: form.startswith(k), lambda k: form == k):
+        for k in reversed(keys):
+            out = F.when(test(k), F.lit(entries[k])).otherwise(out)
+    return out

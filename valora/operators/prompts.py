@@ -174,3 +174,23 @@ def band(q: Column) -> Column:
 def gated(df: DataFrame, quality: str, prompt: str) -> DataFrame:
     """Rows whose prompt is good enough to be scored; filter before any scorer is called."""
     return df.where((F.col(quality) >= threshold(F.col(prompt))) & (F.col(quality) >= GATE))
+
+
+def spanish_smoke(c: Column, least: int = 40) -> Column:
+    """Whether a text of some length has any of the Spanish markers; short texts pass."""
+    padded = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    hit = F.lit(False)
+    for m in MARKERS[:10]:
+        hit = hit | F.contains(padded, F.lit(m))
+    return (F.length(c) < least) | hit
+
+
+def quality_metadata(p: Column, chunk: Column, was_truncated: Column) -> Column:
+    """struct of what is known of a prompt when it is built."""
+    return F.struct(
+        F.length(p).alias("chars"),
+        F.length(chunk).alias("chunk_chars"),
+        F.coalesce(was_truncated, F.lit(False)).alias("was_truncated"),
+        spanish_smoke(chunk).alias("language_ok"),
+        (F.length(chunk) < 60).alias("short_chunk"),
+    )

@@ -107,3 +107,41 @@ def remote_scores(pairs: DataFrame, key: str, prompt: str, make_scorer: Callable
                 yield pd.DataFrame({key: part[key].to_numpy(), "payload": answers, "attempts": tried, "error": error})
 
     return pairs.select(key, prompt).mapInPandas(run, f"{key} {kind}, payload string, attempts int, error string")
+
+
+def skipped_score(status: Column, score: Column) -> Column:
+    """0 for questions of sections that are empty or missing, whatever their scorer said."""
+    return F.when(status.isin("empty", "missing"), F.lit(0.0)).otherwise(score)
+
+
+def payload_faults(score: Column, justification: Column, meta: Column) -> Column:
+    """What a scorer's answer lacks: a number, a text, its model, its provider, its duration."""
+    has = lambda k: F.coalesce(F.map_contains_key(meta, k), F.lit(False))
+    return F.array_compact(
+        F.array(
+            F.when(score.isNull() | F.isnan(score), "score"),
+            F.when(justification.isNull(), "justification"),
+            F.when(~has("model"), "model"),
+            F.when(~has("provider"), "provider"),
+            F.when(~has("duration_ms"), "duration_ms"),
+        )
+    )
+
+
+#: Scorers by name: functions that make a scorer for a partition.
+SCORERS: dict[str, Callable[[], Scorer]] = {}
+
+
+def register_scorer(name: str, make: Callable[[], Scorer]) -> None:
+    """Add or replace a scorer for remote_scores()."""
+    if not name.strip():
+        raise ValueError("the name is empty")
+    SCORERS[name.strip().lower()] = make
+
+
+def scorer(name: str) -> Callable[[], Scorer]:
+    """The registered scorer of a name."""
+    try:
+        return SCORERS[name.strip().lower()]
+    except KeyError:
+        raise ValueError(f"unknown scorer {name!r}; known: {sorted(SCORERS)}") from None
