@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valora.functions.text import accent_table
-from valora.llm.lookalike import mapped
 from valora.runtime import forget, keep, small_side
 
 #: Columns that tie rows together, and the letter that marks their nodes.
@@ -46,22 +45,27 @@ FILLERS = (
 
 def link_form(value: Column) -> Column:
     """The form in which values are compared: no case, accents, outer or repeated spaces, one slash."""
-    low = F.translate(F.lower(mapped(value)), "\\", "/")
-    bare = F.regexp_replace(F.translate(low, *accent_table()), r"[\u0300-\u036f]", "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    src, dst = accent_table()
+    marks = "".join(map(chr, range(0x300, 0x370)))  # without a counterpart: dropped
+    bare = F.translate(F.lower(value), "\\" + src + marks, "/" + dst)
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
-def linking(value: Column) -> Column:
-    """The link form, or null where the value is null, blank, without a letter or digit, or a filler."""
-    f = link_form(value)
-    filler = f.rlike("^[^\\p{L}\\p{N}]*(" + "|".join(FILLERS) + ")[^\\p{L}\\p{N}]*$")
-    return F.when(f.rlike(r"[\p{L}\p{N}]") & ~filler, f)
+def links(form: Column) -> Column:
+    """Whether a link form links: it has a letter or digit and is no filler."""
+    filler = form.rlike("^[^\\p{L}\\p{N}]*(" + "|".join(FILLERS) + ")[^\\p{L}\\p{N}]*$")
+    return form.rlike(r"[\p{L}\p{N}]") & ~filler
 
 
 def nodes(df: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
-    """df with `node_ids`: the array of its rows' nodes, 16-byte hashes of mark and link form."""
-    ids = [F.unhex(F.md5(F.concat(F.lit(m + ":"), linking(F.col(c))))) for c, m in (keys or KEYS).items()]
-    return df.withColumn("node_ids", F.array_compact(F.array(*ids)))
+    """df with `node_ids`: the array of its rows' nodes, 16-byte hashes of mark and link form.
+
+    The forms are columns of a first projection, so that each is made once.
+    """
+    keys = keys or KEYS
+    forms = df.withColumns({f"_f_{m}": link_form(F.col(c)) for c, m in keys.items()})
+    ids = [F.when(links(F.col(f"_f_{m}")), F.unhex(F.md5(F.concat(F.lit(m + ":"), F.col(f"_f_{m}"))))) for m in keys.values()]
+    return forms.withColumn("node_ids", F.array_compact(F.array(*ids))).drop(*(f"_f_{m}" for m in keys.values()))
 
 
 def row_edges(noded: DataFrame) -> DataFrame:
@@ -222,6 +226,6 @@ def linked_spellings(df: DataFrame, id_col: str, keys: dict[str, str] | None = N
     key_cols = [c for c in (keys or KEYS)]
     g = grouped(df.select(id_col, *key_cols), id_col, keys)
     # a spelling that links nothing (blank or filler) belongs to no other
-    sp = keep(g.where(linking(F.col(doc_col)).isNotNull()).select("group_id", F.col(doc_col).alias("spelling")).distinct(), "p2-spellings")
+    sp = keep(g.where(links(link_form(F.col(doc_col)))).select("group_id", F.col(doc_col).alias("spelling")).distinct(), "p2-spellings")
     low = sp.groupBy("group_id").agg(F.min("spelling").alias("document_id_a"))
     return sp.join(low, "group_id").where("spelling <> document_id_a").select("document_id_a", F.col("spelling").alias("document_id_b"))
