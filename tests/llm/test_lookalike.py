@@ -44,7 +44,7 @@ def test_random_variants_against_normalisation(spark):
 
 def test_canonical_form_is_equal_within_a_class(spark):
     df = spark.createDataFrame([(1, "acción", 1), (2, unicodedata.normalize("NFD", "acción"), 2), (3, None, 3), (4, "otra", 4)], "id int, t string, look_text int")
-    out = {r["id"]: r for r in lookalike.canonicalize(df.select("id", "t"), "t").collect()}
+    out = {r["id"]: r for r in lookalike.canonicalize(df, "t").collect()}
     assert out[1]["look_text"] == out[2]["look_text"] and out[3]["look_text"] is None and out[4]["look_text"] == "otra"
     assert lookalike.canonicalize(df.select("id", "t").limit(0), "t").count() == 0
 

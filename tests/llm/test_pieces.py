@@ -41,7 +41,7 @@ def test_cut_is_at_the_change_of_topic():
 def test_rows_metadata_and_sql(spark, data, oracle):
     meta = "struct<id:string,source_type:string,strategy:string,chunk_index:int,chunks_in_source:int,length:int,chunk_overlap:int,page:int,relevance:double,was_truncated:boolean>"
     m = ("s_1", "section", "section", 1, 3, 9, 150, 7, 0.5, True)
-    df = spark.createDataFrame([(1, "palabra " * 400, m, 1), (2, "corto", m, 2), (3, None, None, 3), (4, "palabra " * 400, None, 4)], f"id int, t string, m {meta}, pieces int").drop("pieces")
+    df = spark.createDataFrame([(1, "palabra " * 400, m, 1), (2, "corto", m, 2), (3, None, None, 3), (4, "palabra " * 400, None, 4)], f"id int, t string, m {meta}, pieces int")
     rows = pieces.split_texts(df, "t", "m").orderBy("id", "piece_index").collect()
     long = [r for r in rows if r["id"] == 1]
     assert all(r["m"]["length"] == len(r["t"]) <= 1500 and r["m"]["page"] == 7 and r["m"]["chunks_in_source"] == len(long) and r["m"]["was_truncated"] is False for r in long)

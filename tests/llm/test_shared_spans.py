@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from valora.llm import queries, shared_spans
 
 
@@ -68,7 +70,7 @@ def test_hot_passage_in_many_records(spark):
 
 def test_first_record_keeps_the_span(spark):
     p = "Esta es una frase larga que aparece en dos informes distintos del mismo año y entidad. " * 5
-    df = spark.createDataFrame([(1, "Inicio propio. " + p, 1), (2, "Otro comienzo. " + p + "Final propio.", 2), (3, None, 3)], "doc_id long, text string, spans int").drop("spans")
+    df = spark.createDataFrame([(1, "Inicio propio. " + p, 1), (2, "Otro comienzo. " + p + "Final propio.", 2), (3, None, 3)], "doc_id long, text string, spans int").withColumn("doc", F.lit(0))
     out = {r["doc_id"]: r["kept_text"] for r in shared_spans.without_repeats(df, "doc_id", "text").collect()}
     assert out[1] == "Inicio propio. " + p and "Otro comienzo." in out[2] and "Final propio." in out[2] and "frase larga" not in out[2] and out[3] is None
 

@@ -30,7 +30,7 @@ def test_groups_equal_union_find(spark):
     rows = [(i, v("doc", 60), v("aut", 90), v("ent", 90), v("f", 120), float(i % 5), "x") for i in range(150)]
     rows += [(1000 + i, f"chain{i}", f"link{i}", f"link{i + 1}b" if i % 2 else None, f"p{i // 2}", None, "x") for i in range(60)]
     rows += [(2000 + i, f"hot{i}", "El Mismo Autor", None, None, 1.0, "x") for i in range(120)]
-    out = splits.grouped(spark.createDataFrame(rows, COLS).drop("group_id"), "row_id").select("row_id", F.hex("group_id").alias("g")).collect()
+    out = splits.grouped(spark.createDataFrame(rows, COLS), "row_id").select("row_id", F.hex("group_id").alias("g")).collect()
     want = brute(rows)
     got = {r["row_id"]: r["g"] for r in out}
     by_want, by_got = {}, {}
@@ -53,7 +53,7 @@ def test_shares_and_whole_groups(spark):
     rng = random.Random(9)
     rows = [(i, f"d{int(rng.paretovariate(0.7)) % 400}", None, None, None, float(rng.randrange(5)), "") for i in range(3990)]
     rows += [(3990 + i, None, "s/a", None, "-", None, "") for i in range(10)]  # rows without any key are groups of their own
-    out = splits.assign_splits(spark.createDataFrame(rows, COLS).drop("group_id"), "row_id", "question_score")
+    out = splits.assign_splits(spark.createDataFrame(rows, COLS).withColumn("split", F.lit("old")), "row_id", "question_score")
     got = out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("question_score").alias("m")).collect()
     n = {r["split"]: r["n"] for r in got}
     assert sum(n.values()) == 4000 and abs(n["validation"] / 4000 - 0.1) < 0.03 and abs(n["test"] / 4000 - 0.1) < 0.03

@@ -9,7 +9,7 @@ Answers are judged where they are read: nothing is shuffled.
 
 Defined results: a null answer is `empty`; a null or blank question is never copied and has no
 language; an empty or copied answer has no other defect; repeated rows are judged alike; an empty
-table gives an empty table; further columns pass through, and the added column is named `defects`.
+table gives an empty table; further columns pass through, and the added column is named `defects`, replacing any so named.
 Texts are judged whole.
 """
 

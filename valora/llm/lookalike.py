@@ -12,7 +12,7 @@ their own by plain equality.
 
 Defined results: a null text has a null canonical form; a text that is blank after mapping is its
 own canonical form and pairs with nothing; repeated rows share a class; an empty table gives an
-empty table; further columns pass through, and added columns carry the prefix `look_`.
+empty table; further columns pass through, and added columns carry the prefix `look_`, replacing any so named.
 """
 
 from __future__ import annotations
@@ -88,6 +88,7 @@ def canonical_members(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def canonicalize(df: DataFrame, text_col: str) -> DataFrame:
     """Every row of df with the canonical form of its text in `look_text`."""
+    df = df.drop(*(c for c in df.columns if c.startswith("look_")))
     rows = keep(keyed(df, text_col), "p1-rows")
     members = keep(canonical_members(rows, []), "p1-members")
     return (

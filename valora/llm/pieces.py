@@ -11,7 +11,7 @@ Nothing is shuffled: a text is cut where it is read, and pieces are offsets unti
 Defined results: a null text has null pieces; a text within the limit is one piece as it stands;
 a blank text over the limit is one empty piece; white space before, between and after pieces belongs to none;
 repeated rows are cut alike; an empty table gives an empty table; further columns pass through, and
-the added column is named `pieces`. Texts are processed whole, of any length.
+those named like an added one (`pieces`, `piece_index`, `piece_start`, `cut_kind`) are replaced. Texts are processed whole, of any length.
 """
 
 from __future__ import annotations
@@ -179,6 +179,7 @@ def _meta(meta: Column, p: Column, i: Column, count: Column) -> Column:
 def split_texts(df: DataFrame, text_col: str, meta_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """One row per piece of every text: df's columns with the piece's text and metadata in place of
     the whole's, then piece_index (from 1), piece_start (from 1) and cut_kind of the piece's end."""
+    df = df.drop("pieces", "piece_pos", "piece", "piece_index", "piece_start", "cut_kind")
     cut_ = with_pieces(df, text_col, limit, overlap)
     rows = cut_.select("*", F.posexplode("pieces").alias("piece_pos", "piece"))
     p, i = F.col("piece"), F.col("piece_pos")

@@ -266,7 +266,8 @@ def without_repeats(df: DataFrame, id_col: str, text_col: str, window: int = WIN
 
     Of each group of records that share a span, the first keeps it whole.
     """
-    later = shared_windows(df, id_col, text_col, window, run).where("first_doc <> doc").groupBy("doc").agg(F.collect_set(F.struct("p0", "p1")).alias("spans"))
+    df = df.drop("spans", "kept_text")
+    later = shared_windows(df, id_col, text_col, window, run).where("first_doc <> doc").groupBy("doc").agg(F.collect_set(F.struct("p0", "p1")).alias("spans")).withColumnRenamed("doc", "_span_doc")
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -287,4 +288,4 @@ def without_repeats(df: DataFrame, id_col: str, text_col: str, window: int = WIN
         return pd.Series(out, dtype=object)
 
     cut_udf = F.pandas_udf(cut, "string")
-    return df.join(later, df[id_col] == later["doc"], "left").withColumn("kept_text", cut_udf(F.col(text_col), F.col("spans"))).select(*(df[c] for c in df.columns), "kept_text")
+    return df.join(later, df[id_col] == later["_span_doc"], "left").withColumn("kept_text", cut_udf(F.col(text_col), F.col("spans"))).select(*(df[c] for c in df.columns), "kept_text")

@@ -12,7 +12,7 @@ partial aggregation before the shuffle.
 
 Defined results: null, blank and "not stated" values link nothing; a row without any key is a
 group of its own (drawn by a hash of its id); repeated rows count as rows but add no link; an
-empty table gives empty tables; other columns pass through.
+empty table gives empty tables; other columns pass through, those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame,
 
 def grouped(df: DataFrame, id_col: str, keys: dict[str, str] | None = None) -> DataFrame:
     """df with `group_id`: equal for rows that key values link, directly or through others."""
-    noded = nodes(df, keys)
+    noded = nodes(df.drop("group_id", "node_ids", "first_node", "root"), keys)
     _, labels = spanning_forest(row_edges(noded))
     first = F.get("node_ids", F.lit(0))
     alone = F.unhex(F.md5(F.concat(F.lit("row:"), F.col(id_col).cast("string"))))
@@ -181,6 +181,7 @@ def assign_splits(df: DataFrame, id_col: str, score_col: str, shares: dict[str,
     band (powers of two of their rows) are ranked by mean score; a split takes every k-th rank, so
     each has like scores. Ranks come from range partitions and their counts, not from one sort.
     """
+    df = df.drop("split")
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     first, *others = shares
     spark = df.sparkSession
