@@ -189,6 +189,7 @@ sc AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {i})" for i, k in enumerate(SC
         "clean_report": f"WITH {kinds} SELECT document_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {v}" for k, v in pages.REPORT.items()) + " FROM kd GROUP BY document_id",
         "ocr_like": f"""WITH {page}, f AS (SELECT document_id, {odd} AS odd, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS line) WHERE length({st}) BETWEEN 1 AND 4) AS short FROM p WHERE page_no <= 3)
 SELECT document_id, sum(odd)::BIGINT AS odd_chars, sum(short)::BIGINT AS short_lines, sum(odd) > 10 OR sum(short) > 10 AS ocr_like FROM f GROUP BY document_id""",
+        "tagged_pages": f"SELECT summary_id, row_number() OVER (PARTITION BY summary_id ORDER BY i) AS page_no, length(p) AS chars FROM (SELECT summary_id, unnest(pages) AS p, generate_subscripts(pages, 1) AS i FROM document_summaries WHERE len(pages) > 1) WHERE {Q.strip('p')} <> ''",
         "segment_headings": f"WITH {heads} SELECT doc_id, line_no, start, section_id, rest FROM h",
         "segment_text": f"""WITH {spans}
 SELECT k.doc_id, sc.section_id, sc.ord, coalesce(f.text, '') AS text FROM (SELECT DISTINCT doc_id FROM c) k CROSS JOIN sc LEFT JOIN f ON f.doc_id = k.doc_id AND f.section_id = sc.section_id
