@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import answers, leaks, lookalike, packing, pieces, scans, shared_spans, splits
+from valora.llm import answers, leaks, lookalike, oracle, packing, pieces, scans, shared_spans, splits
 from valora.runtime import keep
 from valora.sources.tables import table
 
@@ -105,10 +105,6 @@ def p9_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.without_repeats(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "kept_text")
 
 
-#: White space as the operator knows it, as a class of the SQL engine's expressions.
-_GAPS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
 def _mapped_sql(col: str) -> str:
     src, dst = lookalike._tables()
     quoted = dst.replace("'", "''")
@@ -129,14 +125,29 @@ FROM k a JOIN k b ON a.field_name = b.field_name AND a.m = b.m AND a.id < b.id A
 WHERE a.m <> ''"""
 
 
+def _p1_canonical_sql() -> str:
+    """The smallest mapped text of each canonically equal class; blank texts by themselves."""
+    mapped = _mapped_sql("t").removeprefix("nfc_normalize(").removesuffix(")")
+    return f"""
+WITH r AS (
+  SELECT 'chunk_text' AS field_name, context_id AS id, chunk_text AS t FROM chunk_contexts
+  UNION ALL SELECT 'relevant_text', row_id, relevant_text FROM export_rows),
+k AS (SELECT field_name, id, {mapped} AS m FROM r)
+SELECT field_name, id, CASE WHEN m <> '' THEN min(m) OVER (PARTITION BY field_name, nfc_normalize(m)) ELSE m END AS canonical_text FROM k"""
+
+
 QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
     return {
         "p1_found": _p1_found_sql(),
+        "p1_canonical": _p1_canonical_sql(),
+        "p2_found": oracle.linked_spellings(),
+        "p8_found": oracle.leaks(leaks.RUN),
+        "p9_found": oracle.shared_spans(shared_spans.WINDOW),
         "p6_found": f"""
-SELECT context_id, CASE WHEN list_max(list_transform(regexp_split_to_array(chunk_text, '{_GAPS}'), lambda x: length(x))) > 1500
+SELECT context_id, CASE WHEN list_max(list_transform(regexp_split_to_array(chunk_text, '{oracle.GAPS}'), lambda x: length(x))) > 1500
   THEN 'forced' ELSE 'natural' END AS cut_kind
 FROM chunk_contexts WHERE length(chunk_text) > 1500""",
     }
