@@ -9,6 +9,7 @@ from valora.functions import text as T
 from valora.operators import chunks, pages, sections
 from valora.queries import fragments as Q
 from valora.queries.texts import _lit, _values
+from valora.runtime import spread
 from valora.sources.tables import table
 
 #: Sections looked for: some with the literal headings below, some with lines of the documents.
@@ -73,7 +74,7 @@ def tagged_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    docs = spread(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text"))
     return docs.unionByName(_lit(s, HEADINGS).select(F.col("id").cast("long").alias("doc_id"), F.col("t").alias("text")))
 
 
@@ -109,7 +110,7 @@ def status_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_stride(s: SparkSession, d: str) -> DataFrame:
-    c = chunks.stride_chunks(table(s, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    c = chunks.stride_chunks(spread(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")), "doc_id", "text")
     return c.select("doc_id", "chunk_index", "chunks_in_source", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
 
 

@@ -10,6 +10,7 @@ from valora.functions import text as T
 from valora.operators import prompts, rollup, scoring
 from valora.plans import pipeline
 from valora.queries import fragments as Q
+from valora.runtime import spread
 from valora.sources.tables import table
 
 IMPUTED = [("i1", 0.5, True, "timeout"), ("i2", 0.5, True, None), ("i3", 0.5, None, "timeout"), ("i4", None, True, "quota"), ("i5", 2.0, False, None)]
@@ -26,7 +27,7 @@ def _r(c: str):
 
 
 def doc_score_flagship(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").where("length(text) > 0").select("doc_id", "section_id", "text")
+    docs = spread(table(s, d, "documents").where("length(text) > 0").select("doc_id", "section_id", "text"))
     rub = _rubric(s, d).where("tipo_informe = 'institucional'")
     return pipeline.evaluate(docs, rub).select("doc_id", _r("document_score"), _r("index"), "questions")
 
@@ -138,7 +139,7 @@ def quality_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def _prompts(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "chunk_contexts").select("context_id", "question_id", "chunk_text", "chunk_metadata.was_truncated")
+    c = spread(table(s, d, "chunk_contexts").select("context_id", "question_id", "chunk_text", "chunk_metadata.was_truncated"))
     q = _rubric(s, d).drop("section_id")
     j = c.join(q, "question_id")
     p = prompts.build(F.col("question_text"), F.col("section_title"), F.col("dimension_name"), F.col("scale_min"), F.col("scale_max"), F.coalesce("chunk_text", F.lit("")), F.col("tipo_informe"))
