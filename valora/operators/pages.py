@@ -135,10 +135,13 @@ def classified_lines(lines: DataFrame, pages: DataFrame, id_col: str) -> DataFra
     """lines with `kind`, the rule that drops a line or null."""
     rep = repeated_lines(candidates(lines, id_col), pages, id_col)
     zone = rep.groupBy(id_col, "form").agg(F.max(F.when(F.col("zone") == "header", True)).alias("as_header"), F.max(F.when(F.col("zone") == "footer", True)).alias("as_footer"))
-    lined = lines.withColumn("form", T.edge_form(F.col("line"))).join(zone, [id_col, "form"], "left")
+    # only edge lines are compared and joined; the others stay where they are
+    edge = lines.where(at_edge()).withColumn("form", T.edge_form(F.col("line"))).join(zone, [id_col, "form"], "left").drop("form")
+    rest = lines.where(~at_edge()).withColumns({c: F.lit(None).cast("boolean") for c in ("as_header", "as_footer")})
+    lined = edge.select(*rest.columns).unionByName(rest)
     head = F.col("as_header") & (F.col("line_no") <= EDGE)
     template = F.when(head, "header").when(F.col("as_footer"), "footer")
-    return lined.withColumn("kind", line_kind(template)).drop("form", "as_header", "as_footer")
+    return lined.withColumn("kind", line_kind(template)).drop("as_header", "as_footer")
 
 
 def cleaned(classified: DataFrame, id_col: str) -> DataFrame:
