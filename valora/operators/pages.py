@@ -8,7 +8,7 @@ joined back, never collected.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.functions import text as T
@@ -50,19 +50,24 @@ def at_edge(size: int = EDGE) -> Column:
     return (F.col("line_no") <= size) | (F.col("line_no") > F.col("n_lines") - size)
 
 
-def edge_lines(lines: DataFrame, id_col: str, size: int = EDGE) -> DataFrame:
-    """(id, page_no, zone, line_no, line): the first and last non-blank lines of every page."""
-    full = lines.where(F.length(T.strip(F.col("line"))) > 0)
-    by = Window.partitionBy(id_col, "page_no")
-    ranked = full.select(id_col, "page_no", "line_no", T.strip(F.col("line")).alias("line"), F.row_number().over(by.orderBy("line_no")).alias("up"), F.row_number().over(by.orderBy(F.desc("line_no"))).alias("down"))
-    return (
-        ranked.select(id_col, "page_no", "line_no", "line", F.explode(F.array_compact(F.array(F.when(F.col("up") <= size, F.lit("header")), F.when(F.col("down") <= size, F.lit("footer"))))).alias("zone"))
-    )
+def edge_lines(pages: DataFrame, id_col: str, size: int = EDGE) -> DataFrame:
+    """(id, page_no, line_no, line, zone): the first and last non-blank lines of every page.
+
+    They are sliced from the page's own array of lines, so nothing is shuffled.
+    """
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), T.strip(x).alias("line")))
+    full = F.filter(numbered, lambda x: F.length(x["line"]) > 0)
+    marked = lambda part, zone: F.transform(part, lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), F.lit(zone).alias("zone")))
+    n = F.size("_full")
+    both = F.concat(marked(F.slice("_full", 1, size), "header"), marked(F.slice("_full", F.greatest(n - size + 1, F.lit(1)), F.lit(size)), "footer"))
+    rows = pages.select(id_col, "page_no", full.alias("_full")).where(n > 0).select(id_col, "page_no", F.explode(both).alias("x"))
+    return rows.select(id_col, "page_no", "x.line_no", "x.line", "x.zone")
 
 
-def candidates(lines: DataFrame, id_col: str) -> DataFrame:
+def candidates(pages: DataFrame, id_col: str) -> DataFrame:
     """Edge lines, and lines of known heads and foots near the edges, which count again."""
-    a = edge_lines(lines, id_col).select(id_col, "zone", "page_no", "line_no", "line")
+    a = edge_lines(pages, id_col).select(id_col, "zone", "page_no", "line_no", "line")
+    lines = lines_of(pages, id_col)
     known = lambda zone, cond, rx: lines.where(cond & F.col("line").rlike("(?iu)" + rx)).select(id_col, F.lit(zone).alias("zone"), "page_no", "line_no", T.strip(F.col("line")).alias("line"))
     b = known("header", F.col("line_no") <= CUSTOM_EDGE, CUSTOM_HEADERS)
     c = known("footer", F.col("line_no") > F.col("n_lines") - CUSTOM_EDGE, CUSTOM_FOOTERS)
@@ -78,17 +83,21 @@ def repeated_lines(cands: DataFrame, pages: DataFrame, id_col: str) -> DataFrame
 
 
 def indel_ratio(a: str, b: str) -> float:
-    """Similarity in per cent by insertions and deletions only: 200 * common subsequence / both lengths."""
+    """Similarity in per cent by insertions and deletions only: 200 * common subsequence / both lengths.
+
+    The longest common subsequence is counted in one integer's bits, a step per character of b.
+    """
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        prev = 0
-        for j, y in enumerate(b, 1):
-            cur = row[j]
-            row[j] = prev + 1 if x == y else max(row[j], row[j - 1])
-            prev = cur
-    return 200.0 * row[-1] / (len(a) + len(b))
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        u = row & at.get(y, 0)
+        row = (row + u) | (row - u)
+    return 200.0 * (len(a) - (row & full).bit_count()) / (len(a) + len(b))
 
 
 def fuzzy_repeated_lines(cands: DataFrame, pages: DataFrame, id_col: str, similarity: int = SIMILARITY) -> DataFrame:
@@ -105,8 +114,9 @@ def fuzzy_repeated_lines(cands: DataFrame, pages: DataFrame, id_col: str, simila
         least = max(MIN_REPEATS, int(REPEAT_SHARE * int(pdf["n_pages"].iloc[0])))
         out = []
         while rest:
-            near = [r for r in rest if indel_ratio(rest[0][0], r[0]) >= similarity]
-            rest = [r for r in rest if r not in near]
+            seed = rest[0][0]
+            like = {f: f == seed or indel_ratio(seed, f) >= similarity for f in {r[0] for r in rest}}
+            near, rest = [r for r in rest if like[r[0]]], [r for r in rest if not like[r[0]]]
             if sum(r[2] for r in near) >= least:
                 best = max(near, key=lambda r: r[2])
                 out.append((key[0], key[1], best[1], sum(r[2] for r in near)))
@@ -133,7 +143,7 @@ def line_kind(template: Column) -> Column:
 
 def classified_lines(lines: DataFrame, pages: DataFrame, id_col: str) -> DataFrame:
     """lines with `kind`, the rule that drops a line or null."""
-    rep = repeated_lines(candidates(lines, id_col), pages, id_col)
+    rep = repeated_lines(candidates(pages, id_col), pages, id_col)
     zone = rep.groupBy(id_col, "form").agg(F.max(F.when(F.col("zone") == "header", True)).alias("as_header"), F.max(F.when(F.col("zone") == "footer", True)).alias("as_footer"))
     # only edge lines are compared and joined; the others stay where they are
     edge = lines.where(at_edge()).withColumn("form", T.edge_form(F.col("line"))).join(zone, [id_col, "form"], "left").drop("form")

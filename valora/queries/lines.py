@@ -36,17 +36,17 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def edge_lines(s: SparkSession, d: str) -> DataFrame:
-    return pages.edge_lines(pages.lines_of(_pages(s, d), "document_id"), "document_id")
+    return pages.edge_lines(_pages(s, d), "document_id")
 
 
 def repeated_lines(s: SparkSession, d: str) -> DataFrame:
     p = _pages(s, d)
-    return pages.repeated_lines(pages.candidates(pages.lines_of(p, "document_id"), "document_id"), p, "document_id")
+    return pages.repeated_lines(pages.candidates(p, "document_id"), p, "document_id")
 
 
 def fuzzy_repeated_lines(s: SparkSession, d: str) -> DataFrame:
     p = _pages(s, d)
-    return pages.fuzzy_repeated_lines(pages.candidates(pages.lines_of(p, "document_id"), "document_id"), p, "document_id")
+    return pages.fuzzy_repeated_lines(pages.candidates(p, "document_id"), p, "document_id")
 
 
 def clean_lines(s: SparkSession, d: str) -> DataFrame:
