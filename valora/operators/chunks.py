@@ -63,9 +63,12 @@ def merge_lines(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str
 
 
 def line_chunks(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """merge_lines() as a column of arrays (Arrow: greedy merging is sequential)."""
+    """merge_lines() as a column of arrays (Arrow: greedy merging is sequential).
+
+    Told to be nondeterministic, or an explode's filter would merge every text a second time.
+    """
     check_size(size, overlap)
-    return F.pandas_udf(lambda s: pd.Series([[] if x is None else merge_lines(x, size, overlap) for x in s], dtype=object), "array<string>")(c)
+    return F.pandas_udf(lambda s: pd.Series([[] if x is None else merge_lines(x, size, overlap) for x in s], dtype=object), "array<string>").asNondeterministic()(c)
 
 
 CHUNK_FIELDS = ["id", "source_id", "source_type", "strategy", "chunk_index", "chunks_in_source", "length", "chunk_overlap"]
