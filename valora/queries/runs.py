@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.functions import scales as S
 from valora.functions import text as T
 from valora.operators import export, history, learning, rollup, rubric
 from valora.queries import fragments as Q
