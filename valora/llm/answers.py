@@ -362,4 +362,6 @@ def with_defects(df: DataFrame, question_col: str, answer_col: str) -> DataFrame
     def run(q: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([defects(x, y) for x, y in zip(q, a, strict=True)], dtype=object)
 
-    return spread(df).withColumn("defects", F.pandas_udf(run, "array<string>")(F.col(question_col), F.col(answer_col)))
+    # told to be nondeterministic, or an explode's filter would judge every pair a second time
+    judge = F.pandas_udf(run, "array<string>").asNondeterministic()
+    return spread(df).withColumn("defects", judge(F.col(question_col), F.col(answer_col)))

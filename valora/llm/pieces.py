@@ -159,7 +159,9 @@ def with_pieces(df: DataFrame, text_col: str, limit: int = LIMIT, overlap: int =
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut(t, limit, overlap) for t in texts], dtype=object)
 
-    return spread(df).withColumn("pieces", F.pandas_udf(run, PIECES)(F.col(text_col)))
+    # told to be nondeterministic, or an explode's filter would cut every text a second time
+    cut_ = F.pandas_udf(run, PIECES).asNondeterministic()
+    return spread(df).withColumn("pieces", cut_(F.col(text_col)))
 
 
 def _meta(meta: Column, p: Column, i: Column, count: Column) -> Column:
