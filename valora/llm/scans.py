@@ -368,7 +368,8 @@ def corrections(lex: DataFrame, ratio: float = RATIO, least: int = LEAST, max_co
     Deletions of folded words are joined (symmetric delete); a candidate is at least `ratio` times
     as frequent and within `max_cost`. rank 1 is the cheapest, then the most frequent.
     """
-    keys = F.pandas_udf(lambda w: pd.Series([deletions(fold(x)) for x in w], dtype=object), "array<string>")
+    # told to be nondeterministic, so that filters and explodes don't compute them twice
+    keys = F.pandas_udf(lambda w: pd.Series([deletions(fold(x)) for x in w], dtype=object), "array<string>").asNondeterministic()
     read = lex.where(F.length("word") >= 3).withColumn("del", F.explode(keys("word")))
     meant = read.where(f"n >= {least} AND NOT odd").select(F.col("word").alias("fix"), F.col("n").alias("n_fix"), "del")
     top = lex.agg(F.max("n")).first()[0] or 0
@@ -379,7 +380,7 @@ def corrections(lex: DataFrame, ratio: float = RATIO, least: int = LEAST, max_co
         .select("word", "fix", F.col("n").alias("n_word"), "n_fix")
         .distinct()
     )
-    cost = F.pandas_udf(lambda a, b: pd.Series([distance(x, y, max_cost) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
+    cost = F.pandas_udf(lambda a, b: pd.Series([distance(x, y, max_cost) for x, y in zip(a, b, strict=True)], dtype="float64"), "double").asNondeterministic()
     good = pairs.withColumn("cost", cost("word", "fix")).where(f"cost < {max_cost}")
     order = F.row_number().over(Window.partitionBy("word").orderBy("cost", F.desc("n_fix"), "fix"))
     return good.withColumn("rank", order)
