@@ -93,7 +93,6 @@ class Items:
             if w:
                 self.ids.append(i)
                 self.codes.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64))
-        self.size = min([seed, *(len(c) for c in self.codes)]) if self.codes else seed
         grams = [gram_hashes(c, self._n(c)) for c in self.codes]
         self.short = sorted({len(c) for c in self.codes if len(c) < seed})
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
@@ -133,18 +132,14 @@ def _member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _hits(codes: np.ndarray, items: Items, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the n-grams among keys; only stretches of known words are hashed."""
+    """Positions and hashes of the n-grams among keys; only stretches of known words count."""
     pos, val = [], []
     for n in items.sizes():
         if len(codes) >= n:
             known = np.concatenate(([0], np.cumsum(codes > 0)))
             whole = np.flatnonzero(known[n:] - known[:-n] == n)
             if len(whole):
-                h = np.full(len(whole), 7, np.uint64)
-                for i in range(n):
-                    h = (h ^ codes[whole + i].astype(np.uint64)) * _M1
-                    h ^= h >> np.uint64(29)
-                h *= _M2
+                h = gram_hashes(codes, n)[whole]
                 ok = _member(h, keys)
                 pos.append(whole[ok])
                 val.append(h[ok])

@@ -18,7 +18,8 @@ windows (at most WINDOW - RUN + 1) hashed one by one, and windows that two recor
 All steps are hash aggregations with partial sums, so a passage that a third of all records hold
 weighs no more than its distinct surroundings.
 
-Hashes have 64 bits over mixed code points; a false match needs a collision among runs and windows.
+Hashes have 64 bits over mixed code points, and a match needs two of them to agree: that of the run,
+and that of the reach or window around it.
 
 Defined results: null texts, empty texts and texts shorter than WINDOW have no spans; a passage
 repeated only within one record is not shared; repeated rows (equal text under another id) are
@@ -226,9 +227,10 @@ def shared_windows(df: DataFrame, id_col: str, text_col: str, window: int = WIND
     hashed = keep(window_hashes(texts, window), "p9-windows")
     owner = parted.select("h", "r", "d0", "d1")
     full = hashed.join(small_side(owner, parted.count()), ["h", "r"])
-    good = full.groupBy("w").agg(F.min("d0").alias("first_doc"), F.max("d1").alias("d1")).where("first_doc <> d1").select("w", "first_doc")
+    same = ["h", "off", "w"]  # equal windows have equal anchors, so the run's hash adds its bits to the window's
+    good = full.groupBy(*same).agg(F.min("d0").alias("first_doc"), F.max("d1").alias("d1")).where("first_doc <> d1").select(*same, "first_doc")
     part = (
-        hashed.join(good, "w")
+        hashed.join(good, same)
         .groupBy("h", "r")
         .agg(F.sort_array(F.collect_set(F.struct("off", "first_doc"))).alias("offs"))  # at most window - run + 1
     )
