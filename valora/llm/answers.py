@@ -84,6 +84,8 @@ def is_empty(text: str) -> bool:
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "‹": "›"}
 _CLOSERS = {v: k for k, v in _PAIRS.items()}
+_TAG_PARTS = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*?(/?)>")
+_MARK = re.compile(rf'```|{_TAG_PARTS.pattern}|[{re.escape("".join(_PAIRS) + "".join(_CLOSERS))}"]')
 _ENUM = re.compile(r"(?:^|\n|\s)(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})$")
 
 
@@ -94,39 +96,32 @@ def open_at_end(text: str) -> list[str]:
     text. A straight quote opens before a word and closes after one.
     """
     stack: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if text.startswith("```", i):
-            if "```" in stack:
-                del stack[stack.index("```") :]
+    for m in _MARK.finditer(text):
+        c, i = m.group(), m.start()
+        if c == "```":
+            if c in stack:
+                del stack[stack.index(c) :]
             else:
-                stack.append("```")
-            i += 3
-            continue
-        if c == "<":
-            m = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*?(/?)>").match(text, i)
-            if m:
-                tag = "<" + m.group(2).lower()
-                if m.group(1):
-                    if tag in stack:
-                        del stack[len(stack) - 1 - stack[::-1].index(tag) :]
-                elif not m.group(3) and tag not in ("<br", "<hr", "<img", "<li", "<p"):
-                    stack.append(tag)
-                i = m.end()
-                continue
-        if c in _PAIRS:
+                stack.append(c)
+        elif c[0] == "<":
+            t = _TAG_PARTS.match(c)
+            tag = "<" + t.group(2).lower()
+            if t.group(1):
+                if tag in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+            elif not t.group(3) and tag not in ("<br", "<hr", "<img", "<li", "<p"):
+                stack.append(tag)
+        elif c in _PAIRS:
             stack.append(c)
         elif c in _CLOSERS:
             want = _CLOSERS[c]
             if want in stack and not (c == ")" and stack[-1] != "(" and _ENUM.search(text[max(0, i - 6) : i])):
                 del stack[len(stack) - 1 - stack[::-1].index(want) :]
         elif c == '"':
-            if '"' in stack:
-                del stack[stack.index('"') :]
+            if c in stack:
+                del stack[stack.index(c) :]
             else:
-                stack.append('"')
-        i += 1
+                stack.append(c)
     return stack
 
 
@@ -313,13 +308,16 @@ _COUNT = {w: sum(w in s for s in _SETS.values()) for s in _SETS.values() for w i
 _HINTS = {"pt": re.compile(r"[ãõ]|ç(?:ão|ões)"), "es": re.compile(r"[ñ¿¡]|ción\b"), "fr": re.compile(r"[èêœùî]|\bl'|\bd'|\bqu'"), "it": re.compile(r"zione\b|\bdell'|\bl'")}
 _SCRIPTS = {"cyrillic": re.compile("[Ѐ-ӿ]"), "greek": re.compile("[Ͱ-Ͽ]"), "arabic": re.compile("[\u0600-ۿ]"), "han": re.compile("[一-鿿぀-ヿ가-힯]")}
 
+_ANY_SCRIPT = re.compile("|".join(rx.pattern for rx in _SCRIPTS.values()))
+
 
 def language(text: str, least: float = 2.0) -> str | None:
     """The language of a text by script and function words; None without enough of them."""
-    letters = sum(c.isalpha() for c in text)
-    for name, rx in _SCRIPTS.items():
-        if letters and len(rx.findall(text)) > 0.5 * letters:
-            return name
+    if _ANY_SCRIPT.search(text):
+        letters = sum(c.isalpha() for c in text)
+        for name, rx in _SCRIPTS.items():
+            if len(rx.findall(text)) > 0.5 * letters:
+                return name
     low = text.lower().replace("’", "'")
     score = dict.fromkeys(_SETS, 0.0)
     for w in re.findall(r"[^\W\d_]+", low):
@@ -334,12 +332,23 @@ def language(text: str, least: float = 2.0) -> str | None:
     return first if score[first] >= least and score[first] >= 1.25 * score[second] else None
 
 
+_ASKED: dict[str, str | None] = {}
+
+
 def other_language(question: str | None, text: str) -> bool:
-    """Whether question and answer, quotations aside, are in two different languages."""
+    """Whether question and answer, quotations aside, are in two different languages.
+
+    Questions recur, so their languages are remembered.
+    """
     body = _SCORE.sub("", _QUOTED.sub(" ", unwrapped(text)))
     if len(_WORD.findall(body)) < 4:
         return False
-    q, a = language(question or "", 1.0), language(body)
+    known = question or ""
+    if known not in _ASKED:
+        if len(_ASKED) > 4096:
+            _ASKED.clear()
+        _ASKED[known] = language(known, 1.0)
+    q, a = _ASKED[known], language(body)
     return q is not None and a is not None and q != a
 
 
