@@ -69,3 +69,20 @@ def test_edited_copies_score_high():
     edited[25] = 5000
     s, m, r, _ = leaks.align(item, np.concatenate((np.arange(6000, 6020), edited, np.arange(7000, 7020))))
     assert s >= 0.75 * leaks.MATCH * 40 and m >= 35 and r < 12
+
+
+def test_edited_copies_are_found(spark):
+    """Copies with an edit in every 9 words hold no 12 words of their item, but some of its n-grams."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"p{rng.randrange(4000)}" for _ in range(60))) for i in range(20)]
+    docs = []
+    for i, t in items:
+        copy = [f"otra{k}" if k % 9 == i % 9 else w for k, w in enumerate(t.split())]
+        docs.append((i, " ".join([*(f"ruido{rng.randrange(500)}" for _ in range(30)), *copy])))
+    docs += [(100 + i, t) for i, t in items[:5]]  # whole copies, so that all n-grams of some items are held
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    out = leaks.leaks(dd, "doc_id", "text", ii, "item_id", "item_text").collect()
+    assert {(r["doc"], r["item_id"]) for r in out if r["share"] >= 0.5} == {(d, d % 100) for d, _ in docs}
+    assert all(r["longest_run"] < 12 for r in out if r["doc"] < 100)
+    codes = leaks.Items([0], [items[7][1]])
+    assert next(r["score"] for r in out if r["doc"] == 7) == leaks.align(codes.codes[0], codes.number(docs[7][1].split()))[0]

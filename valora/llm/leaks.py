@@ -1,20 +1,18 @@
 """Evaluation texts inside training text (problem 8).
 
-Method: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores
-what they join.
-
-1. The items' words become numbers; every n-gram of an item is a candidate seed. One pass over the
-   whole corpus keeps, of each document, the candidate seeds it has; from that table it is counted
-   in how many documents each occurs.
-2. Of each stretch of `run` words of an item, the n-gram that the fewest documents have becomes a
-   seed. Any document with `run` consecutive words of an item so holds one of its seeds.
-3. The documents that hold a seed, by the same table, are read again, and the stretch around the
-   seeds is aligned with the item, locally, word by word. Copies that were edited or paraphrased in
-   part keep a high score; the longest exact run is counted in the same alignment table.
+Method: n-gram seeds join training passages to test items, Smith-Waterman alignment scores what
+they join.
+
+1. The items' words become numbers; every n-gram of an item is a seed. None is left out as frequent:
+   an edit destroys the n-grams over it, and which of an item's a copy keeps is not known before.
+2. In one pass over the corpus the n-grams of each document are looked up among the seeds, and the
+   stretch around those it holds is aligned with their items, locally, word by word. Copies that
+   were edited or paraphrased in part keep a high score; the longest exact run is counted in the
+   same alignment table. A copy without `seed` consecutive words of its item is not found.
 
 The items are the query set: they are broadcast in blocks of bounded size (ITEM_BLOCK_WORDS words),
 each set against all documents, so what is broadcast doesn't grow with the corpus, and no text is
-shuffled but those of documents with a seed, where their ids are too many to broadcast.
+shuffled.
 
 Defined results: null and empty texts leak nothing; items of fewer words than a seed are matched by
 their whole text; an item that occurs several times in a document gives one row, its best
@@ -37,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valora.runtime import keep, small_side, spread
+from valora.runtime import spread
 
 #: Words of a seed, and of the exact run that counts as a leak.
 SEED = 6
@@ -83,37 +81,33 @@ def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Items:
-    """A block of items: word numbers, n-grams and, once counted, seeds."""
+    """A block of items: word numbers and n-grams, each with its items and its places in them."""
 
     def __init__(self, ids: list, texts: list[str | None], seed: int = SEED, run: int = RUN):
-        self.seed, self.run = seed, run
+        self.seed = min(seed, run)  # so that every exact run holds a seed
         self.ids, self.codes, self.vocabulary = [], [], {}
         for i, t in zip(ids, texts, strict=True):
             w = words_of(t or "")
             if w:
                 self.ids.append(i)
                 self.codes.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64))
-        grams = [gram_hashes(c, self._n(c)) for c in self.codes]
-        self.short = sorted({len(c) for c in self.codes if len(c) < seed})
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-
-    def _n(self, codes: np.ndarray) -> int:
-        return min(self.seed, len(codes))
+        hashes = [gram_hashes(c, min(self.seed, len(c))) for c in self.codes]
+        self.short = sorted({len(c) for c in self.codes if len(c) < self.seed})
+        flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.grams = flat[order]
+        self.item_of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
+        self.place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, np.int64)])[order]
 
     def sizes(self) -> list[int]:
         return [*self.short, self.seed]
 
-    def choose(self, counts: dict[int, int]) -> None:
-        """Seeds: of each stretch of `run` words its rarest n-gram, the leftmost of equals."""
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, c in enumerate(self.codes):
-            h = gram_hashes(c, self._n(c))
-            df = np.array([counts.get(x, 0) for x in h.view(np.int64).tolist()])
-            span = max(1, min(self.run, len(c)) - self._n(c) + 1)
-            picked = {int(s + np.argmin(df[s : s + span])) for s in range(max(1, len(h) - span + 1))}
-            for p in sorted(picked):
-                self.seeds[int(h[p])].append((k, p))
-        self.seed_keys = np.sort(np.fromiter(self.seeds, np.uint64, len(self.seeds)))
+    def starts(self, pos: np.ndarray, val: np.ndarray) -> np.ndarray:
+        """(item, where it would begin) of all items that hold the n-grams val, which stand at pos."""
+        lo = np.searchsorted(self.grams, val, "left")
+        n = np.searchsorted(self.grams, val, "right") - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.unique(np.stack((self.item_of[at], np.repeat(pos, n) - self.place[at]), axis=1), axis=0)
 
     def number(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
@@ -131,8 +125,8 @@ def _member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
-def _hits(codes: np.ndarray, items: Items, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the n-grams among keys; only stretches of known words count."""
+def _hits(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the n-grams that are seeds; only stretches of known words count."""
     pos, val = [], []
     for n in items.sizes():
         if len(codes) >= n:
@@ -140,7 +134,7 @@ def _hits(codes: np.ndarray, items: Items, keys: np.ndarray) -> tuple[np.ndarray
             whole = np.flatnonzero(known[n:] - known[:-n] == n)
             if len(whole):
                 h = gram_hashes(codes, n)[whole]
-                ok = _member(h, keys)
+                ok = _member(h, items.grams)
                 pos.append(whole[ok])
                 val.append(h[ok])
     return (np.concatenate(pos), np.concatenate(val)) if pos else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -182,19 +176,17 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
 
 def leaks_in(codes: np.ndarray, items: Items) -> list[tuple]:
     """(item id, score, share of the best score, matched words, longest run, from, to) of one document."""
-    pos, val = _hits(codes, items, items.seed_keys)
+    pos, val = _hits(codes, items)
     if not len(pos):
         return []
     at: dict[int, list[int]] = defaultdict(list)
-    for p, h in zip(pos.tolist(), val.tolist(), strict=True):
-        for k, q in items.seeds[h]:
-            at[k].append(p - q)  # where the item would begin
+    for k, s in items.starts(pos, val).tolist():
+        at[k].append(s)
     out = []
     for k, starts in at.items():
         item = items.codes[k]
         slack = len(item)
         best = None
-        starts = sorted(set(starts))
         lo = starts[0]
         groups, cur = [], [lo, lo]
         for s in starts[1:]:  # seeds near each other share a stretch
@@ -242,38 +234,18 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id
     for block in _blocks(items, item_id, item_text, seed, run):
         held = spark.sparkContext.broadcast(cloudpickle.dumps(block))
 
-        def note(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def find(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             it = pickle.loads(held.value)
             for pdf in batches:
                 size = pdf["text"].str.len().cumsum() // BATCH
                 for _, part in pdf.groupby(size, sort=False):
                     codes, start = it.numbered(part["text"].tolist())
-                    pos, val = _hits(codes, it, it.grams)
-                    if len(pos):
-                        has = pd.DataFrame({"doc": part["doc"].to_numpy()[np.searchsorted(start, pos, "right") - 1], "gram": val.view(np.int64)}).drop_duplicates()
-                        yield has.groupby("doc")["gram"].agg(list).reset_index(name="grams")
-
-        noted = keep(spread(src).mapInPandas(note, "doc long, grams array<long>"), "p8-noted")
-        # at most one row per n-gram of the block comes to the driver
-        counted = noted.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()
-        block.choose({r["gram"]: r["n"] for r in counted})
-        ready = spark.sparkContext.broadcast(cloudpickle.dumps(block))
-
-        def seeded(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
-            keys = pickle.loads(ready.value).seed_keys
-            for pdf in batches:
-                flat = np.concatenate([*pdf["grams"], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
-                row = np.repeat(np.arange(len(pdf)), pdf["grams"].str.len())
-                yield pdf[["doc"]].iloc[np.unique(row[_member(flat, keys)])]
-
-        def find(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
-            it = pickle.loads(ready.value)
-            for pdf in batches:
-                rows = [(d, *x) for d, t in zip(pdf["doc"], pdf["text"], strict=True) for x in leaks_in(it.number(words_of(t)), it)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc", "item_id", "score", "share", "matched_words", "longest_run", "from_word", "to_word"])
+                    ids = part["doc"].tolist()
+                    seeded = np.unique(np.searchsorted(start, _hits(codes, it)[0], "right") - 1).tolist()
+                    rows = [(ids[i], *x) for i in seeded for x in leaks_in(codes[start[i] : start[i + 1] - 1], it)]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["doc", "item_id", "score", "share", "matched_words", "longest_run", "from_word", "to_word"])
 
-        holders = keep(noted.mapInPandas(seeded, "doc long").distinct(), "p8-seeded")
-        part = src.join(small_side(holders), "doc", "left_semi").mapInPandas(find, LEAK_SCHEMA)
+        part = spread(src).mapInPandas(find, LEAK_SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], LEAK_SCHEMA)
