@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from valora.functions import text as T
@@ -65,6 +65,15 @@ def merge_upsert(s: SparkSession, d: str) -> DataFrame:
     return history.merge_results(previous, update, ["document_id", "question_id"], ["question_score"], ["justification"])
 
 
+def merge_newest(s: SparkSession, d: str) -> DataFrame:
+    """The newest run of each report, merged into the first rows of all report-question keys."""
+    keys = ["document_id", "question_id"]
+    e = _export(s, d).where("question_id IS NOT NULL AND document_id IS NOT NULL").select(*keys, "question_score", "justification", "run_ts", "row_id")
+    newest = F.max("run_ts").over(Window.partitionBy(T.identifier(F.col("document_id"))))
+    update = e.withColumn("_newest", newest).where("run_ts = _newest").drop("_newest")
+    return history.merge_results(history.first_rows(e, keys, ["row_id"]), history.first_rows(update, keys, ["row_id"]), keys, ["question_score"], ["justification"])
+
+
 def rerun_targets(s: SparkSession, d: str) -> DataFrame:
     explicit = table(s, d, "rubric_questions").where("section_id = 'lecciones'").select("question_id")
     return history.rerun_targets(_export(s, d), "question_id", "question_score", explicit)
@@ -80,6 +89,13 @@ def reused_runs(s: SparkSession, d: str) -> DataFrame:
     return history.reused_runs(e.where("row_id % 2 = 0").select("run_id").distinct(), e.where("row_id % 2 = 1").select("run_id"))
 
 
+def reloaded_runs(s: SparkSession, d: str) -> DataFrame:
+    """Run ids that come again after the load that brought them first."""
+    e = _export(s, d).where("run_id IS NOT NULL").select("run_id", "loaded_at")
+    first = e.groupBy("run_id").agg(F.min("loaded_at").alias("_first"))
+    return history.reused_runs(e, e.join(first, "run_id").where("loaded_at > _first"))
+
+
 def subset_export(s: SparkSession, d: str) -> DataFrame:
     """Export rows of some sections only, deduplicated, with scores of sections made anew."""
     targets = s.createDataFrame([("Marco_Problema",), ("lecciones",)], "section_id string")
@@ -169,7 +185,7 @@ def stream_merge(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        filtered_rubric, missing_targets, weight_sums, rubric_violations, duplicate_levels, dedup_first, merge_upsert, rerun_targets, history_append, reused_runs, subset_export,
+        filtered_rubric, missing_targets, weight_sums, rubric_violations, duplicate_levels, dedup_first, merge_upsert, merge_newest, rerun_targets, history_append, reused_runs, reloaded_runs, subset_export,
         export_flat, export_rescaled, export_payload, metadata_fields, metadata_leaves, training_rows, training_checks, error_metrics, human_correlation, ridge_train, stream_quality, stream_merge,
     )
 }
