@@ -59,6 +59,31 @@ def test_numbers_and_forms():
     assert scans.odd_token("obser\\/a") and scans.odd_token("1oca1") and not scans.odd_token("m²") and not scans.odd_token("N.º") and not scans.odd_token("2021")
 
 
+def test_linked_forms_fold_alike():
+    """What a pair rule makes is folded again, whatever stands around it."""
+    assert scans.fold("gobierno") == scans.fold("gobierrio") and scans.head_form("Gobierrio Regional") == scans.head_form("Gobierno Regional")
+    folded = [(a, b) for a, b in scans.CONFUSIONS if (a, b) not in scans._UNFOLDED]
+    assert {("rn", "m"), ("ri", "n"), ("cl", "d"), ("€", "e"), ("|", "r")} <= set(folded)
+    around = "aceilmnru"
+    for a, b in folded:
+        for x in around:
+            for y in around:
+                assert scans.fold(f"pr{x}{a}{y}is") == scans.fold(f"pr{x}{b}{y}is"), (a, b, x, y)
+
+
+def test_every_confusion_leads_to_its_word():
+    for a, b in scans.CONFUSIONS:
+        for x in "aeinrou":
+            for y in "aeinrou":
+                read, meant = f"pas{x}{a}{y}sol", f"pas{x}{b}{y}sol"
+                assert set(scans.keys_of(read)) & set(scans.keys_of(meant)), (read, meant)
+
+
+def test_head_whose_misreading_folds_in_two_steps(spark):
+    pages = [(1, "d", 0, "Gobierno Regional\nel informe presenta"), (2, "d", 1, "Gobierrio Regional\nlas regiones"), (3, "d", 2, "Gobierno Regional\nel presupuesto")]
+    assert {(i, 1, "running") for i in (1, 2, 3)} <= defects(spark, pages)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, doc string, page int, t string")
     s = scans.Scans(scans.pages_of(df, "x", "id", "doc", "page", "t"))

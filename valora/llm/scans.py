@@ -72,9 +72,10 @@ def bare(text: str) -> str:
     return t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", t))
 
 
-# classes of characters that are read for each other, then of pairs, in terms of the classes
+# classes of characters that are read for each other, then of pairs, in terms of the classes; no pair
+# begins as one ends, so that their order doesn't matter once they are repeated to the end
 _SINGLE = str.maketrans(
-    {"1": "i", "l": "i", "!": "i", "0": "o", "6": "o", "b": "o", "8": "o", "5": "s", "$": "s", "9": "g", "q": "g", "@": "a", "4": "a", "†": "t", "‡": "t", "7": "t", "|": "r", "v": "u", "c": "e", "3": "e", "2": "z"}
+    {"1": "i", "l": "i", "!": "i", "0": "o", "6": "o", "b": "o", "8": "o", "5": "s", "$": "s", "9": "g", "q": "g", "@": "a", "4": "a", "†": "t", "‡": "t", "7": "t", "|": "r", "v": "u", "c": "e", "3": "e", "€": "e", "¡": "i", "2": "z"}
 )
 _MULTI = (("rn", "m"), ("ri", "n"), ("ei", "d"))
 
@@ -82,8 +83,11 @@ _MULTI = (("rn", "m"), ("ri", "n"), ("ei", "d"))
 def fold(text: str) -> str:
     """A form in which a text and its misreadings are equal."""
     t = bare(text).replace("\\/", "u").translate(_SINGLE)
-    for a, b in _MULTI:
-        t = t.replace(a, b)
+    before = None
+    while t != before:
+        before = t
+        for a, b in _MULTI:
+            t = t.replace(a, b)
     return t
 
 
@@ -355,6 +359,19 @@ def deletions(form: str) -> list[str]:
     return list({form, *(form[:i] + form[i + 1 :] for i in range(len(form)))}) if len(form) > 4 else [form]
 
 
+_UNFOLDED = [(a, b) for a, b in CONFUSIONS if fold(a) != fold(b)]
+
+
+def keys_of(word: str) -> list[str]:
+    """Deletions of a word's folded form; of longer words also the folded forms that one confusion
+    makes which the fold doesn't make equal, so that every confusion leads to a shared key."""
+    form, t = fold(word), bare(word)
+    if len(form) <= 4:
+        return deletions(form)
+    more = {fold(t[:i] + b + t[i + len(a) :]) for a, b in _UNFOLDED for i in range(len(t)) if t.startswith(a, i)}
+    return list({*deletions(form), *more})
+
+
 def lexicon(fact: DataFrame) -> DataFrame:
     """(word, n, odd) over all body lines; words broken over lines count as joined; odd ones have
     characters that no word has and are never candidates."""
@@ -365,11 +382,11 @@ def lexicon(fact: DataFrame) -> DataFrame:
 def corrections(lex: DataFrame, ratio: float = RATIO, least: int = LEAST, max_cost: float = MAX_COST) -> DataFrame:
     """(word, fix, cost, n_word, n_fix, rank): candidates of every word that is likely misread.
 
-    Deletions of folded words are joined (symmetric delete); a candidate is at least `ratio` times
+    Deletions of folded words are joined (symmetric delete, keys_of); a candidate is at least `ratio` times
     as frequent and within `max_cost`. rank 1 is the cheapest, then the most frequent.
     """
     # told to be nondeterministic, so that filters and explodes don't compute them twice
-    keys = F.pandas_udf(lambda w: pd.Series([deletions(fold(x)) for x in w], dtype=object), "array<string>").asNondeterministic()
+    keys = F.pandas_udf(lambda w: pd.Series([keys_of(x) for x in w], dtype=object), "array<string>").asNondeterministic()
     read = lex.where(F.length("word") >= 3).withColumn("del", F.explode(keys("word")))
     meant = read.where(f"n >= {least} AND NOT odd").select(F.col("word").alias("fix"), F.col("n").alias("n_fix"), "del")
     top = lex.agg(F.max("n")).first()[0] or 0
