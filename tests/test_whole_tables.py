@@ -49,3 +49,17 @@ def test_reloaded_runs_sees_rows_of_one_parity(spark, data, tmp_path):
             loads.setdefault(r["run_id"], set()).add(r["loaded_at"])
         want = {k for k, v in loads.items() if k is not None and len(v) > 1}
         assert want and {r["run_id"] for r in queries.QUERIES["reloaded_runs"](spark, at).collect()} == want
+
+
+def test_text_rules_run_over_their_tables_and_literals(spark, data, oracle):
+    docs = table(spark, data, "documents").count()
+    lines = sum(r["ocr_text"].count("\n") + 1 for r in table(spark, data, "ocr_pages").collect() if r["ocr_text"] is not None)
+    for name, n in (("html_strip", docs), ("page_marker", docs), ("page_edge_numbers", lines)):
+        literals = [tuple(r) for r in queries.QUERIES[name](spark, data).collect()]
+        got = [tuple(r) for r in queries.QUERIES[f"{name}_all"](spark, data).collect()]
+        assert n and len(got) == n + len(literals) and set(literals) <= set(got)
+        # the same SQL over the table's rows instead of the literals
+        sql = queries.sql()[name]
+        src = "(SELECT ocr_page_id || ':' || i AS id, list_extract(x, i) AS t FROM (SELECT ocr_page_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT ocr_page_id, string_split(ocr_text, chr(10)) AS x FROM ocr_pages)))" if name == "page_edge_numbers" else "(SELECT doc_id::VARCHAR AS id, text AS t FROM documents)"
+        want = oracle.sql(f"{sql[: sql.index('(VALUES')]}{src}").df()
+        assert {tuple(None if x is None or x != x else x for x in r) for r in want.itertuples(index=False)} == set(got) - set(literals)

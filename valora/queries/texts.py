@@ -58,6 +58,28 @@ def page_edge_numbers(s: SparkSession, d: str) -> DataFrame:
     return _lit(s, NUMBERS).select("id", T.drop_trailing_page_number(t).alias("trailing"), T.drop_leading_page_number(t).alias("leading"), T.edge_form(t).alias("form"))
 
 
+def _with_literals(s: SparkSession, rows: DataFrame, id_col: str, text_col: str, literals: list[tuple[str, str]]) -> DataFrame:
+    return rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).unionByName(_lit(s, literals))
+
+
+def html_strip_all(s: SparkSession, d: str) -> DataFrame:
+    """html_strip over all documents and the literals."""
+    return _with_literals(s, table(s, d, "documents"), "doc_id", "text", HTML).select("id", T.strip_tags(T.unescape_html("t")).alias("t"))
+
+
+def page_marker_all(s: SparkSession, d: str) -> DataFrame:
+    """page_marker over all documents and the literals."""
+    return _with_literals(s, table(s, d, "documents"), "doc_id", "text", MARKS).select("id", T.drop_page_marks(F.col("t")).alias("t"))
+
+
+def page_edge_numbers_all(s: SparkSession, d: str) -> DataFrame:
+    """page_edge_numbers over all lines of the scanned pages and the literals."""
+    t = F.col("t")
+    lines = table(s, d, "ocr_pages").select("ocr_page_id", F.posexplode(F.split("ocr_text", "\n")).alias("p", "line"))
+    lines = lines.select(F.concat_ws(":", "ocr_page_id", F.col("p") + 1).alias("id"), "line")
+    return _with_literals(s, lines, "id", "line", NUMBERS).select("id", T.drop_trailing_page_number(t).alias("trailing"), T.drop_leading_page_number(t).alias("leading"), T.edge_form(t).alias("form"))
+
+
 def prompt_safe(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunk_contexts").select("context_id", T.prompt_safe(F.col("chunk_text")).alias("t"))
 
@@ -88,7 +110,7 @@ def fixed_pages(s: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", (F.col("p") + 1).alias("page_no"), F.length("t").alias("chars"), F.md5("t").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (norm_identifier, norm_text, search_form, collapse_ws, collapse_repeats, html_strip, page_marker, page_edge_numbers, prompt_safe, truncate_budget, compact_lines, word_features, ordered_distinct, sheet_names, fixed_pages)}
+QUERIES = {f.__name__: f for f in (norm_identifier, norm_text, search_form, collapse_ws, collapse_repeats, html_strip, html_strip_all, page_marker, page_marker_all, page_edge_numbers, page_edge_numbers_all, prompt_safe, truncate_budget, compact_lines, word_features, ordered_distinct, sheet_names, fixed_pages)}
 
 
 def sql() -> dict[str, str]:
