@@ -6,13 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a join side may be broadcast; a wider side goes through a shuffled join.
 BROADCAST_ROWS = 500_000
-#: Bytes that such a side may take when every row is counted at its declared width.
+#: Bytes that such a side may take, measured over all its rows.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -82,21 +84,53 @@ def clean(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/valora/{spark.sparkContext.applicationId}")
 
 
-def row_width(df: DataFrame) -> int:
-    """Bytes of a row by its declared types, variable-width fields counted as 64."""
-    fixed = {"int": 4, "bigint": 8, "double": 8, "boolean": 1, "smallint": 2, "float": 4, "timestamp": 8, "date": 4}
-    return sum(fixed.get(t, 64) for _, t in df.dtypes) + 16
+_FIXED = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
 
 
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its counted rows and width prove it small, else df as it is.
+def _bytes_of(c: Column, t: T.DataType) -> Column | int:
+    """The bytes of a value: a number where its type tells, else a column that measures it."""
+    fixed = _FIXED.get(t.simpleString())
+    if fixed is not None:
+        return fixed
+    if isinstance(t, T.StructType):
+        return _sum_bytes([(c[f.name], f.dataType) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        one = _bytes_of(F.lit(None), t.elementType)
+        if isinstance(one, int):
+            return F.coalesce(F.size(c), F.lit(0)).cast("long") * one + 16
+        return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + _bytes_of(x, t.elementType)), F.lit(16))
+    if isinstance(t, T.MapType):
+        return _bytes_of(F.map_entries(c), T.ArrayType(T.StructType([T.StructField("key", t.keyType), T.StructField("value", t.valueType)])))
+    if isinstance(t, T.DecimalType):
+        return 16
+    return F.coalesce(F.octet_length(c.cast("string") if not isinstance(t, (T.StringType, T.BinaryType)) else c), F.lit(0)).cast("long") + 8
 
-    df should be a kept table, so that counting it reads only footers.
+
+def _sum_bytes(fields: list[tuple[Column, T.DataType]]) -> Column | int:
+    parts = [_bytes_of(c, t) for c, t in fields]
+    fixed, measured = sum(p for p in parts if isinstance(p, int)) + 8 * len(parts), [p for p in parts if not isinstance(p, int)]
+    return reduce(lambda a, b: a + b, measured, F.lit(fixed).cast("long")) if measured else fixed
+
+
+def row_bytes(df: DataFrame) -> Column | int:
+    """Bytes of a row of df: a number if all its types have one width, else a column that measures it."""
+    out = _sum_bytes([(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
+    return out + 16
+
+
+def small_side(df: DataFrame, rows: int | None = None, width: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows and measured bytes prove it small, else df as it is.
+
+    df should be a kept table: counting it reads footers only. Where rows hold texts, binaries or
+    arrays, and only if the number of rows is within its bound, their bytes are summed over the
+    table too, unless `width` states the bytes that no row exceeds by its making (as of digests).
     """
     n = df.count() if rows is None else rows
-    if n <= BROADCAST_ROWS and n * row_width(df) <= BROADCAST_BYTES:
-        return F.broadcast(df)
-    return df
+    if n > BROADCAST_ROWS:
+        return df
+    each = width or row_bytes(df)
+    size = n * each if isinstance(each, int) else (df.agg(F.sum(each)).first()[0] or 0)
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
