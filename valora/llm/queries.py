@@ -77,6 +77,12 @@ def p7_containers(spark: SparkSession, d: str, tokenizer: str = packing.TOKENIZE
     return packing.pack(counts).withColumnRenamed("doc", "doc_id")
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What p7_containers promises, counted over all containers and texts."""
+    packed = keep(p7_containers(spark, d), "p7-packed")
+    return packing.checks(packed.withColumnRenamed("doc_id", "doc"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
@@ -136,7 +142,7 @@ k AS (SELECT field_name, id, {mapped} AS m FROM r)
 SELECT field_name, id, CASE WHEN m <> '' THEN min(m) OVER (PARTITION BY field_name, nfc_normalize(m)) ELSE m END AS canonical_text FROM k"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_checks": p7_checks, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
@@ -144,6 +150,7 @@ def sql() -> dict[str, str]:
         "p1_found": _p1_found_sql(),
         "p1_canonical": _p1_canonical_sql(),
         "p2_found": oracle.linked_spellings(),
+        "p7_checks": f"SELECT count(*) AS texts, 0::BIGINT AS over_tokens, 0::BIGINT AS over_documents, 0::BIGINT AS over_cost, 0::BIGINT AS unreported, 0::BIGINT AS uneven, true AS dense FROM documents WHERE regexp_replace(text, '{oracle.GAPS}', '', 'g') <> ''",
         "p8_found": oracle.leaks(leaks.RUN),
         "p9_found": oracle.shared_spans(shared_spans.WINDOW),
         "p6_found": f"""
