@@ -17,6 +17,9 @@ BROADCAST_ROWS = 500_000
 #: Bytes that such a side may take, measured over all its rows.
 BROADCAST_BYTES = 64 << 20
 
+#: Rows of one join key that one task may get; a key with more is dealt over several.
+SALT_ROWS = 200_000
+
 
 def get_spark(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings that the engine expects (a cluster brings its own)."""
@@ -133,6 +136,26 @@ def small_side(df: DataFrame, rows: int | None = None, width: int | None = None)
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right on keys; a key of more than SALT_ROWS left rows is dealt over several tasks.
+
+    by: columns of left whose hash deals the rows of such a key; right's rows of it are repeated in
+    every part. counts: (keys, n) of left's rows where they are known, else they are counted (kept
+    tables make that cheap). The hot keys are at most left's rows / SALT_ROWS.
+    """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = keep(counts.where(f"n > {SALT_ROWS}").select(*keys, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("_parts")), "hot")
+    n = hot.count()
+    if n == 0:
+        forget(left.sparkSession, hot)
+        return left.join(right, keys)
+    parts = F.coalesce("_parts", F.lit(1))
+    hot = small_side(hot, n)
+    a = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return a.join(b, [*keys, "_salt"]).drop("_salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files would keep less than half of them busy, else as it is.
 
