@@ -4,6 +4,7 @@ import unicodedata
 
 import numpy as np
 
+from valora import runtime
 from valora.llm import leaks, queries
 
 
@@ -42,10 +43,21 @@ def test_found_equals_brute_force(spark):
     assert leaks.leaks(dd, "doc_id", "text", ii.limit(0), "item_id", "item_text").count() == 0
 
 
-def test_blocks_give_the_same(spark, data, monkeypatch):
-    a = {tuple(r) for r in queries.p8_found(spark, data).collect()}
-    monkeypatch.setattr(leaks, "ITEM_BLOCK_WORDS", 3000)
-    assert {tuple(r) for r in queries.p8_found(spark, data).collect()} == a and a
+def test_joined_and_salted_give_the_same_as_broadcast(spark, data, monkeypatch):
+    a = {tuple(r) for r in queries.p8_alignments(spark, data).collect()}
+    monkeypatch.setattr(leaks, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(runtime, "SALT_ROWS", 3)
+    monkeypatch.setattr(leaks, "FILTER_BITS", 1 << 12)  # a filter that lets most n-grams through
+    assert {tuple(r) for r in queries.p8_alignments(spark, data).collect()} == a and a
+
+
+def test_words_are_parted_by_any_white_space(spark):
+    """Items are bounded by their words whatever stands between them, and a leak crosses line feeds."""
+    item = "\n".join(f"palabra{i}" for i in range(20))
+    dd = spark.createDataFrame([(1, item.replace("\n", "\u00a0")), (2, "x")], "doc_id long, text string")
+    ii = spark.createDataFrame([(7, item), (7, "otro texto del mismo item"), (None, item)], "item_id long, item_text string")
+    assert [(r["doc"], r["item_id"], r["longest_run"], r["share"]) for r in leaks.leaks(dd, "doc_id", "text", ii, "item_id", "item_text").collect()] == [(1, 7, 20, 1.0)]
 
 
 def test_alignment_against_a_plain_table():
@@ -84,5 +96,27 @@ def test_edited_copies_are_found(spark):
     out = leaks.leaks(dd, "doc_id", "text", ii, "item_id", "item_text").collect()
     assert {(r["doc"], r["item_id"]) for r in out if r["share"] >= 0.5} == {(d, d % 100) for d, _ in docs}
     assert all(r["longest_run"] < 12 for r in out if r["doc"] < 100)
-    codes = leaks.Items([0], [items[7][1]])
-    assert next(r["score"] for r in out if r["doc"] == 7) == leaks.align(codes.codes[0], codes.number(docs[7][1].split()))[0]
+    known = leaks.Codes()
+    assert next(r["score"] for r in out if r["doc"] == 7) == leaks.align(known.of(items[7][1].split()), known.of(docs[7][1].split()))[0]
+
+
+def test_recall_of_edited_copies_against_aligning_all_pairs(spark):
+    """Copies with one word in 5 to 30 changed, dropped or added at random: those that an alignment of
+    all pairs scores at half of the item or more are the true ones."""
+    rng = random.Random(11)
+    items = [(i, [f"p{rng.randrange(3000)}" for _ in range(rng.randint(25, 80))]) for i in range(40)]
+    docs = []
+    for d in range(240):
+        w, rate = items[d % 40][1], rng.choice((5, 8, 12, 20, 30))
+        copy = []
+        for x in w:
+            kind = rng.randrange(3) if rng.random() < 1 / rate else None
+            copy += [x] if kind is None else [] if kind == 0 else [f"e{rng.randrange(99)}"] if kind == 1 else [x, f"e{rng.randrange(99)}"]
+        docs.append((d, [*(f"r{rng.randrange(300)}" for _ in range(20)), *copy, *(f"r{rng.randrange(300)}" for _ in range(20))]))
+    known = leaks.Codes()
+    coded = [(i, known.of(w)) for i, w in items]
+    want = {(d, i) for d, t in docs for i, c in coded if leaks.align(c, known.of(t))[0] >= leaks.MATCH * len(c) / 2}
+    dd = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    ii = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, item_text string")
+    got = {(r["doc"], r["item_id"]) for r in leaks.leaks(dd, "doc_id", "text", ii, "item_id", "item_text").where("share >= 0.5").collect()}
+    assert got <= want and len(want) > 150 and len(got) >= 0.9 * len(want), (len(got), len(want))
