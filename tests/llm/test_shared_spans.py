@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from valora import runtime
 from valora.llm import queries, shared_spans
 
 
@@ -75,6 +76,49 @@ def test_first_record_keeps_the_span(spark):
     assert out[1] == "Inicio propio. " + p and "Otro comienzo." in out[2] and "Final propio." in out[2] and "frase larga" not in out[2] and out[3] is None
 
 
+def brute_runs(rows, w, k):
+    """Shared characters of each text by runs of sentences, sentences cut by a plain loop."""
+    runs = {}
+    for d, t in rows:
+        at = [0]
+        for i in range(1, len(t)):
+            if t[i - 1].isspace() and not t[i].isspace():
+                head = t[:i].rstrip()
+                if (head and head[-1] in ".!?:;…") or "\n" in t[len(head) : i]:
+                    at.append(i)
+        cut = [(a, a + len(t[a:b].rstrip())) for a, b in zip(at, [*at[1:], len(t)]) if t[a:b].strip()]
+        for i, (a, _) in enumerate(cut):
+            e = next((e for _, e in cut[i + k - 1 :] if e - a >= w), None)
+            if e:
+                runs.setdefault(t[a:e], []).append((d, a, e))
+    shared = {d: set() for d, _ in rows}
+    for where in runs.values():
+        if len({d for d, _, _ in where}) > 1:
+            for d, a, e in where:
+                shared[d] |= set(range(a, e))
+    return {d: len(x) for d, x in shared.items()}
+
+
+def test_sentence_runs_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    pool = [" ".join(rng.choice("alfa beta gama delta eps".split()) for _ in range(rng.randint(1, 5))) + rng.choice([". ", "?  ", "\n", " \n\n ", ", ", "… "]) for _ in range(12)]
+    rows = [(d, rng.choice(["", " ", "\n "]) + "".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for d in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_runs(rows, 60, 2)
+    assert {r["doc"]: r["shared_chars"] for r in shared_spans.shared_share(df, "doc_id", "text", 60, 2).collect()} == want and sum(want.values()) > 500
+    monkeypatch.setattr(shared_spans, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(runtime, "SALT_ROWS", 2)
+    assert {r["doc"]: r["shared_chars"] for r in shared_spans.shared_share(df, "doc_id", "text", 60, 2).collect()} == want
+
+
+def test_hot_spans_dealt_over_tasks_are_the_same(spark, monkeypatch):
+    hot = "Una frase que muchos informes repiten sin cambio alguno en su texto. " * 6
+    rows = [(d, f"{d} " * (d % 6) + hot + f" {d}" * (d % 5), "x") for d in range(60)]
+    monkeypatch.setattr(shared_spans, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(runtime, "SALT_ROWS", 7)
+    assert run(spark, rows, 300, 150) == brute(rows, 300)
+
+
 def test_share_and_empty(spark, data):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert shared_spans.shared_spans(df, "doc_id", "text").count() == 0

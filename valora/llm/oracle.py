@@ -50,3 +50,33 @@ q AS (SELECT doc_id, p FROM h JOIN s USING (x)),
 b AS (SELECT *, CASE WHEN p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -{window}) + {window} THEN 1 ELSE 0 END AS brk FROM q),
 k AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY p) AS grp FROM b)
 SELECT doc_id, min(p) AS span_start, max(p) + {window} - min(p) AS span_len FROM k GROUP BY doc_id, grp"""
+
+
+def _sentence_runs(window: int, sentences: int) -> str:
+    """Sentences as pieces of the text, and the runs of them that two documents have."""
+    w = GAPS
+    return f"""p AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?:;…]{w}+|{w}*\\n{w}*)', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, text, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM p),
+o AS (SELECT doc_id, text, piece, i, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, length(regexp_replace(piece, '{w}+$', '')) AS n FROM q WHERE piece <> ''),
+z AS (SELECT doc_id, text, s, s + n AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o WHERE n > 0),
+r AS (SELECT a.doc_id, a.s, min(b.e) AS e, any_value(a.text) AS text FROM z a JOIN z b ON b.doc_id = a.doc_id AND b.k >= a.k + {sentences - 1} AND b.e - a.s >= {window} GROUP BY a.doc_id, a.k, a.s),
+x AS (SELECT doc_id, s, e, substr(text, s + 1, e - s) AS body FROM r),
+m AS (SELECT body, min(doc_id) AS one FROM x GROUP BY body HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT x.doc_id, x.s, x.e, x.doc_id = m.one AS is_first FROM x JOIN m USING (body))"""
+
+
+def shared_share(window: int, sentences: int) -> str:
+    """The length of the union of a document's shared runs of sentences."""
+    return f"""WITH {_sentence_runs(window, sentences)},
+b AS (SELECT *, CASE WHEN s > coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS brk FROM h),
+k AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY s, e) AS grp FROM b),
+u AS (SELECT doc_id, sum(len)::BIGINT AS shared FROM (SELECT doc_id, max(e) - min(s) AS len FROM k GROUP BY doc_id, grp) GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0) AS chars, coalesce(shared, 0) AS shared_chars, round(coalesce(shared / nullif(length(text), 0), 0.0), 6) AS share FROM documents LEFT JOIN u USING (doc_id)"""
+
+
+def deduplicated(window: int, sentences: int) -> str:
+    """The pieces that no run but a first one covers, in their order."""
+    return f"""WITH {_sentence_runs(window, sentences)},
+g AS (SELECT DISTINCT o.doc_id, o.i FROM o JOIN h ON h.doc_id = o.doc_id AND NOT h.is_first AND o.n > 0 AND o.s >= h.s AND o.s < h.e),
+t AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS kept FROM o ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS kept_text FROM documents LEFT JOIN t USING (doc_id)"""

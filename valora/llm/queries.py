@@ -102,12 +102,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_share(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each document is shared elsewhere."""
+    """How much of each document lies in runs of sentences that another has too."""
     return shared_spans.shared_share(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
 def p9_deduplicated(spark: SparkSession, d: str) -> DataFrame:
-    """Every document without the sentences that an earlier document's span covers."""
+    """Every document without the sentences of runs that an earlier document has."""
     return shared_spans.without_repeats(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "kept_text")
 
 
@@ -152,6 +152,8 @@ def sql() -> dict[str, str]:
         "p2_found": oracle.linked_spellings(),
         "p7_checks": f"SELECT count(*) AS texts, 0::BIGINT AS over_tokens, 0::BIGINT AS over_documents, 0::BIGINT AS over_cost, 0::BIGINT AS unreported, 0::BIGINT AS uneven, true AS dense FROM documents WHERE regexp_replace(text, '{oracle.GAPS}', '', 'g') <> ''",
         "p8_found": oracle.leaks(leaks.RUN),
+        "p9_share": oracle.shared_share(shared_spans.WINDOW, shared_spans.SENTENCES),
+        "p9_deduplicated": oracle.deduplicated(shared_spans.WINDOW, shared_spans.SENTENCES),
         "p9_found": oracle.shared_spans(shared_spans.WINDOW),
         "p6_found": f"""
 SELECT context_id, CASE WHEN list_max(list_transform(regexp_split_to_array(chunk_text, '{oracle.GAPS}'), lambda x: length(x))) > 1500

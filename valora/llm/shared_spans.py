@@ -1,27 +1,32 @@
 """Long exact spans shared between records (problem 9).
 
-Method: sliding sentence spans. Every text is cut into runs of RUN characters that start where
-a sentence ends and the next one begins, each covering several consecutive sentences or parts of them; the runs are hashed
-and joined globally; matched runs are widened to the exact characters, and sentences that a
-repeated span of an earlier record covers can be removed.
-
-Sentences alone cannot give the result that is asked for, exact to the character: a shared stretch
-may begin and end inside sentences. So among the positions of each stretch of WINDOW - RUN + 1
-characters one anchor is chosen by the content alone: a sentence boundary before a word boundary before
-any other, the least hash among equals, the leftmost among those. Two texts that share WINDOW
+Two operators:
+
+*Sentence runs* (`sentence_runs`, for `shared_share` and `without_repeats`), by the method named:
+from every sentence of a text the shortest run of at least SENTENCES consecutive sentences with at
+least WINDOW characters is hashed; the hashes are joined globally; runs that two records have tell
+how much of a record is shared, and sentences that a run covers are removed from all records but the
+first that has it.
+
+*Exact spans* (`shared_spans`): sentences can't give spans that are exact to the character, since a
+shared stretch may begin and end inside sentences, and may hold no whole one. So among the
+positions of each stretch of WINDOW - RUN + 1 characters one anchor is chosen by the content alone:
+a sentence boundary before a word boundary before any other, the least hash among equals, the
+leftmost among those; the run of RUN characters there is hashed. Two texts that share WINDOW
 characters choose the same anchor in them, so its run, which lies within, is hashed in both.
 
 Widening works without pairs. An anchor's *reach* is the stretch of all windows that chose it.
 Anchors of one run hash are grouped by the hash of their reach: reaches that two records have are
 shared as a whole; only where a run hash has several reaches, one record of each reach has its
 windows (at most WINDOW - RUN + 1) hashed one by one, and windows that two records have are shared.
-All steps are hash aggregations with partial sums, so a passage that a third of all records hold
-weighs no more than its distinct surroundings.
+The steps that find what is shared are hash aggregations with partial sums; where they are joined
+back, a passage that a third of all records hold is dealt over several tasks.
 
 Hashes have 64 bits over mixed code points, and a match needs two of them to agree: that of the run,
-and that of the reach or window around it.
+and that of the reach or window around it, or two of a run of sentences.
 
-Defined results: null texts, empty texts and texts shorter than WINDOW have no spans; a passage
+Defined results: null texts, empty texts and texts shorter than WINDOW have no spans and no runs; a
+text of less than SENTENCES sentences has no runs; a passage
 repeated only within one record is not shared; repeated rows (equal text under another id) are
 shared as a whole; rows with a null id are left out; an empty table gives an empty table; further
 columns are not read. Texts are processed whole, of any length.
@@ -36,10 +41,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from valora.runtime import keep, small_side, spread
+from valora.runtime import BROADCAST_ROWS, keep, small_side, spread, spread_join
 
 WINDOW = 300
 RUN = 150
+#: Consecutive sentences that a run of sentences has at least.
+SENTENCES = 2
 
 _POS_BITS = 24
 _POS = np.uint64((1 << _POS_BITS) - 1)
@@ -70,9 +77,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any stretch of a buffer of code points, from prefix sums modulo 2**64."""
 
-    def __init__(self, points: np.ndarray):
-        self.pow, self.inv = _powers(_P, len(points)), _powers(_P_INV, len(points))
-        table = _mix(np.arange(int(points.max(initial=0)) + 1, dtype=np.uint64))
+    def __init__(self, points: np.ndarray, kind: int = 0, like: Rolling | None = None):
+        self.pow, self.inv = (like.pow, like.inv) if like else (_powers(_P, len(points)), _powers(_P_INV, len(points)))
+        table = _mix(np.arange(int(points.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(kind << 32))
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[points] * self.pow[: len(points)])))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -210,9 +217,11 @@ def shared_windows(df: DataFrame, id_col: str, text_col: str, window: int = WIND
     first_doc is the smallest id that has the window at p0.
     """
     found = keep(anchors(df, id_col, text_col, window, run), "p9-anchors")
-    two = keep(found.groupBy("h").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 <> d1").select("h"), "p9-runs")
-    hit = keep(found.join(small_side(two), "h"), "p9-hits")
-    reach = hit.groupBy("h", "r").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "a", "lo", "hi")).alias("one"))
+    two = keep(found.groupBy("h").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count(F.lit(1)).alias("n")).where("d0 <> d1").select("h", "n"), "p9-runs")
+    n = two.count()
+    runs = two.select("h")
+    hit = keep(found.join(small_side(runs, n), "h") if n <= BROADCAST_ROWS else spread_join(found, runs, ["h"], ["doc", "a"], two), "p9-hits")
+    reach = hit.groupBy("h", "r").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "a", "lo", "hi")).alias("one"), F.count(F.lit(1)).alias("n"))
     several = reach.groupBy("h").agg(F.count(F.lit(1)).alias("reaches"))
     reach = keep(reach.join(several, "h"), "p9-reaches")
     # run hashes with one reach: two records have it as a whole
@@ -223,7 +232,7 @@ def shared_windows(df: DataFrame, id_col: str, text_col: str, window: int = WIND
         "p9-parted",
     )
     src = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(f"length(text) >= {window}")
-    texts = src.join(small_side(per_doc.select("doc")) if per_doc.count() <= 100_000 else per_doc.select("doc"), "doc", "left_semi").join(per_doc, "doc")
+    texts = src.join(small_side(per_doc.select("doc")), "doc", "left_semi").join(per_doc, "doc")
     hashed = keep(window_hashes(texts, window), "p9-windows")
     owner = parted.select("h", "r", "d0", "d1")
     full = hashed.join(small_side(owner, parted.count()), ["h", "r"])
@@ -234,9 +243,10 @@ def shared_windows(df: DataFrame, id_col: str, text_col: str, window: int = WIND
         .groupBy("h", "r")
         .agg(F.sort_array(F.collect_set(F.struct("off", "first_doc"))).alias("offs"))  # at most window - run + 1
     )
-    by_whole = hit.join(whole, ["h", "r"]).select("doc", F.col("lo").alias("p0"), F.col("hi").alias("p1"), "first_doc")
+    size = reach.select("h", "r", "n")
+    by_whole = spread_join(hit, whole, ["h", "r"], ["doc", "a"], size).select("doc", F.col("lo").alias("p0"), F.col("hi").alias("p1"), "first_doc")
     by_part = (
-        hit.join(part, ["h", "r"])
+        spread_join(hit, part, ["h", "r"], ["doc", "a"], size)
         .select("doc", "a", F.explode("offs").alias("o"))
         .select("doc", (F.col("a") + F.col("o.off")).alias("p0"), (F.col("a") + F.col("o.off")).alias("p1"), F.col("o.first_doc").alias("first_doc"))
     )
@@ -255,21 +265,106 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW
     return piece.groupBy("doc", "k").agg(F.min("p0").alias("s"), F.max(F.col("p1") + window).alias("e")).select("doc", (F.col("s") + 1).alias("span_start"), (F.col("e") - F.col("s")).alias("span_len"))
 
 
-def shared_share(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """(doc, chars, shared_chars, share) of every record, 0 where nothing is shared."""
-    spans = shared_spans(df, id_col, text_col, window).groupBy("doc").agg(F.sum("span_len").alias("shared_chars"))
+# ---- runs of sentences --------------------------------------------------------------------------
+
+
+def sentence_starts(points: np.ndarray) -> np.ndarray:
+    """Where sentences begin: at the first character that isn't white space, after white space that
+    follows a stop or holds a line feed. 0 always begins one."""
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
+    gap = _in(_SPACE, points)
+    first = np.flatnonzero(~gap[1:] & gap[:-1]) + 1  # after white space
+    filled = np.flatnonzero(~gap)
+    if not len(first):
+        return np.zeros(1, np.int64)
+    before = np.searchsorted(filled, first)  # how many characters that are none stand before it
+    ok = before > 0
+    end = np.where(ok, filled[np.maximum(before - 1, 0)], -1)  # the last of them
+    feeds = np.concatenate(([0], np.cumsum(points == 10)))
+    stop = ok & _in(_STOP, points[np.maximum(end, 0)])
+    return np.concatenate(([0], first[stop | (feeds[first] > feeds[end + 1])]))
+
+
+RUN_SCHEMA = "doc long, h long, h2 long, s long, e long"
+
+
+def runs_of(text: str, window: int, sentences: int) -> tuple[np.ndarray, ...]:
+    """(hash, second hash, start, end) of the runs of sentences of one text, from 0."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = sentence_starts(points)
+    gap = _in(_SPACE, points)
+    filled = np.flatnonzero(~gap)
+    bound = np.append(start[1:], len(points))
+    end = np.zeros(len(start), np.int64)  # of each sentence, without the white space after it
+    if len(filled):
+        at = np.searchsorted(filled, bound) - 1
+        end = np.where(at >= 0, filled[np.maximum(at, 0)] + 1, 0)
+    ok = end > start  # a blank start of the text is no sentence
+    start, end = start[ok], end[ok]
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 4
+    k = np.maximum(np.searchsorted(end, start + window), np.arange(len(start)) + sentences - 1)
+    s, e = start[k < len(end)], end[k[k < len(end)]]
+    roll = Rolling(points)
+    h = roll.of(s, e).view(np.int64)
+    return h, Rolling(points, 1, roll).of(s, e).view(np.int64), s, e
+
+
+def sentence_runs(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, sentences: int = SENTENCES) -> DataFrame:
+    """RUN_SCHEMA: from every sentence the shortest run of at least `sentences` and `window` characters."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
+                h, h2, s, e = runs_of(text, window, sentences)
+                if len(h):
+                    yield pd.DataFrame({"doc": doc, "h": h, "h2": h2, "s": s, "e": e})
+
+    src = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(f"doc IS NOT NULL AND length(text) >= {window}")
+    return spread(src).mapInPandas(scan, RUN_SCHEMA)
+
+
+def shared_runs(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, sentences: int = SENTENCES) -> DataFrame:
+    """(doc, s, e, is_first): runs of sentences that two records have; is_first marks those of the
+    record with the smallest id."""
+    runs = keep(sentence_runs(df, id_col, text_col, window, sentences), "p9-sentence-runs")
+    key = ["h", "h2"]
+    met = runs.groupBy(*key).agg(F.min("doc").alias("first_doc"), F.max("doc").alias("d1"), F.count(F.lit(1)).alias("n")).where("first_doc <> d1")
+    met = keep(met.select(*key, "first_doc", "n"), "p9-shared-runs")
+    m = met.count()
+    one = met.select(*key, "first_doc")
+    both = runs.join(small_side(one, m), key) if m <= BROADCAST_ROWS else spread_join(runs, one, key, ["doc", "s"], met)
+    return both.select("doc", "s", "e", (F.col("doc") == F.col("first_doc")).alias("is_first"))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(doc, s, e): overlapping or touching spans of a record as one."""
+    by = Window.partitionBy("doc").orderBy("s")
+    reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    piece = spans.groupBy("doc", "s").agg(F.max("e").alias("e")).withColumn("new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0)).withColumn("k", F.sum("new").over(by))
+    return piece.groupBy("doc", "k").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("k")
+
+
+def shared_share(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, sentences: int = SENTENCES) -> DataFrame:
+    """(doc, chars, shared_chars, share) of every record: how much of it lies in shared runs of
+    sentences, 0 where nothing does."""
+    spans = merged(shared_runs(df, id_col, text_col, window, sentences)).groupBy("doc").agg(F.sum(F.col("e") - F.col("s")).alias("shared_chars"))
     base = df.select(F.col(id_col).alias("doc"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars"))
     n = F.coalesce("shared_chars", F.lit(0))
     return base.join(spans, "doc", "left").select("doc", "chars", n.alias("shared_chars"), F.round(F.coalesce(F.try_divide(n, F.col("chars")), F.lit(0.0)), 6).alias("share"))
 
 
-def without_repeats(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """df with `kept_text`: without the sentences that a span of an earlier record (smaller id) covers.
+def without_repeats(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, sentences: int = SENTENCES) -> DataFrame:
+    """df with `kept_text`: without the sentences that a repeated run covers, but for the first record's.
 
-    Of each group of records that share a span, the first keeps it whole.
+    Of the records that share a run the one with the smallest id keeps it; a removed sentence takes
+    the white space after it along.
     """
     df = df.drop("spans", "kept_text")
-    later = shared_windows(df, id_col, text_col, window, run).where("first_doc <> doc").groupBy("doc").agg(F.collect_set(F.struct("p0", "p1")).alias("spans")).withColumnRenamed("doc", "_span_doc")
+    later = merged(shared_runs(df, id_col, text_col, window, sentences).where("NOT is_first").select("doc", "s", "e"))
+    later = later.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans")).withColumnRenamed("doc", "_span_doc")
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -277,16 +372,14 @@ def without_repeats(df: DataFrame, id_col: str, text_col: str, window: int = WIN
             if t is None or sp is None or not len(sp):
                 out.append(t)
                 continue
-            covered = np.zeros(len(t) + 1, np.int32)
+            hidden = np.zeros(len(t) + 1, np.int32)
             for x in sp:
-                covered[x["p0"]] += 1
-                covered[x["p1"] + window] -= 1
-            hidden = np.cumsum(covered[:-1]) > 0
-            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-            gap, stop = _in(_SPACE, points), _in(_STOP, points)
-            cuts = np.flatnonzero(np.concatenate(([True], (gap[1:] & stop[:-1]) | (points[:-1] == 10)))) if len(points) else np.zeros(0, int)
-            bounds = np.append(cuts, len(t))
-            out.append("".join(t[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if not hidden[a + (t[a].isspace() and b - a > 1) : b].all()))
+                hidden[x["s"]] += 1
+                hidden[x["e"]] -= 1
+            hidden = np.cumsum(hidden) > 0
+            at = sentence_starts(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32))
+            # a run covers whole sentences, so a sentence's first character tells of all
+            out.append("".join(t[a:b] for a, b in zip(at, np.append(at[1:], len(t)), strict=True) if not hidden[a]))
         return pd.Series(out, dtype=object)
 
     cut_udf = F.pandas_udf(cut, "string")
