@@ -49,6 +49,48 @@ def test_canonical_form_is_equal_within_a_class(spark):
     assert lookalike.canonicalize(df.select("id", "t").limit(0), "t").count() == 0
 
 
+def look(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    out = {r["id"]: r["look_text"] for r in lookalike.canonicalize(df, "t").collect()}
+    return [out[i] for i in range(len(texts))]
+
+
+def test_other_scripts_come_out_as_they_are(spark):
+    assert look(spark, ["Отчёт о ходе", "СОРТ", "асta final", "el Отчёт а tiempo", "νόμος"]) == ["Отчёт о ходе", "СОРТ", "acta final", "el Отчёт a tiempo", "νόμος"]
+    # a Latin text that looks the same comes out for both
+    assert look(spark, ["СОР", "COP", "СОР"]) == ["COP"] * 3
+
+
+def test_styled_forms_and_joiners(spark):
+    assert look(spark, ["𝐀cta", "Ⅳ etapa", "ﬁn", "ａｂ", "a\u200db", "می\u200cخواهم", "میخواهم", "m²", "m2"]) == ["Acta", "IV etapa", "fin", "ab", "ab", "می\u200cخواهم", "میخواهم", "m²", "m2"]
+
+
+def test_tables_pair_up():
+    assert all(len(c) == 1 for t in (lookalike.style_table()[0], lookalike.script_table()) for c in t.values())
+    assert lookalike.script_table()["ё"] == "ë" and "З" not in lookalike.script_table()
+
+
+def test_long_members_are_not_broadcast(spark):
+    """Members are judged by their bytes: 10 kB texts beyond 64 MB go through a shuffled join."""
+    from valora import runtime
+
+    big = spark.range(7000).selectExpr("id AS look_b", "id AS look_h", "repeat('x', 10000) AS look_text")
+    assert "broadcast" not in runtime.small_side(runtime.keep(big, "t"))._jdf.queryExecution().logical().toString().lower()
+    few = runtime.keep(big.limit(100), "t")
+    assert "broadcast" in runtime.small_side(few)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_classes_count_their_links(spark, monkeypatch):
+    rows = [(1, "acción", ""), (2, unicodedata.normalize("NFD", "acción"), ""), (3, "acción", ""), (4, "otra", ""), (5, "ac\u200bción", ""), (6, "otra", ""), (7, None, "")]
+    from valora import runtime
+
+    monkeypatch.setattr(runtime, "SALT_ROWS", 1)
+    df = spark.createDataFrame(rows, "id long, t string, look_m string")
+    out = lookalike.class_members(runtime.keep(lookalike.classes(df, "id", "t", "x"), "t")).collect()
+    assert {(r["id"], r["class_id"], r["links"]) for r in out} == {(1, 1, 2), (2, 1, 3), (3, 1, 2), (5, 1, 3)}
+    assert pairs(spark, rows) == {(1, 2), (1, 5), (2, 3), (2, 5), (3, 5)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.sql()))
 def test_query_matches_sql(spark, data, oracle, name):
     assert_same(queries.QUERIES[name](spark, data).toPandas(), oracle.sql(queries.sql()[name]).df())

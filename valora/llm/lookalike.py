@@ -1,89 +1,143 @@
 """Texts that look the same but differ in their characters (problem 1).
 
-Method: look-alike letters, full-width forms, spaces and invisible marks are mapped in SQL; mapped
-values are grouped under the accent- and case-sensitive Unicode collation; each class gets one
-canonical member (the smallest mapped text by code point), which is joined back.
+Method: look-alike letters, full-width and styled forms, spaces and invisible marks are mapped in
+SQL; mapped values are grouped under the accent- and case-sensitive Unicode collation; each class
+gets one canonical member, which is joined back.
+
+Texts are compared in the mapped form, in which all look-alikes are Latin; what comes out is the
+member's own form, in which letters of other scripts stay where they belong: in a text without
+Latin letters, and in words with a letter that has no Latin look-alike. The canonical member is the
+smallest own form by code point, one without letters of other scripts before one with them.
 
 Grouping under a collation compares and shuffles whole texts, so it is kept to the texts that need
 it: a coarse hash, equal for all texts that the collation could hold equal (base letters only,
 everything else outside ASCII dropped), splits the rows into buckets first, and only buckets with
-at least two different mapped forms are grouped under the collation. All others are a class of
+at least two different own forms are grouped under the collation. All others are a class of
 their own by plain equality.
 
 Defined results: a null text has a null canonical form; a text that is blank after mapping is its
 own canonical form and pairs with nothing; repeated rows share a class; an empty table gives an
 empty table; further columns pass through, and added columns carry the prefix `look_`, replacing any so named.
+Joiners count as marks without a look but between letters of scripts that they shape.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.functions.text import accent_table
-from valora.runtime import keep, small_side
-
-# Letters of other scripts whose shape is that of a Latin letter.
-CYRILLIC = "АВЕЗКМНОРСТУХЅІЈаеорсухѕіјԁԛԝһ"
-CYRILLIC_AS = "ABE3KMHOPCTYXSIJaeopcyxsijdqwh"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳό"
-GREEK_AS = "ABEZHIKMNOPTYXocjó"
+from valora.runtime import BROADCAST_ROWS, keep, small_side, spread_join
+
+# Letters of other scripts whose shape is that of a Latin letter, each with that letter.
+CYRILLIC = "АВЕКМНОРСТУХЅІЈҮӀԌԚԜаеорсухѕіјԁԛԝһѵ"
+CYRILLIC_AS = "ABEKMHOPCTYXSIJYIGQWaeopcyxsijdqwhv"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳνρ"
+GREEK_AS = "ABEZHIKMNOPTYXocjvp"
+ARMENIAN = "ՕՍօհոսցզյ"
+ARMENIAN_AS = "OUohnugqj"
+CHEROKEE = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ"
+CHEROKEE_AS = "DRTiAJEWMHGZbRWSVSLCPKB"
 # Spaces that look like a space, hyphens that look like a hyphen.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HYPHENS = "‐‑"
-# Marks that show nothing.
+# Marks that show nothing; joiners do only where letters are joined.
 INVISIBLE = (
-    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f"
+    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200e\u200f"
     "\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 )
-# Ligatures and their letters.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-
-
-def _tables() -> tuple[str, str]:
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    src = wide + CYRILLIC + GREEK + SPACES + HYPHENS
-    dst = plain + CYRILLIC_AS + GREEK_AS + " " * len(SPACES) + "-" * len(HYPHENS)
-    return src + INVISIBLE, dst  # characters without a counterpart are dropped by translate()
+JOINERS = "\u200c\u200d"
+JOINED = "".join(rf"\p{{Is{x}}}" for x in "Arabic Syriac Nko Mongolian Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala".split()) + r"\p{So}\x{FE0F}"
+#: Kinds of Unicode's compatibility characters that differ from what they stand for in width or style only.
+STYLES = ("<wide>", "<narrow>", "<font>", "<noBreak>")
+#: Ligatures and Roman numerals: characters that look like the letters they are made of.
+COMPOSED = (range(0xFB00, 0xFB07), range(0x2160, 0x2180))
+OTHER_SCRIPTS = r"[\x{370}-\x{58F}\x{13A0}-\x{13FF}\x{AB70}-\x{ABBF}]"
+
+
+@cache
+def style_table() -> tuple[dict[str, str], dict[str, str]]:
+    """(single, composed): by Unicode's own data, characters and the one or several that they look like."""
+    single, composed = {}, {}
+    for c in range(0xA0, 0x20000):
+        d = unicodedata.decomposition(chr(c))
+        if d.startswith(STYLES) or any(c in r for r in COMPOSED):
+            to = unicodedata.normalize("NFKC", chr(c))
+            (single if len(to) == 1 else composed)[chr(c)] = to
+    return single, {k: v for k, v in composed.items() if any(ord(k) in r for r in COMPOSED)}
+
+
+@cache
+def script_table() -> dict[str, str]:
+    """Letters of other scripts and the Latin letters that they look like, accented ones too."""
+    out = dict(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS, strict=True))
+    for c in range(0x370, 0x2000):
+        d = unicodedata.normalize("NFD", chr(c))
+        if len(d) > 1 and d[0] in out:
+            to = unicodedata.normalize("NFC", out[d[0]] + d[1:])
+            if len(to) == 1:
+                out[chr(c)] = to
+    return out
+
+
+def own_characters(text: Column) -> Column:
+    """The text with styled forms, spaces, hyphens and invisible marks mapped and outer white space dropped."""
+    single, composed = style_table()
+    table = {**single, **dict.fromkeys(SPACES, " "), **dict.fromkeys(HYPHENS, "-")}
+    out = F.translate(text, "".join(table) + INVISIBLE, "".join(table.values()))  # those without a counterpart are dropped
+    several = out
+    for c, letters in composed.items():
+        several = F.replace(several, F.lit(c), F.lit(letters))
+    out = F.when(out.rlike(f"[{''.join(composed)}]"), several).otherwise(out)
+    apart = F.regexp_replace(out, rf"(?<![{JOINED}])[{JOINERS}]+|[{JOINERS}]+(?![{JOINED}{JOINERS}])", "")
+    out = F.when(out.rlike(f"[{JOINERS}]"), apart).otherwise(out)
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-def mapped(text: Column) -> Column:
-    """The text with look-alikes mapped and outer white space dropped; accents stay as they are."""
-    src, dst = _tables()
-    out = F.translate(text, src, dst)
-    for lig, letters in LIGATURES.items():
-        out = F.replace(out, F.lit(lig), F.lit(letters))
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+def _latin(text: Column) -> Column:
+    t = script_table()
+    return F.translate(text, "".join(t), "".join(t.values()))
 
 
 def keyed(df: DataFrame, text_col: str) -> DataFrame:
-    """df with look_m (mapped text), look_b (bucket) and look_h (hash of look_m), null if blank."""
+    """df with look_o (own form), look_m (compared form), look_b (bucket), look_h and look_k (their
+    hashes), the last three null if blank, and look_x (whether the own form has other scripts)."""
+    alien = "[" + OTHER_SCRIPTS[1:-1] + "&&\\p{L}&&[^" + "".join(script_table()) + "]]"
+    words = F.split("look_o", r"(?<=[^\p{L}\p{M}])|(?=[^\p{L}\p{M}])")
+    mixed = F.array_join(F.transform(words, lambda w: F.when(w.rlike(alien), w).otherwise(_latin(w))), "")
+    own = F.when(~F.col("look_x"), F.col("look_o")).when(~F.col("look_o").rlike("[A-Za-z]"), F.col("look_o")).when(F.col("look_o").rlike(alien), mixed).otherwise(F.col("look_m"))
+    out = df.withColumn("look_o", own_characters(F.col(text_col))).withColumn("look_x", F.col("look_o").rlike(OTHER_SCRIPTS))
+    out = out.withColumn("look_m", F.when(F.col("look_x"), _latin(F.col("look_o"))).otherwise(F.col("look_o"))).withColumn("look_o", own)
     shown = F.length("look_m") > 0
     base = F.regexp_replace(F.translate(F.col("look_m"), *accent_table()), r"[^\x09-\x0D\x20-\x7E]", "")
-    return (
-        df.withColumn("look_m", mapped(F.col(text_col)))
-        .withColumn("look_b", F.when(shown, F.xxhash64(base)))
-        .withColumn("look_h", F.when(shown, F.xxhash64("look_m")))
+    return out.withColumns(
+        {
+            "look_x": F.col("look_o").rlike(OTHER_SCRIPTS),
+            # joiners that show are ignored by the collation, so they part the buckets
+            "look_b": F.when(shown, F.xxhash64(base, F.regexp_count("look_m", F.lit(f"[{JOINERS}]")))),
+            "look_h": F.when(shown, F.xxhash64("look_m")),
+            "look_k": F.when(shown, F.xxhash64("look_o")),
+        }
     )
 
 
 def canonical_members(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, look_b, look_h, look_text) of every mapped form that is in a bucket with another form.
+    """(by, look_b, look_h, look_text) of every compared form that is in a bucket with another own form.
 
     rows: kept rows of keyed(). look_text is the canonical member of the form's class.
     """
     key = [*by, "look_b"]
-    mixed = rows.where("look_b IS NOT NULL").groupBy(*key).agg(F.min("look_h").alias("h0"), F.max("look_h").alias("h1"))
-    mixed = mixed.where("h0 <> h1").select(*key)
-    forms = rows.join(mixed, key, "left_semi").groupBy(*key, "look_h").agg(F.min("look_m").alias("look_m"))
-    canon = forms.groupBy(*(F.col(x).alias(f"c_{x}") for x in by), F.collate("look_m", "UNICODE").alias("look_c")).agg(
-        F.min("look_m").alias("look_text")
-    )
+    mixed = rows.where("look_b IS NOT NULL").groupBy(*key).agg(F.min("look_k").alias("k0"), F.max("look_k").alias("k1"))
+    mixed = mixed.where("k0 <> k1").select(*key)
+    forms = rows.join(mixed, key, "left_semi").groupBy(*key, "look_h").agg(F.min("look_m").alias("look_m"), F.min(F.struct("look_x", "look_o")).alias("look_o"))
+    canon = forms.groupBy(*(F.col(x).alias(f"c_{x}") for x in key), F.collate("look_m", "UNICODE").alias("look_c")).agg(F.min("look_o").alias("look_o"))
     same = F.collate("look_m", "UNICODE") == F.col("look_c")
-    for x in by:
+    for x in key:
         same &= F.col(x) == F.col(f"c_{x}")
-    return forms.join(canon, same).select(*key, "look_h", F.col("look_text").cast("string").alias("look_text"))
+    return forms.drop("look_o").join(canon, same).select(*key, "look_h", F.col("look_o.look_o").cast("string").alias("look_text"))
 
 
 def canonicalize(df: DataFrame, text_col: str) -> DataFrame:
@@ -91,36 +145,60 @@ def canonicalize(df: DataFrame, text_col: str) -> DataFrame:
     df = df.drop(*(c for c in df.columns if c.startswith("look_")))
     rows = keep(keyed(df, text_col), "p1-rows")
     members = keep(canonical_members(rows, []), "p1-members")
-    return (
-        rows.join(small_side(members), ["look_b", "look_h"], "left")
-        .withColumn("look_text", F.coalesce("look_text", "look_m"))
-        .select(*df.columns, "look_text")
-    )
+    key = ["look_b", "look_h"]
+    hit = rows.join(small_side(members), key, "left")
+    return hit.withColumn("look_text", F.coalesce("look_text", "look_o")).select(*df.columns, "look_text")
 
 
 def classes(df: DataFrame, id_col: str, text_col: str, field_name: str) -> DataFrame:
-    """Rows of keyed() for differing_pairs(); form is the hash of the text as stored."""
+    """Rows of keyed() for differing_members(); form is the hash of the text as stored."""
     t = df.select(F.lit(field_name).alias("field_name"), F.col(id_col).alias("id"), F.col(text_col).alias("look_t"))
     return keyed(t, "look_t").where("look_b IS NOT NULL").withColumn("form", F.xxhash64("look_t")).drop("look_t")
 
 
-def differing_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (field_name, id_a, id_b) of one class whose stored texts differ.
+CLASS = ["field_name", "look_b", "look_h"]
+
+
+def differing_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, sizes): the rows (CLASS, id, form) of classes with several stored texts, kept, and
+    (CLASS, n, class_id) of these classes, class_id being the smallest id.
 
     rows: kept rows of classes(). A form joins its class through the canonical member; classes with
-    one stored form are dropped before the pairs are made, so no group of exact copies is expanded.
+    one stored form are dropped, so no group of exact copies is carried along.
     """
     by = ["field_name"]
     members = keep(canonical_members(rows, by), "p1-members")
-    named = members.select(*by, "look_b", "look_h", F.xxhash64("look_text").alias("canonical"))
+    named = members.select(*CLASS, F.xxhash64("look_text").alias("canonical"))
+    n = members.count()
     row = (
-        rows.select("field_name", "id", "look_b", "look_h", "form")
-        .join(small_side(named, members.count()), [*by, "look_b", "look_h"], "left")
+        rows.select(*CLASS, "id", "form")
+        .join(small_side(named, n), CLASS, "left")
         .select("field_name", "id", "look_b", F.coalesce("canonical", "look_h").alias("look_h"), "form")
     )
-    key = [*by, "look_b", "look_h"]
-    mixed = row.groupBy(*key).agg(F.min("form").alias("f0"), F.max("form").alias("f1")).where("f0 <> f1").select(*key)
-    member = keep(row.join(mixed, key), "p1-pairs")
-    a = member.select(*key, F.col("id").alias("id_a"), F.col("form").alias("form_a"))
-    b = member.select(*key, F.col("id").alias("id_b"), F.col("form").alias("form_b"))
-    return a.join(b, key).where("id_a < id_b AND form_a <> form_b").select("field_name", "id_a", "id_b")
+    sizes = row.groupBy(*CLASS).agg(F.min("form").alias("f0"), F.max("form").alias("f1"), F.count(F.lit(1)).alias("n"), F.min("id").alias("class_id"))
+    sizes = keep(sizes.where("f0 <> f1").select(*CLASS, "n", "class_id"), "p1-classes")
+    k = sizes.count()
+    keys = sizes.select(*CLASS)
+    member = row.join(small_side(keys, k, 48), CLASS) if k <= BROADCAST_ROWS else spread_join(row, keys, CLASS, ["id"], sizes)
+    return keep(member, "p1-pairs"), sizes
+
+
+def differing_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (field_name, id_a, id_b) of one class whose stored texts differ (see class_members() for
+    the same links in as many rows as records)."""
+    member, sizes = differing_members(rows)
+    a = member.select(*CLASS, F.col("id").alias("id_a"), F.col("form").alias("form_a"))
+    b = member.select(*CLASS, F.col("id").alias("id_b"), F.col("form").alias("form_b"))
+    return spread_join(a, b, CLASS, ["id_a"], sizes).where("id_a < id_b AND form_a <> form_b").select("field_name", "id_a", "id_b")
+
+
+def class_members(rows: DataFrame) -> DataFrame:
+    """(field_name, id, class_id, links): one row per record that has an equal-looking, different one.
+
+    class_id is the smallest id of the class, links the number of its records with another text.
+    """
+    member, sizes = differing_members(rows)
+    form = member.groupBy(*CLASS, "form").agg(F.count(F.lit(1)).alias("own")).join(sizes, CLASS)
+    form = keep(form.select(*CLASS, "form", "class_id", (F.col("n") - F.col("own")).alias("links"), F.col("own").alias("n")), "p1-forms")
+    key = [*CLASS, "form"]
+    return spread_join(member, form.drop("n"), key, ["id"], form).select("field_name", "id", "class_id", "links")

@@ -8,6 +8,32 @@ from valora.llm import splits
 GAPS = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def _looks() -> str:
+    """Both text columns with the form that equal-looking texts share, from the SQL's own tables."""
+    wide = "array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) ELSE c END), '')"
+    letters = "translate(x, 'АВЕКМНОРСТУХаеорсухіјѕІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧοό', 'ABEKMHOPCTYXaeopcyxijsIJSABEZHIKMNOPTYXoó')"
+    joined = "replace(replace(replace(replace(replace(y, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+    plain = r"regexp_replace(regexp_replace(z, '[\p{Cf}\x{34f}\x{115f}\x{1160}]', '', 'g'), '[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', ' ', 'g')"
+    hyphen = r"regexp_replace(v, '[\x{2010}\x{2011}]', '-', 'g')"
+    return f"""r AS (SELECT 'chunk_text' AS field_name, context_id AS id, chunk_text AS t FROM chunk_contexts UNION ALL SELECT 'relevant_text', row_id, relevant_text FROM export_rows),
+r1 AS (SELECT *, {wide} AS x FROM r), r2 AS (SELECT *, {letters} AS y FROM r1), r3 AS (SELECT *, {joined} AS z FROM r2), r4 AS (SELECT *, {plain} AS v FROM r3),
+k AS (SELECT field_name, id, t, regexp_replace({hyphen}, '^\\s+|\\s+$', '', 'g') AS own FROM r4), m AS (SELECT *, nfc_normalize(own) AS look FROM k)"""
+
+
+def same_looks() -> str:
+    return f"WITH {_looks()} SELECT a.field_name AS field_name, a.id AS id_a, b.id AS id_b FROM m a JOIN m b ON a.field_name = b.field_name AND a.look = b.look AND a.id < b.id AND a.t <> b.t WHERE a.look <> ''"
+
+
+def look_classes() -> str:
+    return f"""WITH {_looks()}, c AS (SELECT field_name, id, min(id) OVER w AS class_id, count(*) OVER w - count(*) OVER (PARTITION BY field_name, look, t) AS links FROM m WHERE look <> '' WINDOW w AS (PARTITION BY field_name, look))
+SELECT * FROM c WHERE links > 0"""
+
+
+def canonical_looks() -> str:
+    """The smallest form of each canonically equal class; blank texts by themselves."""
+    return f"WITH {_looks()} SELECT field_name, id, CASE WHEN own <> '' THEN min(own) OVER (PARTITION BY field_name, look) ELSE own END AS canonical_text FROM m"
+
+
 def linked_spellings() -> str:
     """Groups by a recursive walk over the values that rows hold together."""
     filler = "|".join(splits.FILLERS)

@@ -10,14 +10,22 @@ from valora.runtime import keep
 from valora.sources.tables import table
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = keep(
+def _looks(spark: SparkSession, d: str) -> DataFrame:
+    return keep(
         lookalike.classes(table(spark, d, "chunk_contexts"), "context_id", "chunk_text", "chunk_text").unionByName(
             lookalike.classes(table(spark, d, "export_rows"), "row_id", "relevant_text", "relevant_text")
         ),
         "p1",
     )
-    return lookalike.differing_pairs(rows)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.differing_pairs(_looks(spark, d))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text that another looks like, with its class and the number of its links."""
+    return lookalike.class_members(_looks(spark, d))
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -111,44 +119,14 @@ def p9_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.without_repeats(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "kept_text")
 
 
-def _mapped_sql(col: str) -> str:
-    src, dst = lookalike._tables()
-    quoted = dst.replace("'", "''")
-    out = f"translate({col}, '{src}', '{quoted}')"
-    for lig, letters in lookalike.LIGATURES.items():
-        out = f"replace({out}, '{lig}', '{letters}')"
-    return f"nfc_normalize(regexp_replace({out}, '^\\s+|\\s+$', '', 'g'))"
-
-
-def _p1_found_sql() -> str:
-    return f"""
-WITH r AS (
-  SELECT 'chunk_text' AS field_name, context_id AS id, chunk_text AS t FROM chunk_contexts
-  UNION ALL SELECT 'relevant_text', row_id, relevant_text FROM export_rows),
-k AS (SELECT field_name, id, t, {_mapped_sql('t')} AS m FROM r WHERE t IS NOT NULL)
-SELECT a.field_name AS field_name, a.id AS id_a, b.id AS id_b
-FROM k a JOIN k b ON a.field_name = b.field_name AND a.m = b.m AND a.id < b.id AND a.t <> b.t
-WHERE a.m <> ''"""
-
-
-def _p1_canonical_sql() -> str:
-    """The smallest mapped text of each canonically equal class; blank texts by themselves."""
-    mapped = _mapped_sql("t").removeprefix("nfc_normalize(").removesuffix(")")
-    return f"""
-WITH r AS (
-  SELECT 'chunk_text' AS field_name, context_id AS id, chunk_text AS t FROM chunk_contexts
-  UNION ALL SELECT 'relevant_text', row_id, relevant_text FROM export_rows),
-k AS (SELECT field_name, id, {mapped} AS m FROM r)
-SELECT field_name, id, CASE WHEN m <> '' THEN min(m) OVER (PARTITION BY field_name, nfc_normalize(m)) ELSE m END AS canonical_text FROM k"""
-
-
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_checks": p7_checks, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_checks": p7_checks, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
     return {
-        "p1_found": _p1_found_sql(),
-        "p1_canonical": _p1_canonical_sql(),
+        "p1_found": oracle.same_looks(),
+        "p1_classes": oracle.look_classes(),
+        "p1_canonical": oracle.canonical_looks(),
         "p2_found": oracle.linked_spellings(),
         "p7_checks": f"SELECT count(*) AS texts, 0::BIGINT AS over_tokens, 0::BIGINT AS over_documents, 0::BIGINT AS over_cost, 0::BIGINT AS unreported, 0::BIGINT AS uneven, true AS dense FROM documents WHERE regexp_replace(text, '{oracle.GAPS}', '', 'g') <> ''",
         "p8_found": oracle.leaks(leaks.RUN),
