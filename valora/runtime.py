@@ -136,8 +136,8 @@ def small_side(df: DataFrame, rows: int | None = None, width: int | None = None)
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None) -> DataFrame:
-    """left joined with right on keys; a key of more than SALT_ROWS left rows is dealt over several tasks.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right on keys; a key of more than SALT_ROWS left rows is dealt over several tasks.
 
     by: columns of left whose hash deals the rows of such a key; right's rows of it are repeated in
     every part. counts: (keys, n) of left's rows where they are known, else they are counted (kept
@@ -148,12 +148,12 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     n = hot.count()
     if n == 0:
         forget(left.sparkSession, hot)
-        return left.join(right, keys)
+        return left.join(right, keys, how)
     parts = F.coalesce("_parts", F.lit(1))
     hot = small_side(hot, n)
     a = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
     b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return a.join(b, [*keys, "_salt"]).drop("_salt")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
 def spread(df: DataFrame) -> DataFrame:
