@@ -61,6 +61,35 @@ def test_shares_and_whole_groups(spark):
     assert out.groupBy("group_id").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0
 
 
+def test_checks_see_a_split_group(spark):
+    rows = [(i, f"d{i % 50}", None, None, None, float(i % 5), "") for i in range(500)]
+    out = splits.assign_splits(spark.createDataFrame(rows, COLS), "row_id", "question_score")
+    got = {r["check_name"]: (r["n"], r["bad"]) for r in splits.split_checks(out, "question_score").collect()}
+    assert got["document_id"] == (50, 0) and got["rows"] == (500, 0) and got["shares"][1] == got["scores"][1] == 0
+    torn = out.withColumn("split", F.when(F.col("row_id") == 7, "test").when(F.col("row_id") == 57, "train").otherwise(F.col("split")))
+    assert {r["check_name"]: r["bad"] for r in splits.split_checks(torn, "question_score").collect()}["document_id"] == 1
+
+
+def test_forest_spans_the_groups(spark):
+    rows = [(i, f"d{i % 20}", f"a{i % 7}" if i % 20 < 14 else None, None, None, 1.0, "") for i in range(200)]
+    df = spark.createDataFrame(rows, COLS)
+    edges = splits.forest(df).collect()
+    nodes = {x for r in edges for x in (r["u"], r["v"])}
+    groups = splits.grouped(df, "row_id").where("metadata_autor IS NOT NULL").select("group_id").distinct().count()
+    assert len(edges) == len(nodes) - groups
+
+
+def test_hot_groups_dealt_over_tasks(spark, monkeypatch):
+    from valora import runtime
+
+    rows = [(i, "Uno" if i % 3 else f"d{i}", None, None, None, float(i % 5), "") for i in range(300)] + [(300 + i, None, None, None, None, 1.0, "") for i in range(20)]
+    df = spark.createDataFrame(rows, COLS)
+    a = {(r["row_id"], r["split"]) for r in splits.assign_splits(df, "row_id", "question_score").collect()}
+    monkeypatch.setattr(runtime, "SALT_ROWS", 20)
+    monkeypatch.setattr(splits, "BROADCAST_ROWS", 0)
+    assert {(r["row_id"], r["split"]) for r in splits.assign_splits(df, "row_id", "question_score").collect()} == a and len(a) == 320
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], COLS).drop("group_id")
     assert splits.linked_spellings(df, "row_id").count() == 0

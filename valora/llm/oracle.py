@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from valora.llm import splits
-
 #: White space as the operators know it, as a class of the SQL engine's expressions.
 GAPS = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -34,18 +32,34 @@ def canonical_looks() -> str:
     return f"WITH {_looks()} SELECT field_name, id, CASE WHEN own <> '' THEN min(own) OVER (PARTITION BY field_name, look) ELSE own END AS canonical_text FROM m"
 
 
-def linked_spellings() -> str:
-    """Groups by a recursive walk over the values that rows hold together."""
-    filler = "|".join(splits.FILLERS)
+#: Key columns and their marks, and the values that state nothing, as the SQL knows them.
+_KEYS = {"document_id": "d", "metadata_autor": "a", "metadata_entidad": "e", "metadata_source_path": "s"}
+_UNSTATED = ("s/a", "s/d", "s/n", "n/a", "n/d", "n.d.", "s.a.", "s.d.", "n.a.", "nd", "na", "null", "none", "nan", "no consigna", "no consignado", "no especifica", "no especificado", "no indica", "no indicado",
+             "no registra", "no disponible", "no aplica", "sin autor", "sin autor registrado", "sin entidad", "sin fuente", "sin dato", "sin datos", "sin informacion", "desconocido", "desconocida", "anonimo", "anonima")
+
+
+def _nodes() -> str:
+    """Every row's stated key values in compared form."""
 
     def form(c: str) -> str:
         return f"trim(regexp_replace(translate(strip_accents(lower({c})), '\\', '/'), '{GAPS}+', ' ', 'g'))"
 
-    forms = ", ".join(form(c) for c in splits.KEYS)
-    marks = ", ".join(f"'{m}'" for m in splits.KEYS.values())
-    return f"""WITH RECURSIVE k AS (SELECT row_id, document_id, unnest([{marks}]) AS m, unnest([{forms}]) AS f FROM export_rows),
-n AS (SELECT row_id, document_id, m || ':' || f AS node, m FROM k
-  WHERE regexp_matches(f, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(f, '^[^\\p{{L}}\\p{{N}}]*({filler})[^\\p{{L}}\\p{{N}}]*$')),
+    forms, marks = ", ".join(form(c) for c in _KEYS), ", ".join(f"'{m}'" for m in _KEYS.values())
+    none = ", ".join(f"'{x}'" for x in _UNSTATED)
+    return f"""k AS (SELECT row_id, document_id, unnest([{marks}]) AS m, unnest([{forms}]) AS f FROM export_rows),
+n AS (SELECT row_id, document_id, m || ':' || f AS node, m FROM k WHERE regexp_matches(f, '[\\p{{L}}\\p{{N}}]') AND f NOT IN ({none}))"""
+
+
+def split_checks() -> str:
+    """The values and rows to be split; of none of the checks may one be bad."""
+    name = "CASE m " + " ".join(f"WHEN '{m}' THEN '{c}'" for c, m in _KEYS.items()) + " END"
+    return f"""WITH {_nodes()} SELECT {name} AS check_name, count(DISTINCT node) AS n, 0::BIGINT AS bad FROM n GROUP BY m
+UNION ALL SELECT 'rows', count(*), 0 FROM export_rows UNION ALL SELECT 'shares', 3, 0 UNION ALL SELECT 'scores', 3, 0"""
+
+
+def linked_spellings() -> str:
+    """Groups by a recursive walk over the values that rows hold together."""
+    return f"""WITH RECURSIVE {_nodes()},
 e AS (SELECT DISTINCT a.node AS u, b.node AS v FROM n a JOIN n b USING (row_id)),
 s AS (SELECT DISTINCT document_id, node FROM n WHERE m = 'd'),
 r(a, b) AS (SELECT node, node FROM (SELECT DISTINCT node FROM s) UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b),

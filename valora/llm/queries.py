@@ -48,6 +48,17 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "document_id", "question_score", F.hex("group_id").alias("group_id"), "split")
 
 
+def p2_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The spanning forest over report, author, entity and source values."""
+    return splits.forest(table(spark, d, "export_rows"))
+
+
+def p2_split_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What p2_splits promises, counted over all rows and key values."""
+    cols = ["row_id", "question_score", *splits.KEYS]
+    return splits.split_checks(keep(splits.assign_splits(table(spark, d, "export_rows").select(*cols), "row_id", "question_score"), "p2-split"), "question_score")
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     a = scans.pages_of(table(spark, d, "ocr_pages"), "ocr_pages", "ocr_page_id", "document_id", "page_index", "ocr_text")
     return a.unionByName(scans.pages_of_list(table(spark, d, "document_summaries"), "document_summaries", "summary_id", "document_id", "pages"))
@@ -119,7 +130,7 @@ def p9_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.without_repeats(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "kept_text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_checks": p7_checks, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest, "p2_split_checks": p2_split_checks, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_checks": p7_checks, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
@@ -128,6 +139,7 @@ def sql() -> dict[str, str]:
         "p1_classes": oracle.look_classes(),
         "p1_canonical": oracle.canonical_looks(),
         "p2_found": oracle.linked_spellings(),
+        "p2_split_checks": oracle.split_checks(),
         "p7_checks": f"SELECT count(*) AS texts, 0::BIGINT AS over_tokens, 0::BIGINT AS over_documents, 0::BIGINT AS over_cost, 0::BIGINT AS unreported, 0::BIGINT AS uneven, true AS dense FROM documents WHERE regexp_replace(text, '{oracle.GAPS}', '', 'g') <> ''",
         "p8_found": oracle.leaks(leaks.RUN),
         "p9_share": oracle.shared_share(shared_spans.WINDOW, shared_spans.SENTENCES),

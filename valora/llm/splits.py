@@ -1,14 +1,15 @@
 """Splits that keep related records together (problem 2).
 
 Method: rows link the values of their key columns (report, author, entity, source file). Minimum
-edges are contracted in Borůvka rounds; the chosen edges form a spanning forest that is kept as a
-table, and every value ends with the root of its tree. Roots are grouped into size bands and dealt
+edges are contracted in Borůvka rounds; the edges that each round chose, kept as tables, form a
+spanning forest, and every value ends with the root of its tree. Roots are grouped into size bands and dealt
 to the splits systematically, in the order of their mean score.
 
 Nothing of the graph is ever collected: each round joins edges with labels, and the tables of a
 round are written to the shared folder, so lost executors cost no more than a stage. A value that
 a third of all rows hold is one node: rows are reduced to distinct key combinations first, with
-partial aggregation before the shuffle.
+partial aggregation before the shuffle, and such a group's rows are joined with its root and its
+split in several tasks.
 
 Defined results: null, blank and "not stated" values link nothing; a row without any key is a
 group of its own (drawn by a hash of its id); repeated rows count as rows but add no link; an
@@ -17,12 +18,14 @@ empty table gives empty tables; other columns pass through, those named like an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valora.functions.text import accent_table
-from valora.runtime import forget, keep, small_side
+from valora.runtime import BROADCAST_ROWS, forget, keep, small_side, spread_join
 
 #: Columns that tie rows together, and the letter that marks their nodes.
 KEYS = {"document_id": "d", "metadata_autor": "a", "metadata_entidad": "e", "metadata_source_path": "s"}
@@ -43,6 +46,10 @@ FILLERS = (
 )
 
 
+#: Bytes of a row of two nodes, whose ids are digests of 16 bytes, with what the row itself takes.
+NODE_BYTES = 96
+
+
 def link_form(value: Column) -> Column:
     """The form in which values are compared: no case, accents, outer or repeated spaces, one slash."""
     src, dst = accent_table()
@@ -104,19 +111,20 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame,
         # two nodes that chose each other: the smaller is the root
         back = least.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         parent = keep(
-            least.join(small_side(back, n), "p", "left").select("u", F.when((F.col("pp") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("p")),
+            least.join(small_side(back, n, NODE_BYTES), "p", "left").select("u", F.when((F.col("pp") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("p")),
             "p2-parent",
         )
-        while True:  # pointer jumping: path lengths halve
-            up = parent.select(F.col("u").alias("p"), F.col("p").alias("g"))
-            nxt = keep(parent.join(small_side(up, n), "p").select("u", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")), "p2-jump")
+        while True:  # pointer jumping, two jumps a job: path lengths are quartered
+            up = small_side(parent.select(F.col("u").alias("p"), F.col("p").alias("g")), n, NODE_BYTES)
+            twice = parent.join(up, "p").join(up.toDF("g", "g2"), "g")
+            nxt = keep(twice.select("u", F.col("g2").alias("p"), (F.col("g2") != F.col("p")).alias("moved")), "p2-jump")
             moved = not nxt.where("moved").isEmpty()
             forget(spark, parent)
             parent = nxt
             if not moved:
                 break
         step = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
-        small = small_side(step, n)
+        small = small_side(step, n, NODE_BYTES)
         if labels is None:
             labels = step
         else:  # nodes of earlier rounds follow their root; roots without an edge stay
@@ -135,22 +143,25 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame,
     if labels is None:
         none = live.select(F.col("u").alias("node"), F.col("v").alias("root"))
         return live.select("u", "v"), none
-    return keep(forest.distinct(), "p2-forest"), labels
+    return forest.distinct(), labels
 
 
 def grouped(df: DataFrame, id_col: str, keys: dict[str, str] | None = None) -> DataFrame:
     """df with `group_id`: equal for rows that key values link, directly or through others."""
     noded = nodes(df.drop("group_id", "node_ids", "first_node", "root"), keys)
     _, labels = spanning_forest(row_edges(noded))
-    first = F.get("node_ids", F.lit(0))
-    alone = F.unhex(F.md5(F.concat(F.lit("row:"), F.col(id_col).cast("string"))))
-    lab = small_side(labels).select(F.col("node").alias("first_node"), "root")
-    return (
-        noded.withColumn("first_node", first)
-        .join(lab, "first_node", "left")
-        .withColumn("group_id", F.coalesce("root", "first_node", alone))
-        .drop("node_ids", "first_node", "root")
-    )
+    alone = F.unhex(F.md5(F.concat(F.lit("row:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
+    rows = noded.withColumn("first_node", F.coalesce(F.get("node_ids", F.lit(0)), alone))
+    lab, n = labels.select(F.col("node").alias("first_node"), "root"), labels.count()
+    by = small_side(lab, n, NODE_BYTES)
+    out = rows.join(by, "first_node", "left") if n <= BROADCAST_ROWS else spread_join(rows, lab, ["first_node"], [id_col], how="left")
+    return out.withColumn("group_id", F.coalesce("root", "first_node")).drop("node_ids", "first_node", "root")
+
+
+def forest(df: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
+    """(u, v): the edges of the spanning forest over the key values' nodes (digests, in hexadecimal)."""
+    edges, _ = spanning_forest(row_edges(nodes(df.select(*(keys or KEYS)), keys)))
+    return edges.select(F.hex("u").alias("u"), F.hex("v").alias("v"))
 
 
 def band_plan(bands: list[tuple[int, int, int]], shares: dict[str, float]) -> dict[int, dict[str, int]]:
@@ -216,7 +227,34 @@ def assign_splits(df: DataFrame, id_col: str, score_col: str, shares: dict[str,
         before, after = F.floor(rank * F.col(o) / of), F.floor((rank + 1) * F.col(o) / of)
         split = F.coalesce(split, F.when((of > 0) & (after > before), F.lit(o)))
         rank, of = rank - after, F.greatest(of - F.col(o), F.lit(1))
-    return rows.join(dealt.select("group_id", F.coalesce(split, F.lit(first)).alias("split")), "group_id")
+    return spread_join(rows, dealt.select("group_id", F.coalesce(split, F.lit(first)).alias("split")), ["group_id"], [id_col], groups.select("group_id", "n"))
+
+
+def split_checks(split: DataFrame, score_col: str, shares: dict[str, float] | None = None, keys: dict[str, str] | None = None, tolerance: float = 0.02, errors: float = 3.0) -> DataFrame:
+    """(check_name, n, bad) of assign_splits()' result.
+
+    For every key column the linking values and those over two splits; rows, and those without a
+    split; splits, and those off their share by more than `tolerance` or the largest group's half;
+    splits, and those whose mean score is off the whole's by more than 0.05 and `errors` standard
+    errors of a mean of so many groups.
+    """
+    shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
+    out = []
+    for c in keys or KEYS:
+        forms = split.select(link_form(F.col(c)).alias("f"), "split").where(links(F.col("f")))
+        per = forms.groupBy("f").agg(F.min("split").alias("a"), F.max("split").alias("b"))
+        out.append(per.agg(F.lit(c).alias("check_name"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("bad")))
+    out.append(split.agg(F.lit("rows").alias("check_name"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("split").isNull()).alias("bad")))
+    groups = split.groupBy("split", "group_id").agg(F.count(F.lit(1)).alias("k"), F.count(score_col).alias("s"), F.sum(score_col).alias("t"))
+    by = groups.groupBy("split").agg(F.sum("k").alias("k"), F.try_divide(F.sum("t"), F.sum("s")).alias("m"), F.count(F.lit(1)).alias("groups"))
+    whole = groups.agg(F.sum("k").alias("all"), F.try_divide(F.sum("t"), F.sum("s")).alias("mean"), F.max("k").alias("top"), F.coalesce(F.stddev(F.try_divide("t", "s")), F.lit(0.0)).alias("sd"))
+    one = F.lit(1).alias("one")  # tables of one row, laid side by side by an equal key
+    by = by.select("*", one).join(F.broadcast(whole.select("*", one)), "one")
+    want = F.coalesce(*(F.when(F.col("split") == k, F.lit(v)) for k, v in shares.items()))
+    off = F.abs(F.col("k") / F.col("all") - want) > F.greatest(F.lit(tolerance), F.col("top") / F.col("all") / 2)
+    out.append(by.agg(F.lit("shares").alias("check_name"), F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(off, F.lit(True))).alias("bad")))
+    out.append(by.agg(F.lit("scores").alias("check_name"), F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("m") - F.col("mean")) > 0.05 + errors * F.col("sd") / F.sqrt("groups")).alias("bad")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def linked_spellings(df: DataFrame, id_col: str, keys: dict[str, str] | None = None, doc_col: str = "document_id") -> DataFrame:
@@ -228,5 +266,6 @@ def linked_spellings(df: DataFrame, id_col: str, keys: dict[str, str] | None = N
     g = grouped(df.select(id_col, *key_cols), id_col, keys)
     # a spelling that links nothing (blank or filler) belongs to no other
     sp = keep(g.where(links(link_form(F.col(doc_col)))).select("group_id", F.col(doc_col).alias("spelling")).distinct(), "p2-spellings")
-    low = sp.groupBy("group_id").agg(F.min("spelling").alias("document_id_a"))
-    return sp.join(low, "group_id").where("spelling <> document_id_a").select("document_id_a", F.col("spelling").alias("document_id_b"))
+    low = sp.groupBy("group_id").agg(F.min("spelling").alias("document_id_a"), F.count(F.lit(1)).alias("n"))
+    out = spread_join(sp, low.drop("n"), ["group_id"], ["spelling"], low.select("group_id", "n"))
+    return out.where("spelling <> document_id_a").select("document_id_a", F.col("spelling").alias("document_id_b"))
