@@ -38,6 +38,23 @@ def test_cut_is_at_the_change_of_topic():
     assert abs(first[1] - len(a)) <= 2
 
 
+def test_a_deep_valley_at_a_sentence_beats_a_shallow_paragraph():
+    a = "El presupuesto regional financia carreteras y puentes del distrito vial. "
+    b = "La escuela rural capacita docentes y alumnos del ciclo educativo. "
+    text = a * 4 + a[:-1] + "\n" + a * 4 + b * 16
+    assert abs(pieces.cut(text, 1200, 0)[0][1] - 9 * len(a)) <= 2
+
+
+def test_word_ends_follow_cohesion_too():
+    a, b = "presupuesto regional financia carreteras puentes distrito vial " * 9, "escuela rural capacita docentes alumnos ciclo educativo " * 16
+    assert abs(pieces.cut(a + b, 1200, 0)[0][1] - len(a)) < 80
+
+
+def test_checks_count_what_is_wrong(spark):
+    df = spark.createDataFrame([("palabra " * 900,), ("x" * 4000,), (None,), ("",), (" " * 2000,), ("y",)], "t string")
+    assert tuple(pieces.piece_checks(df, "t").first()) == (5, 3, 0, 0, 0)
+
+
 def test_rows_metadata_and_sql(spark, data, oracle):
     meta = "struct<id:string,source_type:string,strategy:string,chunk_index:int,chunks_in_source:int,length:int,chunk_overlap:int,page:int,relevance:double,was_truncated:boolean>"
     m = ("s_1", "section", "section", 1, 3, 9, 150, 7, 0.5, True)

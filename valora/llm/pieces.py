@@ -1,10 +1,13 @@
 """Oversized texts cut at natural boundaries (problem 6).
 
-Method: lexical-cohesion segmentation. Around every boundary the words of the BLOCK characters
-before and after it are compared (cosine of hashed word counts); valleys of that similarity mark
-changes of topic. Within each size window the deepest valley is cut, among paragraph ends if there
-are any, else sentence ends, else word ends. Only where a window has no white space at all is the
-cut forced. Then the next piece starts up to `overlap` characters before the cut, at a word start.
+Method: lexical-cohesion segmentation. Two blocks of BLOCK words slide along the text, one before
+and one after every gap of STEP words; the cosine of their hashed word counts is the cohesion there.
+A boundary takes the cohesion of the nearest gap, and its depth is how far cohesion rises to either
+side of it until it falls again; valleys mark changes of topic. Each size window (from LEAST of the
+limit to the limit) is cut at the deepest valley among its paragraph and sentence ends, paragraph
+ends counting PARAGRAPH deeper; without any, at the deepest valley among its word ends. Only where a
+window has no white space at all is the cut forced. Then the next piece starts up to `overlap`
+characters before the cut, at a word start.
 
 Nothing is shuffled: a text is cut where it is read, and pieces are offsets until they are needed.
 
@@ -29,9 +32,13 @@ from valora.runtime import spread
 
 LIMIT = 1500
 OVERLAP = 150
-#: Characters on either side of a boundary that are compared, and the hashed words' dimensions.
-BLOCK = 450
+#: Words in each of the two blocks that are compared, words between gaps, and the hashed words' dimensions.
+BLOCK = 60
+STEP = 10
 DIMENSIONS = 128
+#: Share of the limit that a piece has at least, and how much deeper a paragraph's end counts.
+LEAST = 0.25
+PARAGRAPH = 0.1
 
 _WORD = re.compile(r"[^\W\d_]{4,}")
 _GAP = re.compile(r"\s+")
@@ -58,10 +65,11 @@ def _boundaries(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
 
 
 class Cohesion:
-    """Similarity of the words before and after a position."""
+    """The depth of the valley of lexical cohesion at any position of a text."""
 
     def __init__(self, text: str):
-        at, code, seen = [], [], {}
+        seen: dict[str, int] = {}
+        at, code = [], []
         for m in _WORD.finditer(text):
             w = m.group().lower()
             c = seen.get(w)
@@ -69,25 +77,47 @@ class Cohesion:
                 c = seen[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % DIMENSIONS
             at.append(m.start())
             code.append(c)
-        self.at, self.code = at, np.array(code, np.int64)
-
-    def __call__(self, p: int) -> float:
-        i = bisect_left(self.at, p)
-        a = np.bincount(self.code[bisect_left(self.at, p - BLOCK) : i], minlength=DIMENSIONS)
-        b = np.bincount(self.code[i : bisect_right(self.at, p + BLOCK)], minlength=DIMENSIONS)
-        n = float(np.sqrt((a @ a) * (b @ b)))
-        return float(a @ b) / n if n else 0.0
-
-
-def _deepest(cands: list[int], sim: Cohesion) -> int:
-    """The candidate with the deepest valley: how far similarity rises to either side of it; the last of equals."""
-    if len(cands) == 1:
-        return cands[0]
-    s = np.array([sim(c) for c in cands])
-    left = np.maximum.accumulate(s)
-    right = np.maximum.accumulate(s[::-1])[::-1]
-    depth = (left - s) + (right - s) + (1 - s) * 1e-3
-    return cands[len(depth) - 1 - int(depth[::-1].argmax())]
+        n = len(code)
+        gaps = np.arange(STEP, n, STEP)
+        self.gap_at = np.array(at, np.int64)[gaps] if len(gaps) else np.zeros(0, np.int64)
+        codes, sim = np.array(code, np.int64), np.ones(len(gaps))
+        for lo in range(0, len(gaps), 512):  # stretches of gaps, so that long texts take little memory
+            g = gaps[lo : lo + 512]
+            a, b = max(0, int(g[0]) - BLOCK), min(n, int(g[-1]) + BLOCK)
+            sums = np.zeros((b - a + 1, DIMENSIONS), np.float32)
+            sums[np.arange(1, b - a + 1), codes[a:b]] = 1
+            np.cumsum(sums, axis=0, out=sums)
+            left = sums[g - a] - sums[np.maximum(g - BLOCK, a) - a]
+            right = sums[np.minimum(g + BLOCK, b) - a] - sums[g - a]
+            norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
+            sim[lo : lo + 512] = (left * right).sum(1) / np.maximum(norm, 1e-9)
+        self.depth = _climb(sim) + _climb(sim[::-1])[::-1] - 2 * sim
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The depth at the gap nearest to each place; a place without gaps around it has none."""
+        if not len(self.gap_at):
+            return np.zeros(len(places))
+        k = np.searchsorted(self.gap_at, places)
+        lo, hi = np.maximum(k - 1, 0), np.minimum(k, len(self.gap_at) - 1)
+        near = np.where(np.abs(self.gap_at[lo] - places) <= np.abs(self.gap_at[hi] - places), lo, hi)
+        return self.depth[near]
+
+
+def _climb(sim: np.ndarray) -> np.ndarray:
+    """The height that is reached by going left from each value until values fall."""
+    top = sim.tolist()
+    for i in range(1, len(top)):
+        if sim[i - 1] >= sim[i]:
+            top[i] = top[i - 1]
+    return np.array(top)
+
+
+def _deepest(ends: list[int], paragraph: set[int], cohesion: Cohesion) -> int:
+    """The boundary with the deepest valley, the last of equals."""
+    if len(ends) == 1:
+        return ends[0]
+    depth = cohesion.at(np.array(ends)) + np.array([PARAGRAPH if e in paragraph else 0.0 for e in ends])
+    return ends[len(ends) - 1 - int(depth[::-1].argmax())]
 
 
 def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, bool]]:
@@ -100,7 +130,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     first = n - len(text.lstrip())
     if last_end == 0:
         return [(0, 0, 0, False)]
-    sim = None
+    cohesion, paragraph_ends = None, set(paragraph)
     out = []
     s, done = first, 0  # start of the piece, and up to where text is covered
     while True:
@@ -109,15 +139,15 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
             out.append((s, last_end, over, False))
             return out
         hi = s + limit
-        lo = max(done + 1, s + limit // 2)
+        lo = max(done + 1, s + int(limit * LEAST))
         e, forced = None, False
-        for marks in (paragraph, sentence):
+        for marks in (sentence, ends):
             c = marks[bisect_left(marks, lo) : bisect_right(marks, hi)]
             if c:
-                sim = sim or Cohesion(text)
-                e = _deepest(c, sim)
+                cohesion = cohesion or Cohesion(text)
+                e = _deepest(c, paragraph_ends, cohesion)
                 break
-        if e is None:  # the last word end in the window that goes beyond what is covered
+        if e is None:  # the last word end that goes beyond what is covered
             i = bisect_right(ends, hi) - 1
             if i >= 0 and ends[i] > max(done, s):
                 e = ends[i]
@@ -195,3 +225,18 @@ def split_texts(df: DataFrame, text_col: str, meta_col: str, limit: int = LIMIT,
         (p["start"] + 1).alias("piece_start"),
         F.when(p["forced"], "forced").otherwise("natural").alias("cut_kind"),
     )
+
+
+def piece_checks(df: DataFrame, text_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """One row: texts, those over the limit (long_texts), and those with a piece over the limit, an
+    overlap over its bound, or characters other than white space in no piece."""
+    c, t = with_pieces(df.select(F.col(text_col).alias("t")), "t", limit, overlap), F.col("t")
+    p, n = F.col("pieces"), F.size("pieces")
+    filled = lambda a, b: F.substring(t, a + 1, b - a).rlike(r"(?U)\S")
+    between = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & (F.get(p, i)["start"] > F.get(p, i - 1)["end"]) & filled(F.get(p, i - 1)["end"], F.get(p, i)["start"]))
+    ends = filled(F.lit(0), F.get(p, F.lit(0))["start"]) | filled(F.get(p, n - 1)["end"], F.length(t))
+    one = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
+    return c.agg(
+        F.count("t").alias("texts"), one(F.length(t) > limit).alias("long_texts"), one((F.length(t) > limit) & F.exists(p, lambda x: x["end"] - x["start"] > limit)).alias("over_limit"),
+        one(F.exists(p, lambda x: x["overlap"] > overlap)).alias("over_overlap"), one(between | ends).alias("uncovered"),
+    )

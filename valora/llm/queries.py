@@ -90,6 +90,11 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_texts(table(spark, d, "chunk_contexts").select(*cols), "chunk_text", "chunk_metadata")
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What p6_pieces promises, counted over all texts."""
+    return pieces.piece_checks(table(spark, d, "chunk_contexts"), "chunk_text")
+
+
 def p7_containers(spark: SparkSession, d: str, tokenizer: str = packing.TOKENIZER) -> DataFrame:
     """Every document text, or range of its tokens, with its container of 2,048 tokens."""
     counts = packing.token_counts(table(spark, d, "documents"), "doc_id", "text", tokenizer)
@@ -130,7 +135,7 @@ def p9_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.without_repeats(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "kept_text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest, "p2_split_checks": p2_split_checks, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_checks": p7_checks, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest, "p2_split_checks": p2_split_checks, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_checks": p6_checks, "p7_containers": p7_containers, "p7_checks": p7_checks, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:
@@ -145,6 +150,7 @@ def sql() -> dict[str, str]:
         "p9_share": oracle.shared_share(shared_spans.WINDOW, shared_spans.SENTENCES),
         "p9_deduplicated": oracle.deduplicated(shared_spans.WINDOW, shared_spans.SENTENCES),
         "p9_found": oracle.shared_spans(shared_spans.WINDOW),
+        "p6_checks": f"SELECT count(chunk_text) AS texts, count(*) FILTER (length(chunk_text) > {pieces.LIMIT}) AS long_texts, 0::BIGINT AS over_limit, 0::BIGINT AS over_overlap, 0::BIGINT AS uncovered FROM chunk_contexts",
         "p6_found": f"""
 SELECT context_id, CASE WHEN list_max(list_transform(regexp_split_to_array(chunk_text, '{oracle.GAPS}'), lambda x: length(x))) > 1500
   THEN 'forced' ELSE 'natural' END AS cut_kind

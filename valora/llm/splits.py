@@ -252,8 +252,8 @@ def split_checks(split: DataFrame, score_col: str, shares: dict[str, float] | No
     by = by.select("*", one).join(F.broadcast(whole.select("*", one)), "one")
     want = F.coalesce(*(F.when(F.col("split") == k, F.lit(v)) for k, v in shares.items()))
     off = F.abs(F.col("k") / F.col("all") - want) > F.greatest(F.lit(tolerance), F.col("top") / F.col("all") / 2)
-    out.append(by.agg(F.lit("shares").alias("check_name"), F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(off, F.lit(True))).alias("bad")))
-    out.append(by.agg(F.lit("scores").alias("check_name"), F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("m") - F.col("mean")) > 0.05 + errors * F.col("sd") / F.sqrt("groups")).alias("bad")))
+    out.append(by.agg(F.lit("shares").alias("check_name"), F.lit(len(shares)).cast("long").alias("n"), F.count_if(F.coalesce(off, F.lit(True))).alias("bad")))
+    out.append(by.agg(F.lit("scores").alias("check_name"), F.lit(len(shares)).cast("long").alias("n"), F.count_if(F.abs(F.col("m") - F.col("mean")) > 0.05 + errors * F.col("sd") / F.sqrt("groups")).alias("bad")))
     return reduce(DataFrame.unionByName, out)
 
 
