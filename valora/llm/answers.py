@@ -1,9 +1,9 @@
 """Broken question-answer pairs (problem 5).
 
 Method: a pushdown parser over fences, brackets, quotations, lists and markup decides whether an
-answer was cut off; greedy string tiling finds copies of the question; function words and scripts
-tell languages apart; refusals are recognised by a grammar (lead-in, declining clause, closing
-phrases, and nothing else).
+answer was cut off; greedy string tiling finds copies of the question; scripts, function words and
+trained trigram profiles tell languages apart (profiles.py); refusals are parsed by a grammar whose
+symbols are classes of sentences and clauses.
 
 Answers are judged where they are read: nothing is shuffled.
 
@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from valora.llm.profiles import Profile, foreign, lead, trigrams
 from valora.runtime import spread
 
 DEFECTS = ("empty", "copies_question", "truncated", "refusal", "other_language")
@@ -45,7 +46,8 @@ PLACEHOLDERS = {
 }
 LABELS = "justificacion|justification|respuesta|answer|response|puntaje|score|comentario|comentarios|sustento|observacion|observaciones|analisis|evaluacion|texto relevante|relevant text|nivel|explicacion|fundamento|conclusion|resultado"
 _LABEL_ONLY = re.compile(rf"(?:{LABELS}|relevant_text)(?: (?:{LABELS}))*")
-_TAG = re.compile(r"<[^<>]{0,80}>")
+# a mark in angle brackets: short text, or a tag of any length whose attributes have values
+_TAG = re.compile(r"""<(?:[^<>]{0,80}|/?[A-Za-z][\w-]*(?:\s+[\w:-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'))+\s*/?)>""")
 _FENCE = re.compile(r"```\w*")
 
 
@@ -210,30 +212,73 @@ _TAIL = re.compile(
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|\"[^\"]*\"")
 
 
+_CLAUSE_ENDS = re.compile(r",|\bpero\b|\bbut\b|\bmais\b|\bmas\b|\bya que\b|\bporque\b|\bpues\b|\bpuesto que\b|\bdado que\b")
+
+# The grammar's productions over sentences: D declines, F only fills, C says something. Clauses tell
+# which: d declines, l leads in, t closes, s is short (two words), c says something, e is empty.
+ANSWER = {
+    "Refusal": [("Opening", "D", "Closing")],
+    "Opening": [(), ("F", "Opening")],
+    "Closing": [(), ("F", "Closing"), ("D", "Closing")],
+}
+
+
+def clause_symbols(sentence: str) -> list[str]:
+    """The symbols of a sentence's clauses."""
+    out = []
+    for clause in _CLAUSE_ENDS.split(sentence):
+        words = _WORD.findall(clause)
+        flat = " ".join(words)
+        out.append("e" if not words else "l" if _LEAD.match(flat) else "d" if _CORE.search(flat) else "t" if _TAIL.search(flat) else "s" if len(words) <= 2 else "c")
+    return out
+
+
+def sentence_symbol(sentence: str) -> str:
+    """D, F or C: D if a clause, or the sentence over its clauses, declines; F if it closes as a whole
+    or all its clauses fill."""
+    if _CORE.search(sentence):
+        return "D"
+    clauses = clause_symbols(sentence)
+    if "d" in clauses:
+        return "D"
+    if all(c in "elts" for c in clauses) or _TAIL.search(" ".join(_WORD.findall(sentence))):
+        return "F"
+    return "C"
+
+
+def derives(symbol: str, word: tuple[str, ...], productions: dict[str, list[tuple[str, ...]]] | None = None) -> bool:
+    """Whether a grammar's symbol yields a word, by recursive descent over all ways to go on."""
+    rules = productions or ANSWER
+
+    def ends(sym: str, at: int) -> set[int]:
+        if sym not in rules:
+            return {at + 1} if at < len(word) and word[at] == sym else set()
+        out: set[int] = set()
+        for body in rules[sym]:
+            here = {at}
+            for part in body:
+                here = {e for h in here for e in ends(part, h)}
+            out |= here
+        return out
+
+    return len(word) in ends(symbol, 0)
+
+
 def is_refusal(text: str) -> bool:
     """Whether the answer declines to judge and says nothing on the fragment."""
     t = plain(_QUOTED.sub(" QUOTE ", unwrapped(text)).replace("’", "'"))
-    t = re.sub(r"'", " ", t)
-    declined = False
+    t = t.replace("'", " ")
+    symbols = []
     for sentence in re.split(r"[.!?;:\n]+", t):
-        core_here = bool(_CORE.search(sentence))
-        rest = []
-        for clause in re.split(r",|\bpero\b|\bbut\b|\bmais\b|\bmas\b|\bya que\b|\bporque\b|\bpues\b|\bpuesto que\b|\bdado que\b", sentence):
-            words = _WORD.findall(clause)
-            flat = " ".join(words)
-            if not words or _LEAD.match(flat):
-                continue
-            if _CORE.search(flat):
-                declined = True
-            elif _TAIL.search(flat) or (core_here and declined and len(words) <= 8):
-                continue
-            else:
-                rest.append(words)
-        if core_here:
-            declined = True
-        elif any(len(w) > 2 for w in rest) and not _TAIL.search(" ".join(_WORD.findall(sentence))):
+        symbols.append(sentence_symbol(sentence))
+        if symbols[-1] == "C":  # no production holds it
             return False
-    return declined
+    return derives("Refusal", _squeezed(symbols))
+
+
+def _squeezed(symbols: list[str]) -> tuple[str, ...]:
+    """The word with runs of one symbol as one, which the grammar can't tell apart."""
+    return tuple(s for s, before in zip(symbols, [None, *symbols], strict=False) if s != before)
 
 
 # ---- copies -----------------------------------------------------------------------------------
@@ -277,29 +322,23 @@ def tiles(a: list[str], b: list[str], least: int = 3) -> list[tuple[int, int, in
 def copies(question: str | None, text: str, cover: float = 0.8) -> bool:
     """Whether the answer repeats the question and adds nothing but a lead-in or a score."""
     q, a = _WORD.findall(plain(question or "")), _WORD.findall(plain(_TAG.sub(" ", unwrapped(text))))
-    if len(q) < 3 or len(a) > 2 * len(q) + 12:
+    qs, have = set(q), set(a)
+    # words that are neither the question's nor a lead-in's add something, however long the answer is
+    if len(q) < 3 or any(w not in qs and w not in _LEADIN and not w.isdigit() for w in have):
         return False
-    have = set(a)
     if sum(w in have for w in q) < cover * len(q):
         return False
     found = tiles(q, a)
-    if sum(k for _, _, k in found) < cover * len(q):
-        return False
-    covered = [False] * len(a)
-    for _, j, k in found:
-        covered[j : j + k] = [True] * k
-    qs = set(q)
-    left = [w for w, c in zip(a, covered, strict=True) if not c and w not in _LEADIN and not w.isdigit() and w not in qs]
-    return not left
+    return sum(k for _, _, k in found) >= cover * len(q)
 
 
 # ---- language ---------------------------------------------------------------------------------
 
 # Function words that set the languages of the reports apart.
 FUNCTION_WORDS = {
-    "es": "el los las del y es con por una según entre para al lo su sus más como que se no la en de un fue pasó son está este esta sin hasta desde".split(),
-    "pt": "o os as do da dos das e é com uma um não em ao no na nos nas pelo pela durante mais são foi que se de sem seu sua conforme".split(),
-    "en": "the of and in to with by most that report does is for is are not this it as during a an on from".split(),
+    "es": "el los las del y es con por una según entre para al lo su sus más como que se no la en de un fue pasó son está este esta sin hasta desde a o me mi mis pero ni si otro otra ya sobre".split(),
+    "pt": "o os as do da dos das e é com uma um não em ao no na nos nas pelo pela durante mais são foi que se de sem seu sua conforme a este esta eu me meu minha mas ou ou por para sobre como está".split(),
+    "en": "the of and in to with by most that report does is for is are not this it as during a an on from i my me can be or but".split(),
     "fr": "le les des et est avec par une un du au aux dans ne pas ce cette je sur pour que qui la de sans selon pendant plus il".split(),
     "it": "il lo gli della dello dei delle e è con per una un non che nel nella di la sono durante secondo più".split(),
 }
@@ -311,13 +350,13 @@ _SCRIPTS = {"cyrillic": re.compile("[Ѐ-ӿ]"), "greek": re.compile("[Ͱ-Ͽ]"), "
 _ANY_SCRIPT = re.compile("|".join(rx.pattern for rx in _SCRIPTS.values()))
 
 
-def language(text: str, least: float = 2.0) -> str | None:
-    """The language of a text by script and function words; None without enough of them."""
-    if _ANY_SCRIPT.search(text):
-        letters = sum(c.isalpha() for c in text)
-        for name, rx in _SCRIPTS.items():
-            if len(rx.findall(text)) > 0.5 * letters:
-                return name
+#: Nats by which a profile must lead to count as one function word, and the words it counts as at most.
+LEAD_NATS = 10.0
+LEAD_WORDS = 2.0
+
+
+def evidence(text: str, profiles: dict[str, Profile], grams: list[str]) -> dict[str, float]:
+    """What speaks for each language: function words and letters that set it apart, and its profile's lead."""
     low = text.lower().replace("’", "'")
     score = dict.fromkeys(_SETS, 0.0)
     for w in re.findall(r"[^\W\d_]+", low):
@@ -328,17 +367,35 @@ def language(text: str, least: float = 2.0) -> str | None:
                     score[k] += 1.0 / c
     for k, rx in _HINTS.items():
         score[k] += min(2.0, 0.5 * len(rx.findall(low)))
+    first = lead(grams, profiles)
+    if first:
+        score[first[0]] = score.get(first[0], 0.0) + min(LEAD_WORDS, first[1] / LEAD_NATS)
+    return score
+
+
+def language(text: str, least: float = 2.0, profiles: dict[str, Profile] | None = None) -> str | None:
+    """The language of a text by script, function words and profiles; None without enough evidence."""
+    if _ANY_SCRIPT.search(text):
+        letters = sum(c.isalpha() for c in text)
+        for name, rx in _SCRIPTS.items():
+            if len(rx.findall(text)) > 0.5 * letters:
+                return name
+    score = evidence(text, {}, [])
     first, second = sorted(score, key=score.get, reverse=True)[:2]
+    if profiles and (score[first] < 2 * least or score[first] < 2 * score[second]):  # words alone don't decide
+        score = evidence(text, profiles, trigrams(text))
+        first, second = sorted(score, key=score.get, reverse=True)[:2]
     return first if score[first] >= least and score[first] >= 1.25 * score[second] else None
 
 
 _ASKED: dict[str, str | None] = {}
 
 
-def other_language(question: str | None, text: str) -> bool:
+def other_language(question: str | None, text: str, profiles: dict[str, Profile] | None = None) -> bool:
     """Whether question and answer, quotations aside, are in two different languages.
 
-    Questions recur, so their languages are remembered.
+    A text in no known language counts too if the profile of the question's language speaks against
+    it and no function word for it. Questions recur, so their languages are remembered.
     """
     body = _SCORE.sub("", _QUOTED.sub(" ", unwrapped(text)))
     if len(_WORD.findall(body)) < 4:
@@ -348,11 +405,17 @@ def other_language(question: str | None, text: str) -> bool:
         if len(_ASKED) > 4096:
             _ASKED.clear()
         _ASKED[known] = language(known, 1.0)
-    q, a = _ASKED[known], language(body)
-    return q is not None and a is not None and q != a
+    q = _ASKED[known]
+    if q is None:
+        return False
+    a = language(body, profiles=profiles)
+    if a is not None or not profiles:
+        return a is not None and q != a
+    grams = trigrams(body)
+    return foreign(grams, q, profiles) and evidence(body, {}, grams).get(q, 0.0) < 1.0
 
 
-def defects(question: str | None, answer: str | None) -> list[str]:
+def defects(question: str | None, answer: str | None, profiles: dict[str, Profile] | None = None) -> list[str]:
     """The defects of a pair, in the order of DEFECTS."""
     t = visible(answer)
     if is_empty(t):
@@ -361,15 +424,20 @@ def defects(question: str | None, answer: str | None) -> list[str]:
     if copies(q, t):
         return ["copies_question"]
     refusal = is_refusal(t)
-    found = {"truncated": is_truncated(t), "refusal": refusal, "other_language": other_language(q, t)}
+    found = {"truncated": is_truncated(t), "refusal": refusal, "other_language": other_language(q, t, profiles)}
     return [d for d in DEFECTS if found.get(d)]
 
 
-def with_defects(df: DataFrame, question_col: str, answer_col: str) -> DataFrame:
-    """df with `defects`, the array of each pair's defects (empty for a sound pair)."""
+def with_defects(df: DataFrame, question_col: str, answer_col: str, profiles: dict[str, Profile] | None = None) -> DataFrame:
+    """df with `defects`, the array of each pair's defects (empty for a sound pair).
+
+    profiles: trained language profiles (profiles.train); without them languages are told by scripts
+    and function words alone.
+    """
+    held = df.sparkSession.sparkContext.broadcast(profiles or {})  # at most TRIGRAMS entries a language
 
     def run(q: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([defects(x, y) for x, y in zip(q, a, strict=True)], dtype=object)
+        return pd.Series([defects(x, y, held.value) for x, y in zip(q, a, strict=True)], dtype=object)
 
     # told to be nondeterministic, or an explode's filter would judge every pair a second time
     judge = F.pandas_udf(run, "array<string>").asNondeterministic()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import answers, leaks, lookalike, oracle, packing, pieces, scans, shared_spans, splits
+from valora.llm import answers, leaks, lookalike, oracle, packing, pieces, profiles, scans, shared_spans, splits
 from valora.runtime import keep
 from valora.sources.tables import table
 
@@ -75,7 +75,8 @@ def p3_reports(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "ai_responses").select("response_id", "question_text", "justification")
-    return answers.with_defects(pairs, "question_text", "justification").select("response_id", F.explode("defects").alias("defect"))
+    known = profiles.train(table(spark, d, "documents"), "text", "lang")
+    return answers.with_defects(pairs, "question_text", "justification", known).select("response_id", F.explode("defects").alias("defect"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
