@@ -30,9 +30,9 @@ def test_defects_of_lines(spark):
 def test_broadcast_and_join_agree(spark):
     pages = [(i, "d", i, "la cvaluación de los rcsultados\nla coordinación del presvpuesto") for i in range(3)]
     s = scans.Scans(corpus(spark, pages))
-    a = {tuple(r) for r in scans.misread_lines(s.flagged, s.fixes).collect()}
-    b = {tuple(r) for r in scans.misread_lines(s.flagged, s.fixes, bound=0).collect()}
-    assert a == b and len(a) >= 6
+    total = lambda m: sorted(tuple(r) for r in m.where("kind <> 'b'").collect()) + sorted(tuple(r) for r in m.where("kind = 'b'").groupBy("prev", "word").sum("n").collect())
+    a, b = total(scans.marks(s.flagged, s.words)), total(scans.marks(s.flagged, s.words, bound=0))
+    assert a == b and len([x for x in a if x[0] == "x"]) >= 6
 
 
 def test_repair_is_the_same_broadcast_and_joined(spark):
@@ -84,6 +84,34 @@ def test_head_whose_misreading_folds_in_two_steps(spark):
     assert {(i, 1, "running") for i in (1, 2, 3)} <= defects(spark, pages)
 
 
+def test_heads_at_any_depth(spark):
+    """Five running lines and a long framed number at the top of each page."""
+    heads = ["Gobierno Regional", "Gerencia de Planeamiento", "Unidad de Seguimiento", "Informe Anual", "Serie Documentos"]
+    pages = [(i, "d", i, "\n".join([*heads, "-" * 60 + f" {i + 1} " + "-" * 60, f"el informe presenta las regiones y {w}", "la coordinación del presupuesto"])) for i, w in enumerate(WORDS[:4])]
+    got = defects(spark, pages)
+    assert {(i, k, "running") for i in range(4) for k in range(1, 6)} <= got and {(i, 6, "page_number") for i in range(4)} <= got
+    assert not [x for x in got if x[1] > 6]
+
+
+def test_short_words_by_context(spark):
+    """`cn` and `ia` are near `en` and `la`; they are misread only where the word before is followed by these."""
+    pages = [(i, f"e{i}", 0, "el plan vive en la zona de agua") for i in range(40)] + [(100 + i, f"g{i}", 0, "norma ia vigente") for i in range(2)]
+    pages += [(500, "h", 0, "el plan vive cn la zona\nia red"), (501, "i", 0, "ia gestión")]
+    assert defects(spark, pages) == {(500, 1, "misread")}
+
+
+def test_evidence_of_odd_tokens(spark):
+    pages = [(1, "d", 0, "los resu1tados de las regi0nes\nde Kw@xzt1 y el informe")]
+    s = scans.Scans(corpus(spark, pages))
+    assert {(r["line_no"], r["evidence"]) for r in s.misread().where("record_id = 1").collect()} == {(1, "index"), (2, "characters")}
+
+
+def test_a_misreading_is_no_candidate(spark):
+    pages = [(i, f"e{i}", 0, "una gestión adecuada") for i in range(200)] + [(300 + i, f"f{i}", 0, "una gestión aclecuada") for i in range(12)] + [(400, "g", 0, "una gestión aclecuacla")]
+    fixes = {r["word"]: r["fix"] for r in scans.Scans(corpus(spark, pages)).fixes.collect()}
+    assert fixes["aclecuacla"] == fixes["aclecuada"] == "adecuada"
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, doc string, page int, t string")
     s = scans.Scans(scans.pages_of(df, "x", "id", "doc", "page", "t"))

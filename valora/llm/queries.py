@@ -68,6 +68,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.Scans(_pages(spark, d)).defects()
 
 
+def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many misread lines the index, the context, or characters alone tell."""
+    return scans.Scans(_pages(spark, d)).misread().groupBy("evidence").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def p3_reports(spark: SparkSession, d: str) -> DataFrame:
     """Every scanned report as continuous repaired paragraphs, in reading order."""
     return scans.Scans(_pages(spark, d)).reports()
@@ -136,7 +141,7 @@ def p9_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.without_repeats(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "kept_text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest, "p2_split_checks": p2_split_checks, "p3_found": p3_found, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_checks": p6_checks, "p7_containers": p7_containers, "p7_checks": p7_checks, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest, "p2_split_checks": p2_split_checks, "p3_found": p3_found, "p3_evidence": p3_evidence, "p3_reports": p3_reports, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_checks": p6_checks, "p7_containers": p7_containers, "p7_checks": p7_checks, "p8_found": p8_found, "p8_alignments": p8_alignments, "p9_found": p9_found, "p9_share": p9_share, "p9_deduplicated": p9_deduplicated}
 
 
 def sql() -> dict[str, str]:

@@ -1,18 +1,25 @@
 """Text of scanned pages as continuous paragraphs (problem 3).
 
 Method: a symmetric-delete index over the corpus's own frequency lexicon generates correction
-candidates, a weighted edit distance with confusion pairs ranks them, and the context of the word
-before picks among equals. Around it, edge lines that repeat through a report (compared in a form
+candidates for all words and for tokens with impossible characters, a weighted edit distance with
+confusion pairs ranks them, and the context of the word before picks among several; words of less
+than SHORT letters, which are near many others, are corrected only where that context speaks for it.
+Around it, edge lines that repeat through a report (compared in a form
 in which confusable characters are equal) are its running heads, edge lines that hold nothing but
 a number in step with the page are page numbers, and words broken over lines are joined where the
 lexicon knows the joined word rather than the compound.
 
 Steps, each over all pages:
-1. edges: up to EDGE lines at the top and bottom of every page, their folded form and number;
+1. edges: the lines at the top and bottom of every page, inwards up to the first one that can be
+   neither head nor number, their folded form and number;
 2. running heads and page numbers by counting over a report; they are peeled from outside inwards;
 3. facts of the remaining body lines: word counts, broken words, lines with impossible characters;
 4. the lexicon from the counts, candidates by joining deletions, corrections by weighted distance;
-5. body lines that hold a corrected word.
+5. marks: body lines that hold a corrected word, short words with a candidate, and how often the
+   candidates follow the words before them.
+
+A token with impossible characters that the index has no candidate for is misread all the same;
+misread() names the evidence of every line.
 
 Page-level tables are joined by report and page number, never gathered by report; the corrections
 go to the executors only up to BROADCAST_WORDS words and are joined to the pages' words beyond.
@@ -40,7 +47,8 @@ from pyspark.sql import functions as F
 
 from valora.runtime import keep, small_side, spread
 
-EDGE = 3
+#: Letters below which a word is corrected by context only.
+SHORT = 3
 #: A candidate must be this many times as frequent as the word it replaces, and this frequent at all.
 RATIO = 6.0
 LEAST = 6
@@ -109,6 +117,7 @@ def head_like(line: str) -> bool:
 _DIGITS = str.maketrans({"l": "1", "I": "1", "i": "1", "|": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "g": "9", "q": "9", "b": "6"})
 _NUM = r"[\dlIiOoSsBZzgqb]{1,4}"
 _PAGE = re.compile(rf"^[^\w|]*(?:(?P<label>p[^\W\d_@†]?[@†\w.]{{0,7}}?\.?|folio|hoja|page)[\s.:]+)?[^\w|]*(?P<n>{_NUM}|\|)(?:\s*(?P<sep>de|of|/|\||-|\\/)\s*(?P<m>{_NUM}))?[^\w|]*$", re.I)
+_RUNS = re.compile(r"([^\w|])\1+")
 _ROMAN = re.compile(r"^[^\w]*([ivxlc]{1,7})[^\w]*$", re.I)
 _PAGE_LABELS = {fold(x) for x in ("p", "pag", "pág", "página", "pagina", "pags", "pg", "folio", "hoja", "page")}
 
@@ -121,8 +130,9 @@ def _roman(s: str) -> int:
 
 def page_number(line: str) -> tuple[int, bool] | None:
     """(number, whether its form is that of a page number) if the line holds a number only."""
-    t = line.strip()
-    if not t or len(t) > 40:
+    # runs of one mark as one, so that a frame of any length around the number weighs nothing
+    t = _RUNS.sub(r"\1", line.strip())
+    if not t or sum(c.isalnum() for c in t) > 40:  # a label, a separator and two numbers have fewer
         return None
     m = _PAGE.match(t)
     if m:
@@ -174,13 +184,13 @@ def edges(pages: DataFrame) -> DataFrame:
             for s, r, d, p, t in zip(pdf["source_table"], pdf["record_id"], pdf["doc"], pdf["page_no"], pdf["text"], strict=True):
                 lines = _lines(t)
                 full = [i for i, x in enumerate(lines) if x.strip()]
-                for zone, at in (("top", full[:EDGE]), ("bottom", full[::-1][:EDGE])):
+                for zone, at in (("top", full), ("bottom", reversed(full))):
                     for k, i in enumerate(at):
                         line = lines[i]
                         num = page_number(line)
                         if num is None and not head_like(line):
                             rows.append((s, d, r, p, zone, k, i + 1, None, False, None, False))
-                            continue
+                            break  # no line within can be a head any more
                         form = head_form(line)
                         rows.append((s, d, r, p, zone, k, i + 1, _hash(form) if sum(c.isalpha() for c in form) >= 4 else None, head_like(line), num[0] if num else None, bool(num and num[1])))
             out = pd.DataFrame(rows, columns=["source_table", "doc", "record_id", "page_no", "zone", "depth", "line_no", "form", "head", "num", "marked"])
@@ -279,7 +289,7 @@ FACTS = "kind string, source_table string, doc string, record_id long, page_no i
 def facts(flagged: DataFrame) -> DataFrame:
     """FACTS of pages with flags. kind w: a word and its count in a batch; c: a compound and its
     count; o: a token with impossible characters and its count; h: a line that ends in a broken word;
-    p: a page's first body token and line; m: a line with impossible characters."""
+    p: a page's first body token and line; m: a line and its token with impossible characters."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in FACTS.split(", ")]
@@ -294,8 +304,7 @@ def facts(flagged: DataFrame) -> DataFrame:
                     if _ODD.search(line):
                         bad = [x.strip(_STRIP).lower() for x in line.split() if odd_token(x)]
                         odd.update(bad)
-                        if bad:
-                            rows.append(("m", s, d, r, p, i + 1, None, None, None, None, None))
+                        rows += [("m", s, d, r, p, i + 1, w, None, None, None, None) for w in set(bad)]
                     frag = broken(line)
                     text = line.rstrip()[: -1 - len(frag)] if frag else line
                     first = _first_token(line) if k == 0 or skip_first else None
@@ -305,7 +314,8 @@ def facts(flagged: DataFrame) -> DataFrame:
                     if skip_first and ws:
                         ws = ws[1:]
                     words.update(ws)
-                    compounds.update(x.replace("‐", "-") for x in _COMPOUND.findall(text.lower()))
+                    if "-" in text or "‐" in text:
+                        compounds.update(x.replace("‐", "-") for x in _COMPOUND.findall(text.lower()))
                     skip_first = False
                     if frag:
                         nxt = _first_token(lines[body[k + 1]]) if k + 1 < len(body) else None
@@ -380,27 +390,31 @@ def lexicon(fact: DataFrame) -> DataFrame:
 
 
 def corrections(lex: DataFrame, ratio: float = RATIO, least: int = LEAST, max_cost: float = MAX_COST) -> DataFrame:
-    """(word, fix, cost, n_word, n_fix, rank): candidates of every word that is likely misread.
+    """(word, fix, cost, n_word, n_fix, odd, rank): candidates of every word that is likely misread.
 
     Deletions of folded words are joined (symmetric delete, keys_of); a candidate is at least `ratio` times
-    as frequent and within `max_cost`. rank 1 is the cheapest, then the most frequent.
+    as frequent and within `max_cost`. rank 1 is the cheapest, then the most frequent, of those that
+    aren't likely misread themselves; others come last.
     """
     # told to be nondeterministic, so that filters and explodes don't compute them twice
     keys = F.pandas_udf(lambda w: pd.Series([keys_of(x) for x in w], dtype=object), "array<string>").asNondeterministic()
-    read = lex.where(F.length("word") >= 3).withColumn("del", F.explode(keys("word")))
+    read = lex.withColumn("del", F.explode(keys("word")))
     meant = read.where(f"n >= {least} AND NOT odd").select(F.col("word").alias("fix"), F.col("n").alias("n_fix"), "del")
     top = lex.agg(F.max("n")).first()[0] or 0
     pairs = (
         read.where(f"n * {ratio} <= {top}")
         .join(meant, "del")
         .where(f"word <> fix AND n_fix >= {ratio} * n AND abs(length(word) - length(fix)) <= 3")
-        .select("word", "fix", F.col("n").alias("n_word"), "n_fix")
+        .select("word", "fix", F.col("n").alias("n_word"), "n_fix", "odd")
         .distinct()
     )
     cost = F.pandas_udf(lambda a, b: pd.Series([distance(x, y, max_cost) for x, y in zip(a, b, strict=True)], dtype="float64"), "double").asNondeterministic()
     good = pairs.withColumn("cost", cost("word", "fix")).where(f"cost < {max_cost}")
-    order = F.row_number().over(Window.partitionBy("word").orderBy("cost", F.desc("n_fix"), "fix"))
-    return good.withColumn("rank", order)
+    good = keep(good, "p3-pairs")
+    doubtful = good.select(F.col("word").alias("fix"), F.lit(True).alias("doubtful")).distinct()
+    good = good.join(small_side(keep(doubtful, "p3-doubtful")), "fix", "left")
+    order = F.row_number().over(Window.partitionBy("word").orderBy(F.coalesce("doubtful", F.lit(False)), "cost", F.desc("n_fix"), "fix"))
+    return good.withColumn("rank", order).drop("doubtful")
 
 
 def broken_words(fact: DataFrame, lex: DataFrame) -> DataFrame:
@@ -433,81 +447,112 @@ def broken_words(fact: DataFrame, lex: DataFrame) -> DataFrame:
     return h.select("source_table", "doc", "record_id", "page_no", "line_no", "frag", "tail", "nxt", "bare_next", "next_line", "same_page", "joined", F.coalesce(alone | whole, F.lit(False)).alias("hyphenated"))
 
 
-def _tokens(text: Column) -> Column:
-    """A page's words: runs of letters, and what stands between white space without outer marks."""
-    low = F.lower(text)
-    whole = F.transform(F.split(low, r"\s+"), lambda t: F.trim(t, F.lit(_STRIP)))
-    return F.concat(F.split(low, r"[^\p{L}]+"), whole)
+def page_tokens(text: str | None) -> set[str]:
+    """A page's words, and its tokens without outer marks, in lower case."""
+    low = (text or "").lower()
+    return {*_LETTERS.findall(low), *(t.strip(_STRIP) for t in low.split())}
 
 
-def page_words(flagged: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(source_table, record_id, page_no, fixes): the corrections that a page's words need, joined."""
-    w = flagged.select("source_table", "record_id", "page_no", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("word"))
-    return w.join(fixes, "word").groupBy("source_table", "record_id", "page_no").agg(F.collect_list(F.struct("word", "fix")).alias("fixes"))
+def _page_lookups(flagged: DataFrame, table: DataFrame, fields: list[str], name: str) -> DataFrame:
+    """(source_table, record_id, page_no, name): of every page the rows of table for its words, joined."""
+    tokens = F.pandas_udf(lambda c: pd.Series([sorted(page_tokens(t)) for t in c], dtype=object), "array<string>").asNondeterministic()
+    w = flagged.select("source_table", "record_id", "page_no", F.explode(tokens("text")).alias("word"))
+    return w.join(table, "word").groupBy("source_table", "record_id", "page_no").agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
-def page_contexts(flagged: DataFrame, picks: DataFrame) -> DataFrame:
-    """(source_table, record_id, page_no, picks): the picks by context that a page's words need, joined."""
-    w = flagged.select("source_table", "record_id", "page_no", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("word"))
-    return w.join(picks, "word").groupBy("source_table", "record_id", "page_no").agg(F.collect_list(F.struct("prev", "word", "fix")).alias("picks"))
+#: What a worker looks words up in: words that are corrected, short ones that context may correct,
+#: and words whose contexts are counted.
+SURE, WEAK, SEEN = 1, 2, 4
 
 
-def with_fixes(flagged: DataFrame, fixes: DataFrame, picks: DataFrame | None = None, bound: int = BROADCAST_WORDS):
-    """(pages, loader): pages with the columns `fixes` and `picks`, and a function that gives a worker
-    the broadcast ones.
+def with_words(flagged: DataFrame, words: DataFrame, picks: DataFrame | None = None, bound: int = BROADCAST_WORDS):
+    """(pages, loader): pages with the columns `known` and `picks`, and a function that gives a worker
+    the broadcast tables.
 
-    Up to `bound` rows in all they are broadcast and the columns are null; beyond, every page gets
-    its own by joins.
+    words: (word, fix, role); picks: (prev, word, fix). Up to `bound` rows in all they are broadcast
+    and the columns are null; beyond, every page gets its own by joins.
     """
     key = ["source_table", "record_id", "page_no"]
-    n = fixes.count() + (picks.count() if picks is not None else 0)
+    n = words.count() + (picks.count() if picks is not None else 0)
     if n <= bound:
-        by_word = {r["word"]: r["fix"] for r in fixes.toLocalIterator()}
+        by_word = {r["word"]: (r["fix"], r["role"]) for r in words.toLocalIterator()}
         by_context = {(r["prev"], r["word"]): r["fix"] for r in picks.toLocalIterator()} if picks is not None else {}
         held = flagged.sparkSession.sparkContext.broadcast(cloudpickle.dumps((by_word, by_context)))
         none = lambda fields: F.lit(None).cast(f"array<struct<{fields}>>")
-        return flagged.withColumns({"fixes": none("word:string,fix:string"), "picks": none("prev:string,word:string,fix:string")}), lambda: pickle.loads(held.value)
-    out = flagged.join(page_words(flagged, fixes), key, "left")
+        return flagged.withColumns({"known": none("word:string,fix:string,role:int"), "picks": none("prev:string,word:string,fix:string")}), lambda: pickle.loads(held.value)
+    out = flagged.join(_page_lookups(flagged, words, ["word", "fix", "role"], "known"), key, "left")
     empty = F.array().cast("array<struct<prev:string,word:string,fix:string>>")
-    out = out.join(page_contexts(flagged, picks), key, "left") if picks is not None else out.withColumn("picks", empty)
-    return out.withColumns({"fixes": F.coalesce("fixes", F.array().cast("array<struct<word:string,fix:string>>")), "picks": F.coalesce("picks", empty)}), lambda: ({}, {})
+    out = out.join(_page_lookups(flagged, picks, ["prev", "word", "fix"], "picks"), key, "left") if picks is not None else out.withColumn("picks", empty)
+    return out.withColumns({"known": F.coalesce("known", F.array().cast("array<struct<word:string,fix:string,role:int>>")), "picks": F.coalesce("picks", empty)}), lambda: ({}, {})
 
 
-def misread_lines(flagged: DataFrame, fixes: DataFrame, bound: int = BROADCAST_WORDS) -> DataFrame:
-    """(source_table, record_id, page_no, line_no) of body lines with a whole word that has a correction."""
-    src, load = with_fixes(flagged.select("source_table", "record_id", "page_no", "text", "flags"), fixes, bound=bound)
+def body_words(lines: list[str], flags: dict[int, str]) -> Iterator[tuple[int, list[str]]]:
+    """(index, words) of a page's body lines, without the two parts of a word broken over lines."""
+    after = False
+    for i in body_of(lines, flags):
+        frag = broken(lines[i])
+        ws = _LETTERS.findall((lines[i].rstrip()[: -1 - len(frag)] if frag else lines[i]).lower())
+        yield i, ws[1:] if after and ws else ws
+        after = bool(frag)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bad, _ = load()
-        for pdf in batches:
-            rows = []
-            for s, r, p, t, fl, fx in zip(pdf["source_table"], pdf["record_id"], pdf["page_no"], pdf["text"], pdf["flags"], pdf["fixes"], strict=True):
-                lines, known = _lines(t), bad if fx is None else {x["word"] for x in fx}
-                after = False
-                for i in body_of(lines, _flags(fl)):
-                    frag = broken(lines[i])
-                    ws = _LETTERS.findall((lines[i].rstrip()[: -1 - len(frag)] if frag else lines[i]).lower())
-                    if after and ws:
-                        ws = ws[1:]
-                    after = bool(frag)
-                    if any(w in known for w in ws):
-                        rows.append((s, r, p, i + 1))
-            yield pd.DataFrame(rows, columns=["source_table", "record_id", "page_no", "line_no"]).astype({"record_id": "int64", "page_no": "int32", "line_no": "int32"})
 
-    return src.mapInPandas(scan, "source_table string, record_id long, page_no int, line_no int")
+MARKS = "kind string, source_table string, record_id long, page_no int, line_no int, prev string, word string, n long"
 
 
-def contexts(flagged: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(prev, fix, n): how often each candidate of a word with several follows each word in the corpus.
+def marks(flagged: DataFrame, words: DataFrame, bound: int = BROADCAST_WORDS) -> DataFrame:
+    """MARKS of body lines. kind x: a line with a word that has a correction; a: a short word with a
+    candidate, after another word; b: a word and one after it whose contexts count, with their
+    number in a batch."""
+    src, load = with_words(flagged.select("source_table", "record_id", "page_no", "text", "flags"), words, bound=bound)
 
-    Counted over all body lines; per batch only pairs whose second word is such a candidate are kept.
-    """
-    several = candidates.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("word")
-    want = candidates.join(several, "word", "left_semi").select("fix").distinct()
-    low = F.regexp_replace(F.lower("text"), r"[-‐¬\u00ad]\s*\n\s*", "")
-    words = flagged.select(F.filter(F.split(low, r"[^\p{L}]+"), lambda w: w != "").alias("ws"))
-    pair = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 1, F.lit(1))), lambda i: F.struct(F.get("ws", i - 1).alias("prev"), F.get("ws", i).alias("fix")))).alias("p")).select("p.*")
-    return pair.where("fix IS NOT NULL").join(small_side(keep(want, "p3-want")), "fix", "left_semi").groupBy("prev", "fix").agg(F.count(F.lit(1)).alias("n"))
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every, _ = load()
+        cols = [c.split()[0] for c in MARKS.split(", ")]
+        for pdf in batches:
+            rows, pairs = [], Counter()
+            for s, r, p, t, fl, kn in zip(*(pdf[c] for c in ("source_table", "record_id", "page_no", "text", "flags", "known")), strict=True):
+                known = every if kn is None else {x["word"]: (x["fix"], x["role"]) for x in kn}
+                prev = ""
+                for i, ws in body_words(_lines(t), _flags(fl)):
+                    found = False
+                    for w in ws:
+                        if w in known:
+                            role = known[w][1]
+                            found |= bool(role & SURE)
+                            if prev:
+                                if role & SEEN:
+                                    pairs[(prev, w)] += 1
+                                if role & WEAK:
+                                    rows.append(("a", s, r, p, i + 1, prev, w, None))
+                        prev = w
+                    if found:
+                        rows.append(("x", s, r, p, i + 1, None, None, None))
+            rows += [("b", None, None, None, None, a, b, n) for (a, b), n in pairs.items()]
+            yield pd.DataFrame(rows, columns=cols).astype({"record_id": "Int64", "page_no": "Int32", "line_no": "Int32", "n": "Int64"})
+
+    return src.mapInPandas(scan, MARKS)
+
+
+def looked_up(candidates: DataFrame) -> DataFrame:
+    """(word, fix, role) of the words that marks() looks for: SURE and WEAK by length, SEEN those with
+    several candidates or weak ones, and their candidates."""
+    per = candidates.groupBy("word").agg(F.max_by("fix", -F.col("rank")).alias("fix"), F.count(F.lit(1)).alias("k"), F.max("odd").alias("odd"))
+    short = (F.length("word") < SHORT) & ~F.col("odd")
+    per = per.select("word", "fix", (F.when(short, WEAK).otherwise(SURE) + F.when(short | (F.col("k") > 1), SEEN).otherwise(0)).alias("role"))
+    seen = candidates.join(per.where(F.col("role") >= SEEN).select("word"), "word", "left_semi").select(F.col("fix").alias("word"), F.lit(None).cast("string").alias("fix"), F.lit(SEEN).alias("role"))
+    return per.unionByName(seen).groupBy("word").agg(F.max("fix").alias("fix"), F.bit_or("role").cast("int").alias("role"))
+
+
+def context_picks(candidates: DataFrame, mark: DataFrame, words: DataFrame) -> DataFrame:
+    """(prev, word, fix): of the candidates of a word that context decides, the one that most often
+    follows the word before; of a short word only one that does so LEAST times, and RATIO times as
+    often as the word itself."""
+    pair = mark.where("kind = 'b'").groupBy("prev", "word").agg(F.sum("n").alias("seen"))
+    asked = pair.join(words.where(F.col("role").bitwiseAND(SURE | WEAK) > 0).where(F.col("role") >= SEEN).select("word", "role"), "word")
+    fits = asked.select("prev", "word", "role", F.col("seen").alias("own")).join(candidates.select("word", "fix", "cost", "n_fix"), "word").join(pair.select("prev", F.col("word").alias("fix"), "seen"), ["prev", "fix"])
+    best = fits.groupBy("prev", "word", "role", "own").agg(F.max(F.struct("seen", (-F.col("cost")).alias("c"), "n_fix", "fix")).alias("b"))
+    weak = F.col("role").bitwiseAND(WEAK) > 0
+    return best.where(~weak | ((F.col("b.seen") >= LEAST) & (F.col("b.seen") >= RATIO * F.col("own")))).select("prev", "word", F.col("b.fix").alias("fix"))
 
 
 REPAIRED = "source_table string, doc string, record_id long, page_no int, paragraph_no int, text string, opens_mid boolean, ends_mid boolean, ends_broken boolean"
@@ -518,14 +563,14 @@ _HEADING = re.compile(r"^\s*\d+(?:\.\d+)+\s+\S")
 _AS_DIGITS = str.maketrans("lOI", "101")
 
 
-def repair_token(tok: str, fixes: dict[str, str], context: dict[tuple[str, str], str], prev: str) -> str:
+def repair_token(tok: str, fixes: dict[str, tuple[str, int]], context: dict[tuple[str, str], str], prev: str) -> str:
     """A token with its misreading repaired, in the case it had."""
     core = tok.strip(_STRIP)
     if not core:
         return tok
     at = tok.index(core)
     low = core.lower()
-    fix = context.get((prev, low)) or fixes.get(low)
+    fix = context.get((prev, low)) or fixes.get(low, (None, 0))[0]
     if fix is None and _NUMERIC.fullmatch(core) and odd_token(core):
         fix = core.translate(_AS_DIGITS)
     if fix is None:
@@ -584,11 +629,19 @@ class Scans:
         self.fact = keep(facts(self.flagged), "p3-facts")
         self.lex = keep(lexicon(self.fact), "p3-lexicon")
         self.candidates = keep(corrections(self.lex), "p3-candidates")
-        self.fixes = self.candidates.where("rank = 1").select("word", "fix")
+        self.words = keep(looked_up(self.candidates), "p3-words")
+        self.fixes = self.words.where(F.col("role").bitwiseAND(SURE) > 0).select("word", "fix")
         self.breaks = keep(broken_words(self.fact, self.lex), "p3-breaks")
+        self.marks = keep(marks(self.flagged, self.words), "p3-marks")
+        self.picks = keep(context_picks(self.candidates, self.marks, self.words), "p3-picks")
 
     def misread(self) -> DataFrame:
-        """Body lines with a wrongly recognised character, in whole or broken words."""
+        """(source_table, record_id, page_no, line_no, evidence): body lines with a wrongly recognised
+        character, in whole or broken words.
+
+        evidence: `index`, a word or odd token with a candidate; `context`, a short word whose candidate
+        the word before speaks for; `characters`, impossible ones without a candidate.
+        """
         key = ["source_table", "record_id", "page_no", "line_no"]
         b = self.breaks.where("nxt IS NOT NULL").join(self.fixes.withColumnRenamed("word", "joined"), "joined")
         wrong_first = ~F.expr("startswith(fix, tail)")
@@ -599,14 +652,20 @@ class Scans:
         over = b.where(wrong_next & ~F.col("same_page")).select("source_table", "doc", (F.col("page_no") + 1).alias("page_no")).distinct()
         firsts = self.fact.where("kind = 'p'").select("source_table", "doc", "record_id", "page_no", "line_no")
         there = firsts.join(over, ["source_table", "doc", "page_no"], "left_semi").select(*key)
-        odd = self.fact.where("kind = 'm'").select(*key)
-        return reduce(DataFrame.unionByName, [misread_lines(self.flagged, self.fixes), head, here, there, odd]).distinct()
+        known = self.fixes.select("word", F.lit("index").alias("evidence"))
+        odd = self.fact.where("kind = 'm'").select(*key, "word").join(small_side(keep(known, "p3-known")), "word", "left").select(*key, F.coalesce("evidence", F.lit("characters")).alias("evidence"))
+        whole = self.marks.where("kind = 'x'").select(*key)
+        short = self.marks.where("kind = 'a'").join(small_side(self.picks.select("prev", "word")), ["prev", "word"], "left_semi").select(*key, F.lit("context").alias("evidence"))
+        index = reduce(DataFrame.unionByName, [whole, head, here, there]).withColumn("evidence", F.lit("index"))
+        every = reduce(DataFrame.unionByName, [index, odd, short])
+        rank = F.array_position(F.array(F.lit("index"), F.lit("context"), F.lit("characters")), F.col("evidence"))
+        return every.groupBy(*key).agg(F.min_by("evidence", rank).alias("evidence"))
 
     def defects(self) -> DataFrame:
         """(source_table, record_id, page_no, line_no, defect) of every line."""
         edge = self.kinds.select("source_table", "record_id", "page_no", F.explode("flags").alias("f")).select("source_table", "record_id", "page_no", F.col("f.line_no").alias("line_no"), F.col("f.kind").alias("defect"))
         hyph = self.breaks.where("hyphenated").select("source_table", "record_id", "page_no", "line_no", F.lit("hyphenated").alias("defect"))
-        return edge.unionByName(hyph).unionByName(self.misread().withColumn("defect", F.lit("misread")))
+        return edge.unionByName(hyph).unionByName(self.misread().drop("evidence").withColumn("defect", F.lit("misread")))
 
     def paragraphs(self, bound: int = BROADCAST_WORDS) -> DataFrame:
         """REPAIRED: the repaired paragraphs of every page in reading order.
@@ -616,19 +675,15 @@ class Scans:
         """
         key = ["source_table", "record_id", "page_no"]
         joins = self.breaks.where("hyphenated").groupBy(*key).agg(F.collect_set("line_no").alias("joins"))
-        ctx = contexts(self.flagged, self.candidates)
-        ranked = self.candidates.join(ctx.withColumnRenamed("n", "seen"), "fix")
-        best = ranked.groupBy("prev", "word").agg(F.max_by("fix", F.struct("seen", (-F.col("cost")).alias("c"), "n_fix")).alias("fix"))
-        best = keep(best.join(self.candidates.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("word"), "word", "left_semi"), "p3-context")
-        src, load = with_fixes(self.flagged.select("source_table", "doc", "record_id", "page_no", "text", "flags"), self.fixes, best, bound)
+        src, load = with_words(self.flagged.select("source_table", "doc", "record_id", "page_no", "text", "flags"), self.fixes.withColumn("role", F.lit(SURE)), self.picks, bound)
         src = src.join(small_side(keep(joins, "p3-joins")), key, "left")
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every, everywhere = load()
             for pdf in batches:
                 rows = []
-                for s, d, r, p, t, fl, fx, pk, jn in zip(*(pdf[c] for c in ("source_table", "doc", "record_id", "page_no", "text", "flags", "fixes", "picks", "joins")), strict=True):
-                    fixes = every if fx is None else {x["word"]: x["fix"] for x in fx}
+                for s, d, r, p, t, fl, fx, pk, jn in zip(*(pdf[c] for c in ("source_table", "doc", "record_id", "page_no", "text", "flags", "known", "picks", "joins")), strict=True):
+                    fixes = every if fx is None else {x["word"]: (x["fix"], x["role"]) for x in fx}
                     context = everywhere if pk is None else {(x["prev"], x["word"]): x["fix"] for x in pk}
 
                     def fix(text: str, fixes=fixes, context=context) -> str:
