@@ -85,6 +85,43 @@ def test_chunk_lists(text, n):
     assert len(found(text, 4)) == n
 
 
+def test_text_wrapped_in_text_many_times():
+    t = '[{"a": 1}]'
+    for _ in range(12):
+        t = json.dumps(t, ensure_ascii=False).replace("\\\\", "\\\\")
+    assert len(found(t, 4)) == 1
+
+
+@pytest.mark.parametrize("depth", [50, 100_000])
+def test_nesting_of_any_depth(depth):
+    deep = "[" * depth + "]" * depth
+    text = '{"rows": ' + deep + ', "sections": [{"id": 1, "x": ' + '{"y":' * depth + "1" + "}" * depth + ', "questions": [{}]}]}'
+    assert found(text, 0) == {("section", 1, 0, 0, 0), ("question", 1, 0, 1, 0)}
+    assert found(text[:-3] + "]}", 0) == set()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(leaf, lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text(max_size=4), x, max_size=3)), max_leaves=12), st.integers(0, 40), st.sampled_from(["", ",", "}", "]", '"', ":", "1", " "]))
+def test_automaton_agrees_with_the_parser(o, at, put):
+    t = json.dumps(o)
+    for x in (t, t[:at] + put + t[at:]):
+        try:
+            json.loads(x)
+            ok = True
+        except ValueError:
+            ok = False
+        assert nested.complete(x) == ok, x
+
+
+def test_links_are_whole(spark):
+    df = spark.createDataFrame([(1, '{"sections":[{"weight":1,"dimensions":[{"ponderacion":"0,5","score":"2","metadata":{"a":1},"questions":[{"chunks":{}}]}]},{"questions":[{}]}]}')], "record_id long, raw string")
+    flat = nested.flat_tables(nested.nested_nodes(df, "record_id", "raw", "t"))
+    d = flat["dimensions"].first()
+    assert (d["weight"], d["score"], d["metadata"]) == (0.5, 2.0, '{"a":1}')
+    assert {(r["node_kind"], r["rows"], r["orphans"]) for r in nested.missing_links(flat).collect()} == {("section", 2, 0), ("dimension", 1, 0), ("question", 2, 0), ("chunk", 1, 0)}
+    assert nested.missing_links({**flat, "dimensions": flat["dimensions"].limit(0)}).where("node_kind = 'question'").first()["orphans"] == 1
+
+
 def test_batches_and_extra_columns(spark):
     df = spark.createDataFrame([(1, '{"sections":[{"title":"a","weight":"0,5"}]}', "x"), (1, '{"sections":[{"title":"a","weight":"0,5"}]}', "y"), (2, None, "z")], "record_id long, raw string, node_kind string")
     nodes = nested.nested_nodes(df, "record_id", "raw", "t")

@@ -9,7 +9,8 @@ list, without parsing a record by itself. Text that holds JSON is unescaped and
 Defined results
 - A record that is null, empty, not complete JSON or without known lists has no nodes. Invisible
   marks and white space before the JSON are skipped. Completeness is read off the index and then
-  confirmed by a full parse of the record.
+  confirmed by a full parse of the record, by a pushdown automaton where it is nested too deep for
+  the parser. Text that holds JSON is unwrapped however often it is wrapped.
 - Nulls in a list take a position and are no nodes; so do other scalars; an object in place of a
   list is its only entry; an empty text in place of a list is an empty list.
 - Of two members of one name the last counts, as in a parse.
@@ -20,6 +21,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,21 +108,20 @@ class Index:
         self.parent = np.full(n, -1, np.int64)
         self.close = np.full(n, -1, np.int64)
         self.nth = np.zeros(n, np.int64)
-        idx = np.arange(n)
-        is_open, is_close, is_comma = self.kind == _OPEN, self.kind == _CLOSE, self.kind == _COMMA
-        for d in range(int(self.depth.max(initial=-1)) + 1):
-            opens = idx[is_open & (self.depth == d)]
-            closes = idx[is_close & (self.depth == d)]
-            # in balanced texts the k-th opening of a depth is closed by its k-th closing
-            self.close[opens] = closes[: len(opens)]
-            kids = idx[(self.depth == d + 1) & ~is_close]
-            if len(kids):
-                up = opens[np.searchsorted(opens, kids) - 1]
-                self.parent[kids] = up
-                commas = np.cumsum(is_comma[kids])
-                at_first = np.concatenate(([True], np.diff(up) != 0))
-                start = np.where(at_first, commas - is_comma[kids], 0)
-                self.nth[kids] = commas - is_comma[kids] - np.maximum.accumulate(start)
+        is_comma = self.kind == _COMMA
+        by_depth = np.argsort(self.depth, kind="stable")
+        opens = by_depth[self.kind[by_depth] == _OPEN]
+        # in balanced texts the k-th opening of a depth is closed by its k-th closing
+        self.close[opens] = by_depth[self.kind[by_depth] == _CLOSE]
+        kids = by_depth[(self.kind[by_depth] != _CLOSE) & (self.depth[by_depth] > 0)]
+        if len(kids):
+            # a token's parent is the last opening one depth above that stands before it
+            up = opens[np.searchsorted(self.depth[opens] * n + opens, (self.depth[kids] - 1) * n + kids) - 1]
+            self.parent[kids] = up
+            commas = np.cumsum(is_comma[kids])
+            at_first = np.concatenate(([True], np.diff(up) != 0))
+            start = np.where(at_first, commas - is_comma[kids], 0)
+            self.nth[kids] = commas - is_comma[kids] - np.maximum.accumulate(start)
 
     def key_before(self, colon: int) -> str:
         """The member name before a colon token."""
@@ -129,6 +130,54 @@ class Index:
         return json.loads(b'"' + raw + b'"') if b"\\" in raw else raw.decode("utf-8", "replace")
 
 
+_SCALAR = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity')
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def complete(text: str) -> bool:
+    """Whether a text is one JSON value, by a pushdown automaton, so that its nesting may have any depth."""
+    stack: list[str] = []
+    i, want = 0, "value"  # what must come: value, first (of a list), key, first key, colon, more or end
+    while True:
+        i = _BLANK.match(text, i).end()
+        if i == len(text):
+            return want == "more" and not stack
+        c = text[i]
+        if want in ("value", "first"):
+            if c == "]" and want == "first":
+                stack.pop()
+                i, want = i + 1, "more"
+            elif c in "{[":
+                stack.append(c)
+                i, want = i + 1, "first key" if c == "{" else "first"
+            else:
+                m = _SCALAR.match(text, i)
+                if not m:
+                    return False
+                i, want = m.end(), "more"
+        elif want in ("key", "first key"):
+            if c == "}" and want == "first key":
+                stack.pop()
+                i, want = i + 1, "more"
+            else:
+                m = _SCALAR.match(text, i)
+                if c != '"' or not m:
+                    return False
+                i, want = m.end(), "colon"
+        elif want == "colon":
+            if c != ":":
+                return False
+            i, want = i + 1, "value"
+        else:
+            if not stack or c not in ("," + ("}" if stack[-1] == "{" else "]")):
+                return False
+            if c == ",":
+                want = "key" if stack[-1] == "{" else "value"
+            else:
+                stack.pop()
+            i += 1
+
+
 def _texts_index(texts: list[bytes]) -> tuple[Index, list[int]]:
     """An index of only the complete texts, and which these are."""
     rough = Index(texts)
@@ -138,7 +187,10 @@ def _texts_index(texts: list[bytes]) -> tuple[Index, list[int]]:
             try:
                 json.loads(t)  # confirms what the index found
                 good.append(i)
-            except (ValueError, RecursionError):
+            except RecursionError:
+                if complete(t.decode("utf-8", "surrogatepass")):
+                    good.append(i)
+            except ValueError:
                 pass
     ix = rough if len(good) == len(texts) else Index([texts[i] for i in good])
     ix.link()
@@ -165,9 +217,7 @@ def nodes_of(records: list[tuple[object, str | None, int]], with_json: bool = Tr
     out: list[tuple] = []
     # (key, positions so far, text, member level, level above): level 0 = a record's root
     work = [(k, (0, 0, 0, 0), t.lstrip(LEAD).encode("utf-8", "surrogatepass"), lv, 0) for k, t, lv in records if t and t.strip()]
-    depth = 0
-    while work and depth < 16:
-        depth += 1
+    while work:  # ends, since unwrapped text is shorter than what wrapped it
         ix, good = _texts_index([w[2] for w in work])
         jobs = [work[g] for g in good]
         work = []
@@ -303,9 +353,9 @@ def nested_nodes(df: DataFrame, id_col: str, json_col: str, source_table: str, t
     return spread(df.select(F.col(id_col).cast("long"), F.col(json_col))).mapInPandas(run, NODE_SCHEMA)
 
 
-def _number(path: str):
-    """A member as double: numbers as such or as text, with a decimal comma or a per-cent sign."""
-    raw = F.trim(F.get_json_object("node_json", path))
+def _number(*paths: str):
+    """The first member that is there as double: numbers as such or as text, with a decimal comma or a per-cent sign."""
+    raw = F.trim(_any(*paths))
     return F.regexp_replace(F.regexp_replace(raw, ",", "."), r"\s*%$", "").try_cast("double")
 
 
@@ -317,9 +367,31 @@ def flat_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     """The flat tables sections, dimensions, questions and chunks, each with its key and its parent's."""
     key = ["source_table", "record_id", "section_pos", "dimension_pos", "question_pos", "chunk_pos"]
     of = lambda k: nodes.where(F.col("node_kind") == k)
+    weight, score = _number("$.weight", "$.ponderacion").alias("weight"), _number("$.score", "$.puntaje").alias("score")
+    meta = _any("$.metadata").alias("metadata")
     return {
-        "sections": of("section").select(*key[:3], _any("$.section_id", "$.id").alias("section_id"), _any("$.title", "$.titulo", "$.nombre").alias("title"), _number("$.weight").alias("weight"), _number("$.score").alias("score")),
-        "dimensions": of("dimension").select(*key[:4], _any("$.name", "$.nombre").alias("name"), _any("$.method").alias("method")),
-        "questions": of("question").select(*key[:5], "parent_kind", _any("$.question_id", "$.id").alias("question_id"), _any("$.text", "$.texto").alias("text"), _number("$.weight").alias("weight"), _number("$.score").alias("score")),
-        "chunks": of("chunk").select(*key, _any("$.index").alias("index"), _number("$.score").alias("score"), _any("$.justification").alias("justification"), _any("$.relevant_text").alias("relevant_text"), _any("$.metadata").alias("metadata")),
+        "sections": of("section").select(
+            *key[:3], _any("$.section_id", "$.id").alias("section_id"), _any("$.title", "$.titulo", "$.nombre").alias("title"), weight, score, _any("$.status", "$.metadata.status", "$.metadata.segmenter_status").alias("status"), meta
+        ),
+        "dimensions": of("dimension").select(*key[:4], _any("$.name", "$.nombre").alias("name"), weight, score, _any("$.method", "$.metodo_agregacion").alias("method"), meta),
+        "questions": of("question").select(*key[:5], "parent_kind", _any("$.question_id", "$.id").alias("question_id"), _any("$.text", "$.texto").alias("text"), weight, score, _any("$.justification").alias("justification"), meta),
+        "chunks": of("chunk").select(*key, _any("$.index").alias("index"), score, _any("$.justification").alias("justification"), _any("$.relevant_text").alias("relevant_text"), meta),
     }
+
+
+def missing_links(tables: dict[str, DataFrame]) -> DataFrame:
+    """(node_kind, rows, orphans): rows of every flat table, and those whose parent is in none."""
+    key = ["source_table", "record_id", "section_pos", "dimension_pos", "question_pos"]
+    above = {"dimension": ("sections", 3), "question": (None, 0), "chunk": ("questions", 5)}
+    out = tables["sections"].agg(F.lit("section").alias("node_kind"), F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("orphans"))
+    for kind, (parent, n) in above.items():
+        rows = tables[kind + "s"]
+        if kind == "question":  # of a dimension, or of a block itself
+            up = tables["dimensions"].select(*key[:4]).unionByName(tables["sections"].select(*key[:3]).withColumn("dimension_pos", F.lit(0)))
+            n = 4
+        else:
+            up = tables[parent].select(*key[:n])
+        rows = rows.where("section_pos > 0")  # lists of chunks alone have no parents
+        hit = rows.select(*key[:n]).join(up.withColumn("there", F.lit(1)), key[:n], "left")
+        out = out.unionByName(hit.agg(F.lit(kind).alias("node_kind"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("there").isNull()).alias("orphans")))
+    return out
