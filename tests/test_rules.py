@@ -119,6 +119,87 @@ def test_remote_scorer_keeps_failures(spark):
     assert len(out) == 5 and out[3]["payload"] is None and out[3]["error"] == "down" and out[3]["attempts"] == 2 and out[0]["error"] is None
 
 
+def test_remote_scorer_corrects_snaps_and_falls_back(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "id long, prompt string").coalesce(1)
+    levels = (0.0, 0.5, 1.0, 1.5, 2.0)
+
+    def make():
+        calls = {"n": 0}
+
+        def score(ps):
+            calls["n"] += 1
+            if calls["n"] == 1:
+                raise scoring.TransientError("busy")  # mended by the inner layer
+            if ps[0].startswith("p5"):
+                raise PermissionError("bad key")
+            if ps[0] == "p1":
+                return ["puntaje dos"]  # mended by a correction
+            if ps[0].startswith("p2"):
+                return ["nunca"]
+            if ps[0] == "p3":
+                return ['```json\n{"score": "0,74", "x": "ñ"}\n```']
+            return ['{"score": 1.0}']
+
+        return score
+
+    out = {r["id"]: r for r in scoring.remote_scores(df, "id", "prompt", make, retries=0, delay=0.0, batch=1, levels=levels, make_fallback=lambda: lambda ps: ['{"score": 2}'] * len(ps), waits=(0.0, 0.0)).collect()}
+    assert out[0]["payload"] == out[1]["payload"] == '{"score": 1.0}' and out[1]["attempts"] == 2
+    assert out[2]["payload"] is None and "correction" in out[2]["error"]
+    assert out[3]["payload"] == '{"score": 0.5, "x": "ñ"}' and out[3]["adjusted_from"] == 0.74
+    assert out[5]["payload"] == '{"score": 2}' and "fallback" in out[5]["error"]
+
+    def slow():
+        import time
+
+        return lambda ps: (time.sleep(3), ps)[1]
+
+    got = scoring.remote_scores(df.limit(1), "id", "prompt", slow, retries=0, timeout=0.2).first()
+    assert got["payload"] is None and "Timeout" in got["error"]
+    denied = scoring.remote_scores(df.limit(1), "id", "prompt", lambda: lambda ps: (_ for _ in ()).throw(PermissionError("no")), retries=2, delay=0.0).first()
+    assert denied["attempts"] == 1 and "not authorised" in denied["error"]
+
+
+def test_weights_of_chunks_and_auto_scores(spark):
+    w = [r[0] for r in spark.createDataFrame([('{"weight": 2}',), ('{"chunk_metadata": {"peso": "0,5"}}',), ('{"relevance": "x", "peso": 1}',), ("{}",), (None,)], "m string").coalesce(1).select(scoring.metadata_weight(F.col("m"))).collect()]
+    assert w == [2.0, 0.5, 1.0, None, None]
+    rows = [("Institucional", "Estructura", "S", "x"), ("institucional", "estructura", "s", "Prioridades de la Política Institucional"), ("pn", "estructura", "s", "x"), ("institucional", "estructura narrativa", "s", "x"), (None, None, None, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, d string, s string, n string").coalesce(1).select(scoring.auto_scored(F.col("t"), F.col("d"), F.col("s"), F.col("n"))).collect()]
+    assert got == [True, False, False, False, False]
+
+
+def test_evaluation_branches(spark, monkeypatch):
+    """Presence, skips, gate, imputation and blocks, each on a report of its own."""
+    from valora.plans import pipeline
+
+    rub = [("institucional", "s1", "Uno", 0.6, "estructura", 0.5, "q1", "¿Está la sección uno?", 1.0, 0.0, 4.0), ("institucional", "s1", "Uno", 0.6, "pertinencia", 0.5, "q2", "¿Es pertinente la sección uno?", 1.0, 0.0, 4.0),
+           ("institucional", "s2", "Dos", 0.4, "pertinencia", 1.0, "q3", "¿Es pertinente la sección dos?", 1.0, 0.0, 4.0), ("politica_nacional", "b1", "Bloque", 1.0, "d", 0.3, "q4", "¿Es coherente el bloque?", 1.0, 0.0, 2.0)]
+    rubric_ = spark.createDataFrame(rub, "tipo_informe string, section_id string, section_title string, section_weight double, dimension_name string, dimension_weight double, question_id string, question_text string, question_weight double, scale_min double, scale_max double")
+    good = "El informe presenta la evaluación de los resultados para las regiones con que se midió el avance según la meta. "
+    rows = [("a", "institucional", "S1", good, 1.0, False, False), ("a", "institucional", "s2", "  ", 1.0, False, False), ("b", "institucional", "s2", good, None, False, True), ("c", "politica_nacional", "b1", good, 1.0, False, False), ("d", "institucional", "s1", "x" * 13000, 1.0, False, False), (None, "institucional", "s1", good, 1.0, False, False)]
+    chunks_ = spark.createDataFrame(rows, "document_id string, tipo_informe string, section_id string, chunk_text string, weight double, was_truncated boolean, failed boolean")
+    res = pipeline.question_results(chunks_, rubric_)
+    got = {(r["document_id"], r["question_id"]): r for r in res.collect()}
+    assert len(got) == 3 * 3 + 1
+    assert got["a", "q1"]["question_score"] == 1.0 and got["a", "q1"]["how"] == "presence" and got["a", "q2"]["how"] == "scored"
+    assert (got["a", "q3"]["status"], got["a", "q3"]["question_score"], got["a", "q3"]["how"]) == ("empty", 0.0, "skipped")
+    assert (got["b", "q1"]["status"], got["b", "q1"]["question_score"]) == ("missing", 0.0) and got["b", "q3"]["question_score"] == 1.0  # imputed
+    assert got["c", "q4"]["dimension_name"] is None and got["c", "q4"]["dimension_weight"] == 1.0 and got["c", "q4"]["question_score"] in (0.0, 0.5, 1.0, 1.5, 2.0)
+    monkeypatch.setattr(prompts, "GATE", 1.01)
+    shut = {(r["document_id"], r["question_id"]): r for r in pipeline.question_results(chunks_, rubric_).collect()}
+    assert shut["d", "q2"]["question_score"] is None and shut["d", "q2"]["rejected"] == 1 and shut["d", "q2"]["how"] == "without score" and shut["a", "q1"]["how"] == "presence"
+    monkeypatch.undo()
+    out = {r["document_id"]: r for r in pipeline.evaluate_reports(res).collect()}
+    assert out["c"]["index"] == got["c", "q4"]["question_score"] * 10 and out["a"]["presence"] == 1 and set(out) == {"a", "b", "c", "d"}
+
+
+def test_metrics_by_type_and_fallbacks(spark):
+    rows = [("a", "institucional", "otra", 3.0), ("b", "Politica", "x", 1.2), ("c", "libre", "x", 0.4), ("d", "institucional", "otra", None), ("e", "institucional", "pertinencia", 2.0), ("e", "institucional", "estructura", 1.0)]
+    df = spark.createDataFrame([(d, t, "s", 1.0, n, 1.0, 1.0, x) for d, t, n, x in rows], "document_id string, tipo_informe string, section_id string, section_weight double, dimension_name string, dimension_weight double, question_weight double, question_score double")
+    m = {r["document_id"]: (r["raw_index"], r["index"]) for r in rollup.metrics(df, ["document_id"], "tipo_informe").collect()}
+    assert m["a"] == (3.0, 75.0) and m["b"] == (1.2, 12.0) and m["c"] == (0.4, None) and m["d"] == (None, None) and m["e"] == pytest.approx((0.35, 35.0))
+    assert {r["document_id"]: (r["raw_index"], r["index"]) for r in rollup.metrics(df, ["document_id"], "tipo_informe", strict=True).collect()}["a"] == (0.0, 0.0)
+
+
 def test_prompt_rules_fire(spark):
     body = "El informe presenta la evaluación de los resultados para las regiones con que se midió el avance según la meta. " * 6
     good = f"Rol asignado\nObjetivo\nEscala de valoración: 0 1 2\nInstrucciones de respuesta\nFormato de salida\n{prompts.START}\n{body}\n{prompts.END}"
@@ -150,6 +231,13 @@ def test_rubric_shapes(spark, tmp_path):
     flat = {r["question_id"]: r for r in rubric.flat_rubric(rubric.read_rubrics(spark, str(tmp_path))).collect()}
     assert flat["q"]["section_weight"] == 0.4 and flat["q"]["question_weight"] == 0.5 and flat["q"]["levels"] == [0.0, 2.0]
     assert flat["q1"]["dimension_name"] is None and flat["q1"]["section_title"] == "B"
+    (tmp_path / "c.json").write_text('{"tipo_informe":"politica_nacional","escala":{"min":0,"max":2},"bloques":[{"id":"b","titulo":"B","ponderacion":0.5,"tipo":"manual","preguntas":[{"id":"q1","ponderacion":1,"niveles":[{"valor":0,"descripcion":"x"},{"valor":3,"descripcion":"y"},{"valor":3,"descripcion":"z"}]},{"id":"q2","ponderacion":0.5}]}]}')
+    (tmp_path / "d.json").write_text('{"tipo_informe": ')
+    got = {(r["severity"], r["code"]) for r in rubric.validate(spark, str(tmp_path)).collect()}
+    assert {("error", "not_json"), ("warning", "unknown_type"), ("error", "scale_key_missing"), ("error", "weights_of_blocks"), ("error", "weights_of_questions"), ("error", "level_above_scale"), ("warning", "duplicate_level"), ("error", "no_levels"), ("error", "not_manual")} <= got
+    assert rubric.found_file(spark, str(tmp_path), "A.JSON").endswith("/a.json")
+    with pytest.raises(FileNotFoundError):
+        rubric.found_file(spark, str(tmp_path), "z.json")
     assert rubric.stable_hash({"b": 1, "a": 2}) == rubric.stable_hash({"a": 2, "b": 1})
 
 
@@ -179,16 +267,28 @@ def test_sinks(spark, tmp_path):
         assert spark.read.format(fmt).option("header", True).load(export.write(df, str(tmp_path / fmt), fmt)).count() == 2
     assert open(export.write_single_csv(df, str(tmp_path / "x.csv")), "rb").read().startswith(b"\xef\xbb\xbfdocument_id")
     with pytest.raises(ValueError):
-        export.write(df, str(tmp_path / "y"), "xlsx")
-    assert '"questions"' in export.payload(df, ["document_id"]).first()["payload"]
+        export.write(df, str(tmp_path / "y"), "doc")
+    many = spark.range(950).selectExpr("if(id % 3 = 0, NULL, 'd') AS document_id", "if(id % 5 = 0, NULL, 's') AS section_id", "id AS q", "CAST(NULL AS double) AS score")
+    docs = export.payload(many, ["document_id"], many.groupBy("document_id").agg(F.count(F.lit(1)).alias("rows")), {"v": "1"}, most=100).collect()
+    assert len(docs) == 7 + 4 and all('"metrics":{"rows":' in r["payload"] and '"extra":{"v":"1"}' in r["payload"] for r in docs)
+    back = export.payload_rows(spark.createDataFrame(docs), ["document_id"], "q:bigint,score:double")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
 
 
 def test_plans_stay_native(spark, data):
     from valora.queries import scores
 
-    for name in ("rollup_documents", "prompt_quality", "doc_score_flagship", "criterion_breakdown"):
+    for name in ("rollup_documents", "prompt_quality", "doc_score_flagship", "criterion_breakdown", "theta_pairs", "cross_flagged", "evaluation_full", "metrics_dispatch"):
         plan = scores.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+        assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_no_query_joins_without_a_key(spark, data):
+    from valora import queries
+
+    for name in ("segment_text", "chunk_fallback", "section_lookup", "merge_upsert", "export_payload", "clean_report", "export_flat", "quality_summary"):
+        plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
 
 
 def test_ocr_errors_stay_with_their_page(spark):
@@ -230,7 +330,7 @@ def test_registries_and_small_rules(spark, tmp_path):
     assert tuple(r) == (["a"], [], "abc…", "abc")
     assert export.field_dictionary(df).first()["field"] == "t"
     rows = spark.createDataFrame([(i, "s", "c", f"texto {'bueno' if i % 2 else 'malo'} {i}", float(i % 2) * 4, 10.0, 3.0) for i in range(60)], "row_id long, seccion string, criterio string, texto string, label double, chars double, words double")
-    model, scored = learning.train(rows, alphas=(1.0,), folds=2, features=256)
+    model, scored = learning.train(rows, alphas=(1.0,), folds=2, vocabulary=256)
     learning.save(model, str(tmp_path / "m"))
     a = {r["row_id"]: r["prediction"] for r in learning.predict(learning.load(str(tmp_path / "m")), rows).collect()}
     assert all(a[r["row_id"]] == pytest.approx(r["prediction"]) for r in scored.collect())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.functions import text as T
-from valora.runtime import small_side
+from valora.runtime import keep, small_side
 
 
 def first_match(rows: DataFrame, id_col: str, row_labels: list[str], entries: DataFrame, entry_labels: list[str], value: str) -> DataFrame:
@@ -26,7 +26,7 @@ def first_match(rows: DataFrame, id_col: str, row_labels: list[str], entries: Da
 def fill_from(rows: DataFrame, entries: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
     """rows with null fields filled from the entry of their key, the last by order counting."""
     last = entries.groupBy(T.identifier(F.col(key)).alias("_k")).agg(*(F.max_by(f, order).alias(f"_{f}") for f in fields))
-    j = rows.withColumn("_k", T.identifier(F.col(key))).join(small_side(last), "_k", "left")
+    j = rows.withColumn("_k", T.identifier(F.col(key))).join(small_side(keep(last, "entries")), "_k", "left")
     return j.select(*(F.coalesce(c, f"_{c}").alias(c) if c in fields else F.col(c) for c in rows.columns))
 
 

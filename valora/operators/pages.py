@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.functions import text as T
+from valora.runtime import keep, small_side
 
 # Patterns of lines that are dropped (matched on the stripped lower-case line).
 SOURCE_LINE = r"^(fuente[:\s]|elaboraci[oó]n(\s+propia|:)|elaborado\s+por|nota[:\s]|https?://|www\.)"
@@ -141,9 +142,31 @@ def line_kind(template: Column) -> Column:
     )
 
 
-def classified_lines(lines: DataFrame, pages: DataFrame, id_col: str) -> DataFrame:
-    """lines with `kind`, the rule that drops a line or null."""
-    rep = repeated_lines(candidates(pages, id_col), pages, id_col)
+def like_templates(edge: DataFrame, templates: DataFrame, id_col: str, similarity: int = SIMILARITY) -> DataFrame:
+    """(id, form, zone): forms of edge lines that are like a template of their document.
+
+    templates: (id, zone, form), a few per document. Forms are made distinct before they are compared.
+    """
+    forms = edge.select(id_col, T.edge_form(F.col("line")).alias("form")).where("form <> ''").distinct()
+    t = templates.groupBy(id_col).agg(F.collect_set(F.struct("zone", T.edge_form(F.col("form")).alias("f"))).alias("ts"))
+
+    def near(form: pd.Series, ts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({x["zone"] for x in xs if indel_ratio(x["f"], f) >= similarity}) for f, xs in zip(form, ts, strict=True)], dtype=object)
+
+    zones = F.pandas_udf(near, "array<string>").asNondeterministic()
+    return forms.join(t, id_col).select(id_col, "form", F.explode(zones("form", "ts")).alias("zone"))
+
+
+def classified_lines(lines: DataFrame, pages: DataFrame, id_col: str, fuzzy: bool = False) -> DataFrame:
+    """lines with `kind`, the rule that drops a line or null; fuzzy: heads and feet of scanned
+    documents, by likeness to their templates."""
+    cands = candidates(pages, id_col)
+    rep = repeated_lines(cands, pages, id_col)
+    if fuzzy:
+        scanned = keep(ocr_like(pages, id_col).where("ocr_like").select(id_col), "ocr-like")
+        inside = lambda df: df.join(small_side(scanned), id_col, "left_semi")
+        near = like_templates(inside(lines.where(at_edge())), keep(fuzzy_repeated_lines(inside(cands), inside(pages), id_col), "templates"), id_col)
+        rep = rep.select(id_col, "form", "zone").unionByName(near)
     zone = rep.groupBy(id_col, "form").agg(F.max(F.when(F.col("zone") == "header", True)).alias("as_header"), F.max(F.when(F.col("zone") == "footer", True)).alias("as_footer"))
     # only edge lines are compared and joined; the others stay where they are
     edge = lines.where(at_edge()).withColumn("form", T.edge_form(F.col("line"))).join(zone, [id_col, "form"], "left").drop("form")

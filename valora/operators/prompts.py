@@ -47,6 +47,51 @@ def build(question: Column, section: Column, dimension: Column, lo: Column, hi:
     )
 
 
+def verbose(title: Column, report_type: Column, section: Column, dimension: Column, question: Column, question_id: Column, chunk: Column, meta_json: Column | None = None, extra: Column | None = None) -> Column:
+    """The plain prompt that lists a pair's facts, for scorers without a builder of their own."""
+    facts = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Documento: "), F.coalesce(title, F.lit("Documento evaluado"))),
+        F.concat(F.lit("Tipo de informe: "), report_type),
+        F.concat(F.lit("Sección: "), F.coalesce(section, F.lit("Sección"))),
+        F.concat(F.lit("Dimensión: "), F.coalesce(dimension, F.lit("Dimensión"))),
+        F.concat(F.lit("Pregunta: "), F.coalesce(question, question_id, F.lit(""))),
+    )
+    meta = F.concat(F.lit("Metadatos del fragmento: "), F.nullif(meta_json, F.lit("{}"))) if meta_json is not None else F.lit(None).cast("string")
+    part = F.concat_ws("\n", F.lit("Analiza el siguiente fragmento y asigna un puntaje objetivo."), meta, F.lit("Fragmento:"), F.coalesce(F.nullif(chunk, F.lit("")), F.lit("<sin contenido>")))
+    return F.concat_ws("\n\n", facts, part, F.nullif(extra, F.lit("")) if extra is not None else F.lit(None).cast("string"))
+
+
+#: Builders by report type: the scale's label and levels, and what the objective adds.
+BUILDERS = {
+    "institucional": ("0 a 4 (valores enteros)", (0.0, 1.0, 2.0, 3.0, 4.0), "Evalúa estructura, claridad y pertinencia de la sección."),
+    "politica_nacional": ("0 a 2 (pasos de 0.5)", (0.0, 0.5, 1.0, 1.5, 2.0), "Examina la coherencia con la política y la consistencia del argumento."),
+}
+
+
+def build_for_type(report_type: str, question: Column, section: Column, dimension: Column, chunk: Column, levels: tuple[float, ...] | None = None) -> Column:
+    """The prompt of a report type's builder; levels of the rubric replace its own scale."""
+    if report_type not in BUILDERS:
+        raise ValueError(f"no builder for {report_type!r}; known: {sorted(BUILDERS)}")
+    label, own, aim = BUILDERS[report_type]
+    scale = levels or own
+    shown = label if levels is None else f"{min(scale):g} a {max(scale):g}"
+    base = build(question, section, dimension, F.lit(float(min(scale))), F.lit(float(max(scale))), chunk, F.lit(report_type))
+    more = f"{aim}\nNiveles: {shown}: " + "; ".join(f"{x:g}" for x in scale) + "."
+    return F.replace(base, F.lit("Instrucciones de respuesta:"), F.lit(more + "\nInstrucciones de respuesta:"))
+
+
+def template(report_type: str) -> dict[str, object]:
+    """A builder's prompt as a template with named fields, for other prompt libraries."""
+    label, scale, aim = BUILDERS[report_type]
+    return {"template": f"Rol asignado: evaluador de informes de tipo {report_type}.\nObjetivo: {aim}\nPregunta: {{question}}\nEscala de valoración: {label}.\n{START}\n{{chunk}}\n{END}", "input_variables": ["question", "chunk"], "levels": list(scale)}
+
+
+def scale_error(levels: Column, allowed: Column) -> Column:
+    """Whether a context's levels hold one that the rubric doesn't allow; such a pair must not be scored."""
+    return F.coalesce(F.size(F.array_except(levels, allowed)) > 0, F.lit(False))
+
+
 def context_flags(chunk: Column, question: Column, dimension: Column, version: Column, methodology: Column, least: int = 60) -> Column:
     """What is wrong with a pair before a prompt is built; such rows go to a dead-letter table."""
     blank = lambda c: F.length(T.strip(F.coalesce(c, F.lit("")))) == 0
@@ -111,15 +156,16 @@ def truncation_faults(p: Column, was_truncated: Column) -> Column:
     return F.when(truncated & (n == 0), 1).when(~truncated & (n > 0), 1).when(n > 0, shown).otherwise(0)
 
 
-def methodology_coverage(p: Column) -> Column:
+def methodology_coverage(p: Column, aliases: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The share of the categories that a prompt names; aliases replace those of a category."""
     low = F.lower(p)
     found = F.lit(0)
-    for names in METHODOLOGY.values():
+    for names in {**METHODOLOGY, **(aliases or {})}.values():
         hit = F.lit(False)
         for a in names:
             hit = hit | F.contains(low, F.lit(a))
         found = found + F.when(hit, 1).otherwise(0)
-    return found / F.lit(float(len(METHODOLOGY)))
+    return found / F.lit(float(len({**METHODOLOGY, **(aliases or {})})))
 
 
 @F.pandas_udf(BooleanType())
@@ -162,6 +208,13 @@ def native_quality(p: Column, label: Column, values: Column, was_truncated: Colu
     return F.round(F.greatest(1 - lost, F.lit(0.0)), 4)
 
 
+def full_quality(p: Column, label: Column, values: Column, was_truncated: Column) -> Column:
+    """native_quality() less the weight of the JSON block's rule; a prompt that can't be judged is 0."""
+    js = F.when(~F.coalesce(json_block_ok(p), F.lit(False)), WEIGHTS["json"]).otherwise(0.0)
+    q = F.round(F.greatest(native_quality(p, label, values, was_truncated) - js, F.lit(0.0)), 4)
+    return F.when(p.isNotNull(), F.coalesce(q, F.lit(0.0))).otherwise(0.0)
+
+
 def threshold(p: Column) -> Column:
     n = F.length(p)
     return F.when(n < 1000, 0.70).when(n > 6000, 0.55).otherwise(0.60)

@@ -83,9 +83,37 @@ def best_justification(rows: DataFrame, keys: list[str], order: str, literal: st
 def quality_summary(rows: DataFrame, section: str, quality: str, latency: str, valid: Column) -> DataFrame:
     """Prompt quality over all and by section: counts, rejected, mean quality, mean and deviation of latency."""
     base = rows.select(F.col(section).alias("section"), F.col(quality).alias("q"), F.col(latency).alias("l"), valid.alias("v"))
-    base.createOrReplaceTempView("valora_quality")
     return rows.sparkSession.sql(
         """SELECT coalesce(section, '*') AS section, count(*) AS prompts, count_if(NOT v) AS rejected, avg(q) AS mean_quality,
                   avg(l) AS mean_latency, stddev_pop(l) AS deviation_latency
-           FROM valora_quality WHERE section IS NOT NULL GROUP BY GROUPING SETS ((), (section))"""
+           FROM {base} WHERE section IS NOT NULL GROUP BY GROUPING SETS ((), (section))""",
+        base=base,
     )
+
+
+# Names of the policy type.
+POLICY = ("politica", "politica_nacional")
+
+
+def metrics(rows: DataFrame, doc: list[str], report_type: str, strict: bool = False) -> DataFrame:
+    """(doc, report_type, raw_index, index, sections, sections_scored): the index of every report by its type.
+
+    Institutional reports: the criteria's weighted sum on 0 to 100; where no standard criterion was
+    scored, 0 in strict mode, else the report's own score on the type's scale, or 0 if it has none
+    but any section has a score. Policy reports: the own score on 0 to 20. Others: the own score
+    as it is, without an index.
+    """
+    key = [*doc, "_type"]
+    r = rows.withColumn("_type", F.coalesce(T.identifier(F.col(report_type)), F.lit("")))
+    own = rollup(r, key)["documents"]
+    std = criterion_breakdown(r.where("_type = 'institucional'"), key).where(F.col("criterion").isin(*CRITERIA))
+    std = institutional_index(std, key).where("raw_index IS NOT NULL").select(*(F.col(k).alias(f"k_{k}") for k in key), F.col("raw_index").alias("s_raw"), F.col("index").alias("s_index"))
+    j = own.join(std, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key], "left")
+    kind, score, some = F.col("_type"), F.col("document_score"), F.col("sections_scored") > 0
+    lo, hi, a, b = RANGES["institucional"]
+    plo, phi, pa, pb = RANGES["politica_nacional"]
+    fall_raw = F.lit(0.0) if strict else F.coalesce(score, F.when(some, 0.0))
+    fall_index = F.lit(a) if strict else F.coalesce(S.normalised(score, F.lit(lo), F.lit(hi), a, b), F.when(some, a))
+    raw = F.when(kind == "institucional", F.coalesce("s_raw", fall_raw)).otherwise(score)
+    index = F.when(kind == "institucional", F.coalesce("s_index", fall_index)).when(kind.isin(*POLICY), S.normalised(score, F.lit(plo), F.lit(phi), pa, pb))
+    return j.select(*doc, F.nullif(kind, F.lit("")).alias("report_type"), raw.alias("raw_index"), index.alias("index"), "sections", "sections_scored")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,16 @@ from valora.functions import text as T
 from valora.functions.scales import number
 
 _LEVEL = "struct<valor:string,descripcion:string>"
-_QUESTION = f"struct<id:string,texto:string,text:string,tipo:string,descripcion:string,ponderacion:string,peso:string,niveles:array<{_LEVEL}>>"
+_QUESTION = f"struct<id:string,texto:string,text:string,tipo:string,descripcion:string,ponderacion:string,peso:string,tipo_escala:string,niveles:array<{_LEVEL}>>"
 _DIMENSION = f"struct<id:string,nombre:string,titulo:string,tipo_escala:string,descripcion:string,metodo_agregacion:string,ponderacion:string,peso:string,niveles:array<{_LEVEL}>,preguntas:array<{_QUESTION}>>"
-_SECTION = f"struct<id:string,id_segmenter:string,titulo:string,nombre:string,ponderacion:string,peso:string,tipo:string,dimensiones:array<{_DIMENSION}>,preguntas:array<{_QUESTION}>>"
+_SECTION = f"struct<id:string,id_segmenter:string,titulo:string,nombre:string,ponderacion:string,peso:string,tipo:string,tipo_escala:string,dimensiones:array<{_DIMENSION}>,preguntas:array<{_QUESTION}>>"
 SCHEMA = f"tipo_informe string, version string, metodologia string, escala struct<min:string,max:string,tipo:string,niveles:array<{_LEVEL}>>, secciones array<{_SECTION}>, bloques array<{_SECTION}>"
 
 
+#: Characters and words that a question's text has at least.
+SHORT_TEXT = (15, 3)
+
+
 def _filled(*cols: str) -> Column:
     return T.first_filled(*(F.col(c) for c in cols))
 
@@ -28,8 +33,14 @@ def _weight(prefix: str) -> Column:
 
 
 def read_rubrics(spark: SparkSession, path: str) -> DataFrame:
-    """Rubric files (one JSON document each) with a fixed schema that holds every alias."""
-    return spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+    """Rubric files (one JSON document each) with a fixed schema that holds every alias.
+
+    file names each row's file; a file that isn't a JSON object has its text in `corrupt` and no
+    fields, so that it doesn't end the run.
+    """
+    text = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    bad = F.try_parse_json("value").isNull()
+    return text.select(F.from_json("value", SCHEMA).alias("j"), F.when(bad, F.col("value")).alias("corrupt"), "file").select("j.*", "corrupt", "file")
 
 
 def flat_rubric(rubrics: DataFrame) -> DataFrame:
@@ -103,7 +114,8 @@ def weight_sums(flat: DataFrame, tolerance: float = 1e-6) -> DataFrame:
 
 
 def violations(flat: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """(severity, code, path): what is wrong with flat rubrics. Structure errors hide sum checks of their type."""
+    """(severity, code, path): what is wrong with flat rubrics, in three levels: structure, sums of weights,
+    wording. Structure errors hide the further levels of their type."""
     path = F.concat_ws("/", "tipo_informe", "section_id", "dimension_name", "question_id")
     blank = lambda c: F.length(T.strip(F.coalesce(F.col(c), F.lit("")))) == 0
     rows = [
@@ -118,7 +130,109 @@ def violations(flat: DataFrame, tolerance: float = 1e-3) -> DataFrame:
         first = first.unionByName(r)
     bad = first.select("tipo_informe").distinct()
     sums = weight_sums(flat, tolerance).where("NOT ok").withColumn("tipo_informe", F.split("key", "/")[0]).join(bad, "tipo_informe", "left_anti")
-    return first.drop("tipo_informe").unionByName(sums.select(F.lit("warning").alias("severity"), F.concat(F.lit("weights_of_"), "level").alias("code"), F.col("key").alias("path")))
+    text = T.strip(F.coalesce(F.col("question_text"), F.lit("")))
+    brief = flat.where((F.length(text) > 0) & ((F.length(text) < SHORT_TEXT[0]) | (T.word_count(text) < SHORT_TEXT[1]))).join(bad, "tipo_informe", "left_anti")
+    wording = brief.select(F.lit("warning").alias("severity"), F.lit("short_question").alias("code"), path.alias("path"))
+    return first.drop("tipo_informe").unionByName(sums.select(F.lit("warning").alias("severity"), F.concat(F.lit("weights_of_"), "level").alias("code"), F.col("key").alias("path"))).unionByName(wording)
+
+
+def repeated_levels(df: DataFrame, id_col: str, levels_col: str) -> DataFrame:
+    """(id, value, n): numbers that a list of level texts holds more than once."""
+    one = df.select(id_col, F.explode(F.transform(levels_col, lambda x: number(x))).alias("value")).where("value IS NOT NULL")
+    return one.groupBy(id_col, "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def policy_violations(rubrics: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """(severity, code, path) of policy rubrics as read (SCHEMA): the scale's keys and range, blocks and
+    their questions, sums of weights, levels within the scale and once each, manual blocks."""
+    lo, hi = number(F.col("escala.min")), number(F.col("escala.max"))
+    row = lambda cond, severity, code, path: F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), path.alias("path")))
+    top = F.coalesce("tipo_informe", F.lit(""))
+    no_scale = F.col("escala").isNull()
+    blocks = F.coalesce("bloques", F.array().cast(f"array<{_SECTION}>"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + F.coalesce(number(b["ponderacion"]), F.lit(0.0)))
+    head = F.array(
+        row(no_scale, "error", "scale_missing", top),
+        *(row(~no_scale & F.col(f"escala.{k}").isNull(), "error", "scale_key_missing", F.concat(top, F.lit(f"/{k}"))) for k in ("tipo", "min", "max")),
+        row(lo >= hi, "error", "empty_scale", top),
+        row(F.size(blocks) == 0, "error", "no_blocks", top),
+        row((F.size(blocks) > 0) & ~close_to_one(total(blocks), tolerance), "error", "weights_of_blocks", top),
+    )
+
+    def of_block(b: Column) -> Column:
+        at = F.concat_ws("/", top, F.coalesce(b["titulo"], b["id_segmenter"], b["id"]))
+        qs = F.coalesce(b["preguntas"], F.array().cast(f"array<{_QUESTION}>"))
+
+        def of_question(q: Column) -> Column:
+            path = F.concat_ws("/", at, F.coalesce(q["id"], F.lit("?")))
+            values = F.transform(q["niveles"], lambda x: number(x["valor"]))
+            manual = F.coalesce(q["tipo_escala"], b["tipo_escala"], F.lit("")) == "manual"
+            whole = F.forall(q["niveles"], lambda x: x["valor"].isNotNull() & x["descripcion"].isNotNull())
+            return F.array(
+                row(q["niveles"].isNull() & ~manual, "error", "no_levels", path),
+                row(q["niveles"].isNotNull() & (F.coalesce(b["tipo"], F.lit("")) == "manual") & ~manual, "error", "not_manual", path),
+                row(F.size(q["niveles"]) == 0, "error", "no_levels", path),
+                row(~whole, "error", "level_incomplete", path),
+                row(F.exists(values, lambda v: v < lo), "error", "level_below_scale", path),
+                row(F.exists(values, lambda v: v > hi), "error", "level_above_scale", path),
+                row(F.size(F.array_distinct(values)) < F.size(values), "warning", "duplicate_level", path),
+            )
+
+        own = F.array(row(F.size(qs) == 0, "error", "block_without_questions", at), row((F.size(qs) > 0) & ~close_to_one(total(qs), tolerance), "error", "weights_of_questions", at))
+        return F.concat(own, F.flatten(F.transform(qs, of_question)))
+
+    every = F.array_compact(F.concat(head, F.flatten(F.transform(blocks, of_block))))
+    return rubrics.select(F.explode(every).alias("v")).select("v.*")
+
+
+#: Validators of rubrics as read, by report type.
+VALIDATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_validator(report_type: str, check: Callable[[DataFrame], DataFrame]) -> None:
+    """Add or replace the validator of a report type (compared form)."""
+    VALIDATORS[_plain(report_type)] = check
+
+
+register_validator("institucional", lambda r: violations(with_scale(flat_rubric(r))))
+register_validator("politica_nacional", policy_violations)
+
+
+def validate(spark: SparkSession, path: str) -> DataFrame:
+    """(severity, code, path) of the rubric files under a path, each by its report type's validator.
+
+    A file that isn't JSON is an error, a type without a validator a warning.
+    """
+    r = read_rubrics(spark, path)
+    kind = F.coalesce(T.identifier(F.col("tipo_informe")), F.lit(""))
+    broken = r.where("corrupt IS NOT NULL").select(F.lit("error").alias("severity"), F.lit("not_json").alias("code"), F.col("file").alias("path"))
+    unknown = r.where(F.col("corrupt").isNull() & ~kind.isin(*VALIDATORS)).select(F.lit("warning").alias("severity"), F.lit("unknown_type").alias("code"), F.col("file").alias("path"))
+    out = broken.unionByName(unknown)
+    for name, check in VALIDATORS.items():
+        out = out.unionByName(check(r.where(F.col("corrupt").isNull() & (kind == name))))
+    return out
+
+
+def with_scale(flat: DataFrame) -> DataFrame:
+    """A flat rubric with scale_min and scale_max, the ends of each question's levels."""
+    return flat.withColumns({"scale_min": F.array_min("levels"), "scale_max": F.array_max("levels")})
+
+
+def found_file(spark: SparkSession, folder: str, name: str) -> str:
+    """The file of a folder with a name, or else with the same name but for case and accents."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(hadoop(folder))]
+    for same in (lambda n: n == name, lambda n: _plain(n) == _plain(name)):
+        hit = sorted(n for n in names if same(n))
+        if hit:
+            return f"{folder}/{hit[0]}"
+    raise FileNotFoundError(f"{folder} has no file {name}")
+
+
+def bounded_levels(flat: DataFrame) -> DataFrame:
+    """(tipo_informe, question_id, lo, hi, levels): the distinct levels that a scorer may choose from."""
+    return flat.select("tipo_informe", "question_id", F.array_min("levels").alias("lo"), F.array_max("levels").alias("hi"), F.array_sort(F.array_distinct("levels")).alias("levels"))
 
 
 def stable_hash(mapping: dict) -> str:

@@ -29,8 +29,10 @@ STATUS = [
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    """One text per report and page: of repeated pages the one with the smallest id."""
-    p = table(s, d, "ocr_pages").where("ocr_text IS NOT NULL AND document_id IS NOT NULL")
+    """One text per report and page: of repeated pages the one with the smallest id. A page without a
+    report is one of its own, named by its id."""
+    p = table(s, d, "ocr_pages").where("ocr_text IS NOT NULL")
+    p = p.withColumn("document_id", F.coalesce("document_id", F.concat(F.lit("#"), F.col("ocr_page_id").cast("string"))))
     one = p.groupBy("document_id", "page_index").agg(F.min_by("ocr_text", "ocr_page_id").alias("text"))
     return one.select("document_id", (F.col("page_index") + 1).alias("page_no"), "text")
 
@@ -64,12 +66,18 @@ def clean_pages(s: SparkSession, d: str) -> DataFrame:
     return pages.cleaned(pages.classified_lines(pages.lines_of(p, "document_id"), p, "document_id"), "document_id")
 
 
+def clean_scanned_lines(s: SparkSession, d: str) -> DataFrame:
+    """Dropped lines, with heads and feet of scanned reports found by likeness."""
+    p = _pages(s, d)
+    return pages.classified_lines(pages.lines_of(p, "document_id"), p, "document_id", fuzzy=True).where("kind IS NOT NULL").select("document_id", "page_no", "line_no", "kind")
+
+
 def ocr_like(s: SparkSession, d: str) -> DataFrame:
     return pages.ocr_like(_pages(s, d), "document_id")
 
 
 def tagged_pages(s: SparkSession, d: str) -> DataFrame:
-    joined = table(s, d, "document_summaries").where("size(pages) > 1").select("summary_id", F.array_join(F.transform("pages", lambda p, i: F.concat(F.lit("=== PAGE "), (i + 1).cast("string"), F.lit(" ===\n"), p)), "\n").alias("t"))
+    joined = table(s, d, "document_summaries").where("size(pages) > 0").select("summary_id", F.array_join(F.transform("pages", lambda p, i: F.concat(F.lit("=== PAGE "), (i + 1).cast("string"), F.lit(" ===\n"), p)), "\n").alias("t"))
     return pages.split_pages(joined, "summary_id", "t").select("summary_id", "page_no", F.length("text").alias("chars"))
 
 
@@ -79,8 +87,7 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def segment_headings(s: SparkSession, d: str) -> DataFrame:
-    lines = sections.line_offsets(_docs(s, d), "doc_id", "text")
-    return sections.heading_hits(lines, "doc_id", SCHEMA).select("doc_id", "line_no", F.col("start").cast("long").alias("start"), "section_id", "rest")
+    return sections.heading_hits(_docs(s, d), "doc_id", "text", SCHEMA).select("doc_id", "line_no", F.col("start").cast("long").alias("start"), "section_id", "rest")
 
 
 def segment_text(s: SparkSession, d: str) -> DataFrame:
@@ -99,7 +106,14 @@ def fuzzy_sections(s: SparkSession, d: str) -> DataFrame:
 
 
 def section_status(s: SparkSession, d: str) -> DataFrame:
-    t = s.createDataFrame(STATUS, "id string, has_sections boolean, n int, flag boolean, chunks boolean, label boolean, matched boolean, text string")
+    """The status rule over all export rows, each a rubric section in a report, and over the literals."""
+    e = table(s, d, "export_rows")
+    own = e.select(
+        F.col("row_id").cast("string").alias("id"), F.col("document_id").isNotNull().alias("has_sections"), F.when(F.col("section_id").isNull() & F.col("section_title").isNull(), 0).otherwise(1).alias("n"),
+        F.coalesce("metadata_skipped", F.lit(False)).alias("flag"), F.coalesce(F.length("chunk_results") > 2, F.lit(False)).alias("chunks"), F.col("section_id").isNotNull().alias("label"),
+        F.col("section_title").isNotNull().alias("matched"), F.coalesce("relevant_text", F.lit("")).alias("text"),
+    )
+    t = own.unionByName(s.createDataFrame(STATUS, "id string, has_sections boolean, n int, flag boolean, chunks boolean, label boolean, matched boolean, text string"))
     c = F.col
     return t.select("id", sections.section_status(c("has_sections"), c("n"), c("flag"), c("chunks"), c("label"), c("matched"), c("text")).alias("status"))
 
@@ -128,7 +142,7 @@ def chunk_fallback(s: SparkSession, d: str) -> DataFrame:
     return chunks.document_chunks(base, "doc_id", found, pages.split_pages(docs, "doc_id", "text", 4000)).drop("chunk")
 
 
-QUERIES = {f.__name__: f for f in (edge_lines, repeated_lines, fuzzy_repeated_lines, clean_lines, clean_report, clean_pages, ocr_like, tagged_pages, segment_headings, segment_text, keyword_sections, fuzzy_sections, section_status, status_counts, chunk_stride, chunk_lines, chunk_fallback)}
+QUERIES = {f.__name__: f for f in (edge_lines, repeated_lines, fuzzy_repeated_lines, clean_lines, clean_report, clean_pages, clean_scanned_lines, ocr_like, tagged_pages, segment_headings, segment_text, keyword_sections, fuzzy_sections, section_status, status_counts, chunk_stride, chunk_lines, chunk_fallback)}
 
 
 def _title_sql(titles: list[str]) -> str:
@@ -136,8 +150,8 @@ def _title_sql(titles: list[str]) -> str:
 
 
 def sql() -> dict[str, str]:
-    page = """p AS (SELECT document_id, page_index + 1 AS page_no, arg_min(ocr_text, ocr_page_id) AS text FROM ocr_pages
-  WHERE ocr_text IS NOT NULL AND document_id IS NOT NULL GROUP BY document_id, page_index),
+    page = """p AS (SELECT document_id, page_index + 1 AS page_no, arg_min(ocr_text, ocr_page_id) AS text FROM (SELECT * REPLACE (coalesce(document_id, '#' || ocr_page_id) AS document_id) FROM ocr_pages)
+  WHERE ocr_text IS NOT NULL GROUP BY document_id, page_index),
 ln AS (SELECT document_id, page_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, len(string_split(text, chr(10))) AS n_lines FROM p)"""
     st = Q.strip("line")
     edge = f"""{page},
@@ -183,21 +197,29 @@ sc AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {i})" for i, k in enumerate(SC
         words += f"WHEN ({hits}) > 0 AND ({hits}) / {len(ws)}.0 >= {1.0 if len(ws) <= 2 else 0.5} THEN '{k}' "
     words += "END"
     stat = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).upper() for x in r) + ")" for r in STATUS)
+    # a summary with one page in all is split by size, its mark included
+    lone = f"""SELECT summary_id, unnest(range(1, (length(t) + 4999) // 5000 + 1)) AS page_no, length(substr(t, (unnest(range(1, (length(t) + 4999) // 5000 + 1)) - 1) * 5000 + 1, 5000)) AS chars
+FROM (SELECT summary_id, array_to_string(list_transform(list_filter(list_transform(pages, lambda x, i: CASE WHEN x IS NOT NULL THEN '=== PAGE ' || i || ' ===' || chr(10) || x END), lambda x: x IS NOT NULL), lambda x: x), chr(10)) AS t, pages FROM document_summaries WHERE len(pages) > 0)
+WHERE len(list_filter(pages, lambda x: {Q.strip('x')} <> '')) <= 1"""
     return {
         "edge_lines": f"WITH {edge} SELECT document_id, page_no, zone, line_no, line FROM el",
         "repeated_lines": f"WITH {rep} SELECT document_id, zone, form, n FROM rp",
         "clean_lines": f"WITH {kinds} SELECT document_id, page_no, line_no, kind FROM kd WHERE kind IS NOT NULL",
         "clean_report": f"WITH {kinds} SELECT document_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {v}" for k, v in pages.REPORT.items()) + " FROM kd GROUP BY document_id",
+        "clean_pages": f"""WITH {kinds}, g AS (SELECT k.document_id, k.page_no, string_agg(l.line, chr(10) ORDER BY l.line_no) AS t FROM kd k JOIN ln l ON l.document_id = k.document_id AND l.page_no = k.page_no AND l.line_no = k.line_no WHERE kind IS NULL GROUP BY k.document_id, k.page_no)
+SELECT document_id, page_no, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' +(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM g""",
         "ocr_like": f"""WITH {page}, f AS (SELECT document_id, {odd} AS odd, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS line) WHERE length({st}) BETWEEN 1 AND 4) AS short FROM p WHERE page_no <= 3)
 SELECT document_id, sum(odd)::BIGINT AS odd_chars, sum(short)::BIGINT AS short_lines, sum(odd) > 10 OR sum(short) > 10 AS ocr_like FROM f GROUP BY document_id""",
-        "tagged_pages": f"SELECT summary_id, row_number() OVER (PARTITION BY summary_id ORDER BY i) AS page_no, length(p) AS chars FROM (SELECT summary_id, unnest(pages) AS p, generate_subscripts(pages, 1) AS i FROM document_summaries WHERE len(pages) > 1) WHERE {Q.strip('p')} <> ''",
+        "tagged_pages": f"SELECT summary_id, row_number() OVER (PARTITION BY summary_id ORDER BY i) AS page_no, length(p) AS chars FROM (SELECT summary_id, unnest(pages) AS p, generate_subscripts(pages, 1) AS i FROM document_summaries WHERE len(list_filter(pages, lambda x: {Q.strip('x')} <> '')) > 1) WHERE {Q.strip('p')} <> '' UNION ALL {lone}",
         "segment_headings": f"WITH {heads} SELECT doc_id, line_no, start, section_id, rest FROM h",
         "segment_text": f"""WITH {spans}
 SELECT k.doc_id, sc.section_id, sc.ord, coalesce(f.text, '') AS text FROM (SELECT DISTINCT doc_id FROM c) k CROSS JOIN sc LEFT JOIN f ON f.doc_id = k.doc_id AND f.section_id = sc.section_id
 UNION ALL SELECT doc_id, 'sin_clasificar', 0, {Q.strip('text')} FROM d WHERE doc_id NOT IN (SELECT doc_id FROM c)""",
         "keyword_sections": f"SELECT * FROM (SELECT doc_id, line_no, {words} AS section_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)) WHERE section_id IS NOT NULL",
         "section_status": f"""SELECT id, CASE WHEN NOT hs THEN CASE WHEN fl OR NOT ch THEN 'missing' ELSE 'found' END WHEN n = 0 THEN CASE WHEN fl OR NOT ch THEN 'missing' ELSE 'found' END
- WHEN NOT lb THEN 'found' WHEN mt AND trim(tx) <> '' THEN 'found' WHEN mt THEN CASE WHEN fl THEN 'missing' ELSE 'empty' END ELSE 'missing' END AS status FROM (VALUES {stat}) t(id, hs, n, fl, ch, lb, mt, tx)""",
+ WHEN NOT lb THEN 'found' WHEN mt AND {Q.strip('tx')} <> '' THEN 'found' WHEN mt THEN CASE WHEN fl THEN 'missing' ELSE 'empty' END ELSE 'missing' END AS status FROM (
+ SELECT row_id::VARCHAR AS id, document_id IS NOT NULL AS hs, CASE WHEN section_id IS NULL AND section_title IS NULL THEN 0 ELSE 1 END AS n, coalesce(metadata_skipped, false) AS fl, coalesce(length(chunk_results) > 2, false) AS ch,
+  section_id IS NOT NULL AS lb, section_title IS NOT NULL AS mt, coalesce(relevant_text, '') AS tx FROM export_rows UNION ALL SELECT * FROM (VALUES {stat}) t(id, hs, n, fl, ch, lb, mt, tx))""",
         "status_counts": f"SELECT {Q.identifier('metadata_segmenter_status')} AS status, count(*) AS n, count(DISTINCT section_id) AS sections FROM export_rows WHERE metadata_segmenter_status IS NOT NULL GROUP BY 1",
         "chunk_stride": """SELECT doc_id, i + 1 AS chunk_index, n AS chunks_in_source, length(substr(text, i * 1350 + 1, 1500)) AS chars, md5(substr(text, i * 1350 + 1, 1500)) AS digest
 FROM (SELECT doc_id, text, (length(text) + 1349) // 1350 AS n, unnest(range(0, (length(text) + 1349) // 1350)) AS i FROM documents WHERE text IS NOT NULL)""",

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valora.functions import text as T
 from valora.operators import export, history, learning, rollup, rubric
 from valora.queries import fragments as Q
-from valora.runtime import shared_dir
+from valora.runtime import keep, shared_dir, small_side
 from valora.sources.tables import table
 from valora.streaming import ingest
 
+LEVELS = [("x", ["0", "1", "2"]), ("dup", ["1", "1,0", "2"]), ("odd", ["3", "no"])]
 TARGETS = ["sintesis_general", "Lecciones del ciclo", "seccion_inexistente", "OTRA"]
 BROKEN = [  # tipo_informe, section_id, section_weight, dimension_name, dimension_weight, question_id, question_text, question_weight, scale_min, scale_max
     ("a", "s1", 0.6, "d1", 1.0, "q1", "texto", 1.0, 0.0, 4.0), ("a", "s1", 0.6, "d1", 1.0, "q1", " ", -0.5, 0.0, 4.0), ("a", "s2", 0.4, "d2", 1.0, None, "x", 0.5, 2.0, 2.0),
@@ -42,35 +43,34 @@ def weight_sums(s: SparkSession, d: str) -> DataFrame:
 
 
 def rubric_violations(s: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the rubric and with literal rubrics that have faults."""
     cols = "tipo_informe string, section_id string, section_weight double, dimension_name string, dimension_weight double, question_id string, question_text string, question_weight double, scale_min double, scale_max double"
-    return rubric.violations(s.createDataFrame(BROKEN, cols))
+    own = table(s, d, "rubric_questions").select(*(c.split()[0] for c in cols.split(", ")))
+    return rubric.violations(own.unionByName(s.createDataFrame(BROKEN, cols)))
 
 
-def duplicate_levels(s: SparkSession, d: str) -> DataFrame:
+def duplicate_questions(s: SparkSession, d: str) -> DataFrame:
+    """Questions that a report's section holds more than once."""
     return _export(s, d).groupBy("document_id", "section_id", "question_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def dedup_first(s: SparkSession, d: str) -> DataFrame:
-    return history.first_rows(_export(s, d), ["document_id", "section_id", "dimension_name", "question_id"], ["row_id"]).select("row_id")
+def duplicate_levels(s: SparkSession, d: str) -> DataFrame:
+    """Level values that a question's scale holds more than once: ends and middle of all rubric scales, and literal lists."""
+    lo, hi = F.col("scale_min"), F.col("scale_max")
+    t = table(s, d, "rubric_questions").select(F.col("question_id").alias("id"), F.array(lo, (lo + hi) / 2, hi).cast("array<string>").alias("levels"))
+    return rubric.repeated_levels(t.unionByName(s.createDataFrame(LEVELS, "id string, levels array<string>")), "id", "levels")
 
 
-def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    one = history.first_rows(_export(s, d).where("question_id IS NOT NULL AND document_id IS NOT NULL"), ["document_id", "question_id"], ["row_id"])
-    one = one.select("document_id", "question_id", "question_score", "justification", "row_id")
-    return one.where("row_id % 3 <> 0").drop("row_id"), one.where("row_id % 2 = 0").select("document_id", "question_id", F.when(F.col("row_id") % 4 == 0, F.col("question_score") + 0.5).alias("question_score"), F.when(F.col("row_id") % 6 == 0, F.lit(" ")).otherwise(F.concat(F.lit("nuevo: "), F.coalesce("justification", F.lit("")))).alias("justification"))
+def dedup_first(s: SparkSession, d: str) -> DataFrame:
+    return history.first_rows(_export(s, d), ["document_id", "section_id", "dimension_name", "question_id"], ["row_id"]).select("row_id")
 
 
 def merge_upsert(s: SparkSession, d: str) -> DataFrame:
-    previous, update = _halves(s, d)
-    return history.merge_results(previous, update, ["document_id", "question_id"], ["question_score"], ["justification"])
-
-
-def merge_newest(s: SparkSession, d: str) -> DataFrame:
     """The newest run of each report, merged into the first rows of all report-question keys."""
     keys = ["document_id", "question_id"]
-    e = _export(s, d).where("question_id IS NOT NULL AND document_id IS NOT NULL").select(*keys, "question_score", "justification", "run_ts", "row_id")
-    newest = F.max("run_ts").over(Window.partitionBy(T.identifier(F.col("document_id"))))
-    update = e.withColumn("_newest", newest).where("run_ts = _newest").drop("_newest")
+    e = _export(s, d).select(*keys, "question_score", "justification", "run_ts", "row_id")
+    newest = e.groupBy(T.identifier(F.col("document_id")).alias("_d")).agg(F.max("run_ts").alias("_newest"))
+    update = e.join(small_side(keep(newest, "newest")), T.identifier(F.col("document_id")).eqNullSafe(F.col("_d"))).where("run_ts = _newest").drop("_newest", "_d")
     return history.merge_results(history.first_rows(e, keys, ["row_id"]), history.first_rows(update, keys, ["row_id"]), keys, ["question_score"], ["justification"])
 
 
@@ -80,16 +80,11 @@ def rerun_targets(s: SparkSession, d: str) -> DataFrame:
 
 
 def history_append(s: SparkSession, d: str) -> DataFrame:
-    out = history.history(_export(s, d).where("document_id IS NOT NULL"), ["document_id"], "run_ts", "criteria_version")
+    out = history.history(_export(s, d), ["document_id"], "run_ts", "criteria_version")
     return out.select("document_id", F.array_join("history", ",").alias("history"))
 
 
 def reused_runs(s: SparkSession, d: str) -> DataFrame:
-    e = _export(s, d)
-    return history.reused_runs(e.where("row_id % 2 = 0").select("run_id").distinct(), e.where("row_id % 2 = 1").select("run_id"))
-
-
-def reloaded_runs(s: SparkSession, d: str) -> DataFrame:
     """Run ids that come again after the load that brought them first."""
     e = _export(s, d).where("run_id IS NOT NULL").select("run_id", "loaded_at")
     first = e.groupBy("run_id").agg(F.min("loaded_at").alias("_first"))
@@ -114,8 +109,18 @@ def export_rescaled(s: SparkSession, d: str) -> DataFrame:
 
 
 def export_payload(s: SparkSession, d: str) -> DataFrame:
-    e = _export(s, d).where("document_id IS NOT NULL AND section_id IS NOT NULL").select("document_id", "section_id", "question_id", "question_score")
-    return export.payload(e, ["document_id"])
+    """All export rows as JSON documents of their reports with their indices, read back to rows."""
+    e = _export(s, d).select("document_id", "section_id", "question_id", "question_score", "row_id")
+    m = rollup.rollup(_export(s, d), ["document_id"])["documents"]
+    docs = export.payload(e, ["document_id"], m, {"format": "1"})
+    return export.payload_rows(docs, ["document_id"], "question_id:string,question_score:double,row_id:bigint")
+
+
+def export_parts(s: SparkSession, d: str) -> DataFrame:
+    """The JSON documents of every report, with the number of rows in each."""
+    docs = export.payload(_export(s, d).select("document_id", "section_id", "question_id", "question_score", "row_id"), ["document_id"], most=100)
+    n = F.size(F.flatten(F.from_json("payload", "sections array<struct<questions:array<struct<row_id:bigint>>>>")["sections"]["questions"]))
+    return docs.groupBy("document_id").agg(F.max("parts").alias("parts"), F.sum(n).alias("rows"), F.count_if(n > 400).alias("crowded"))
 
 
 def metadata_fields(s: SparkSession, d: str) -> DataFrame:
@@ -135,7 +140,7 @@ def training_rows(s: SparkSession, d: str) -> DataFrame:
 def training_checks(s: SparkSession, d: str) -> DataFrame:
     """Violations of the training set's contract: scores out of their type's range, missing texts and labels."""
     e = _export(s, d)
-    top = F.when(F.col("tipo_informe") == "institucional", 4.0).otherwise(4.0)
+    top = F.when(F.col("tipo_informe").isin("politica", "politica_nacional"), 2.0).otherwise(4.0)
     n = lambda c, name: F.sum(c.cast("long")).alias(name)
     z = lambda c: F.coalesce(c, F.lit(False))
     return e.groupBy("tipo_informe").agg(
@@ -158,7 +163,7 @@ def human_correlation(s: SparkSession, d: str) -> DataFrame:
 
 def ridge_train(s: SparkSession, d: str) -> DataFrame:
     """Errors of the text model on its held-out fifth."""
-    _, scored = learning.train(learning.training_rows(_export(s, d)), folds=3)
+    _, scored = learning.train(learning.training_rows(_export(s, d)))
     return learning.error_metrics(scored, "label", "prediction", [])
 
 
@@ -178,15 +183,14 @@ def stream_merge(s: SparkSession, d: str) -> DataFrame:
     src = src.select("response_id", "document_id", "question_id", "score", "answered_at")
     q = ingest.merge_stream(src, f"{at}/table", ["document_id", "question_id"], ["answered_at", "response_id"], f"{at}/state")
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress) if q.recentProgress else 0
-    return s.read.parquet(f"{at}/table/v{last}").select("response_id", "document_id", "question_id", "score")
+    return ingest.merged_table(s, f"{at}/table", src.schema).select("response_id", "document_id", "question_id", "score")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        filtered_rubric, missing_targets, weight_sums, rubric_violations, duplicate_levels, dedup_first, merge_upsert, merge_newest, rerun_targets, history_append, reused_runs, reloaded_runs, subset_export,
-        export_flat, export_rescaled, export_payload, metadata_fields, metadata_leaves, training_rows, training_checks, error_metrics, human_correlation, ridge_train, stream_quality, stream_merge,
+        filtered_rubric, missing_targets, weight_sums, rubric_violations, duplicate_questions, duplicate_levels, dedup_first, merge_upsert, rerun_targets, history_append, reused_runs, subset_export,
+        export_flat, export_rescaled, export_payload, export_parts, metadata_fields, metadata_leaves, training_rows, training_checks, error_metrics, human_correlation, ridge_train, stream_quality, stream_merge,
     )
 }
 
@@ -195,10 +199,10 @@ def sql() -> dict[str, str]:
     ident = Q.identifier
     key = lambda *cs: ", ".join(ident(c) for c in cs)
     first = lambda where, keys: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key(*keys)} ORDER BY row_id) AS rn FROM export_rows WHERE {where}) WHERE rn = 1)"
-    halves = f"""o AS {first('question_id IS NOT NULL AND document_id IS NOT NULL', ['document_id', 'question_id'])},
-p AS (SELECT {ident('document_id')} AS k1, {ident('question_id')} AS k2, document_id, question_id, question_score, justification FROM o WHERE row_id % 3 <> 0),
-u AS (SELECT {ident('document_id')} AS k1, {ident('question_id')} AS k2, document_id, question_id, CASE WHEN row_id % 4 = 0 THEN question_score + 0.5 END AS question_score,
-  CASE WHEN row_id % 6 = 0 THEN ' ' ELSE 'nuevo: ' || coalesce(justification, '') END AS justification FROM o WHERE row_id % 2 = 0)"""
+    halves = f"""nw AS (SELECT {ident('document_id')} AS d, max(run_ts) AS newest FROM export_rows GROUP BY 1),
+x AS (SELECT *, coalesce({ident('document_id')}, '<null>') AS k1, coalesce({ident('question_id')}, '<null>') AS k2 FROM export_rows),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k1, k2 ORDER BY row_id) AS rn FROM x) WHERE rn = 1),
+u AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY k1, k2 ORDER BY row_id) AS rn FROM x JOIN nw ON {ident('x.document_id')} IS NOT DISTINCT FROM nw.d AND run_ts = newest) WHERE rn = 1)"""
     filled = lambda c: f"CASE WHEN {Q.strip(c)} <> '' THEN {c} END"
     roll_e = f"""dim AS (SELECT document_id, section_id, dimension_name, {Q.weighted('question_score', 'coalesce(question_weight, 1.0)')} AS dimension_score, max(dimension_weight) AS dimension_weight FROM e GROUP BY document_id, section_id, dimension_name),
 sec AS (SELECT document_id, section_id, {Q.weighted('dimension_score', 'coalesce(dimension_weight, 1.0)')} AS section_score FROM dim GROUP BY document_id, section_id)"""
@@ -214,18 +218,24 @@ sec AS (SELECT document_id, section_id, {Q.weighted('dimension_score', 'coalesce
         "filtered_rubric": f"SELECT tipo_informe, section_id, question_id FROM rubric_questions WHERE {ident('section_id')} IN ('sintesis general', 'lecciones') OR {ident('section_title')} IN ('sintesis general', 'lecciones')",
         "missing_targets": f"SELECT target FROM (VALUES {', '.join(f'({chr(39)}{t}{chr(39)})' for t in TARGETS)}) v(target) WHERE {ident('target')} NOT IN (SELECT {ident('l')} FROM (SELECT section_id AS l FROM rubric_questions UNION SELECT section_title FROM rubric_questions UNION SELECT question_id FROM rubric_questions))",
         "weight_sums": f"SELECT level, key, {Q.r6('total')} AS total, {ok(1e-3)} AS ok FROM ({sums('rubric_questions', 1e-3)})",
-        "rubric_violations": f"""WITH f AS (SELECT * FROM (VALUES {vals}) t(tipo_informe, section_id, section_weight, dimension_name, dimension_weight, question_id, question_text, question_weight, scale_min, scale_max)),
+        "rubric_violations": f"""WITH f AS (SELECT tipo_informe, section_id, section_weight, dimension_name, dimension_weight, question_id, question_text, question_weight, scale_min, scale_max FROM rubric_questions UNION ALL SELECT * FROM (VALUES {vals}) t(tipo_informe, section_id, section_weight, dimension_name, dimension_weight, question_id, question_text, question_weight, scale_min, scale_max)),
 e AS (SELECT 'error' AS severity, 'question_without_id' AS code, {path} AS path, tipo_informe FROM f WHERE coalesce(trim(question_id), '') = '' UNION ALL SELECT 'error', 'question_without_text', {path}, tipo_informe FROM f WHERE coalesce(trim(question_text), '') = ''
  UNION ALL SELECT 'error', 'negative_weight', {path}, tipo_informe FROM f WHERE question_weight < 0 OR section_weight < 0 OR dimension_weight < 0 UNION ALL SELECT 'error', 'empty_scale', {path}, tipo_informe FROM f WHERE scale_min >= scale_max
  UNION ALL SELECT 'error', 'duplicate_question', concat_ws('/', tipo_informe, question_id), tipo_informe FROM f WHERE question_id IS NOT NULL GROUP BY tipo_informe, question_id HAVING count(*) > 1)
-SELECT severity, code, path FROM e UNION ALL SELECT 'warning', 'weights_of_' || level, key FROM ({sums('f', 1e-3)}) WHERE NOT {ok(1e-3)} AND split_part(key, '/', 1) NOT IN (SELECT tipo_informe FROM e)""",
-        "duplicate_levels": "SELECT document_id, section_id, question_id, count(*) AS n FROM export_rows GROUP BY ALL HAVING count(*) > 1",
+SELECT severity, code, path FROM e UNION ALL SELECT 'warning', 'short_question', {path} FROM f WHERE {Q.strip("coalesce(question_text, '')")} <> '' AND (length({Q.strip('question_text')}) < 15 OR len(string_split_regex({Q.strip('question_text')}, '\\s+')) < 3) AND tipo_informe NOT IN (SELECT tipo_informe FROM e)
+UNION ALL SELECT 'warning', 'weights_of_' || level, key FROM ({sums('f', 1e-3)}) WHERE NOT {ok(1e-3)} AND split_part(key, '/', 1) NOT IN (SELECT tipo_informe FROM e)""",
+        "duplicate_levels": "SELECT id, l AS value, count(*) AS n FROM (SELECT question_id AS id, unnest([scale_min, (scale_min + scale_max) / 2, scale_max]) AS l FROM rubric_questions UNION ALL SELECT * FROM (VALUES ('x', 0.0::DOUBLE), ('x', 1.0), ('x', 2.0), ('dup', 1.0), ('dup', 1.0), ('dup', 2.0), ('odd', 3.0)) t(id, l)) GROUP BY id, l HAVING count(*) > 1",
+        "duplicate_questions": "SELECT document_id, section_id, question_id, count(*) AS n FROM export_rows GROUP BY ALL HAVING count(*) > 1",
         "dedup_first": f"SELECT row_id FROM {first('true', ['document_id', 'section_id', 'dimension_name', 'question_id'])}",
         "merge_upsert": f"""WITH {halves} SELECT coalesce(p.document_id, u.document_id) AS document_id, coalesce(p.question_id, u.question_id) AS question_id, coalesce(u.question_score, p.question_score) AS question_score,
  coalesce({filled('u.justification')}, p.justification) AS justification FROM p FULL OUTER JOIN u ON p.k1 = u.k1 AND p.k2 = u.k2""",
         "rerun_targets": f"SELECT DISTINCT {ident('q')} AS target FROM (SELECT question_id AS q FROM export_rows WHERE question_score IS NULL UNION SELECT question_id FROM rubric_questions WHERE section_id = 'lecciones') WHERE q IS NOT NULL",
-        "history_append": "SELECT document_id, string_agg(criteria_version, ',' ORDER BY first_at, criteria_version) AS history FROM (SELECT document_id, criteria_version, min(run_ts) AS first_at FROM export_rows WHERE document_id IS NOT NULL AND criteria_version IS NOT NULL GROUP BY document_id, criteria_version) GROUP BY document_id",
-        "reused_runs": "SELECT DISTINCT run_id FROM export_rows WHERE row_id % 2 = 1 AND run_id IN (SELECT run_id FROM export_rows WHERE row_id % 2 = 0)",
+        "history_append": "SELECT document_id, string_agg(criteria_version, ',' ORDER BY first_at, criteria_version) AS history FROM (SELECT document_id, criteria_version, min(run_ts) AS first_at FROM export_rows WHERE criteria_version IS NOT NULL GROUP BY document_id, criteria_version) GROUP BY document_id",
+        "reused_runs": "SELECT run_id FROM export_rows WHERE run_id IS NOT NULL GROUP BY run_id HAVING max(loaded_at) > min(loaded_at)",
+        "metadata_fields": """SELECT record_id, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.evaluation.document_id') END AS metadata_evaluation_document_id, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.evaluation.document_type') END AS metadata_evaluation_document_type,
+CASE WHEN json_valid(j) THEN json_extract_string(j, '$.document_id') END AS metadata_document_id FROM (SELECT record_id, ltrim(raw_json, chr(65279)) AS j FROM evaluation_records)""",
+        "export_payload": "SELECT document_id, section_id, question_id, question_score, row_id FROM export_rows",
+        "export_parts": "SELECT document_id, ceil(count(*) / 100.0)::INT AS parts, count(*) AS rows, 0::BIGINT AS crowded FROM export_rows GROUP BY document_id",
         "subset_export": f"WITH e AS {first(f'''{ident('section_id')} IN ('marco_problema', 'lecciones')''', ['document_id', 'section_id', 'dimension_name', 'question_id'])}, {roll_e} SELECT document_id, section_id, {Q.r6('section_score')} AS section_score FROM sec",
         "export_flat": f"""WITH e AS (SELECT * FROM export_rows), {roll_e} SELECT e.run_id, e.document_id, e.section_id, e.question_id, {Q.r6('dim.dimension_score')} AS dimension_score, {Q.r6('sec.section_score')} AS section_score
 FROM e LEFT JOIN dim ON e.document_id IS NOT DISTINCT FROM dim.document_id AND e.section_id IS NOT DISTINCT FROM dim.section_id AND e.dimension_name IS NOT DISTINCT FROM dim.dimension_name
@@ -233,7 +243,7 @@ LEFT JOIN sec ON e.document_id IS NOT DISTINCT FROM sec.document_id AND e.sectio
         "export_rescaled": f"SELECT row_id, CASE WHEN section_score IS NOT NULL AND scale_max > scale_min THEN {Q.r6('least(greatest((section_score - scale_min) / (scale_max - scale_min), 0.0), 1.0) * 20')} END AS score20 FROM export_rows",
         "training_rows": f"""SELECT row_id, coalesce({filled('section_id')}, 'desconocido') AS seccion, coalesce({filled('dimension_name')}, 'desconocido') AS criterio, question_score AS label,
  CASE WHEN {Q.strip('t')} = '' THEN 0 ELSE len(string_split_regex({Q.strip('t')}, '\\s+')) END AS words FROM (SELECT *, trim(regexp_replace({text}, '{white}+', ' ', 'g')) AS t FROM export_rows WHERE {ident('tipo_informe')} = 'institucional') WHERE t IS NOT NULL AND question_score IS NOT NULL""",
-        "training_checks": f"SELECT tipo_informe, count(*) AS rows, count(*) FILTER (question_score IS NULL) AS without_score, count(*) FILTER (NOT question_score BETWEEN 0 AND 4) AS out_of_range, count(*) FILTER ({text} IS NULL) AS without_text FROM export_rows GROUP BY tipo_informe",
+        "training_checks": f"SELECT tipo_informe, count(*) AS rows, count(*) FILTER (question_score IS NULL) AS without_score, count(*) FILTER (NOT question_score BETWEEN 0 AND CASE WHEN tipo_informe IN ('politica', 'politica_nacional') THEN 2 ELSE 4 END) AS out_of_range, count(*) FILTER ({text} IS NULL) AS without_text FROM export_rows GROUP BY tipo_informe",
         "error_metrics": f"""SELECT tipo_informe, count(*) AS n, {Q.r6('avg(abs(p - t))')} AS mae, {Q.r6('sqrt(avg((p - t) * (p - t)))')} AS rmse, {Q.r6('avg(t)')} AS mean_true, {Q.r6('min(t)')} AS min_true, {Q.r6('max(t)')} AS max_true, {Q.r6('avg(p)')} AS mean_pred,
  {Q.r6('1 - sum((p - t) * (p - t)) / (sum(t * t) - count(*) * avg(t) * avg(t))')} AS r2 FROM (SELECT tipo_informe, question_score AS t, dimension_score AS p FROM export_rows WHERE tipo_informe IS NOT NULL AND question_score IS NOT NULL AND dimension_score IS NOT NULL) GROUP BY tipo_informe""",
         "human_correlation": f"SELECT count(*) AS n, {Q.r6('corr(question_score, dimension_score)')} AS pearson FROM export_rows WHERE question_score IS NOT NULL AND dimension_score IS NOT NULL",

@@ -27,9 +27,33 @@ def _r(c: str):
 
 
 def doc_score_flagship(s: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(s, d, "documents").where("length(text) > 0").select("doc_id", "section_id", "text"))
-    rub = _rubric(s, d).where("tipo_informe = 'institucional'")
-    return pipeline.evaluate(docs, rub).select("doc_id", _r("document_score"), _r("index"), "questions")
+    """Every document that has a text, scored by the rubric of its report type (institutional where none is stated)."""
+    docs = table(s, d, "documents").where("length(text) > 0").select("doc_id", F.coalesce("tipo_informe", F.lit("institucional")).alias("tipo_informe"), "section_id", "text")
+    return pipeline.evaluate(spread(docs), _rubric(s, d)).select("doc_id", "tipo_informe", _r("document_score"), _r("index"), "questions")
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "chunk_contexts")
+    meta = F.col("chunk_metadata")
+    rows = c.select("document_id", "tipo_informe", "section_id", "chunk_text", meta["relevance"].alias("weight"), meta["was_truncated"].alias("was_truncated"), meta.isNull().alias("failed"))
+    return pipeline.question_results(spread(rows), _rubric(s, d))
+
+
+def evaluation_full(s: SparkSession, d: str) -> DataFrame:
+    """Every report through status, gate, scoring, imputation, skips and roll-up to its type's index."""
+    out = pipeline.evaluate_reports(_results(s, d))
+    return out.select("document_id", "report_type", _r("raw_index"), _r("index"), "sections", "sections_scored", "questions", "scored", "presence", "skipped", "pairs", "rejected")
+
+
+def evaluation_questions(s: SparkSession, d: str) -> DataFrame:
+    """The questions of every report with status, score and how it came about."""
+    return _results(s, d).select("document_id", "tipo_informe", "section_id", "question_id", "status", _r("question_score"), "how", "pairs", "rejected")
+
+
+def metrics_dispatch(s: SparkSession, d: str) -> DataFrame:
+    """Indices of all reports by their type, with the fallbacks."""
+    out = rollup.metrics(table(s, d, "export_rows"), ["document_id"], "tipo_informe")
+    return out.select("document_id", "report_type", _r("raw_index"), _r("index"), "sections", "sections_scored")
 
 
 def theta_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -51,7 +75,11 @@ def score_constraint(s: SparkSession, d: str) -> DataFrame:
 
 
 def scale_shapes(s: SparkSession, d: str) -> DataFrame:
-    t = s.createDataFrame(LEVELS, "id string, levels array<string>")
+    """Bounds and step of the levels that every rubric question's scale spans, and of the literal lists."""
+    text = lambda c: c.cast("string")
+    lo, hi = F.col("scale_min"), F.col("scale_max")
+    t = _rubric(s, d).select(F.col("question_id").alias("id"), F.array(text(lo), text((lo + hi) / 2), text(hi)).alias("levels"))
+    t = t.unionByName(s.createDataFrame(LEVELS, "id string, levels array<string>"))
     nums = F.array_compact(F.transform("levels", lambda x: S.number(x)))
     return t.select("id", S.scale_bounds(F.col("levels"))["lo"].alias("lo"), S.scale_bounds(F.col("levels"))["hi"].alias("hi"), S.constant_step(nums).alias("step"))
 
@@ -75,12 +103,19 @@ def best_chunk(s: SparkSession, d: str) -> DataFrame:
 
 
 def imputed_scores(s: SparkSession, d: str) -> DataFrame:
-    t = s.createDataFrame(IMPUTED, "id string, score double, flag boolean, error string")
+    """Scores of all answers, 1 where they were retried and did not end well, and of the literals."""
+    m = F.col("metadata")
+    a = table(s, d, "ai_responses").select(F.col("response_id").cast("string").alias("id"), "score", (m["retries"].try_cast("int") > 0).alias("flag"), F.nullif(m["finish_reason"], F.lit("stop")).alias("error"))
+    t = a.unionByName(s.createDataFrame(IMPUTED, "id string, score double, flag boolean, error string"))
     return t.select("id", scoring.imputed(F.col("score"), F.col("flag"), F.col("error")).alias("score"))
 
 
 def response_fields(s: SparkSession, d: str) -> DataFrame:
-    t = s.createDataFrame(PAYLOADS, "id string, p string")
+    """The fields of all answers read back from payloads, text alone where they state no score, and of the literals."""
+    a = table(s, d, "ai_responses")
+    js = F.to_json(F.struct(F.when(~F.isnan("score"), F.col("score")).alias("score"), "justification", "relevant_text"))
+    a = a.select(F.col("response_id").cast("string").alias("id"), F.when(F.col("score").isNull(), F.coalesce("justification", F.lit("{}"))).otherwise(js).alias("p"))
+    t = a.where(~F.col("p").rlike(r"^\s*\{") | F.col("p").startswith("{")).unionByName(s.createDataFrame(PAYLOADS, "id string, p string"))
     return t.select("id", scoring.response_fields(F.col("p")).alias("r")).select("id", "r.*")
 
 
@@ -141,9 +176,9 @@ def quality_summary(s: SparkSession, d: str) -> DataFrame:
 def _prompts(s: SparkSession, d: str) -> DataFrame:
     c = spread(table(s, d, "chunk_contexts").select("context_id", "question_id", "chunk_text", "chunk_metadata.was_truncated"))
     q = _rubric(s, d).drop("section_id")
-    j = c.join(q, "question_id")
+    j = c.join(q, "question_id", "left")
     p = prompts.build(F.col("question_text"), F.col("section_title"), F.col("dimension_name"), F.col("scale_min"), F.col("scale_max"), F.coalesce("chunk_text", F.lit("")), F.col("tipo_informe"))
-    return j.select("context_id", p.alias("prompt"), "was_truncated", F.array(F.col("scale_min"), F.col("scale_max")).alias("levels"), "chunk_text", "question_text", "dimension_name")
+    return j.select("context_id", p.alias("prompt"), "was_truncated", F.array(F.coalesce("scale_min", F.lit(0.0)), F.coalesce("scale_max", F.lit(4.0))).alias("levels"), "chunk_text", "question_text", "dimension_name")
 
 
 def prompt_build(s: SparkSession, d: str) -> DataFrame:
@@ -189,7 +224,7 @@ def prompt_context(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_score_flagship, theta_pairs, cross_flagged, score_constraint, scale_shapes, mock_scores, chunk_question_scores, best_chunk, imputed_scores, response_fields,
+        doc_score_flagship, evaluation_full, evaluation_questions, metrics_dispatch, theta_pairs, cross_flagged, score_constraint, scale_shapes, mock_scores, chunk_question_scores, best_chunk, imputed_scores, response_fields,
         rollup_dimensions, rollup_sections, rollup_documents, criterion_breakdown, index_institutional, index_policy, section_totals, section_bounds, best_justification, quality_summary,
         prompt_build, prompt_rules, prompt_quality, prompt_gate, prompt_json_block, prompt_context,
     )
@@ -220,7 +255,7 @@ br AS (SELECT *, score_sum / nullif(max_sum, 0) AS ratio FROM b2)"""
     safe = Q.strip(f"translate(translate(coalesce(chunk_text, ''), chr(160) || '“”‘’«»', ' \"\"' || chr(39) || chr(39) || '\"\"'), '{T.ZERO_WIDTH}', '')")
     frag = f"CASE WHEN length(f) > 12000 THEN rtrim(substr(f, 1, {int(room * 0.85)})) || {sep} || ltrim(right(f, {room - int(room * 0.85)})) ELSE f END"
     prompt = f"""j AS (SELECT c.context_id, c.chunk_text, c.chunk_metadata.was_truncated AS was_truncated, q.question_text, q.section_title, q.dimension_name, q.scale_min, q.scale_max, q.tipo_informe, {safe} AS f
-  FROM chunk_contexts c JOIN rubric_questions q ON q.question_id = c.question_id),
+  FROM chunk_contexts c LEFT JOIN rubric_questions q ON q.question_id = c.question_id),
 pr AS (SELECT *, concat_ws(chr(10), 'Rol asignado: evaluador de informes de tipo ' || coalesce(tipo_informe, 'general') || '.', 'Objetivo: valorar la sección «' || coalesce(section_title, '-') || '», dimensión «' || coalesce(dimension_name, '-') || '».',
   'Pregunta: ' || coalesce(question_text, ''), 'Escala de valoración: de ' || printf('%.1f', coalesce(scale_min, 0.0)) || ' a ' || printf('%.1f', coalesce(scale_max, 4.0)) || '.', 'Instrucciones de respuesta: responde solo con lo que el fragmento sustenta.',
   'Formato de salida: {{"score": <número>, "justification": "<texto>", "relevant_text": "<cita>"}}', '{prompts.START}', {frag}, '{prompts.END}') AS prompt FROM j)"""
@@ -235,30 +270,72 @@ l1 AS (SELECT *, greatest(({markers}) / 12.0::DOUBLE, len(list_filter(ws, lambda
   ({cover}) / 5.0::DOUBLE AS coverage, length(regexp_replace(split_part(regexp_replace(low, '(?s)^.*?\\[texto truncado\\]', ''), lower('{prompts.END}'), 1), '[^\\p{{L}}]', '', 'g')) AS after,
   list_transform(regexp_extract_all(part, '-?\\d+(?:[.,]\\d+)?'), lambda x: replace(x, ',', '.')::DOUBLE) AS nums FROM l0),
 ru AS (SELECT context_id, prompt, length(prompt) BETWEEN 400 AND 14000 AS length_ok, contains(low, lower('{prompts.START}')) AND contains(low, lower('{prompts.END}')) AS delimiters_ok,
-  contains(low, 'escala de valoración') AND list_contains(nums, scale_min) AND list_contains(nums, scale_max) AS scale_ok, evidence, length({Q.strip('prompt')}) < 80 OR evidence >= CASE WHEN length({Q.strip('prompt')}) < 250 THEN 0.22 ELSE 0.28 END AS language_ok,
+  contains(low, 'escala de valoración') AND list_contains(nums, coalesce(scale_min, 0.0)) AND list_contains(nums, coalesce(scale_max, 4.0)) AS scale_ok, evidence, length({Q.strip('prompt')}) < 80 OR evidence >= CASE WHEN length({Q.strip('prompt')}) < 250 THEN 0.22 ELSE 0.28 END AS language_ok,
   CASE WHEN coalesce(was_truncated, false) AND tn = 0 THEN 1 WHEN NOT coalesce(was_truncated, false) AND tn > 0 THEN 1 WHEN tn > 0 THEN (tn > 1)::INT + (after > 40)::INT ELSE 0 END AS truncation_faults, coverage FROM l1),
 qu AS (SELECT *, round(greatest(1 - ((CASE WHEN NOT length_ok THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN NOT delimiters_ok THEN 0.15::DOUBLE ELSE 0 END) + (CASE WHEN NOT scale_ok THEN 0.15::DOUBLE ELSE 0 END) + (CASE WHEN NOT language_ok THEN 0.2::DOUBLE ELSE 0 END)
   + truncation_faults * 0.05::DOUBLE + (CASE WHEN coverage < 0.6 THEN 0.05::DOUBLE ELSE 0 END)), 0), 4) AS quality, CASE WHEN length(prompt) < 1000 THEN 0.7::DOUBLE WHEN length(prompt) > 6000 THEN 0.55::DOUBLE ELSE 0.6::DOUBLE END AS threshold FROM ru)"""
     bl = lambda x: f"coalesce({Q.strip(x)}, '') = ''"
+    # indices by type, of rows e whose document_id ends in a line feed and the type
+    kind = "split_part(document_id, chr(10), 2)"
+    weights = "CASE criterion " + " ".join(f"WHEN '{k}' THEN {v[0]}::DOUBLE" for k, v in rollup.CRITERIA.items()) + " END"
+    measured = f"""{roll},
+b0 AS (SELECT document_id, question_score, CASE WHEN {n} LIKE 'estructura%' THEN 'estructura' WHEN {n} LIKE '%claridad%' AND {n} LIKE '%coherencia%' THEN 'claridad y coherencia' WHEN {n} LIKE 'pertinencia%' THEN 'pertinencia' END AS criterion
+  FROM e WHERE {kind} = 'institucional' AND coalesce(section_weight, 1.0) > 0 AND coalesce(dimension_weight, 1.0) > 0),
+b1 AS (SELECT *, CASE WHEN criterion = 'estructura' THEN 1.0::DOUBLE ELSE 4.0::DOUBLE END AS top FROM b0 WHERE criterion IS NOT NULL AND question_score IS NOT NULL),
+b2 AS (SELECT document_id, criterion, sum(least(greatest(question_score, 0), top)) / sum(top) * {weights} AS part FROM b1 GROUP BY document_id, criterion),
+b3 AS (SELECT document_id, sum(part) AS std FROM b2 GROUP BY document_id),
+ms AS (SELECT document_id, {kind} AS report_type, sections, sections_scored,
+  CASE WHEN {kind} = 'institucional' THEN coalesce(std, document_score, CASE WHEN sections_scored > 0 THEN 0 END) ELSE document_score END AS raw_index,
+  CASE WHEN {kind} = 'institucional' THEN coalesce(CASE WHEN std IS NOT NULL THEN least(greatest(std, 0), 1) * 100 END, CASE WHEN document_score IS NOT NULL THEN least(greatest(document_score / 4.0, 0), 1) * 100 END, CASE WHEN sections_scored > 0 THEN 0 END)
+    WHEN {kind} IN {rollup.POLICY} THEN CASE WHEN document_score IS NOT NULL THEN least(greatest(document_score / 2.0, 0), 1) * 20 END END AS index FROM doc LEFT JOIN b3 USING (document_id))"""
+    pairs = f"""c AS (SELECT context_id, document_id, tipo_informe, {key('section_id')} AS sec, chunk_text, chunk_metadata, {Q.strip("coalesce(chunk_text, '')")} <> '' AS filled FROM chunk_contexts WHERE document_id IS NOT NULL AND tipo_informe IS NOT NULL), """
+    pairs += rules.replace("FROM chunk_contexts c LEFT JOIN rubric_questions q ON q.question_id = c.question_id", f"FROM c JOIN rubric_questions q ON c.filled AND q.tipo_informe = c.tipo_informe AND ({key('q.section_id')} = '' OR c.sec = '' OR {key('q.section_id')} = c.sec)")
+    pairs = pairs.replace("SELECT c.context_id,", "SELECT c.context_id, q.question_id,").replace("ru AS (SELECT context_id, prompt,", "ru AS (SELECT context_id, question_id, prompt,")
+    of = lambda xs: Q.mock_score("(q.question_id || '|' || sha256(c.chunk_text))", xs)
+    policy = f"{Q.identifier('q.tipo_informe')} IN {S.POLICY_TYPES}"
+    evaluation = f"""WITH {pairs},
+sc AS (SELECT c.document_id, c.tipo_informe, q.question_id, c.chunk_metadata.relevance AS weight, qu.quality >= qu.threshold AND qu.quality >= 0.7 AS passes,
+  CASE WHEN qu.quality >= qu.threshold AND qu.quality >= 0.7 THEN CASE WHEN c.chunk_metadata IS NULL THEN 1.0::DOUBLE WHEN {policy} THEN {of(S.POLICY_LEVELS)} WHEN {Q.identifier('q.dimension_name')} = 'estructura' THEN {of(struct)} ELSE {of(inst)} END END AS score
+  FROM qu JOIN c USING (context_id) JOIN rubric_questions q ON q.question_id = qu.question_id),
+qs AS (SELECT document_id, tipo_informe, question_id, {Q.weighted('score', 'weight')} AS mean, count(*) AS pairs, count(*) FILTER (NOT passes) AS rejected FROM sc GROUP BY document_id, tipo_informe, question_id),
+st AS (SELECT document_id, tipo_informe, sec, max(filled::INT) AS some FROM c WHERE sec <> '' GROUP BY document_id, tipo_informe, sec),
+f0 AS (SELECT r.document_id, q.*, qs.mean, coalesce(qs.pairs, 0) AS pairs, coalesce(qs.rejected, 0) AS rejected, CASE WHEN {key('q.section_id')} = '' OR st.some = 1 THEN 'found' WHEN st.some = 0 THEN 'empty' ELSE 'missing' END AS status,
+  {policy} AS block, {Q.identifier('q.tipo_informe')} = 'institucional' AND {Q.identifier('q.dimension_name')} = 'estructura' AND {key('q.section_id')} NOT IN {scoring.NOT_AUTO} AND {key('q.section_title')} NOT IN {scoring.NOT_AUTO} AS auto
+  FROM (SELECT DISTINCT document_id, tipo_informe FROM c) r JOIN rubric_questions q ON q.tipo_informe = r.tipo_informe LEFT JOIN qs ON qs.document_id = r.document_id AND qs.tipo_informe = r.tipo_informe AND qs.question_id = q.question_id
+  LEFT JOIN st ON st.document_id = r.document_id AND st.tipo_informe = r.tipo_informe AND st.sec = {key('q.section_id')}),
+f1 AS (SELECT *, CASE WHEN mean IS NULL THEN NULL WHEN block THEN round_even(least(greatest(mean, 0.0::DOUBLE), 2.0::DOUBLE) * 2, 0) / 2 WHEN {n} = 'estructura' THEN {Q.nearest('mean', struct)} ELSE {Q.nearest('mean', inst)} END AS level FROM f0),
+fin AS (SELECT * EXCLUDE (dimension_name, dimension_weight), CASE WHEN NOT block THEN dimension_name END AS dimension_name, CASE WHEN block THEN 1.0::DOUBLE ELSE dimension_weight END AS dimension_weight,
+  CASE WHEN auto THEN CASE WHEN status = 'found' THEN 1.0::DOUBLE ELSE 0.0 END WHEN status <> 'found' THEN 0.0 ELSE level END AS question_score,
+  CASE WHEN auto THEN 'presence' WHEN status <> 'found' THEN 'skipped' WHEN mean IS NOT NULL THEN 'scored' ELSE 'without score' END AS how FROM f1)"""
     return {
-        "doc_score_flagship": f"""WITH d AS (SELECT doc_id, section_id, unnest(range(0, (length(text) + 1349) // 1350)) AS i, text FROM documents WHERE length(text) > 0),
-c AS (SELECT doc_id, section_id AS c_section, substr(text, i * 1350 + 1, 1500) AS chunk FROM d),
-s AS (SELECT c.doc_id, q.section_id, q.section_weight, q.dimension_name, q.dimension_weight, q.question_id, q.question_weight, {Q.mock_score("(q.question_id || '|' || c.chunk)", inst)} AS score
-  FROM c JOIN rubric_questions q ON q.tipo_informe = 'institucional' AND ({key('q.section_id')} = '' OR {key('c.c_section')} = '' OR {key('q.section_id')} = {key('c.c_section')})),
-e AS (SELECT doc_id AS document_id, section_id, section_weight, dimension_name, dimension_weight, question_id, question_weight, avg(score) AS question_score FROM s GROUP BY ALL),
+        "doc_score_flagship": f"""WITH d AS (SELECT doc_id, coalesce(tipo_informe, 'institucional') AS tipo_informe, section_id, unnest(range(0, (length(text) + 1349) // 1350)) AS i, text FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, tipo_informe, section_id AS c_section, sha256(substr(text, i * 1350 + 1, 1500)) AS digest FROM d),
+s AS (SELECT c.doc_id || '|' || c.tipo_informe AS document_id, q.section_id, q.section_weight, q.dimension_name, q.dimension_weight, q.question_id, q.question_weight,
+  CASE WHEN c.tipo_informe = 'politica_nacional' THEN {Q.mock_score("(q.question_id || '|' || c.digest)", S.POLICY_LEVELS)} ELSE {Q.mock_score("(q.question_id || '|' || c.digest)", inst)} END AS score
+  FROM c JOIN rubric_questions q ON q.tipo_informe = c.tipo_informe AND ({key('q.section_id')} = '' OR {key('c.c_section')} = '' OR {key('q.section_id')} = {key('c.c_section')})),
+e AS (SELECT document_id, section_id, section_weight, dimension_name, dimension_weight, question_id, question_weight, avg(score) AS question_score FROM s GROUP BY ALL),
 {roll}
-SELECT document_id AS doc_id, {Q.r6('document_score')} AS document_score, {Q.r6("least(greatest(document_score / 4.0::DOUBLE, 0), 1) * 100")} AS index, n AS questions
+SELECT split_part(document_id, '|', 1)::BIGINT AS doc_id, split_part(document_id, '|', 2) AS tipo_informe, {Q.r6('document_score')} AS document_score,
+ CASE WHEN split_part(document_id, '|', 2) = 'politica_nacional' THEN {Q.r6("least(greatest(document_score / 2.0::DOUBLE, 0), 1) * 20")} ELSE {Q.r6("least(greatest(document_score / 4.0::DOUBLE, 0), 1) * 100")} END AS index, n AS questions
 FROM doc JOIN (SELECT document_id AS k, count(*) AS n FROM e GROUP BY document_id) ON k = document_id""",
+        "evaluation_full": f"""{evaluation}, e AS (SELECT document_id || chr(10) || tipo_informe AS document_id, * EXCLUDE (document_id) FROM fin), {measured},
+n AS (SELECT document_id, count(*) AS questions, count(*) FILTER (how = 'scored') AS scored, count(*) FILTER (how = 'presence') AS presence, count(*) FILTER (how = 'skipped') AS skipped, sum(pairs)::BIGINT AS pairs, sum(rejected)::BIGINT AS rejected FROM e GROUP BY document_id)
+SELECT split_part(ms.document_id, chr(10), 1) AS document_id, report_type, {Q.r6('raw_index')} AS raw_index, {Q.r6('index')} AS index, sections, sections_scored, questions, scored, presence, skipped, pairs, rejected FROM ms JOIN n ON n.document_id = ms.document_id""",
+        "evaluation_questions": f"{evaluation} SELECT document_id, tipo_informe, section_id, question_id, status, {Q.r6('question_score')} AS question_score, how, pairs, rejected FROM fin",
+        "metrics_dispatch": f"""WITH e AS (SELECT coalesce(document_id, '<null>') || chr(10) || coalesce({Q.identifier('tipo_informe')}, '') AS document_id, * EXCLUDE (document_id) FROM export_rows), {measured}
+SELECT nullif(split_part(document_id, chr(10), 1), '<null>') AS document_id, nullif(report_type, '') AS report_type, {Q.r6('raw_index')} AS raw_index, {Q.r6('index')} AS index, sections, sections_scored FROM ms""",
         "theta_pairs": f"SELECT c.context_id, count(*) AS pairs, min(q.question_id) AS first_question, max(q.question_id) AS last_question {theta} GROUP BY c.context_id",
         "cross_flagged": f"SELECT c.context_id, {key('c.section_id')} = '' AS global_context, count(*) AS pairs, sum(({key('q.section_id')} <> '' AND {key('c.section_id')} <> '' AND {key('q.section_id')} <> {key('c.section_id')})::INT)::BIGINT AS mismatches FROM chunk_contexts c CROSS JOIN rubric_questions q GROUP BY 1, 2",
         "score_constraint": f"""SELECT row_id, CASE WHEN {Q.identifier('tipo_informe')} = 'institucional' THEN CASE WHEN coalesce({n}, '') LIKE 'estructura%' THEN {Q.nearest('x', struct)} ELSE {Q.nearest('x', inst)} END
  WHEN {Q.identifier('tipo_informe')} IN {S.POLICY_TYPES} THEN round_even(least(greatest(x, 0.0::DOUBLE), 2.0::DOUBLE) * 2, 0) / 2 ELSE x END AS score FROM (SELECT *, question_score * 1.25::DOUBLE - 0.25::DOUBLE AS x FROM export_rows WHERE question_score IS NOT NULL)""",
-        "scale_shapes": "SELECT * FROM (VALUES ('x', 0.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE), ('y', 0.0, 1.0, 0.5), ('z', 1.0, 4.0, NULL), ('w', 2.0, 2.0, NULL)) t(id, lo, hi, step)",
+        "scale_shapes": "SELECT question_id AS id, scale_min AS lo, scale_max AS hi, CASE WHEN scale_max >= scale_min THEN round((scale_max - scale_min) / 2, 9) END AS step FROM rubric_questions UNION ALL SELECT * FROM (VALUES ('x', 0.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE), ('y', 0.0, 1.0, 0.5), ('z', 1.0, 4.0, NULL), ('w', 2.0, 2.0, NULL)) t(id, lo, hi, step)",
         "mock_scores": f"WITH {scored} SELECT context_id, score FROM sc",
         "chunk_question_scores": f"WITH {scored} SELECT question_id, {Q.r6(Q.weighted('score', 'weight'))} AS score, count(score) AS scored, count(*) AS chunks FROM sc GROUP BY question_id",
         "best_chunk": f"WITH {scored} SELECT question_id, context_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC NULLS LAST, context_id) AS rn FROM sc) WHERE rn = 1",
-        "imputed_scores": "SELECT * FROM (VALUES ('i1', 1.0::DOUBLE), ('i2', 0.5), ('i3', 0.5), ('i4', 1.0), ('i5', 2.0)) t(id, score)",
-        "response_fields": "SELECT * FROM (VALUES ('a', 2.0::DOUBLE, 'bien', NULL), ('b', NULL, 'texto libre', NULL), ('c', 1.5, NULL, 'cita'), ('d', NULL, 'sin puntaje', NULL)) t(id, score, justification, relevant_text)",
+        "imputed_scores": "SELECT response_id::VARCHAR AS id, CASE WHEN try_cast(metadata['retries'] AS INT) > 0 AND metadata['finish_reason'] <> 'stop' THEN 1.0::DOUBLE ELSE score END AS score FROM ai_responses UNION ALL SELECT * FROM (VALUES ('i1', 1.0::DOUBLE), ('i2', 0.5), ('i3', 0.5), ('i4', 1.0), ('i5', 2.0)) t(id, score)",
+        "response_fields": """SELECT response_id::VARCHAR AS id, CASE WHEN NOT isnan(score) THEN score END AS score, justification, CASE WHEN score IS NOT NULL THEN relevant_text END AS relevant_text
+FROM ai_responses WHERE score IS NOT NULL OR NOT regexp_matches(coalesce(justification, '{}'), '^\\s*\\{') UNION ALL SELECT response_id::VARCHAR, NULL, NULL, NULL FROM ai_responses WHERE score IS NULL AND justification IS NULL
+UNION ALL SELECT * FROM (VALUES ('a', 2.0::DOUBLE, 'bien', NULL), ('b', NULL, 'texto libre', NULL), ('c', 1.5, NULL, 'cita'), ('d', NULL, 'sin puntaje', NULL)) t(id, score, justification, relevant_text)""",
         "rollup_dimensions": f"WITH {every}, {roll} SELECT document_id, section_id, dimension_name, {Q.r6('dimension_score')} AS dimension_score FROM dim",
         "rollup_sections": f"WITH {every}, {roll} SELECT document_id, section_id, {Q.r6('section_score')} AS section_score FROM sec",
         "rollup_documents": f"WITH {every}, {roll} SELECT document_id, {Q.r6('document_score')} AS document_score, sections_scored, sections FROM doc",
@@ -276,5 +353,6 @@ FROM a GROUP BY GROUPING SETS ((), (section))""",
         "prompt_rules": f"WITH {rules} SELECT context_id, length_ok, delimiters_ok, scale_ok, {Q.r6('evidence')} AS evidence, language_ok, truncation_faults, {Q.r6('coverage')} AS coverage FROM ru",
         "prompt_quality": f"WITH {rules} SELECT context_id, quality, CASE WHEN quality >= 0.9 THEN 'alta' WHEN quality >= 0.75 THEN 'aceptable' WHEN quality >= 0.6 THEN 'regular' ELSE 'rechazada' END AS band, threshold FROM qu",
         "prompt_gate": f"WITH {rules} SELECT context_id FROM qu WHERE quality >= threshold AND quality >= 0.7",
+        "prompt_json_block": f"""WITH {prompt} SELECT context_id, regexp_matches(prompt, '\\{{[^{{}}]*"score"[^{{}}]*"justification"[^{{}}]*\\}}') AS json_ok FROM pr""",
         "prompt_context": f"WITH {prompt} SELECT context_id, concat_ws(',', CASE WHEN {bl('chunk_text')} THEN 'empty_chunk' END, CASE WHEN NOT {bl('question_text')} AND {bl('dimension_name')} THEN 'question_without_dimension' END, CASE WHEN NOT {bl('chunk_text')} AND length(chunk_text) < 60 THEN 'short_chunk' END) AS flags FROM pr",
     }

@@ -45,41 +45,33 @@ def collapse_repeats(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "ai_responses").select("response_id", T.collapse_repeats(F.col("justification")).alias("t"))
 
 
-def html_strip(s: SparkSession, d: str) -> DataFrame:
-    return _lit(s, HTML).select("id", T.strip_tags(T.unescape_html("t")).alias("t"))
-
-
-def page_marker(s: SparkSession, d: str) -> DataFrame:
-    return _lit(s, MARKS).select("id", T.drop_page_marks(F.col("t")).alias("t"))
-
-
-def page_edge_numbers(s: SparkSession, d: str) -> DataFrame:
-    t = F.col("t")
-    return _lit(s, NUMBERS).select("id", T.drop_trailing_page_number(t).alias("trailing"), T.drop_leading_page_number(t).alias("leading"), T.edge_form(t).alias("form"))
-
-
 def _with_literals(s: SparkSession, rows: DataFrame, id_col: str, text_col: str, literals: list[tuple[str, str]]) -> DataFrame:
     return rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).unionByName(_lit(s, literals))
 
 
-def html_strip_all(s: SparkSession, d: str) -> DataFrame:
-    """html_strip over all documents and the literals."""
+def html_strip(s: SparkSession, d: str) -> DataFrame:
+    """Texts of all documents, and literals, without tags and entities."""
     return _with_literals(s, table(s, d, "documents"), "doc_id", "text", HTML).select("id", T.strip_tags(T.unescape_html("t")).alias("t"))
 
 
-def page_marker_all(s: SparkSession, d: str) -> DataFrame:
-    """page_marker over all documents and the literals."""
+def page_marker(s: SparkSession, d: str) -> DataFrame:
+    """Texts of all documents, and literals, without page marks."""
     return _with_literals(s, table(s, d, "documents"), "doc_id", "text", MARKS).select("id", T.drop_page_marks(F.col("t")).alias("t"))
 
 
-def page_edge_numbers_all(s: SparkSession, d: str) -> DataFrame:
-    """page_edge_numbers over all lines of the scanned pages and the literals."""
+def page_edge_numbers(s: SparkSession, d: str) -> DataFrame:
+    """All lines of the scanned pages, and literals, without page numbers at either end."""
     t = F.col("t")
     lines = table(s, d, "ocr_pages").select("ocr_page_id", F.posexplode(F.split("ocr_text", "\n")).alias("p", "line"))
     lines = lines.select(F.concat_ws(":", "ocr_page_id", F.col("p") + 1).alias("id"), "line")
     return _with_literals(s, lines, "id", "line", NUMBERS).select("id", T.drop_trailing_page_number(t).alias("trailing"), T.drop_leading_page_number(t).alias("leading"), T.edge_form(t).alias("form"))
 
 
+def line_whitespace(s: SparkSession, d: str) -> DataFrame:
+    """Texts of all answers with the white space of their lines collapsed."""
+    return table(s, d, "ai_responses").select("response_id", T.line_whitespace(F.col("justification")).alias("t"))
+
+
 def prompt_safe(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunk_contexts").select("context_id", T.prompt_safe(F.col("chunk_text")).alias("t"))
 
@@ -110,7 +102,7 @@ def fixed_pages(s: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", (F.col("p") + 1).alias("page_no"), F.length("t").alias("chars"), F.md5("t").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (norm_identifier, norm_text, search_form, collapse_ws, collapse_repeats, html_strip, html_strip_all, page_marker, page_marker_all, page_edge_numbers, page_edge_numbers_all, prompt_safe, truncate_budget, compact_lines, word_features, ordered_distinct, sheet_names, fixed_pages)}
+QUERIES = {f.__name__: f for f in (norm_identifier, norm_text, search_form, collapse_ws, collapse_repeats, html_strip, page_marker, page_edge_numbers, line_whitespace, prompt_safe, truncate_budget, compact_lines, word_features, ordered_distinct, sheet_names, fixed_pages)}
 
 
 def sql() -> dict[str, str]:
@@ -118,14 +110,16 @@ def sql() -> dict[str, str]:
     punct = ".,;:!?¡¿\"''()[]{}«»“”‘’-–—_/\\"
     ws = lambda x: f"trim(regexp_replace({x}, '{white}+', ' ', 'g'))"
     unescaped = "replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160))"
+    lines = "(SELECT ocr_page_id || ':' || i AS id, list_extract(x, i) AS line FROM (SELECT ocr_page_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT ocr_page_id, string_split(ocr_text, chr(10)) AS x FROM ocr_pages)))"
+    over = lambda src, key, col, lits: f"(SELECT {key}::VARCHAR AS id, {col} AS t FROM {src} UNION ALL SELECT id, t FROM {_values(lits)})"
     return {
         "norm_identifier": f"SELECT label, {Q.identifier('label')} AS form FROM (SELECT document_id AS label FROM export_rows UNION SELECT section_id FROM export_rows UNION SELECT dimension_name FROM export_rows) WHERE label IS NOT NULL",
         "norm_text": "SELECT question_id, trim(regexp_replace(regexp_replace(strip_accents(lower(question_text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS form FROM rubric_questions",
         "search_form": f"SELECT question_id, trim(regexp_replace(translate(strip_accents(lower(question_text)), '{punct}', ''), '\\s+', ' ', 'g')) AS form FROM rubric_questions",
         "collapse_ws": f"SELECT context_id, {ws('chunk_text')} AS t FROM chunk_contexts",
-        "html_strip": f"SELECT id, {ws(f'''regexp_replace({unescaped}, '<[^>]+>', ' ', 'g')''')} AS t FROM {_values(HTML)}",
-        "page_marker": f"SELECT id, {ws('''regexp_replace(replace(t, chr(12), ' '), '(?im)^=+\\s*page\\s*\\d+\\s*=+$', ' ', 'g')''')} AS t FROM {_values(MARKS)}",
-        "page_edge_numbers": f"SELECT id, {Q.trailing('t')} AS trailing, {Q.leading('t')} AS leading, {Q.edge_form('t')} AS form FROM {_values(NUMBERS)}",
+        "html_strip": f"SELECT id, {ws(f'''regexp_replace({unescaped}, '<[^>]+>', ' ', 'g')''')} AS t FROM {over('documents', 'doc_id', 'text', HTML)}",
+        "page_marker": f"SELECT id, {ws('''regexp_replace(replace(t, chr(12), ' '), '(?im)^=+\\s*page\\s*\\d+\\s*=+$', ' ', 'g')''')} AS t FROM {over('documents', 'doc_id', 'text', MARKS)}",
+        "page_edge_numbers": f"SELECT id, {Q.trailing('t')} AS trailing, {Q.leading('t')} AS leading, {Q.edge_form('t')} AS form FROM {over(lines, 'id', 'line', NUMBERS)}",
         "prompt_safe": f"""SELECT context_id, {Q.strip(f'''translate(translate(chunk_text, chr(160) || '“”‘’«»', ' ""' || chr(39) || chr(39) || '""'), '{T.ZERO_WIDTH}', '')''')} AS t FROM chunk_contexts""",
         "truncate_budget": "SELECT doc_id, CASE WHEN length(text) > 1000 THEN rtrim(substr(text, 1, 834)) || chr(10) || '[texto truncado]' || chr(10) || ltrim(right(text, 148)) ELSE text END AS t FROM documents",
         "compact_lines": "SELECT ocr_page_id, regexp_replace(regexp_replace(regexp_replace(ocr_text, '[ \\t]+', ' ', 'g'), ' +(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM ocr_pages",
