@@ -29,6 +29,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valora.functions import text as T
 from valora.functions.text import accent_table
 from valora.runtime import BROADCAST_ROWS, keep, small_side, spread_join
 
@@ -83,18 +84,29 @@ def script_table() -> dict[str, str]:
     return out
 
 
-def own_characters(text: Column) -> Column:
-    """The text with styled forms, spaces, hyphens and invisible marks mapped and outer white space dropped."""
+#: Characters that any of the tables may hold: all of their keys lie here, and few texts have any.
+SUSPECT = r"[\x{A0}\x{AD}\x{180}-\x{10FFFF}]"
+
+
+def own_characters(df: DataFrame, text_col: str) -> DataFrame:
+    """df with look_s (whether a table's character may occur) and look_o, the text with styled forms,
+    spaces, hyphens and invisible marks mapped and outer white space dropped.
+
+    Every step is a column of its own projection, so that none is evaluated twice, and only texts
+    with a suspect character go through the tables.
+    """
     single, composed = style_table()
     table = {**single, **dict.fromkeys(SPACES, " "), **dict.fromkeys(HYPHENS, "-")}
-    out = F.translate(text, "".join(table) + INVISIBLE, "".join(table.values()))  # those without a counterpart are dropped
-    several = out
+    several = F.col("look_1")
     for c, letters in composed.items():
         several = F.replace(several, F.lit(c), F.lit(letters))
-    out = F.when(out.rlike(f"[{''.join(composed)}]"), several).otherwise(out)
-    apart = F.regexp_replace(out, rf"(?<![{JOINED}])[{JOINERS}]+|[{JOINERS}]+(?![{JOINED}{JOINERS}])", "")
-    out = F.when(out.rlike(f"[{JOINERS}]"), apart).otherwise(out)
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    apart = F.regexp_replace("look_2", rf"(?<![{JOINED}])[{JOINERS}]+|[{JOINERS}]+(?![{JOINED}{JOINERS}])", "")
+    out = df.withColumn("look_s", F.col(text_col).rlike(SUSPECT))
+    # characters without a counterpart are dropped
+    out = out.withColumn("look_1", F.when(F.col("look_s"), F.translate(F.col(text_col), "".join(table) + INVISIBLE, "".join(table.values()))).otherwise(F.col(text_col)))
+    out = out.withColumn("look_2", F.when(F.col("look_s") & F.col("look_1").rlike(f"[{''.join(composed)}]"), several).otherwise(F.col("look_1")))
+    out = out.withColumn("look_3", F.when(F.col("look_s") & F.col("look_2").rlike(f"[{JOINERS}]"), apart).otherwise(F.col("look_2")))
+    return out.withColumn("look_o", T.strip(F.col("look_3"))).drop("look_1", "look_2", "look_3")
 
 
 def _latin(text: Column) -> Column:
@@ -103,25 +115,26 @@ def _latin(text: Column) -> Column:
 
 
 def keyed(df: DataFrame, text_col: str) -> DataFrame:
-    """df with look_o (own form), look_m (compared form), look_b (bucket), look_h and look_k (their
-    hashes), the last three null if blank, and look_x (whether the own form has other scripts)."""
+    """df with look_m (compared form), look_o (own form, null where it is the compared one), look_b
+    (bucket), look_h and look_k (hashes of both forms), the last three null if blank, and look_x
+    (whether the own form has other scripts)."""
     alien = "[" + OTHER_SCRIPTS[1:-1] + "&&\\p{L}&&[^" + "".join(script_table()) + "]]"
     words = F.split("look_o", r"(?<=[^\p{L}\p{M}])|(?=[^\p{L}\p{M}])")
     mixed = F.array_join(F.transform(words, lambda w: F.when(w.rlike(alien), w).otherwise(_latin(w))), "")
-    own = F.when(~F.col("look_x"), F.col("look_o")).when(~F.col("look_o").rlike("[A-Za-z]"), F.col("look_o")).when(F.col("look_o").rlike(alien), mixed).otherwise(F.col("look_m"))
-    out = df.withColumn("look_o", own_characters(F.col(text_col))).withColumn("look_x", F.col("look_o").rlike(OTHER_SCRIPTS))
-    out = out.withColumn("look_m", F.when(F.col("look_x"), _latin(F.col("look_o"))).otherwise(F.col("look_o"))).withColumn("look_o", own)
+    own = F.when(F.col("look_o").rlike("[A-Za-z]"), F.when(F.col("look_o").rlike(alien), mixed)).otherwise(F.col("look_o"))
+    out = own_characters(df, text_col).withColumn("look_x", F.coalesce(F.col("look_s") & F.col("look_o").rlike(OTHER_SCRIPTS), F.lit(False)))
+    out = out.withColumn("look_m", F.when(F.col("look_x"), _latin(F.col("look_o"))).otherwise(F.col("look_o")))
+    out = out.withColumn("look_o", F.when(F.col("look_x"), own)).withColumn("look_x", F.col("look_x") & F.coalesce("look_o", "look_m").rlike(OTHER_SCRIPTS))
     shown = F.length("look_m") > 0
     base = F.regexp_replace(F.translate(F.col("look_m"), *accent_table()), r"[^\x09-\x0D\x20-\x7E]", "")
-    return out.withColumns(
+    out = out.withColumns(
         {
-            "look_x": F.col("look_o").rlike(OTHER_SCRIPTS),
             # joiners that show are ignored by the collation, so they part the buckets
-            "look_b": F.when(shown, F.xxhash64(base, F.regexp_count("look_m", F.lit(f"[{JOINERS}]")))),
+            "look_b": F.when(shown, F.xxhash64(base, F.when(F.col("look_s"), F.regexp_count("look_m", F.lit(f"[{JOINERS}]"))).otherwise(0))),
             "look_h": F.when(shown, F.xxhash64("look_m")),
-            "look_k": F.when(shown, F.xxhash64("look_o")),
         }
     )
+    return out.withColumn("look_k", F.when(F.col("look_o").isNull(), F.col("look_h")).when(shown, F.xxhash64("look_o"))).drop("look_s")
 
 
 def canonical_members(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -132,7 +145,7 @@ def canonical_members(rows: DataFrame, by: list[str]) -> DataFrame:
     key = [*by, "look_b"]
     mixed = rows.where("look_b IS NOT NULL").groupBy(*key).agg(F.min("look_k").alias("k0"), F.max("look_k").alias("k1"))
     mixed = mixed.where("k0 <> k1").select(*key)
-    forms = rows.join(mixed, key, "left_semi").groupBy(*key, "look_h").agg(F.min("look_m").alias("look_m"), F.min(F.struct("look_x", "look_o")).alias("look_o"))
+    forms = rows.join(mixed, key, "left_semi").groupBy(*key, "look_h").agg(F.min("look_m").alias("look_m"), F.min(F.struct("look_x", F.coalesce("look_o", "look_m").alias("look_o"))).alias("look_o"))
     canon = forms.groupBy(*(F.col(x).alias(f"c_{x}") for x in key), F.collate("look_m", "UNICODE").alias("look_c")).agg(F.min("look_o").alias("look_o"))
     same = F.collate("look_m", "UNICODE") == F.col("look_c")
     for x in key:
@@ -147,7 +160,7 @@ def canonicalize(df: DataFrame, text_col: str) -> DataFrame:
     members = keep(canonical_members(rows, []), "p1-members")
     key = ["look_b", "look_h"]
     hit = rows.join(small_side(members), key, "left")
-    return hit.withColumn("look_text", F.coalesce("look_text", "look_o")).select(*df.columns, "look_text")
+    return hit.withColumn("look_text", F.coalesce("look_text", "look_o", "look_m")).select(*df.columns, "look_text")
 
 
 def classes(df: DataFrame, id_col: str, text_col: str, field_name: str) -> DataFrame:
