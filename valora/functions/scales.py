@@ -48,6 +48,14 @@ def constrained(score: Column, report_type: Column, dimension: Column) -> Column
     return F.when(score.isNotNull(), F.when(kind == "institucional", inst).when(kind.isin(*POLICY_TYPES), half_step(score)).otherwise(score))
 
 
+def constrained_flag(score: Column, report_type: Column, dimension: Column) -> Column:
+    """struct(score, adjusted) of a raw score, number or text, on its type's scale: adjusted if it moved
+    by more than 1e-9 or is no number."""
+    x = score.try_cast("double")
+    out = constrained(x, report_type, dimension)
+    return F.struct(out.alias("score"), (F.coalesce(F.abs(out - x) > 1e-9, F.lit(False)) | (score.isNotNull() & x.isNull())).alias("adjusted"))
+
+
 def normalised(score: Column, lo: Column, hi: Column, to_lo: Column | float = 0.0, to_hi: Column | float = 1.0) -> Column:
     """A score moved from one range to another and kept within it; null on a null score or an empty range."""
     a, b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (to_lo, to_hi))
@@ -57,7 +65,7 @@ def normalised(score: Column, lo: Column, hi: Column, to_lo: Column | float = 0.
 
 def constant_step(levels: Column) -> Column:
     """The step of a list of levels if it is the same throughout, else null."""
-    diff = F.zip_with(F.slice(levels, 2, 1000), F.slice(levels, 1, 1000), lambda a, b: F.round(a - b, 9))
+    diff = F.zip_with(F.slice(levels, 2, 1 << 30), levels, lambda a, b: F.round(a - b, 9))
     diff = F.filter(diff, lambda x: x.isNotNull())
     return F.when((F.size(diff) > 0) & F.forall(diff, lambda x: x == diff[0]), diff[0])
 

@@ -167,3 +167,34 @@ def preview(c: Column, most: int = 300) -> Column:
 def filled_list(c: Column) -> Column:
     """An array's stripped items without null and blank ones; an empty array for null."""
     return F.coalesce(F.filter(F.transform(c, strip), lambda x: F.length(x) > 0), F.array().cast("array<string>"))
+
+
+def coerced_text(c: Column) -> Column:
+    """A text as it is, "" for null."""
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def coerced_map(c: Column) -> Column:
+    """A map of texts without its null and blank values, empty for null."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.map_filter(c, lambda _, v: v.isNotNull() & (F.length(strip(v)) > 0)), none)
+
+
+def iso_stamp(at: Column) -> Column:
+    """A time as an ISO text in seconds."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def file_stamp(at: Column) -> Column:
+    """A time as it stands in file names."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def parsed_stamp(c: Column) -> Column:
+    """The time of an ISO text with or without fractions; null for anything else."""
+    return F.try_to_timestamp(F.regexp_replace(strip(c), "Z$", ""))
+
+
+def canonical_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of named values, whatever their order: `name=value` by name, nulls left out."""
+    return F.sha2(F.concat_ws("\u001f", *(F.concat(F.lit(k + "="), fields[k].cast("string")) for k in sorted(fields))), 256)

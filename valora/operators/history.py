@@ -58,3 +58,11 @@ def subset(rows: DataFrame, key: str, targets: DataFrame) -> DataFrame:
     if form.isEmpty():
         return rows
     return rows.join(form, T.identifier(F.col(key)) == F.col("_f"), "left_semi")
+
+
+def all_runs(previous: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Distinct runs of each key from both sides with `run_no`: earlier results' first, then by time."""
+    side = lambda df, n: df.select(*keys, "run_id", at).groupBy(*keys, "run_id").agg(F.min(at).alias(at)).withColumn("_side", F.lit(n))
+    runs = side(previous, 0).unionByName(side(new, 1)).groupBy(*keys, "run_id").agg(F.min(F.struct("_side", at)).alias("x"))
+    by = Window.partitionBy(*keys).orderBy("x._side", f"x.{at}", "run_id")
+    return runs.withColumn("run_no", F.row_number().over(by)).select(*keys, "run_id", F.col(f"x.{at}").alias(at), "run_no")

@@ -32,6 +32,29 @@ def training_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+# Columns that a training set has at least.
+REQUIRED = ("tipo_informe", "section_id", "dimension_name", "question_text", "question_score", "relevant_text")
+
+
+def checked(rows: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """rows, or a ValueError that names the columns which are missing."""
+    missing = [c for c in required if c not in rows.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    return rows
+
+
+def save_dataset(rows: DataFrame, path: str) -> str:
+    """A training set as CSV or parquet by the path's suffix."""
+    if path.endswith(".csv"):
+        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    elif path.endswith(".parquet"):
+        rows.write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"{path} ends in neither .csv nor .parquet")
+    return path
+
+
 #: Words and word pairs that the text features hold at most, the most frequent ones.
 VOCABULARY = 1 << 15
 

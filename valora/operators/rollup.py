@@ -74,6 +74,14 @@ def section_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("scale_min").alias("scale_min"), F.max("scale_max").alias("scale_max"))
 
 
+def section_metrics(sections: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """sections with the scale of their section and their score as a share of it; sections without
+    bounds keep null ones."""
+    b = bounds.select(*(F.col(k).alias(f"_{k}") for k in keys), "scale_min", "scale_max")
+    j = sections.join(b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
+    return j.withColumn("share", S.normalised(F.col("section_score"), F.col("scale_min"), F.col("scale_max")))
+
+
 def best_justification(rows: DataFrame, keys: list[str], order: str, literal: str = "Sin justificación disponible.") -> DataFrame:
     """Of each section the justification of its best question, else its text, else a literal."""
     best = best_by(rows, keys, "question_score", order)

@@ -123,6 +123,20 @@ def status_counts(s: SparkSession, d: str) -> DataFrame:
     return e.groupBy(T.identifier(F.col("metadata_segmenter_status")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("section_id").alias("sections"))
 
 
+def status_lists(s: SparkSession, d: str) -> DataFrame:
+    """Of every report and status the number and the ids of its sections."""
+    e = table(s, d, "export_rows").where("metadata_segmenter_status IS NOT NULL")
+    g = e.groupBy("document_id", T.identifier(F.col("metadata_segmenter_status")).alias("status")).agg(F.sort_array(F.collect_set("section_id")).alias("s"))
+    return g.select("document_id", "status", F.size("s").cast("long").alias("n"), F.array_join("s", ",").alias("sections"))
+
+
+def pseudo_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks of all documents, chunk 0 for those that have none."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    c = chunks.with_pseudo_chunk(docs, "doc_id", "text", chunks.stride_chunks(spread(docs), "doc_id", "text"))
+    return c.select("doc_id", "chunk_index", "chunks_in_source", F.length("chunk").alias("chars"))
+
+
 def chunk_stride(s: SparkSession, d: str) -> DataFrame:
     c = chunks.stride_chunks(spread(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")), "doc_id", "text")
     return c.select("doc_id", "chunk_index", "chunks_in_source", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
@@ -142,7 +156,7 @@ def chunk_fallback(s: SparkSession, d: str) -> DataFrame:
     return chunks.document_chunks(base, "doc_id", found, pages.split_pages(docs, "doc_id", "text", 4000)).drop("chunk")
 
 
-QUERIES = {f.__name__: f for f in (edge_lines, repeated_lines, fuzzy_repeated_lines, clean_lines, clean_report, clean_pages, clean_scanned_lines, ocr_like, tagged_pages, segment_headings, segment_text, keyword_sections, fuzzy_sections, section_status, status_counts, chunk_stride, chunk_lines, chunk_fallback)}
+QUERIES = {f.__name__: f for f in (edge_lines, repeated_lines, fuzzy_repeated_lines, clean_lines, clean_report, clean_pages, clean_scanned_lines, ocr_like, tagged_pages, segment_headings, segment_text, keyword_sections, fuzzy_sections, section_status, status_counts, status_lists, chunk_stride, pseudo_chunks, chunk_lines, chunk_fallback)}
 
 
 def _title_sql(titles: list[str]) -> str:
@@ -221,6 +235,9 @@ UNION ALL SELECT doc_id, 'sin_clasificar', 0, {Q.strip('text')} FROM d WHERE doc
  SELECT row_id::VARCHAR AS id, document_id IS NOT NULL AS hs, CASE WHEN section_id IS NULL AND section_title IS NULL THEN 0 ELSE 1 END AS n, coalesce(metadata_skipped, false) AS fl, coalesce(length(chunk_results) > 2, false) AS ch,
   section_id IS NOT NULL AS lb, section_title IS NOT NULL AS mt, coalesce(relevant_text, '') AS tx FROM export_rows UNION ALL SELECT * FROM (VALUES {stat}) t(id, hs, n, fl, ch, lb, mt, tx))""",
         "status_counts": f"SELECT {Q.identifier('metadata_segmenter_status')} AS status, count(*) AS n, count(DISTINCT section_id) AS sections FROM export_rows WHERE metadata_segmenter_status IS NOT NULL GROUP BY 1",
+        "status_lists": f"""SELECT document_id, status, count(section_id) AS n, coalesce(string_agg(section_id, ',' ORDER BY section_id), '') AS sections FROM (SELECT DISTINCT document_id, {Q.identifier('metadata_segmenter_status')} AS status, section_id FROM export_rows WHERE metadata_segmenter_status IS NOT NULL) GROUP BY document_id, status""",
+        "pseudo_chunks": """SELECT doc_id, i + 1 AS chunk_index, n AS chunks_in_source, length(substr(text, i * 1350 + 1, 1500)) AS chars FROM (SELECT doc_id, text, (length(text) + 1349) // 1350 AS n, unnest(range(0, (length(text) + 1349) // 1350)) AS i FROM documents WHERE text IS NOT NULL)
+UNION ALL SELECT doc_id, 0, 1, length(coalesce(text, '')) FROM documents WHERE coalesce(text, '') = ''""",
         "chunk_stride": """SELECT doc_id, i + 1 AS chunk_index, n AS chunks_in_source, length(substr(text, i * 1350 + 1, 1500)) AS chars, md5(substr(text, i * 1350 + 1, 1500)) AS digest
 FROM (SELECT doc_id, text, (length(text) + 1349) // 1350 AS n, unnest(range(0, (length(text) + 1349) // 1350)) AS i FROM documents WHERE text IS NOT NULL)""",
     }

@@ -161,6 +161,36 @@ def human_correlation(s: SparkSession, d: str) -> DataFrame:
     return learning.correlation(_pairs(s, d), "question_score", "dimension_score").select("n", _r("pearson"))
 
 
+def expected_correlation(s: SparkSession, d: str) -> DataFrame:
+    """How the mean scores of answers go with the mean scores of the export, by question."""
+    a = table(s, d, "ai_responses").where("score IS NOT NULL AND NOT isnan(score)").groupBy("question_id").agg(F.avg("score").alias("score"))
+    e = _export(s, d).groupBy("question_id").agg(F.avg("question_score").alias("expected"))
+    return learning.expected_correlation(a, e, "question_id", "score", "expected").select("n", _r("pearson"))
+
+
+def run_stamps(s: SparkSession, d: str) -> DataFrame:
+    """Every run's first time as an ISO text, as in file names, and read back."""
+    e = _export(s, d).groupBy("run_id").agg(F.min("run_ts").alias("at"))
+    iso = T.iso_stamp(F.col("at"))
+    return e.select("run_id", iso.alias("iso"), T.file_stamp(F.col("at")).alias("stamp"), (T.parsed_stamp(iso).cast("timestamp_ntz") == F.date_trunc("second", "at").cast("timestamp_ntz")).alias("same"))
+
+
+def run_order(s: SparkSession, d: str) -> DataFrame:
+    """All runs of each report, those loaded first before later ones."""
+    e = _export(s, d).where("run_id IS NOT NULL")
+    first = e.groupBy("run_id").agg(F.min("loaded_at").alias("_first"))
+    j = e.join(first, "run_id")
+    return history.all_runs(j.where("loaded_at = _first"), j.where("loaded_at > _first"), ["document_id"], "run_ts").select("document_id", "run_id", "run_no")
+
+
+def rubric_hashes(s: SparkSession, d: str) -> DataFrame:
+    """A hash of every rubric question that only its labels and weights decide."""
+    r = table(s, d, "rubric_questions")
+    cols = ["section_id", "dimension_name", "question_text"]
+    w = F.format_string("%.6f", F.coalesce("question_weight", F.lit(0.0)))
+    return r.select("tipo_informe", "question_id", T.canonical_hash({**{c: F.col(c) for c in cols}, "weight": w}).alias("hash"))
+
+
 def ridge_train(s: SparkSession, d: str) -> DataFrame:
     """Errors of the text model on its held-out fifth."""
     _, scored = learning.train(learning.training_rows(_export(s, d)))
@@ -190,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         filtered_rubric, missing_targets, weight_sums, rubric_violations, duplicate_questions, duplicate_levels, dedup_first, merge_upsert, rerun_targets, history_append, reused_runs, subset_export,
-        export_flat, export_rescaled, export_payload, export_parts, metadata_fields, metadata_leaves, training_rows, training_checks, error_metrics, human_correlation, ridge_train, stream_quality, stream_merge,
+        export_flat, export_rescaled, export_payload, export_parts, metadata_fields, metadata_leaves, training_rows, training_checks, error_metrics, human_correlation, expected_correlation, run_stamps, run_order, rubric_hashes, ridge_train, stream_quality, stream_merge,
     )
 }
 
@@ -246,6 +276,12 @@ LEFT JOIN sec ON e.document_id IS NOT DISTINCT FROM sec.document_id AND e.sectio
         "training_checks": f"SELECT tipo_informe, count(*) AS rows, count(*) FILTER (question_score IS NULL) AS without_score, count(*) FILTER (NOT question_score BETWEEN 0 AND CASE WHEN tipo_informe IN ('politica', 'politica_nacional') THEN 2 ELSE 4 END) AS out_of_range, count(*) FILTER ({text} IS NULL) AS without_text FROM export_rows GROUP BY tipo_informe",
         "error_metrics": f"""SELECT tipo_informe, count(*) AS n, {Q.r6('avg(abs(p - t))')} AS mae, {Q.r6('sqrt(avg((p - t) * (p - t)))')} AS rmse, {Q.r6('avg(t)')} AS mean_true, {Q.r6('min(t)')} AS min_true, {Q.r6('max(t)')} AS max_true, {Q.r6('avg(p)')} AS mean_pred,
  {Q.r6('1 - sum((p - t) * (p - t)) / (sum(t * t) - count(*) * avg(t) * avg(t))')} AS r2 FROM (SELECT tipo_informe, question_score AS t, dimension_score AS p FROM export_rows WHERE tipo_informe IS NOT NULL AND question_score IS NOT NULL AND dimension_score IS NOT NULL) GROUP BY tipo_informe""",
+        "expected_correlation": f"""SELECT count(*) AS n, {Q.r6('corr(score, expected)')} AS pearson FROM (SELECT question_id, avg(score) AS score FROM ai_responses WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1)
+JOIN (SELECT question_id, avg(question_score) AS expected FROM export_rows GROUP BY 1 HAVING avg(question_score) IS NOT NULL) USING (question_id)""",
+        "run_stamps": "SELECT run_id, strftime(t0, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(t0, '%Y%m%d_%H%M%S') AS stamp, CASE WHEN t0 IS NOT NULL THEN true END AS same FROM (SELECT run_id, min(run_ts) AS t0 FROM export_rows GROUP BY run_id)",
+        "run_order": """WITH f AS (SELECT run_id, min(loaded_at) AS first FROM export_rows WHERE run_id IS NOT NULL GROUP BY run_id), s AS (SELECT document_id, run_id, min((CASE WHEN loaded_at = first THEN 0 ELSE 1 END, run_ts)) AS x FROM export_rows JOIN f USING (run_id) GROUP BY document_id, run_id)
+SELECT document_id, run_id, row_number() OVER (PARTITION BY document_id ORDER BY x, run_id) AS run_no FROM s""",
+        "rubric_hashes": "SELECT tipo_informe, question_id, sha256(concat_ws(chr(31), 'dimension_name=' || dimension_name, 'question_text=' || question_text, 'section_id=' || section_id, 'weight=' || printf('%.6f', coalesce(question_weight, 0.0)))) AS hash FROM rubric_questions",
         "human_correlation": f"SELECT count(*) AS n, {Q.r6('corr(question_score, dimension_score)')} AS pearson FROM export_rows WHERE question_score IS NOT NULL AND dimension_score IS NOT NULL",
         "stream_quality": f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS rows, {Q.r6('avg(value)')} AS mean FROM events GROUP BY 1, 2",
         "stream_merge": "SELECT response_id, document_id, question_id, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id, question_id ORDER BY answered_at DESC, response_id DESC) AS rn FROM ai_responses) WHERE rn = 1",

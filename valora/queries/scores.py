@@ -71,7 +71,8 @@ def cross_flagged(s: SparkSession, d: str) -> DataFrame:
 
 def score_constraint(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "export_rows").where("question_score IS NOT NULL")
-    return e.select("row_id", S.constrained(F.col("question_score") * 1.25 - 0.25, F.col("tipo_informe"), F.col("dimension_name")).alias("score"))
+    c = S.constrained_flag(F.col("question_score") * 1.25 - 0.25, F.col("tipo_informe"), F.col("dimension_name"))
+    return e.select("row_id", c["score"].alias("score"), c["adjusted"].alias("adjusted"))
 
 
 def scale_shapes(s: SparkSession, d: str) -> DataFrame:
@@ -160,6 +161,13 @@ def section_bounds(s: SparkSession, d: str) -> DataFrame:
     return rollup.section_bounds(table(s, d, "export_rows"), ["document_id", "section_id"])
 
 
+def section_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Every report's section scores with their scale and their share of it."""
+    key = ["document_id", "section_id"]
+    out = rollup.section_metrics(_rolled(s, d)["sections"], rollup.section_bounds(table(s, d, "export_rows"), key), key)
+    return out.select(*key, _r("section_score"), "scale_min", "scale_max", _r("share"))
+
+
 def best_justification(s: SparkSession, d: str) -> DataFrame:
     return rollup.best_justification(table(s, d, "export_rows"), ["document_id", "section_id"], "row_id")
 
@@ -215,6 +223,12 @@ def prompt_json_block(s: SparkSession, d: str) -> DataFrame:
     return _prompts(s, d).select("context_id", prompts.json_block_ok("prompt").alias("json_ok"))
 
 
+def prompt_metadata(s: SparkSession, d: str) -> DataFrame:
+    """What is known of every prompt when it is built."""
+    m = prompts.quality_metadata(F.col("prompt"), F.coalesce("chunk_text", F.lit("")), F.col("was_truncated"))
+    return _prompts(s, d).select("context_id", m.alias("m")).select("context_id", "m.*")
+
+
 def prompt_context(s: SparkSession, d: str) -> DataFrame:
     p = _prompts(s, d)
     flags = prompts.context_flags(F.col("chunk_text"), F.col("question_text"), F.col("dimension_name"), F.lit("2024.1"), F.lit("x"))
@@ -225,8 +239,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_score_flagship, evaluation_full, evaluation_questions, metrics_dispatch, theta_pairs, cross_flagged, score_constraint, scale_shapes, mock_scores, chunk_question_scores, best_chunk, imputed_scores, response_fields,
-        rollup_dimensions, rollup_sections, rollup_documents, criterion_breakdown, index_institutional, index_policy, section_totals, section_bounds, best_justification, quality_summary,
-        prompt_build, prompt_rules, prompt_quality, prompt_gate, prompt_json_block, prompt_context,
+        rollup_dimensions, rollup_sections, rollup_documents, criterion_breakdown, index_institutional, index_policy, section_totals, section_bounds, section_metrics, best_justification, quality_summary,
+        prompt_build, prompt_rules, prompt_quality, prompt_gate, prompt_json_block, prompt_metadata, prompt_context,
     )
 }
 
@@ -326,8 +340,8 @@ SELECT split_part(ms.document_id, chr(10), 1) AS document_id, report_type, {Q.r6
 SELECT nullif(split_part(document_id, chr(10), 1), '<null>') AS document_id, nullif(report_type, '') AS report_type, {Q.r6('raw_index')} AS raw_index, {Q.r6('index')} AS index, sections, sections_scored FROM ms""",
         "theta_pairs": f"SELECT c.context_id, count(*) AS pairs, min(q.question_id) AS first_question, max(q.question_id) AS last_question {theta} GROUP BY c.context_id",
         "cross_flagged": f"SELECT c.context_id, {key('c.section_id')} = '' AS global_context, count(*) AS pairs, sum(({key('q.section_id')} <> '' AND {key('c.section_id')} <> '' AND {key('q.section_id')} <> {key('c.section_id')})::INT)::BIGINT AS mismatches FROM chunk_contexts c CROSS JOIN rubric_questions q GROUP BY 1, 2",
-        "score_constraint": f"""SELECT row_id, CASE WHEN {Q.identifier('tipo_informe')} = 'institucional' THEN CASE WHEN coalesce({n}, '') LIKE 'estructura%' THEN {Q.nearest('x', struct)} ELSE {Q.nearest('x', inst)} END
- WHEN {Q.identifier('tipo_informe')} IN {S.POLICY_TYPES} THEN round_even(least(greatest(x, 0.0::DOUBLE), 2.0::DOUBLE) * 2, 0) / 2 ELSE x END AS score FROM (SELECT *, question_score * 1.25::DOUBLE - 0.25::DOUBLE AS x FROM export_rows WHERE question_score IS NOT NULL)""",
+        "score_constraint": f"""SELECT row_id, score, abs(score - x) > 1e-9 AS adjusted FROM (SELECT row_id, x, CASE WHEN {Q.identifier('tipo_informe')} = 'institucional' THEN CASE WHEN coalesce({n}, '') LIKE 'estructura%' THEN {Q.nearest('x', struct)} ELSE {Q.nearest('x', inst)} END
+ WHEN {Q.identifier('tipo_informe')} IN {S.POLICY_TYPES} THEN round_even(least(greatest(x, 0.0::DOUBLE), 2.0::DOUBLE) * 2, 0) / 2 ELSE x END AS score FROM (SELECT *, question_score * 1.25::DOUBLE - 0.25::DOUBLE AS x FROM export_rows WHERE question_score IS NOT NULL))""",
         "scale_shapes": "SELECT question_id AS id, scale_min AS lo, scale_max AS hi, CASE WHEN scale_max >= scale_min THEN round((scale_max - scale_min) / 2, 9) END AS step FROM rubric_questions UNION ALL SELECT * FROM (VALUES ('x', 0.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE), ('y', 0.0, 1.0, 0.5), ('z', 1.0, 4.0, NULL), ('w', 2.0, 2.0, NULL)) t(id, lo, hi, step)",
         "mock_scores": f"WITH {scored} SELECT context_id, score FROM sc",
         "chunk_question_scores": f"WITH {scored} SELECT question_id, {Q.r6(Q.weighted('score', 'weight'))} AS score, count(score) AS scored, count(*) AS chunks FROM sc GROUP BY question_id",
@@ -343,6 +357,9 @@ UNION ALL SELECT * FROM (VALUES ('a', 2.0::DOUBLE, 'bien', NULL), ('b', NULL, 't
         "index_institutional": f"WITH {crit}, ix AS (SELECT document_id, sum(CASE WHEN scored > 0 THEN ratio * {w} END) AS raw_index FROM br GROUP BY document_id) SELECT document_id, {Q.r6('raw_index')} AS raw_index, CASE WHEN raw_index IS NOT NULL THEN {Q.r6('least(greatest(raw_index, 0.0), 1.0) * 100')} END AS index FROM ix",
         "index_policy": f"WITH e AS (SELECT * FROM export_rows WHERE tipo_informe = 'politica_nacional'), {roll} SELECT document_id, {Q.r6('document_score')} AS document_score, CASE WHEN document_score IS NOT NULL THEN {Q.r6('least(greatest(document_score / 2, 0.0), 1.0) * 20')} END AS index FROM doc",
         "section_totals": f"WITH {every}, {roll} SELECT document_id, count(*) AS sections, count(section_score) AS with_score, count(*) - count(section_score) AS without_score FROM sec GROUP BY document_id",
+        "section_metrics": f"""WITH {every}, {roll}, bd AS (SELECT document_id, section_id, min(scale_min) AS lo, max(scale_max) AS hi FROM export_rows GROUP BY ALL)
+SELECT sec.document_id, sec.section_id, {Q.r6('section_score')} AS section_score, lo AS scale_min, hi AS scale_max, CASE WHEN section_score IS NOT NULL AND hi > lo THEN {Q.r6('least(greatest((section_score - lo) / (hi - lo), 0), 1)')} END AS share
+FROM sec LEFT JOIN bd ON sec.document_id IS NOT DISTINCT FROM bd.document_id AND sec.section_id IS NOT DISTINCT FROM bd.section_id""",
         "section_bounds": "SELECT document_id, section_id, min(scale_min) AS scale_min, max(scale_max) AS scale_max FROM export_rows GROUP BY ALL",
         "best_justification": f"""SELECT document_id, section_id, coalesce(CASE WHEN {Q.strip('justification')} <> '' THEN justification END, CASE WHEN {Q.strip('relevant_text')} <> '' THEN relevant_text END, 'Sin justificación disponible.') AS best_justification
 FROM (SELECT *, row_number() OVER (PARTITION BY document_id, section_id ORDER BY question_score DESC NULLS LAST, row_id) AS rn FROM export_rows) WHERE rn = 1""",
@@ -354,5 +371,6 @@ FROM a GROUP BY GROUPING SETS ((), (section))""",
         "prompt_quality": f"WITH {rules} SELECT context_id, quality, CASE WHEN quality >= 0.9 THEN 'alta' WHEN quality >= 0.75 THEN 'aceptable' WHEN quality >= 0.6 THEN 'regular' ELSE 'rechazada' END AS band, threshold FROM qu",
         "prompt_gate": f"WITH {rules} SELECT context_id FROM qu WHERE quality >= threshold AND quality >= 0.7",
         "prompt_json_block": f"""WITH {prompt} SELECT context_id, regexp_matches(prompt, '\\{{[^{{}}]*"score"[^{{}}]*"justification"[^{{}}]*\\}}') AS json_ok FROM pr""",
+        "prompt_metadata": f"WITH {prompt} SELECT context_id, length(prompt) AS chars, length(coalesce(chunk_text, '')) AS chunk_chars, coalesce(was_truncated, false) AS was_truncated, length(coalesce(chunk_text, '')) < 40 OR " + " OR ".join(f"contains(' ' || lower(coalesce(chunk_text, '')) || ' ', '{m}')" for m in prompts.MARKERS[:10]) + " AS language_ok, length(coalesce(chunk_text, '')) < 60 AS short_chunk FROM pr",
         "prompt_context": f"WITH {prompt} SELECT context_id, concat_ws(',', CASE WHEN {bl('chunk_text')} THEN 'empty_chunk' END, CASE WHEN NOT {bl('question_text')} AND {bl('dimension_name')} THEN 'question_without_dimension' END, CASE WHEN NOT {bl('chunk_text')} AND length(chunk_text) < 60 THEN 'short_chunk' END) AS flags FROM pr",
     }

@@ -110,6 +110,7 @@ def sql() -> dict[str, str]:
     punct = ".,;:!?¡¿\"''()[]{}«»“”‘’-–—_/\\"
     ws = lambda x: f"trim(regexp_replace({x}, '{white}+', ' ', 'g'))"
     unescaped = "replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160))"
+    spaced = r"regexp_replace(regexp_replace(replace(justification, '•', ''), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
     lines = "(SELECT ocr_page_id || ':' || i AS id, list_extract(x, i) AS line FROM (SELECT ocr_page_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT ocr_page_id, string_split(ocr_text, chr(10)) AS x FROM ocr_pages)))"
     over = lambda src, key, col, lits: f"(SELECT {key}::VARCHAR AS id, {col} AS t FROM {src} UNION ALL SELECT id, t FROM {_values(lits)})"
     return {
@@ -120,6 +121,9 @@ def sql() -> dict[str, str]:
         "html_strip": f"SELECT id, {ws(f'''regexp_replace({unescaped}, '<[^>]+>', ' ', 'g')''')} AS t FROM {over('documents', 'doc_id', 'text', HTML)}",
         "page_marker": f"SELECT id, {ws('''regexp_replace(replace(t, chr(12), ' '), '(?im)^=+\\s*page\\s*\\d+\\s*=+$', ' ', 'g')''')} AS t FROM {over('documents', 'doc_id', 'text', MARKS)}",
         "page_edge_numbers": f"SELECT id, {Q.trailing('t')} AS trailing, {Q.leading('t')} AS leading, {Q.edge_form('t')} AS form FROM {over(lines, 'id', 'line', NUMBERS)}",
+        "collapse_repeats": """SELECT response_id, CASE WHEN justification IS NULL THEN NULL ELSE array_to_string(list_filter(x, lambda c, i: NOT coalesce(i > 1 AND x[i - 1] = c AND CASE WHEN contains('.,;:!?¡¿', c) THEN (i > 2 AND x[i - 2] = c) OR coalesce(x[i + 1] = c, false) ELSE i > 2 AND x[i - 2] = c END, false)), '') END AS t
+FROM (SELECT response_id, justification, regexp_extract_all(justification, '(?s).') AS x FROM ai_responses)""",
+        "line_whitespace": f"SELECT response_id, {Q.strip(spaced)} AS t FROM ai_responses",
         "prompt_safe": f"""SELECT context_id, {Q.strip(f'''translate(translate(chunk_text, chr(160) || '“”‘’«»', ' ""' || chr(39) || chr(39) || '""'), '{T.ZERO_WIDTH}', '')''')} AS t FROM chunk_contexts""",
         "truncate_budget": "SELECT doc_id, CASE WHEN length(text) > 1000 THEN rtrim(substr(text, 1, 834)) || chr(10) || '[texto truncado]' || chr(10) || ltrim(right(text, 148)) ELSE text END AS t FROM documents",
         "compact_lines": "SELECT ocr_page_id, regexp_replace(regexp_replace(regexp_replace(ocr_text, '[ \\t]+', ' ', 'g'), ' +(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM ocr_pages",

@@ -144,11 +144,11 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     tables make that cheap). The hot keys are at most left's rows / SALT_ROWS.
     """
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    hot = keep(counts.where(f"n > {SALT_ROWS}").select(*keys, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("_parts")), "hot")
-    n = hot.count()
-    if n == 0:
-        forget(left.sparkSession, hot)
+    hot = counts.where(f"n > {SALT_ROWS}").select(*keys, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("_parts"))
+    if hot.isEmpty():
         return left.join(right, keys, how)
+    hot = keep(hot, "hot")
+    n = hot.count()
     parts = F.coalesce("_parts", F.lit(1))
     hot = small_side(hot, n)
     a = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
