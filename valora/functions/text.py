@@ -9,7 +9,6 @@ from __future__ import annotations
 import html
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -74,16 +73,14 @@ def strip_tags(c: Column) -> Column:
     return clean_spaces(F.regexp_replace(c, r"<[^>]+>", " "))
 
 
-@F.pandas_udf(StringType())
-def unescape_html(c: pd.Series) -> pd.Series:
+def unescape_html(c: Column | str) -> Column:
     """HTML entities resolved (Arrow: the JVM has no table of them)."""
-    return c.map(lambda x: None if x is None else html.unescape(x))
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else html.unescape(x)), StringType())(c)
 
 
-@F.pandas_udf(StringType())
-def compatibility_form(c: pd.Series) -> pd.Series:
+def compatibility_form(c: Column | str) -> Column:
     """Unicode compatibility composition (Arrow: Spark SQL has no normaliser)."""
-    return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)), StringType())(c)
 
 
 def drop_page_marks(c: Column) -> Column:

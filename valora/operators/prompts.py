@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -168,31 +168,30 @@ def methodology_coverage(p: Column, aliases: dict[str, tuple[str, ...]] | None =
     return found / F.lit(float(len({**METHODOLOGY, **(aliases or {})})))
 
 
-@F.pandas_udf(BooleanType())
-def json_block_ok(p: pd.Series) -> pd.Series:
-    """Whether the prompt shows a JSON object with the required keys (Arrow: brackets must balance)."""
-    import re
-
-    def one(text: str | None) -> bool | None:
-        if text is None:
-            return None
-        depth, start = 0, -1
-        for m in re.finditer(r"[{}]", text):
-            if m.group() == "{":
-                start = m.start() if depth == 0 else start
-                depth += 1
-            elif depth:
-                depth -= 1
-                block = text[start : m.end()]
-                if depth == 0 and '"score"' in block and '"justification"' in block:
-                    try:
-                        json.loads(re.sub(r"\s+", " ", re.sub(r'"?<[^>]+>"?', '"x"', block)))
-                        return True
-                    except ValueError:
-                        return False
-        return False
-
-    return p.map(one)
+def shows_json(text: str | None) -> bool | None:
+    """Whether a text holds a balanced JSON object with the required keys, <fields> counting as texts."""
+    if text is None:
+        return None
+    depth, start = 0, -1
+    for m in re.finditer(r"[{}]", text):
+        if m.group() == "{":
+            start = m.start() if depth == 0 else start
+            depth += 1
+        elif depth:
+            depth -= 1
+            block = text[start : m.end()]
+            if depth == 0 and '"score"' in block and '"justification"' in block:
+                try:
+                    json.loads(re.sub(r"\s+", " ", re.sub(r'"?<[^>]+>"?', '"x"', block)))
+                    return True
+                except ValueError:
+                    return False
+    return False
+
+
+def json_block_ok(p: Column | str) -> Column:
+    """shows_json() of a prompt (Arrow: brackets must balance)."""
+    return F.pandas_udf(lambda c: c.map(shows_json), BooleanType())(p)
 
 
 def native_quality(p: Column, label: Column, values: Column, was_truncated: Column) -> Column:
