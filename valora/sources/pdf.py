@@ -113,7 +113,7 @@ def read(data: bytes, readers: Readers) -> Loaded:
 
 
 def installed() -> Readers:
-    """Adapters of the readers that can be imported: PyMuPDF, pdfplumber, camelot, pytesseract."""
+    """Adapters of the readers that can be imported: PyMuPDF, pdfplumber, pytesseract."""
     r = Readers()
     try:
         import fitz  # type: ignore
@@ -137,28 +137,14 @@ def installed() -> Readers:
             with pdfplumber.open(io.BytesIO(data)) as doc:
                 return [layout_text(p) for p in doc.pages]
 
-        def ruled(data: bytes) -> list[list[list[str]]]:
-            with pdfplumber.open(io.BytesIO(data)) as doc:
-                return [t for p in doc.pages for t in p.extract_tables()]
-
-        r.layout, r.tables = layout, (ruled,)
-    except ImportError:
-        pass
-    try:
-        import tempfile
-
-        import camelot  # type: ignore
-
-        def flavour(kind: str) -> Callable[[bytes], list[list[list[str]]]]:
+        def tables_by(strategy: str) -> Callable[[bytes], list[list[list[str]]]]:
             def extract(data: bytes) -> list[list[list[str]]]:
-                with tempfile.NamedTemporaryFile(suffix=".pdf") as f:  # camelot reads files only; it goes with the call
-                    f.write(data)
-                    f.flush()
-                    return [t.df.values.tolist() for t in camelot.read_pdf(f.name, pages="all", flavor=kind)]
+                with pdfplumber.open(io.BytesIO(data)) as doc:
+                    return [t for p in doc.pages for t in p.extract_tables({"vertical_strategy": strategy, "horizontal_strategy": strategy})]
 
             return extract
 
-        r.tables = (flavour("lattice"), flavour("stream"), *r.tables)
+        r.layout, r.tables = layout, (tables_by("lines"), tables_by("text"))  # by rules, else by the gaps between words
     except ImportError:
         pass
     if r.quick:

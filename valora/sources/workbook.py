@@ -125,16 +125,40 @@ def _sheet(columns: list[str], rows: Iterable[tuple]) -> Iterator[bytes]:
     yield b"</sheetData></worksheet>"
 
 
+class _Sink:
+    """A file of any Hadoop file system that is written from start to end, in large pieces."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        self.held = bytearray()
+
+    def write(self, data: bytes) -> int:
+        self.held += data
+        if len(self.held) >= 1 << 20:
+            self.flush()
+        return len(data)
+
+    def flush(self) -> None:
+        if self.held:
+            self.stream.write(bytearray(self.held))
+            self.held = bytearray()
+
+    def close(self) -> None:
+        self.flush()
+        self.stream.close()
+
+
 def write_workbook(sheets: dict[str, DataFrame], path: str) -> str:
     """Tables as the sheets of one workbook, for reports, not for bulk data.
 
     Rows are streamed partition by partition. A table with more rows than a sheet holds goes on in
     sheets numbered _2, _3 and so on; a text longer than a cell holds is an error. Arrays, maps and
-    structs are JSON text. The file is written through the file system that holds the path.
+    structs are JSON text. The file is streamed to the file system that holds the path.
     """
     spark = next(iter(sheets.values())).sparkSession
-    parts = io.BytesIO()
-    z = zipfile.ZipFile(parts, "w", zipfile.ZIP_DEFLATED)
+    sink = _Sink(spark, path)
+    z = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED)
     names: list[str] = []
 
     def flat(df: DataFrame) -> DataFrame:
@@ -171,12 +195,5 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> str:
     z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{kinds}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in ids) + "</Relationships>")
     z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{kinds}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in zip(ids, names, strict=True)) + "</sheets></workbook>")
     z.close()
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    sink = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
-    try:
-        view = parts.getbuffer()
-        for lo in range(0, len(view), 1 << 20):
-            sink.write(bytearray(view[lo : lo + (1 << 20)]))
-    finally:
-        sink.close()
+    sink.close()
     return path
