@@ -96,6 +96,7 @@ def collapse_repeats(c: Column, most: int = 2) -> Column:
     return F.regexp_replace(one, r"(?s)([^.,;:!?¡¿])\1{%d,}" % most, "$1" * most)
 
 
+# A page number's word, and the forms of numbers at a line's ends below.
 _PAGE_WORD = r"p[aá]g(?:ina)?\s*\d+\s*(?:de\s*\d+)?"
 
 

@@ -49,6 +49,7 @@ def build(question: Column, section: Column, dimension: Column, lo: Column, hi:
 
 def verbose(title: Column, report_type: Column, section: Column, dimension: Column, question: Column, question_id: Column, chunk: Column, meta_json: Column | None = None, extra: Column | None = None) -> Column:
     """The plain prompt that lists a pair's facts, for scorers without a builder of their own."""
+    # The prompt's labels and sentences.
     facts = F.concat_ws(
         "\n",
         F.concat(F.lit("Documento: "), F.coalesce(title, F.lit("Documento evaluado"))),
@@ -62,7 +63,7 @@ def verbose(title: Column, report_type: Column, section: Column, dimension: Colu
     return F.concat_ws("\n\n", facts, part, F.nullif(extra, F.lit("")) if extra is not None else F.lit(None).cast("string"))
 
 
-#: Builders by report type: the scale's label and levels, and what the objective adds.
+# Builders by report type: the scale's label and levels, and what the objective adds.
 BUILDERS = {
     "institucional": ("0 a 4 (valores enteros)", (0.0, 1.0, 2.0, 3.0, 4.0), "Evalúa estructura, claridad y pertinencia de la sección."),
     "politica_nacional": ("0 a 2 (pasos de 0.5)", (0.0, 0.5, 1.0, 1.5, 2.0), "Examina la coherencia con la política y la consistencia del argumento."),

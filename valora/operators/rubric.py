@@ -19,7 +19,7 @@ _SECTION = f"struct<id:string,id_segmenter:string,titulo:string,nombre:string,po
 SCHEMA = f"tipo_informe string, version string, metodologia string, escala struct<min:string,max:string,tipo:string,niveles:array<{_LEVEL}>>, secciones array<{_SECTION}>, bloques array<{_SECTION}>"
 
 
-#: Characters and words that a question's text has at least.
+# Characters and words that a question's text has at least.
 SHORT_TEXT = (15, 3)
 
 

@@ -118,8 +118,9 @@ class TransientError(Exception):
     """A scorer's failure that trying again may mend."""
 
 
-#: Waits of the inner layer of retries, in seconds, by attempt.
+# Waits of the inner layer of retries, in seconds, by attempt.
 INNER_WAITS = (1.0, 10.0)
+#: What is added to a prompt whose answer was no object with a score.
 CORRECTION = "\nLa respuesta anterior no era un objeto JSON con un puntaje numérico. Responde solo con ese objeto."
 
 

@@ -15,8 +15,9 @@ from itertools import groupby
 
 from valora.sources.loaders import Loaded
 
+# What a page with text has.
 MEANINGFUL = re.compile(r"[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]")
-#: Pixels below which an image is decoration.
+# Pixels below which an image is decoration.
 LEAST_PIXELS = 30_000
 
 
